@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embedding_dedup as _embedding
+from . import exact_dedup as _exact
+from . import line_dedup as _line
+from .language_id import language_id
+from .packing import pack
+from .sentencepiece_codec import encode
+from .simhash_dedup import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_array_dedup import suffix_array_dedup
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +26,63 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedding.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_suffix_array_dedup,
+    op2_embedding_dedup,
+    op3_language_id,
+    op4_line_dedup,
+    op5_simhash_dedup,
+    op6_toxicity,
+    op7_best_fit_packing,
+    op8_substring_dedup,
+    op9_exact_dedup,
+    op10_sentencepiece,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op8_substring_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_embedding_dedup": _embedding.ORACLE_SQL,
+        "op4_line_dedup": _line.ORACLE_SQL,
+        "op9_exact_dedup": _exact.ORACLE_SQL,
+    }
