@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +50,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a 128-bit key of both. Rows equal in both share a key; their results are equal too."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty) and a 128-bit key of both, and `more` columns as m_0, m_1, ... Rows equal in doc_id and
+    text share a key; their results are equal too."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
         text.alias("text"),
         F.xxhash64("doc_id", text).alias("r1"),
         F.xxhash64(F.lit(77), text, "doc_id").alias("r2"),
+        *(F.col(c).alias(f"m_{i}") for i, c in enumerate(more)),
     )
 
 
@@ -84,7 +85,3 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def crc32_of_id(df_col="doc_id"):
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(df_col).cast("string"), F.lit("")).cast("binary"))
-
-
-def popcount64(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)

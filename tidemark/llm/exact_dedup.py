@@ -78,6 +78,18 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
+def one_of_each_text(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The rows of docs, whole, that exact_dedup keeps."""
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kept_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("size")]
+    whole = docs.select(*key, F.sha2(normalised(F.col("text")), 256).alias("d1"), F.struct("*").alias("row"))
+    decided = exact_dedup(docs.select("doc_id", "text"), salts).where("kept")
+    kept = decided.select(key[0], F.col("text_sha256").alias("d1"))
+    found = whole.join(kept.hint("merge"), ["kept_id", "d1"], "left_semi")
+    # Of rows that share doc_id and content, one stays: the longest. The join has dealt them by the window's key already.
+    turn = F.row_number().over(Window.partitionBy("kept_id", "d1").orderBy(F.desc("size")))
+    return found.withColumn("turn", turn).where("turn = 1").select("row.*")
+
+
 ORACLE_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS size,

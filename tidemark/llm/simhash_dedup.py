@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, popcount64, small_batches, written
+from .common import chunks, small_batches, written
 from .components import components
 
 RADIUS = 3
@@ -97,7 +97,7 @@ def _links(radius: int):
         us, vs = [], []
         size = np.diff(bounds)
         two = bounds[:-1][size == 2]
-        near = popcount64(fp[two] ^ fp[two + 1]) <= radius
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
         us.append(fp[two + 1][near])
         vs.append(fp[two][near])
         for a, b in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
@@ -108,7 +108,7 @@ def _links(radius: int):
                 while len(front) and len(rest):
                     hit = np.zeros(len(rest), bool)
                     for part in np.array_split(front, max(1, len(front) * len(rest) >> 20)):
-                        hit |= (popcount64(rest[None, :] ^ part[:, None]) <= radius).any(axis=0)
+                        hit |= (np.bitwise_count(rest[None, :] ^ part[:, None]) <= radius).any(axis=0)
                     front, rest = rest[hit], rest[~hit]
                     us.append(front)
                     vs.append(np.full(len(front), root, np.uint64))
@@ -169,3 +169,12 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     named = labelled.join(names.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, whole, whose doc_id names their group. A row without an id stays if its group has no id at all."""
+    groups = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kept_id")).distinct()
+    own = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
+    rows = docs.select(own.alias("kept_id"), F.struct("*").alias("row"))
+    return rows.join(kept.hint("merge"), "kept_id", "left_semi").select("row.*")

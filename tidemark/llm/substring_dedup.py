@@ -77,12 +77,17 @@ def _apply(width: int, texts_out: bool):
     return rows
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, hot: int = 24_000, texts: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept: the kept words joined by
-    one space, or the text as it was where nothing went."""
+def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, hot: int = 24_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the kept words joined by
+    one space, or the text as it was where nothing went) and the columns `carry`."""
     small_batches(docs.sparkSession)
     spec = Windows(width, prefix, words=True, hot=hot)
     id_type = dict(docs.dtypes)["doc_id"]
-    spans = with_spans(keyed(docs), spec, lambda text, rest: repeated(text, rest, width))
-    schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts
-    return spans.select("doc_id", "text", "spans").mapInArrow(_apply(width, texts), schema)
+    spans = with_spans(keyed(docs, *carry), spec, lambda text, rest: repeated(text, rest, width))
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string"
+    if not texts:
+        return spans.select("doc_id", "text", "spans").mapInArrow(_apply(width, False), schema)
+    more = [f"m_{i}" for i in range(len(carry))]
+    schema += ", kept string" + "".join(f", {m} {kinds[c]}" for m, c in zip(more, carry))
+    return spans.select("doc_id", "text", "spans", *more).mapInArrow(_apply(width, True), schema).withColumnsRenamed(dict(zip(more, carry)))
