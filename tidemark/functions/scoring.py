@@ -16,6 +16,11 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def rounded(c: Column, digits: int = 4) -> Column:
+    """Rounded at output; a hair is added so that sums that stand for an exact half round alike everywhere."""
+    return F.round(c + 1e-9, digits)
+
+
 def lookup(c: Column, table: dict, default) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), F.lit(default))
 
@@ -37,7 +42,7 @@ def fee_to_market(fee: Column, market: Column) -> Column:
 
 
 def transfer_indicator(direction: Column, market: Column, fee: Column, wage: Column, age: Column, loan: Column) -> Column:
-    quality, buys, ratio = F.round(transfer_quality(direction, market, fee, wage, age), 4), direction == "in", F.round(fee_to_market(fee, market), 4)
+    quality, buys, ratio = rounded(transfer_quality(direction, market, fee, wage, age)), direction == "in", F.round(fee_to_market(fee, market), 4)
     years = F.coalesce(age, F.lit(27.0))
     money = F.when(ratio <= 0, 0.5).when(buys, clamp(1.15 - ratio)).otherwise(clamp(0.5 + (ratio - 1.0) / 2.0))
     stage = F.when(buys, 1.0 - F.abs(years - 24.0) / 12.0).otherwise(0.55 + F.greatest(years - 26.0, F.lit(0.0)) / 14.0)

@@ -89,17 +89,17 @@ def what_if(deals: DataFrame) -> DataFrame:
     """Scores of hypothetical deals. deals: direction, market_value_eur, transfer_fee_eur, wage_eur_annual, age, is_loan, stage,
     source_rate, journalist_rate (NULL if unknown)."""
     s, j = F.col("source_rate"), F.col("journalist_rate")
-    credibility = F.round(scoring.clamp(F.coalesce(0.45 * s + 0.55 * j, j, s, F.lit(0.5))), 4)
+    credibility = scoring.rounded(scoring.clamp(F.coalesce(0.45 * s + 0.55 * j, j, s, F.lit(0.5))), 4)
     stage = scoring.lookup(F.col("stage"), scoring.STAGE_SCORES, 0.4)
-    quality = F.round(scoring.transfer_indicator(F.col("direction"), F.col("market_value_eur"), F.col("transfer_fee_eur"), F.col("wage_eur_annual"), F.col("age"), F.col("is_loan")), 4)
+    quality = scoring.rounded(scoring.transfer_indicator(F.col("direction"), F.col("market_value_eur"), F.col("transfer_fee_eur"), F.col("wage_eur_annual"), F.col("age"), F.col("is_loan")), 4)
     d = deals.withColumns({"credibility": credibility, "stage_score": stage, "quality": quality})
-    rumor = F.round(scoring.clamp(0.58 * F.col("credibility") + 0.32 * F.col("stage_score") + 0.10 * F.when(F.col("is_loan"), 0.35).otherwise(0.55)), 4)
+    rumor = scoring.rounded(scoring.clamp(0.58 * F.col("credibility") + 0.32 * F.col("stage_score") + 0.10 * F.when(F.col("is_loan"), 0.35).otherwise(0.55)), 4)
     d = d.withColumn("rumor", rumor)
     raw = (F.col("rumor") - 0.5) * 0.05 + (F.col("quality") - 0.5) * 0.06 * F.when(F.col("direction") == "in", 1.0).otherwise(0.65)
-    d = d.withColumns({"midpoint": F.round(F.greatest(F.lit(-0.08), F.least(F.lit(0.08), raw)), 4), "belief": F.round(scoring.clamp(0.35 + 0.45 * F.col("rumor")), 4)})
-    d = d.withColumn("confidence", F.round(scoring.clamp(0.35 * F.col("credibility") + 0.35 * F.col("stage_score") + 0.30 * F.col("belief")), 4))
+    d = d.withColumns({"midpoint": scoring.rounded(F.greatest(F.lit(-0.08), F.least(F.lit(0.08), raw)), 4), "belief": scoring.rounded(scoring.clamp(0.35 + 0.45 * F.col("rumor")), 4)})
+    d = d.withColumn("confidence", scoring.rounded(scoring.clamp(0.35 * F.col("credibility") + 0.35 * F.col("stage_score") + 0.30 * F.col("belief")), 4))
     half = 0.018 + (1 - F.col("confidence")) * 0.045
-    d = d.withColumns({"low": F.greatest(F.lit(-0.10), F.col("midpoint") - half), "high": F.least(F.lit(0.10), F.col("midpoint") + half)})
+    d = d.withColumns({"low": F.round(F.greatest(F.lit(-0.10), F.col("midpoint") - half), 6), "high": F.round(F.least(F.lit(0.10), F.col("midpoint") + half), 6)})
     return d.withColumn("label", F.when(F.col("low") > 0.005, "positive").when(F.col("high") < -0.005, "negative").otherwise("watch"))
 
 

@@ -14,17 +14,17 @@ from .registry import query
 from .sql_bindings import PREDICTIONS, TRANSFERS
 
 _C = lambda x: f"greatest(0, least(1, {x}))"
-_QUALITY = "round(" + _C(f"0.45 * {_C('0.5 + gap / 2')} + 0.30 * {_C('''CASE WHEN direction = 'in' THEN 1 - abs(age - 24) / 12 ELSE 0.65 + greatest(age - 27, 0) / 12 END''')} + 0.25 * (1 - 0.35 * {_C('wage_eur_annual / 25000000')})") + ", 4)"
+_QUALITY = "round(1e-9 + " + _C(f"0.45 * {_C('0.5 + gap / 2')} + 0.30 * {_C('''CASE WHEN direction = 'in' THEN 1 - abs(age - 24) / 12 ELSE 0.65 + greatest(age - 27, 0) / 12 END''')} + 0.25 * (1 - 0.35 * {_C('wage_eur_annual / 25000000')})") + ", 4)"
 _SCORED = f"""{TRANSFERS}, tg AS (SELECT *, CASE WHEN market_value_eur > 0 THEN CASE WHEN direction = 'in' THEN market_value_eur - transfer_fee_eur ELSE transfer_fee_eur - market_value_eur END / market_value_eur ELSE 0 END AS gap,
   CASE WHEN market_value_eur > 0 AND transfer_fee_eur > 0 THEN round(transfer_fee_eur / market_value_eur, 4) ELSE 0 END AS ratio FROM transfers),
 tq AS (SELECT *, {_QUALITY} AS quality FROM tg),
-ti AS (SELECT *, round({_C(f'''0.50 * quality + 0.30 * CASE WHEN ratio <= 0 THEN 0.5 WHEN direction = 'in' THEN {_C('1.15 - ratio')} ELSE {_C('0.5 + (ratio - 1) / 2')} END + 0.20 * {_C("CASE WHEN direction = 'in' THEN 1 - abs(age - 24) / 12 ELSE 0.55 + greatest(age - 26, 0) / 14 END")} - CASE WHEN is_loan THEN 0.08 ELSE 0 END''')}, 4) AS indicator FROM tq)"""
+ti AS (SELECT *, round(1e-9 + {_C(f'''0.50 * quality + 0.30 * CASE WHEN ratio <= 0 THEN 0.5 WHEN direction = 'in' THEN {_C('1.15 - ratio')} ELSE {_C('0.5 + (ratio - 1) / 2')} END + 0.20 * {_C("CASE WHEN direction = 'in' THEN 1 - abs(age - 24) / 12 ELSE 0.55 + greatest(age - 26, 0) / 14 END")} - CASE WHEN is_loan THEN 0.08 ELSE 0 END''')}, 4) AS indicator FROM tq)"""
 
 
 def scored_moves(spark, sf_dir):
     t = b.transfers(spark, sf_dir)
     fields = [F.col(c) for c in ("direction", "market_value_eur", "transfer_fee_eur", "wage_eur_annual", "age")]
-    return t.withColumns({"quality": F.round(scoring.transfer_quality(*fields), 4), "indicator": F.round(scoring.transfer_indicator(*fields, F.col("is_loan")), 4), "ratio": F.round(scoring.fee_to_market(F.col("transfer_fee_eur"), F.col("market_value_eur")), 4)})
+    return t.withColumns({"quality": scoring.rounded(scoring.transfer_quality(*fields)), "indicator": scoring.rounded(scoring.transfer_indicator(*fields, F.col("is_loan"))), "ratio": F.round(scoring.fee_to_market(F.col("transfer_fee_eur"), F.col("market_value_eur")), 4)})
 
 
 @query("transfer_quality", f"WITH {_SCORED} SELECT deal_id, line, direction, quality, ratio FROM ti")
@@ -81,18 +81,18 @@ _STAGE = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in
 @query(
     "whatif_scores",
     f"""WITH {_SCORED}, d AS (SELECT *, CASE WHEN deal_id % 3 = 0 THEN NULL ELSE (deal_id % 41) / 40.0e0 END AS sr, CASE WHEN deal_id % 4 = 0 THEN NULL ELSE (player_id % 31) / 30.0e0 END AS jr, (['linked', 'talks', 'bid', 'advanced', 'agreed', 'medical', 'official', 'unclear'])[line % 8 + 1] AS stage FROM ti),
-    e AS (SELECT *, round(coalesce(0.45 * sr + 0.55 * jr, jr, sr, 0.5), 4) AS credibility, {_STAGE('stage')} AS ss FROM d),
-    f AS (SELECT *, round({_C('0.58 * credibility + 0.32 * ss + 0.10e0 * CASE WHEN is_loan THEN 0.35 ELSE 0.55 END')}, 4) AS rumor FROM e),
-    g AS (SELECT *, round(greatest(-0.08, least(0.08, (rumor - 0.5) * 0.05 + (indicator - 0.5) * 0.06 * CASE WHEN direction = 'in' THEN 1 ELSE 0.65 END)), 4) AS midpoint, round({_C('0.35 + 0.45 * rumor')}, 4) AS belief FROM f),
-    h AS (SELECT *, round({_C('0.35 * credibility + 0.35 * ss + 0.30 * belief')}, 4) AS confidence FROM g), i AS (SELECT *, greatest(-0.10, midpoint - 0.018 - (1 - confidence) * 0.045) AS lo, least(0.10, midpoint + 0.018 + (1 - confidence) * 0.045) AS hi FROM h)
-    SELECT deal_id, line, player_id, CASE WHEN lo > 0.005 THEN 'positive' WHEN hi < -0.005 THEN 'negative' ELSE 'watch' END AS label, round(credibility, 3) AS credibility, round(midpoint, 3) AS midpoint FROM i""",
+    e AS (SELECT *, round(1e-9 + coalesce(0.45 * sr + 0.55 * jr, jr, sr, 0.5), 4) AS credibility, {_STAGE('stage')} AS ss FROM d),
+    f AS (SELECT *, round(1e-9 + {_C('0.58 * credibility + 0.32 * ss + 0.10e0 * CASE WHEN is_loan THEN 0.35 ELSE 0.55 END')}, 4) AS rumor FROM e),
+    g AS (SELECT *, round(1e-9 + greatest(-0.08, least(0.08, (rumor - 0.5) * 0.05 + (indicator - 0.5) * 0.06 * CASE WHEN direction = 'in' THEN 1 ELSE 0.65 END)), 4) AS midpoint, round(1e-9 + {_C('0.35 + 0.45 * rumor')}, 4) AS belief FROM f),
+    h AS (SELECT *, round(1e-9 + {_C('0.35 * credibility + 0.35 * ss + 0.30 * belief')}, 4) AS confidence FROM g), i AS (SELECT *, round(greatest(-0.10, midpoint - 0.018 - (1 - confidence) * 0.045), 6) AS lo, round(least(0.10, midpoint + 0.018 + (1 - confidence) * 0.045), 6) AS hi FROM h)
+    SELECT deal_id, line, player_id, CASE WHEN lo > 0.005 THEN 'positive' WHEN hi < -0.005 THEN 'negative' ELSE 'watch' END AS label, credibility, midpoint FROM i""",
 )
 def whatif_scores(spark, sf_dir):
     t = b.transfers(spark, sf_dir)
     k = F.col("deal_id")
     stage = F.element_at(F.array(*map(F.lit, ("linked", "talks", "bid", "advanced", "agreed", "medical", "official", "unclear"))), (F.col("line") % 8 + 1).cast("int"))
     d = t.withColumns({"source_rate": F.when(k % 3 != 0, (k % 41) / 40.0), "journalist_rate": F.when(k % 4 != 0, (F.col("player_id") % 31) / 30.0), "stage": stage})
-    return cs.what_if(d).select("deal_id", "line", "player_id", "label", F.round("credibility", 3).alias("credibility"), F.round("midpoint", 3).alias("midpoint"))
+    return cs.what_if(d).select("deal_id", "line", "player_id", "label", "credibility", "midpoint")
 
 
 _SIM = """CASE WHEN a.club = h.club THEN 0.16e0 ELSE 0 END + CASE WHEN a.direction = h.direction THEN 0.18e0 ELSE -0.08e0 END + CASE WHEN a.target_role = h.target_role THEN 0.10e0 ELSE 0 END + CASE WHEN a.source = h.source THEN 0.12e0 ELSE 0 END
@@ -154,7 +154,7 @@ def signals(spark, sf_dir):
 
 
 _SIGNALS = f"""{PREDICTIONS}, sg AS (SELECT case_id AS signal_id, target_role AS role, case_id % 7 * 10000000.0e0 AS fee, market_value_eur AS mv, transfer_indicator AS ti, age, CASE WHEN case_id % 6 = 0 THEN 1 ELSE 0 END AS attack, predicted_label AS label, prediction_confidence AS pc, credibility_score AS cr, case_id % 5 AS sources,
-  CASE WHEN case_id % 9 = 0 THEN 'unclear' ELSE rumor_stage END AS stage, CASE WHEN case_id % 3 <> 0 THEN journalist_rep END AS rr, case_id % 2 = 0 AS link, case_id % 10 < 7 AS similar FROM predictions)"""
+  CASE WHEN case_id % 9 = 0 THEN 'unclear' ELSE rumor_stage END AS stage, CASE WHEN case_id % 3 <> 0 THEN journalist_rep END AS rr, case_id % 2 = 0 AS link, case_id % 10 < 7 AS sim FROM predictions)"""
 _LABEL = lambda s: f"CASE WHEN {s} >= 0.35 THEN 'bullish' WHEN {s} <= -0.35 THEN 'bearish' WHEN abs({s}) <= 0.12 THEN 'neutral' ELSE 'watch' END"
 
 
@@ -164,7 +164,7 @@ _LABEL = lambda s: f"CASE WHEN {s} >= 0.35 THEN 'bullish' WHEN {s} <= -0.35 THEN
       round(CASE label WHEN 'positive' THEN 0.35e0 WHEN 'negative' THEN -0.35e0 ELSE 0 END * CASE WHEN pc >= 0.65 THEN 1.15e0 ELSE 1 END, 6) AS b,
       round(CASE WHEN cr >= 0.6 THEN 0.25e0 WHEN cr < 0.4 THEN -0.15e0 ELSE 0 END + CASE WHEN sources >= 3 THEN 0.12e0 ELSE 0 END + CASE WHEN stage IN ('advanced', 'agreed', 'medical', 'official') THEN 0.15e0 ELSE 0 END + coalesce(least(0.12e0, rr * 0.12e0), 0), 6) AS c,
       round(CASE role WHEN 'seller' THEN CASE WHEN age >= 30 THEN 0.12e0 ELSE -0.18e0 END ELSE 0.10e0 END + attack * 0.04e0, 6) AS d,
-      round(-(CASE WHEN cr < 0.5 THEN 0.18e0 ELSE 0 END + CASE WHEN sources <= 1 THEN 0.12e0 ELSE 0 END + CASE WHEN stage IN ('unclear', 'linked') THEN 0.12e0 ELSE 0 END + CASE WHEN link THEN 0 ELSE 0.08e0 END + CASE WHEN similar THEN 0 ELSE 0.05e0 END), 6) AS e FROM sg),
+      round(-(CASE WHEN cr < 0.5 THEN 0.18e0 ELSE 0 END + CASE WHEN sources <= 1 THEN 0.12e0 ELSE 0 END + CASE WHEN stage IN ('unclear', 'linked') THEN 0.12e0 ELSE 0 END + CASE WHEN link THEN 0 ELSE 0.08e0 END + CASE WHEN sim THEN 0 ELSE 0.05e0 END), 6) AS e FROM sg),
     v AS (SELECT signal_id, {_LABEL('a')} AS st, round(least(1, 0.48e0 + abs(a)), 4) AS cf FROM s UNION ALL SELECT signal_id, {_LABEL('b')}, round(least(1, 0.50e0 + abs(b)), 4) FROM s UNION ALL SELECT signal_id, CASE WHEN c > 0 AND cr < 0.6 THEN 'watch' ELSE {_LABEL('c')} END, round(least(1, 0.45e0 + abs(c)), 4) FROM s
       UNION ALL SELECT signal_id, {_LABEL('d')}, round(least(1, 0.42e0 + abs(d)), 4) FROM s UNION ALL SELECT signal_id, CASE WHEN e > -0.2 THEN 'watch' ELSE 'bearish' END, round(least(1, 0.50e0 + abs(e)), 4) FROM s),
     g AS (SELECT signal_id, round(sum(CASE st WHEN 'bullish' THEN cf WHEN 'bearish' THEN -cf ELSE 0 END) / sum(cf), 6) AS score, count_if(st = 'bullish') AS bullish, count_if(st = 'bearish') AS bearish, count_if(st = 'watch') AS watch, count_if(st = 'neutral') AS neutral FROM v GROUP BY 1)
@@ -220,7 +220,7 @@ def comparison_pivot(spark, sf_dir):
 @query(
     "club_dossier",
     f"""WITH {PREDICTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY club ORDER BY signal_date DESC, case_id DESC) AS k FROM predictions),
-    a AS (SELECT club, count(*) AS n_signals, round(avg(credibility_score), 4) AS avg_credibility, round(avg(prob_positive) FILTER (WHERE k <= 12), 4) AS recent_positive, round(avg(CAST(actual_label = 'positive' AS INTEGER)), 4) AS positive_share, arg_max(case_id, (prob_positive, -case_id)) AS peak_case, arg_max(case_id, (prob_negative, -case_id)) AS low_case FROM r GROUP BY club),
+    a AS (SELECT club, count(*) AS n_signals, round(avg(credibility_score) + 1e-9, 4) AS avg_credibility, round(avg(prob_positive) FILTER (WHERE k <= 12), 4) AS recent_positive, round(avg(CAST(actual_label = 'positive' AS INTEGER)), 4) AS positive_share, arg_max(case_id, (prob_positive, -case_id)) AS peak_case, arg_max(case_id, (prob_negative, -case_id)) AS low_case FROM r GROUP BY club),
     p AS (SELECT club, player, count(*) AS n FROM predictions GROUP BY 1, 2), t AS (SELECT club, string_agg(player || ':' || n, '|' ORDER BY k) AS top_players FROM (SELECT *, row_number() OVER (PARTITION BY club ORDER BY n DESC, player) AS k FROM p) WHERE k <= 5 GROUP BY 1)
     SELECT a.*, top_players FROM a JOIN t USING (club)""",
 )
@@ -230,7 +230,7 @@ def club_dossier(spark, sf_dir):
     latest = p.withColumn("k", F.row_number().over(Window.partitionBy("club").orderBy(F.desc("signal_date"), F.desc("case_id")))).where("k <= 12").groupBy("club").agg(F.round(F.avg("prob_positive"), 4).alias("recent_positive"))
     base = p.groupBy("club").agg(
         F.count(F.lit(1)).alias("n_signals"),
-        F.round(F.avg("credibility_score"), 4).alias("avg_credibility"),
+        scoring.rounded(F.avg("credibility_score")).alias("avg_credibility"),
         F.round(F.avg((F.col("actual_label") == "positive").cast("int")), 4).alias("positive_share"),
         F.max_by("case_id", F.struct("prob_positive", -F.col("case_id"))).alias("peak_case"),
         F.max_by("case_id", F.struct("prob_negative", -F.col("case_id"))).alias("low_case"),
