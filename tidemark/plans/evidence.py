@@ -1 +1,102 @@
-"""Queries."""
+"""Queries over evidence: benchmark passages are searched for in the documents; conversations are audited."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import dates, scoring, text
+from tidemark.operators import retrieval as rt
+from tidemark.sources import bindings as b
+from tidemark.sources.tables import table
+
+from .registry import query
+from .sql_bindings import ARTICLES
+
+AS_OF = "2024-02-01"
+
+
+def corpus(spark, sf_dir):
+    a = b.articles(spark, sf_dir)
+    return a.select(F.col("article_id").alias("doc"), "title", F.col("body").alias("text"), "source", "published_at")
+
+
+def asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("query"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TOK = lambda x: f"list_filter(list_transform(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9_''-]*'), lambda t: trim(t, '''')), lambda t: length(t) >= 2 AND NOT list_contains([{_STOP}], t))"
+_LEX = f"""{ARTICLES}, dt AS (SELECT article_id AS doc, {_TOK("concat_ws(' ', title, title, body, source)")} AS w, {_TOK("coalesce(title, '')")} AS t FROM articles), d AS (SELECT * FROM dt WHERE len(w) > 0),
+qt AS (SELECT item_id AS q, {_TOK("coalesce(text, '')")} AS w FROM benchmark), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) GROUP BY 1, 2), qf AS (SELECT q, term, count(*) AS qf FROM (SELECT q, unnest(w) AS term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
+s AS (SELECT q, doc, sum((1 + ln(tf)) * qf * (ln((n + 1) / (df + 0.5)) + 1)) AS s, count(*) AS matched FROM tf JOIN qf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+b AS (SELECT q, doc, CASE WHEN contains(array_to_string(d.t, ' '), array_to_string(qt.w, ' ')) THEN 4 WHEN contains(array_to_string(d.w, ' '), array_to_string(qt.w, ' ')) THEN 2 ELSE 0 END AS bonus FROM s JOIN d USING (doc) JOIN qt USING (q) WHERE len(qt.w) >= 3),
+lex AS (SELECT s.q, s.doc, (s + coalesce(bonus, 0)) * (1 + least(0.25, matched / len(list_distinct(qt.w)) * 0.25)) * greatest(0.35, 9 / sqrt(len(d.w))) AS lexical, matched FROM s LEFT JOIN b USING (q, doc) JOIN d ON d.doc = s.doc JOIN qt ON qt.q = s.q)"""
+_TOP = lambda score, t, k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {score} DESC, doc) AS rank FROM {t}) WHERE rank <= {k}"
+
+
+@query("tfidf_topk", f"WITH {_LEX} SELECT q, doc, rank, matched, round(lexical, 4) AS score FROM ({_TOP('round(lexical, 6)', 'lex', 5)})")
+def tfidf_topk(spark, sf_dir):
+    scored = rt.lexical(corpus(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("lexical", 6))
+    return rt.top(scored, 5).select("q", "doc", F.col("rank").cast("bigint").alias("rank"), "matched", F.round("lexical", 4).alias("score"))
+
+
+_GRAM = lambda x: f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
+_CHAR = f"""pq AS (SELECT item_id AS q, '  ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || '  ' AS x FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
+pd AS (SELECT article_id AS doc, '  ' || trim(regexp_replace(lower(concat_ws(' ', title, source, left(body, 900))), '\\s+', ' ', 'g')) || '  ' AS x FROM articles),
+gq AS (SELECT q, g, count(*) AS n FROM (SELECT q, unnest({_GRAM('x')}) AS g FROM pq) GROUP BY 1, 2), gd AS (SELECT doc, g, count(*) AS n FROM (SELECT doc, unnest({_GRAM('x')}) AS g FROM pd) GROUP BY 1, 2),
+nq AS (SELECT q, sqrt(sum(n * n)) AS z FROM gq GROUP BY 1), nd AS (SELECT doc, sqrt(sum(n * n)) AS z FROM gd GROUP BY 1),
+chr AS (SELECT * FROM (SELECT q, doc, sum(gq.n * gd.n) / (any_value(nq.z) * any_value(nd.z)) AS cosine FROM gq JOIN gd USING (g) JOIN nq USING (q) JOIN nd USING (doc) GROUP BY q, doc) WHERE cosine >= 0.05)"""
+
+
+@query("chargram_cosine", f"WITH {ARTICLES}, {_CHAR} SELECT q, doc, rank, round(cosine, 4) AS cosine FROM ({_TOP('round(cosine, 8)', 'chr', 5)})")
+def chargram_cosine(spark, sf_dir):
+    scored = rt.character(corpus(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("cosine", 8))
+    return rt.top(scored, 5).select("q", "doc", F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 4).alias("cosine"))
+
+
+_AGE = f"date_diff('day', CAST(a.published_at AS DATE), DATE '{AS_OF}')"
+_HYBRID = f"""{_LEX}, {_CHAR}, h0 AS (SELECT q, doc, coalesce(lexical, 0) AS lexical, matched, coalesce(4.25 * cosine, 0) AS semantic FROM lex FULL JOIN chr USING (q, doc)),
+hy AS (SELECT h0.*, CASE WHEN {_AGE} < 0 THEN 0.03e0 WHEN {_AGE} <= 14 THEN 0.35e0 WHEN {_AGE} <= 60 THEN 0.22e0 WHEN {_AGE} <= 365 THEN 0.10e0 ELSE 0.0e0 END AS recency, CASE WHEN list_has_any(qt.w, {_TOK('a.source')}) THEN 3.0875e0 ELSE 0.0e0 END AS structured FROM h0 JOIN articles a ON a.article_id = h0.doc JOIN qt ON qt.q = h0.q),
+hs AS (SELECT *, lexical + semantic + structured + recency AS score, concat_ws('|', CASE WHEN lexical > 0 THEN 'lexical' END, CASE WHEN semantic > 0 THEN 'semantic_chargram' END, CASE WHEN structured > 0 THEN 'structured_entity' END, CASE WHEN recency > 0 THEN 'recency' END) AS methods FROM hy)"""
+
+
+@query("hybrid_topk", f"WITH {_HYBRID} SELECT q, doc, rank, round(score, 4) AS score, methods FROM ({_TOP('round(score, 6)', 'hs', 5)})")
+def hybrid_topk(spark, sf_dir):
+    scored = rt.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), F.lit(AS_OF).cast("date")).withColumn("s", F.round("score", 6))
+    return rt.top(scored, 5, "s").select("q", "doc", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"), "methods")
+
+
+@query(
+    "multi_query_merge",
+    f"""WITH {_HYBRID}, t AS ({_TOP('round(score, 6)', 'hs', 5)}), g AS (SELECT q // 4 AS question, doc, max(score) AS score, count(DISTINCT q) AS n_queries, array_to_string(list_sort(list_distinct(flatten(list(string_split(methods, '|'))))), '|') AS methods FROM t GROUP BY 1, 2)
+    SELECT question, doc, round(score, 4) AS score, n_queries, methods FROM g""",
+)
+def multi_query_merge(spark, sf_dir):
+    """Four queries form a question; their hits become one list."""
+    scored = rt.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), F.lit(AS_OF).cast("date")).withColumn("s", F.round("score", 6))
+    hits = rt.top(scored, 5, "s").withColumn("question", F.floor(F.col("q") / 4))
+    return rt.merged(hits).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "grounding_audit",
+    f"""WITH c AS (SELECT conv_id, role, list_distinct({_TOK("coalesce(text, '')")}) AS w FROM conversations),
+    e AS (SELECT conv_id, list_distinct(flatten(list(w) FILTER (WHERE role <> 'assistant'))) AS ev, list_filter(list_distinct(flatten(list(w) FILTER (WHERE role = 'assistant'))), lambda t: length(t) > 3) AS ans, count_if(role <> 'assistant') AS cites, count(DISTINCT role) AS roles FROM c GROUP BY 1),
+    s AS (SELECT conv_id, cites, CASE WHEN coalesce(len(ans), 0) = 0 THEN 0.0e0 ELSE len(list_intersect(ans, coalesce(ev, []))) / len(ans) END AS support, least(1, roles / greatest(cites, 1) * 1.35e0) AS diversity, conv_id % 400 AS days FROM e),
+    f AS (SELECT *, CASE WHEN days <= 14 THEN 1.0e0 WHEN days <= 45 THEN 0.76e0 WHEN days <= 120 THEN 0.55e0 WHEN days <= 365 THEN 0.34e0 ELSE 0.18e0 END AS fresh FROM s),
+    o AS (SELECT *, round((0.26 * support + 0.14 * diversity + 0.12 * fresh) / 0.52 + 1e-9, 4) AS overall FROM f)
+    SELECT conv_id, cites, round(support + 1e-9, 4) AS support, overall, CASE WHEN overall >= 0.82 THEN 'strong' WHEN overall >= 0.62 THEN 'usable' WHEN overall >= 0.42 THEN 'watch' ELSE 'needs_refresh' END AS status FROM o""",
+)
+def grounding_audit(spark, sf_dir):
+    """How far each conversation's answers are covered by what was said before them. Words are counted per conversation as
+    rows, so a very long conversation doesn't gather in one row."""
+    c = table(spark, sf_dir, "conversations").withColumn("answer", F.coalesce(F.col("role") == "assistant", F.lit(False)))
+    words = c.select("conv_id", "answer", F.explode(text.tokens(F.col("text"))).alias("w")).groupBy("conv_id", "w").agg(F.max(F.when(F.col("answer"), 1).otherwise(0)).alias("said"), F.max(F.when(F.col("answer"), 0).otherwise(1)).alias("shown"))
+    told = words.where("said = 1 and char_length(w) > 3").groupBy("conv_id").agg(F.avg("shown").alias("support"))
+    base = c.groupBy("conv_id").agg(F.count_if(~F.col("answer")).alias("cites"), F.countDistinct("role").alias("roles"))
+    j = base.join(told.hint("merge"), "conv_id", "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+    diversity = F.least(F.lit(1.0), F.col("roles") / F.greatest(F.col("cites"), F.lit(1)) * 1.35)
+    fresh = dates.citation_freshness(F.col("conv_id") % 400)
+    j = j.withColumn("overall", scoring.rounded((0.26 * F.col("support") + 0.14 * diversity + 0.12 * fresh) / 0.52))
+    return j.select("conv_id", "cites", scoring.rounded(F.col("support")).alias("support"), "overall", scoring.score_status(F.col("overall")).alias("status"))

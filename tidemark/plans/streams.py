@@ -1 +1,64 @@
-"""Queries."""
+"""Stream jobs run over the events table: as streams (sinks are Parquet in the shared folder) and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.streaming import jobs
+
+from .registry import query
+
+
+def _shared(spark) -> str:
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{path.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _finished(rows: DataFrame, spark, complete: bool) -> DataFrame:
+    """The result of a stream over all files there are. complete: the last state of an aggregate; else appended rows."""
+    path = _shared(spark)
+    writer = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if complete:
+        writer = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        writer = writer.outputMode("append").format("parquet").option("path", f"{path}/out")
+    writer.start().awaitTermination()
+    schema = rows.schema
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+@query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, sf_dir):
+    return _finished(jobs.daily_counts(jobs.event_stream(spark, sf_dir), "event_type"), spark, True).withColumn("total", F.round("total", 2))
+
+
+@query("stream_rolling_coverage", "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events) SELECT CAST(day + CAST(k AS INTEGER) AS DATE) AS day, event_type, count(*) AS n FROM d, (SELECT unnest(range(1, 22)) AS k) GROUP BY 1, 2")
+def stream_rolling_coverage(spark, sf_dir):
+    return _finished(jobs.rolling_coverage(jobs.event_stream(spark, sf_dir), "event_type"), spark, True).select("day", "event_type", "n")
+
+
+@query("stream_reputation", "SELECT user_id, count(*) AS n_claims, count_if(event_type IN ('signup', 'purchase')) AS n_matched, round((count_if(event_type IN ('signup', 'purchase')) + 2.5) / (count(*) + 5), 6) AS smoothed_rate FROM events GROUP BY 1")
+def stream_reputation(spark, sf_dir):
+    e = jobs.event_stream(spark, sf_dir)
+    return _finished(jobs.running_reputation(e, "user_id", F.col("event_type").isin("signup", "purchase")), spark, True).withColumn("smoothed_rate", F.round("smoothed_rate", 6))
+
+
+@query("stream_first_seen", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def stream_first_seen(spark, sf_dir):
+    """One row per user and type; the given table is one file, so one batch holds all."""
+    rows = jobs.first_seen(jobs.event_stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type")
+    return _finished(rows, spark, False)
+
+
+@query(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, k""",
+)
+def stream_sessions(spark, sf_dir):
+    rows = jobs.sessions(jobs.event_stream(spark, sf_dir), ["user_id"], "6 hours")
+    return _finished(rows, spark, True).select("user_id", "n", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
