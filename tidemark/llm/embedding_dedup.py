@@ -131,7 +131,7 @@ def _links(groups: DataFrame, total: int, threshold: float, sample: int, block:
     placed = groups.select("label", "node", "weight", "unit").mapInArrow(_cells(shared, reach), f"label {label}, node bigint, weight bigint, unit array<double>, cell bigint, home boolean")
     sizes = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
     sizes = sizes.select("label", "cell", F.ceil(F.col("members") / block).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.col("homes") / block)).cast("int").alias("hb"))
-    cells = placed.join(sizes.hint("merge"), ["label", "cell"])
+    cells = placed.join(written(sizes, "cells").hint("merge"), ["label", "cell"])
     part = F.xxhash64("node", F.lit(11))
     right = cells.select("label", "cell", "node", "weight", "unit", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod(part, F.col("mb")).cast("int").alias("b"), F.lit(False).alias("left"))
     left = cells.where("home").select("label", "cell", "node", "weight", "unit", F.pmod(part, F.col("hb")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("b"), F.lit(True).alias("left"))

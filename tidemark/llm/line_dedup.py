@@ -33,7 +33,9 @@ def line_dedup(docs: DataFrame, lines: int = LINES, texts: bool = False) -> Data
     windows = line_windows(rows, lines)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "at")
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = windows.join(first.select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
+    # Written out, so that the join reads it from an exchange of its own and Spark can split a very frequent window.
+    first = written(first.select("h1", "h2", "first"), "line-firsts")
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
     cuts = written(later.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("at")).alias("cuts")), "line-cuts")
     named = rows.join(cuts.hint("merge"), ["r1", "r2"], "left")
     named = named.withColumns({"l": F.split("text", "\n", -1), "cuts": F.coalesce("cuts", F.array().cast("array<int>"))})
