@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
 from . import line_dedup as _line
+from . import substring_dedup as _substring
 from .language_id import language_id
 from .packing import pack
 from .sentencepiece_codec import encode
 from .simhash_dedup import simhash_groups
-from .substring_dedup import substring_dedup
 from .suffix_array_dedup import suffix_array_dedup
 from .toxicity import toxicity
 
@@ -51,7 +51,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return _substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_embedding_dedup": _embedding.ORACLE_SQL,
         "op4_line_dedup": _line.ORACLE_SQL,
+        "op8_substring_dedup": _substring.ORACLE_SQL,
         "op9_exact_dedup": _exact.ORACLE_SQL,
     }

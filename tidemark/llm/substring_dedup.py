@@ -91,3 +91,14 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, h
     more = [f"m_{i}" for i in range(len(carry))]
     schema += ", kept string" + "".join(f", {m} {kinds[c]}" for m, c in zip(more, carry))
     return spans.select("doc_id", "text", "spans", *more).mapInArrow(_apply(width, True), schema).withColumnsRenamed(dict(zip(more, carry)))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i FROM win JOIN again USING (x)), (SELECT unnest(range(0, 35)) AS k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n_words, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE g.p IS NULL) AS body FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
