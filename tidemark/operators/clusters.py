@@ -51,8 +51,8 @@ def consensus(clusters: DataFrame) -> DataFrame:
     s = _votes(rows, "rumor_stage", F.max("stage_score")).groupBy(*KEYS).agg(F.min_by("rumor_stage", F.struct(-(F.col("n") + F.col("x")), "rumor_stage")).alias("stage"), (F.max("n") / F.sum("n")).alias("stage_share"))
     j = base.join(d, KEYS, "left").join(s, KEYS, "left")
     breadth = F.least(F.col("sources"), F.lit(6))  # the source mix lists six at most
-    strength = F.round(scoring.event_strength(F.col("credibility"), F.col("stage_score"), breadth, F.col("headlines")), 4)
-    score = F.round(scoring.consensus(F.coalesce("direction_share", F.lit(0.0)), F.coalesce("stage_share", F.lit(0.0)), breadth, F.col("direct_articles") / F.col("articles"), F.col("headlines") / F.col("articles")), 4)
+    strength = scoring.rounded(scoring.event_strength(F.col("credibility"), F.col("stage_score"), breadth, F.col("headlines")))
+    score = scoring.rounded(scoring.consensus(F.coalesce("direction_share", F.lit(0.0)), F.coalesce("stage_share", F.lit(0.0)), breadth, F.col("direct_articles") / F.col("articles"), F.col("headlines") / F.col("articles")))
     j = j.withColumns({"event_strength": strength, "consensus_score": score, "direction": F.coalesce("direction", F.lit("unclear")), "stage": F.coalesce("stage", F.lit("unclear"))})
     return j.withColumns({"tier": scoring.confidence_tier(F.col("event_strength"), F.col("headlines"), breadth, F.col("direct_articles")), "consensus_label": scoring.consensus_label(F.col("consensus_score")), "span_days": F.floor((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 86_400_000_000).cast("bigint")})
 

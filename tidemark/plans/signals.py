@@ -54,8 +54,8 @@ _SUMMARY = f"""{_CLUSTERS}, f AS (SELECT *, regexp_replace(lower(regexp_replace(
 b0 AS (SELECT club, player, cluster_no, count(*) AS articles, count_if(prediction_scope = 'direct') AS direct_articles, count(DISTINCT source) AS sources, count(DISTINCT fp) AS headlines, max(credibility) AS credibility, max(stage_score) AS stage_score, min(published_at) AS first_seen, max(published_at) AS last_seen FROM f GROUP BY 1, 2, 3),
 dv AS (SELECT club, player, cluster_no, direction, count(*) AS n FROM f GROUP BY 1, 2, 3, 4), d AS (SELECT club, player, cluster_no, arg_min(direction, (-n, direction = 'unclear', direction)) AS direction, max(n) / sum(n) AS ds FROM dv GROUP BY 1, 2, 3),
 sv AS (SELECT club, player, cluster_no, rumor_stage, count(*) AS n, max(stage_score) AS x FROM f GROUP BY 1, 2, 3, 4), s AS (SELECT club, player, cluster_no, arg_min(rumor_stage, (-(n + x), rumor_stage)) AS stage, max(n) / sum(n) AS ss FROM sv GROUP BY 1, 2, 3),
-q AS (SELECT b0.*, direction, stage, round(0.45 * credibility + 0.25 * stage_score + 0.15e0 * least(1, least(sources, 6) / 4) + 0.15e0 * least(1, headlines / 4), 4) AS event_strength,
-  round(0.30 * ds + 0.25 * ss + 0.20e0 * least(1, least(sources, 6) / 4) + 0.15e0 * direct_articles / articles + 0.10e0 * headlines / articles, 4) AS consensus_score FROM b0 JOIN d USING (club, player, cluster_no) JOIN s USING (club, player, cluster_no)),
+q AS (SELECT b0.*, direction, stage, round(1e-9 + 0.45 * credibility + 0.25 * stage_score + 0.15e0 * least(1, least(sources, 6) / 4) + 0.15e0 * least(1, headlines / 4), 4) AS event_strength,
+  round(1e-9 + 0.30 * ds + 0.25 * ss + 0.20e0 * least(1, least(sources, 6) / 4) + 0.15e0 * direct_articles / articles + 0.10e0 * headlines / articles, 4) AS consensus_score FROM b0 JOIN d USING (club, player, cluster_no) JOIN s USING (club, player, cluster_no)),
 summary AS (SELECT *, CASE WHEN event_strength >= 0.68 AND least(sources, 6) >= 3 AND headlines >= 2 AND direct_articles >= 2 THEN 'broad_consensus' WHEN event_strength >= 0.56 AND sources >= 2 AND direct_articles >= 1 THEN 'strong' WHEN event_strength >= 0.44 AND (sources >= 2 OR headlines >= 2) THEN 'developing' ELSE 'thin' END AS tier,
   CASE WHEN consensus_score >= 0.82 THEN 'Broad alignment' WHEN consensus_score >= 0.68 THEN 'Aligned' WHEN consensus_score >= 0.52 THEN 'Developing' ELSE 'Mixed' END AS consensus_label, CAST(floor(epoch(last_seen - first_seen) / 86400) AS BIGINT) AS span_days FROM q)"""
 _OUT = "club, player, cluster_no, articles, direct_articles, sources, headlines, direction, stage, event_strength, consensus_score, tier, consensus_label, span_days"
@@ -84,13 +84,13 @@ def watchlist(spark, sf_dir):
 
 @query(
     "source_coverage",
-    f"""WITH {_COVERED} SELECT source, count(*) AS n_rows, count(DISTINCT player) AS n_players, round(avg(credibility), 4) AS avg_credibility, max(claim_id) AS latest FROM cov
+    f"""WITH {_COVERED} SELECT source, count(*) AS n_rows, count(DISTINCT player) AS n_players, round(avg(credibility) + 1e-9, 4) AS avg_credibility, max(claim_id) AS latest FROM cov
     WHERE prediction_scope = 'direct' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 21 DAY GROUP BY source ORDER BY n_rows DESC, source LIMIT 10""",
 )
 def source_coverage(spark, sf_dir):
     """The ten outlets with most direct rows in the last 21 days."""
     recent = covered(spark, sf_dir).where((F.col("prediction_scope") == "direct") & (F.col("published_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 21 DAYS")))
-    g = recent.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("player").alias("n_players"), F.round(F.avg("credibility"), 4).alias("avg_credibility"), F.max("claim_id").alias("latest"))
+    g = recent.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("player").alias("n_players"), scoring.rounded(F.avg("credibility")).alias("avg_credibility"), F.max("claim_id").alias("latest"))
     return g.orderBy(F.desc("n_rows"), "source").limit(10)
 
 
@@ -139,10 +139,10 @@ def graph_edges(spark, sf_dir):
 @query(
     "graph_timelines",
     f"""WITH {_GRAPH}, l AS (SELECT player, club, stage, row_number() OVER (PARTITION BY player, club ORDER BY day DESC, event_id DESC) AS k FROM gr), t AS (SELECT player, club, string_agg(stage, '|' ORDER BY k DESC) AS stages FROM l WHERE k <= 8 GROUP BY 1, 2)
-    SELECT player, club, count(*) AS event_count, min(day) AS first_seen, max(day) AS last_seen, round(avg(credibility), 4) AS avg_credibility, any_value(stages) AS stages FROM gr JOIN t USING (player, club) GROUP BY 1, 2 ORDER BY last_seen DESC, event_count DESC, player, club LIMIT 20""",
+    SELECT player, club, count(*) AS event_count, min(day) AS first_seen, max(day) AS last_seen, round(avg(credibility) + 1e-9, 4) AS avg_credibility, any_value(stages) AS stages FROM gr JOIN t USING (player, club) GROUP BY 1, 2 ORDER BY last_seen DESC, event_count DESC, player, club LIMIT 20""",
 )
 def graph_timelines(spark, sf_dir):
-    return graph.timelines(graph_rows(spark, sf_dir)).withColumn("avg_credibility", F.round("avg_credibility", 4))
+    return graph.timelines(graph_rows(spark, sf_dir)).withColumn("avg_credibility", scoring.rounded(F.col("avg_credibility")))
 
 
 @query(
