@@ -12,10 +12,16 @@ def scored_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
     """Claims with the moves of their club and season, scored. claims: claim_id, player, club, season, published, direction,
     kind, fee. moves: move_id, m_player, club, season, m_date, m_direction, m_kind, m_loan, m_fee. The join is an equi-join
     on (club, season), so a claim meets the moves of one club and season only."""
-    p = claims.join(moves, ["club", "season"])
-    exact = (text.alnum_unicode(F.col("player")) == text.alnum_unicode(F.col("m_player"))) & (F.col("player") != "")
-    same_last = (text.surname(F.col("player")) == text.surname(F.col("m_player"))) & (F.char_length(text.surname(F.col("player"))) >= 4)
-    fuzzy = text.jaccard(F.col("player"), F.col("m_player")) >= 0.5
+    # Names are normalised once a row, before the join makes pairs.
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    c = claims.withColumn("_n", text.alnum_unicode(F.col("player"))).withColumn("_w", words(F.col("_n")))
+    m = moves.withColumn("_mn", text.alnum_unicode(F.col("m_player"))).withColumn("_mw", words(F.col("_mn")))
+    c, m = c.withColumn("_s", F.try_element_at("_w", F.lit(-1))), m.withColumn("_ms", F.try_element_at("_mw", F.lit(-1)))
+    p = c.join(m, ["club", "season"])
+    exact = (F.col("_n") == F.col("_mn")) & (F.col("_n") != "")
+    same_last = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
+    shared = F.size(F.array_intersect("_w", "_mw"))
+    fuzzy = (shared > 0) & (shared / (F.size("_w") + F.size("_mw") - shared) >= 0.5)
     near = dates.proximity(F.abs(F.datediff("m_date", "published")))
     told, agrees = F.col("direction").isin("in", "out"), F.col("direction") == F.col("m_direction")
     typed, same_kind, loan = F.col("kind") != "unclear", F.col("kind") == F.col("m_kind"), (F.col("kind") == "loan") & F.col("m_loan")
@@ -30,22 +36,32 @@ def scored_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
         [(typed & same_kind, 0.05, "type_match"), (typed & loan, 0.03, "loan_match"), (typed, -0.05, "type_conflict")],
         [(fee >= 0.8, 0.08, "fee_close"), (fee >= 0.5, 0.04, "fee_similar")],
     ]
-    score, reasons = F.lit(0.0), []
+    score, told_by = F.lit(0.0), []
     for options in signals:
         value = name = None
-        for test, points, label in options:
+        for i, (test, points, _) in enumerate(options):
             value = F.when(test, points) if value is None else value.when(test, points)
-            name = F.when(test, label) if name is None else name.when(test, label)
-        score, reasons = score + F.coalesce(value.cast("double"), F.lit(0.0)), [*reasons, name]
-    return p.withColumns({"score": F.round(score, 6), "reasons": F.array_compact(F.array(*reasons))})
+            name = F.when(test, F.lit(i).cast("byte")) if name is None else name.when(test, F.lit(i).cast("byte"))
+        score = score + F.coalesce(value.cast("double"), F.lit(0.0))
+        told_by.append(name)
+    return p.select("claim_id", "move_id", F.round(score, 6).alias("score"), *(x.alias(f"_o{i}") for i, x in enumerate(told_by)))
+
+
+#: The names of the signals, in the order of their options in scored_pairs.
+REASONS = (("exact_player", "surname_player", "fuzzy_player"), ("exact_club",), ("season_match",), ("date_near",), ("direction_match", "direction_conflict"), ("type_match", "loan_match", "type_conflict"), ("fee_close", "fee_similar"))
+
+
+def reasons() -> Column:
+    """Names of the signals of a scored pair."""
+    return F.array_compact(F.array(*(F.get(F.array(*map(F.lit, names)), F.col(f"_o{i}").cast("int")) for i, names in enumerate(REASONS))))
 
 
 def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close: float = 0.07) -> DataFrame:
     """One row per claim: move_id (NULL if none), score, reasons, ambiguous, candidates and status."""
     by = Window.partitionBy("claim_id").orderBy(F.desc("score"), "move_id")
-    ranked = scored_pairs(claims, moves).select("claim_id", "move_id", "score", "reasons").withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by), "candidates": F.count(F.lit(1)).over(Window.partitionBy("claim_id"))})
-    top = ranked.where("k = 1")
-    signal = F.exists("reasons", lambda r: r.endswith("_player"))
+    ranked = scored_pairs(claims, moves).withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by), "candidates": F.count(F.lit(1)).over(Window.partitionBy("claim_id"))})
+    top = ranked.where("k = 1").withColumn("reasons", reasons())
+    signal = F.col("_o0").isNotNull()
     status = F.when(~signal, "missing_player_signal").when(F.col("score") < least, "score_below_threshold").otherwise("matched")
     unsure = F.coalesce(F.round(F.col("score") - F.col("next"), 6) < close, F.lit(False))
     top = top.withColumns({"status": status, "ambiguous": unsure})
