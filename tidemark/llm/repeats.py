@@ -312,11 +312,13 @@ def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndar
         .where("total > 1 or least < 0")
         .select("mh", ((F.col("lo") != F.col("hi")) | (F.col("least") < 0)).alias("contested"))
     )
+    # Small sides are written out: a join whose sides are plain exchanges can have a very frequent anchor split by Spark.
+    per_anchor = written(per_anchor, "anchors")
     hits = written(runs.join(per_anchor.hint("merge"), "mh").select("r1", "r2", "mh", "sh", "start", F.abs("n").alias("n"), "contested"), "runs")
     contested = hits.where("contested")
-    copies = contested.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("copies"), F.min("r1").alias("rep"))
-    anchors = copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"))
-    copies = written(copies.join(anchors.hint("merge"), "mh"), "copies")
+    copies = written(contested.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("copies"), F.min("r1").alias("rep")), "copies")
+    anchors = written(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    copies = written(copies.join(anchors.hint("merge"), "mh"), "counted")
     named = contested.join(copies.hint("merge"), ["mh", "sh"])
 
     def bodies(rows: DataFrame) -> DataFrame:
