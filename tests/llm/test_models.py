@@ -142,7 +142,7 @@ def test_plan_is_best_fit_decreasing():
 
 
 def test_sentencepiece_best_segmentation():
-    m = sentencepiece_codec.model("piece_bpe_32k.model")
+    m = sentencepiece_codec.model("piece_bpe_32k.model", "unigram")
     words = ["▁the", "▁there", "▁therefore", "▁xq", "▁éa", "▁a\nb", "▁▁x"]
 
     def best(word):
@@ -159,6 +159,19 @@ def test_sentencepiece_best_segmentation():
         assert m.decode(ids) == word.replace("▁", " ")[1:]
 
 
+def test_sentencepiece_merges_as_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    m = sentencepiece_codec.model("piece_bpe_32k.model")
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("abcdeéthion ßaß\n0.", k=rnd.randint(1, 60))) for _ in range(400)] + ["a" * 40, "  a   b ", "日本語 🎉", "x\ty"]
+    words = [m.words(t) for t in texts]
+    ids = dict(m.forward(sorted({w for ws in words for w in ws})))
+    assert [[i for w in ws for i in ids[w]] for ws in words] == sp.encode(texts)
+
+
 def test_sentencepiece_round_trip(spark, documents):
     import public_tokenizers
     import sentencepiece
@@ -172,5 +185,5 @@ def test_sentencepiece_round_trip(spark, documents):
     for r in encoded.collect():
         assert r.n_ids == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         if "▁" not in texts[r.doc_id]:
-            assert sp.decode(list(r.ids)) == texts[r.doc_id]
+            assert sp.decode(list(r.ids)) == texts[r.doc_id] and sp.encode(texts[r.doc_id]) == list(r.ids)
     assert sentencepiece_codec.encode(df.where("doc_id = -1")).collect() == []

@@ -1,13 +1,19 @@
-"""SentencePiece encoding and decoding by shared-prefix Viterbi.
+"""SentencePiece encoding and decoding by shared-prefix forward tables (Viterbi for unigram models).
 
 Encoding: a text gets a space in front, every space becomes the mark U+2581, and the text is split before each run of
-marks into marked words. A word's pieces are the segmentation with the largest sum of the model's piece scores (on a
-tie, the longer last piece wins, from the end on); a character in no piece costs more than any piece and is written as
-the byte pieces of its UTF-8. Distinct words of a batch are sorted, which lays them out as a trie in depth-first order:
-forward scores up to the prefix shared with the word before are reused, and only the branch below it is computed.
+marks into marked words. Distinct words of a batch are sorted, which lays them out as a trie in depth-first order: the
+forward table of the prefix shared with the word before is kept, and only the branch below it is computed.
 
-Decoding puts pieces and bytes together, turns marks into spaces and drops the first one. Encoding and decoding give
-back every text exactly. A literal U+2581 in a text is written as bytes, so it does not come back as a space.
+* Unigram models: the table holds each prefix's best sum of piece scores and the start of its last piece (on a tie, the
+  longer piece).
+* BPE models: scores are merge ranks, and the best sum of them is not what merging gives. Here the table holds, for each
+  prefix, the last piece of its encoding. That is enough, because the encoding of a prefix followed by a piece is an
+  encoding exactly if the last two pieces, merged from their characters, come out as these two. The ids equal those of
+  the library.
+
+A character in no piece is written as the byte pieces of its UTF-8. Decoding puts pieces and bytes together, turns marks
+into spaces and drops the first one; it gives back every text exactly. A literal U+2581 in a text is written as bytes, so
+it does not come back as a space.
 
 Null and empty texts have no ids and decode to the empty text. Rows are independent; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,14 +43,22 @@ MEMO = 200_000  # words a task remembers
 class Model:
     """Pieces, scores and byte ids of a model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
 
+        self.kind = kind
+        self.ends: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.scored = {self.pieces[i]: (i, sp.get_score(i)) for i in usable}
+        # Ends of pieces, from two characters on; for those that are pieces and come out of merging their own characters: which
+        # pieces may stand before them, as far as it was asked.
+        whole = [p for p in self.scored if kind == "bpe" and len(p) > 1 and self.merge(p) == [p]]
+        self.tails: dict[str, dict[str, bool] | None] = {p[i:]: None for p in whole for i in range(len(p) - 1)}
+        self.tails.update((p, {}) for p in whole)
         self.bytes = [0] * 256
         for i in range(n):
             if sp.is_byte(i):
@@ -61,9 +76,8 @@ class Model:
 
     def forward(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) for sorted distinct words, in order."""
-        scored, longest, penalty = self.scored, self.longest, self.penalty
-        get = scored.get
-        best, back = [0.0], [0]  # of each prefix of the current word: its score, and where its last piece starts
+        best, back = [0.0], [0]  # of each prefix of the current word: score or last piece, and where its last piece starts
+        step = self.best_score if self.kind == "unigram" else self.last_piece
         last = ""
         for word in words:
             shared = 0
@@ -73,24 +87,75 @@ class Model:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, start = best[end - 1] + penalty, end - 1
-                for at in range(max(0, end - longest), end):
-                    hit = get(word[at:end])
-                    if hit is not None and (score := best[at] + hit[1]) > top:
-                        top, start = score, at
-                best.append(top)
-                back.append(start)
+                step(word, end, best, back)
             ids: list[int] = []
             end = len(word)
             while end:
                 start = back[end]
-                hit = get(word[start:end])
-                ids.extend([hit[0]] if hit is not None else reversed(self.fallback(word[start:end])))
+                hit = self.scored.get(word[start:end])
+                ids.extend((hit[0],) if hit is not None else reversed(self.fallback(word[start:end])))
                 end = start
             ids.reverse()
             last = word
             yield word, ids
 
+    def best_score(self, word: str, end: int, best: list, back: list) -> None:
+        top, start, get = best[end - 1] + self.penalty, end - 1, self.scored.get
+        for at in range(max(0, end - self.longest), end):
+            hit = get(word[at:end])
+            if hit is not None and (score := best[at] + hit[1]) > top:
+                top, start = score, at
+        best.append(top)
+        back.append(start)
+
+    def last_piece(self, word: str, end: int, best: list, back: list) -> None:
+        tails, found = self.tails, []
+        for at in range(end - 2, -1, -1):
+            known = tails.get(word[at:end], False)
+            if known is None:
+                continue
+            if known is False:
+                break
+            found.append((at, known))
+        for at, known in reversed(found):
+            ok = at == 0 or known.get(best[at])
+            if ok is None:
+                ok = known[best[at]] = self.stay_apart(best[at], word[at:end])
+            if ok:
+                best.append(word[at:end])
+                back.append(at)
+                return
+        best.append(word[end - 1])
+        back.append(end - 1)
+
+    def edges(self, piece: str, left: bool) -> list[str]:
+        """What stands at one end of a piece while it is merged from its characters."""
+        known = self.ends[left]
+        if piece not in known:
+            seen: list[list[str]] = []
+            self.merge(piece, seen)
+            known[piece] = list(dict.fromkeys(x[0 if left else -1] for x in seen))
+        return known[piece]
+
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether the characters of two pieces, merged together, come out as the two."""
+        scored = self.scored
+        if not any(x + y in scored for x in self.edges(a, False) for y in self.edges(b, True)):
+            return True
+        return self.merge(a + b) == [a, b]
+
+    def merge(self, text: str, seen: list[list[str]] | None = None) -> list[str]:
+        """Byte-pair merging as it is defined: of neighbours that form a piece, the pair with the best score, leftmost first."""
+        scored, parts = self.scored, list(text)
+        while True:
+            if seen is not None:
+                seen.append(list(parts))
+            found = [(-hit[1], i) for i in range(len(parts) - 1) if (hit := scored.get(parts[i] + parts[i + 1])) is not None]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -101,34 +166,32 @@ class Model:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-@lru_cache(maxsize=2)
-def model(path: str) -> Model:
+@lru_cache(maxsize=4)
+def model(path: str, kind: str = "bpe") -> Model:
     if "/" not in path:
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    return Model(path)
+    return Model(path, kind)
 
 
-def _encode(path: str, keep_ids: bool):
+def _encode(path: str, kind: str, keep_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        memo: dict[str, list[int]] = {}
+        m = model(path, kind)
+        memo: dict[str, bytes] = {}  # ids of a word as unsigned 32-bit numbers
         for batch, texts in chunks(batches, limit=4 << 20):
             split = [m.words(t.decode()) for t in texts]
-            new = {w for words in split for w in words} - memo.keys()
+            words_here = set().union(*split)
+            new = words_here - memo.keys()
             if len(memo) + len(new) > MEMO:
-                memo = {}
-                new = {w for words in split for w in words}
-            memo.update(m.forward(sorted(new)))
+                memo, new = {}, words_here
+            memo.update((w, array("I", ids).tobytes()) for w, ids in m.forward(sorted(new)))
             counts, crcs, back, lists = [], [], [], []
             for words in split:
-                ids: list[int] = []
-                for w in words:
-                    ids += memo[w]
-                data = np.array(ids, "<u4")
+                data = b"".join([memo[w] for w in words])
+                ids = np.frombuffer(data, "<u4").tolist()
                 counts.append(len(ids))
-                crcs.append(zlib.crc32(data.tobytes()))
+                crcs.append(zlib.crc32(data))
                 back.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
                 if keep_ids:
                     lists.append(ids)
@@ -142,13 +205,13 @@ def _encode(path: str, keep_ids: bool):
     return rows
 
 
-def encode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", ids: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 (of the text
-    that the ids decode to) and, if `ids`, the ids."""
+def encode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", kind: str = "bpe", ids: bool = False) -> DataFrame:
+    """kind: bpe or unigram, as the model was trained. One row per row of docs: doc_id, n_ids, ids_crc32 (little-endian
+    unsigned 32-bit ids), decoded_sha256 (of the text that the ids decode to) and, if `ids`, the ids."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInArrow(_encode(model_file, ids), schema)
+    id_type = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {id_type}, n_ids bigint, ids_crc32 bigint, decoded_sha256 string" + ", ids array<int>" * ids
+    return docs.select("doc_id", "text").mapInArrow(_encode(model_file, kind, ids), schema)
 
 
 def decode(encoded: DataFrame, model_file: str = "piece_bpe_32k.model") -> DataFrame:
