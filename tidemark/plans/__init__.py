@@ -1,4 +1,4 @@
 """Registered queries: operators bound to the given tables."""
 
-from . import articles, cases, claims, evidence, learning, lookups, market, signals, streams  # noqa: F401  (they register themselves)
+from . import articles, cases, claims, evidence, learning, lookups, market, questions, signals, streams  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL  # noqa: F401
