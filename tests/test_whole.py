@@ -40,3 +40,24 @@ def test_all_claims(spark, name):
 def test_clusters_hold_every_direct_claim(spark):
     n = duck(DATA).sql("SELECT count(*) FROM events WHERE event_id % 3 <> 0").fetchall()[0][0]
     assert plans.QUERIES["cluster_consensus"](spark, str(DATA)).selectExpr("sum(direct_articles)").first()[0] == n
+
+
+@pytest.mark.parametrize("name", ["chargram_cosine", "hybrid_topk", "multi_query_merge"])
+def test_whole_texts(spark, name):
+    same(spark, name, plans.SQL[name].replace("left(body, 900)", "body"))
+
+
+def test_cosine_behind_900_characters(spark, monkeypatch):
+    from tidemark.operators import retrieval
+
+    tail = "zephyr quartz vexing jumble"
+    docs = spark.createDataFrame([(1, "t", "s", "a " * 600 + tail), (2, "t", "s", "a " * 600), (3, None, None, None)], "doc bigint, title string, source string, text string")
+    asked = spark.createDataFrame([(7, tail), (8, "qqq"), (9, None), (10, " Zephyr ")], "q bigint, query string")
+    for block in (500, 1):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = {(r.q, r.doc): r.cosine for r in retrieval.character(docs, asked, 0.0001).collect()}
+        own, query = retrieval.gram_counts("t s " + "a " * 600 + tail), retrieval.gram_counts(tail)
+        dot = sum(n * own.get(g, 0) for g, n in query.items())
+        norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+        assert (10, 1) in got and got[7, 1] == pytest.approx(dot / norm(own) / norm(query))
+        assert not {q for q, _ in got} - {7, 10}

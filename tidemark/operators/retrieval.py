@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 
-BLOCK = 1000  # queries held at a time by a task of the n-gram scan
+BLOCK = 500  # queries held at a time by a task of the n-gram cosine, about
+SALTS = 64  # parts of the documents that each block of those queries goes to
 PHRASE = 3  # words by which a phrase is looked up before it is verified
 
 
@@ -69,7 +70,8 @@ def gram_counts(value: str) -> dict[str, int]:
     return out
 
 
-def _cosines(block: list[tuple], least: float):
+def _matrix(block: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each trigram, counts by trigram and query, norms and ids of a block of queries."""
     grams: dict[str, int] = {}
     vectors = [gram_counts(t) for _, t in block]
     for v in vectors:
@@ -79,46 +81,52 @@ def _cosines(block: list[tuple], least: float):
     for column, v in enumerate(vectors):
         for g, n in v.items():
             matrix[grams[g], column] = n
-    norms = np.sqrt((matrix**2).sum(axis=0))
-    ids = np.array([q for q, _ in block])
+    return grams, matrix, np.sqrt((matrix**2).sum(axis=0)), np.array([q for q, _ in block], np.int64)
+
+
+def _cosines(least: float):
+    """From rows (block, salt, document, id, body) sorted by the first three: the queries of a block come before its documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            qs, docs, values = [], [], []
-            for doc, body in zip(batch.column("doc").to_pylist(), batch.column("preview").to_pylist()):
-                own = gram_counts(body or "")
-                known = [(grams[g], n) for g, n in own.items() if g in grams]
-                if not known:
-                    continue
-                at, n = np.array(known).T
-                cosine = n @ matrix[at] / np.maximum(norms * np.sqrt(sum(x * x for x in own.values())), 1e-12)
-                hit = np.flatnonzero(cosine >= least)
-                qs.append(ids[hit]), docs.append(np.full(len(hit), doc)), values.append(cosine[hit])
-            if qs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, docs, values)], names=["q", "doc", "cosine"])
+        at, queries, known = None, [], None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                qs, docs, values = [], [], []
+                for block, salt, document, i, body in zip(*(c.to_pylist() for c in whole.slice(start, 512).columns)):
+                    if (block, salt) != at:
+                        at, queries, known = (block, salt), [], None
+                    if not document:
+                        queries.append((i, body))
+                        continue
+                    if known is None:
+                        known = _matrix(queries)
+                    grams, matrix, norms, ids = known
+                    own = gram_counts(body)
+                    shared = [(grams[g], n) for g, n in own.items() if g in grams]
+                    if not shared:
+                        continue
+                    rank, n = np.array(shared).T
+                    cosine = n @ matrix[rank] / np.maximum(norms * np.sqrt(sum(x * x for x in own.values())), 1e-12)
+                    hit = np.flatnonzero(cosine >= least)
+                    qs.append(ids[hit]), docs.append(np.full(len(hit), i, np.int64)), values.append(cosine[hit])
+                if qs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, docs, values)], names=["q", "doc", "cosine"])
 
     return rows
 
 
 def character(documents: DataFrame, queries: DataFrame, least: float = 0.05) -> DataFrame:
-    """q, doc, cosine of character trigrams of the query and of the document's title, source and first 900 characters. Queries
-    go to the documents in blocks of at most BLOCK, so what a task holds is bounded."""
-    preview = F.concat_ws(" ", "title", "source", F.left("text", F.lit(900)))
-    d = documents.select("doc", preview.alias("preview"))
-    out, block = None, []
-
-    def run(rows):
-        return d.mapInArrow(_cosines(rows, least), "q bigint, doc bigint, cosine double")
-
-    for r in queries.select("q", "query").orderBy("q").toLocalIterator():
-        block.append((r.q, r.query or ""))
-        if len(block) == BLOCK:
-            out = run(block) if out is None else out.unionByName(run(block))
-            block = []
-    if block or out is None:
-        part = run(block) if block else documents.sparkSession.createDataFrame([], "q bigint, doc bigint, cosine double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """q, doc, cosine of character trigrams of the query and of the document's title, source and whole text. Queries are dealt
+    into blocks of about BLOCK and documents into salts; each block goes to each salt and is sorted before its documents, so
+    a task holds one block at a time and nothing passes through the driver but the number of queries."""
+    blocks = 1 + queries.count() // BLOCK
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select(dealt("q", blocks).alias("block"), every(SALTS).alias("salt"), F.lit(0).alias("document"), F.col("q").cast("bigint").alias("id"), F.coalesce("query", F.lit("")).alias("body"))
+    body = F.concat_ws(" ", "title", "source", "text")
+    held = documents.select(every(blocks).alias("block"), dealt("doc", SALTS).alias("salt"), F.lit(1).alias("document"), F.col("doc").cast("bigint").alias("id"), body.alias("body"))
+    rows = asked.unionByName(held).repartition("block", "salt").sortWithinPartitions("block", "salt", "document")
+    return rows.mapInArrow(_cosines(least), "q bigint, doc bigint, cosine double")
 
 
 def hybrid(documents: DataFrame, queries: DataFrame, as_of: Column, aliases: dict[str, str] | None = None) -> DataFrame:
