@@ -61,3 +61,14 @@ def test_cosine_behind_900_characters(spark, monkeypatch):
         norm = lambda v: sum(n * n for n in v.values()) ** 0.5
         assert (10, 1) in got and got[7, 1] == pytest.approx(dot / norm(own) / norm(query))
         assert not {q for q, _ in got} - {7, 10}
+
+
+def test_whole_main_text(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text
+
+    page = spark.createDataFrame([("<article>" + "word " * 3000 + "end</article>",)], "h string")
+    assert page.select(text.main_text(F.col("h"))).first()[0] == "word " * 3000 + "end"
+    assert page.select(text.main_text(F.col("h"), most=8000)).first()[0] == ("word " * 3000)[:8000]
+    same(spark, "strip_html_text", plans.SQL["strip_html_text"].replace("left(coalesce(", "(coalesce(").replace(", 8000) AS main", ") AS main"))

@@ -66,11 +66,12 @@ def strip_html(html: Column) -> Column:
     return squeeze(c)
 
 
-def main_text(html: Column, least: int = 250, most: int = 8000) -> Column:
-    """Text of the first article, main or body block with at least `least` characters, else of the whole page; at most `most`."""
+def main_text(html: Column, least: int = 250, most: int | None = None) -> Column:
+    """Text of the first article, main or body block with at least `least` characters, else of the whole page; whole, or its
+    first `most` characters."""
     blocks = [strip_html(F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1)) for t in ("article", "main", "body")]
     found = F.coalesce(*(F.when(F.char_length(x) >= least, x) for x in blocks), strip_html(html))
-    return F.left(found, F.lit(most))
+    return found if most is None else F.left(found, F.lit(most))
 
 
 def page_title(html: Column) -> Column:
