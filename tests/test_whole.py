@@ -72,3 +72,42 @@ def test_whole_main_text(spark):
     assert page.select(text.main_text(F.col("h"))).first()[0] == "word " * 3000 + "end"
     assert page.select(text.main_text(F.col("h"), most=8000)).first()[0] == ("word " * 3000)[:8000]
     same(spark, "strip_html_text", plans.SQL["strip_html_text"].replace("left(coalesce(", "(coalesce(").replace(", 8000) AS main", ") AS main"))
+
+
+@pytest.mark.parametrize("name", ["knn_predictions", "nb_predictions", "logistic_predictions", "forest_predictions"])
+def test_late_components(spark, tmp_path, name):
+    """Only component 40 of 64 tells the labels apart."""
+    rows = [(i, [0.5] * 40 + [float(i % 3) + i % 7 / 100] + [0.5] * 23, i % 3) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.predicted for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got and got == {i: i % 3 for i in got}
+
+
+def test_vectors_by_brute_force(spark):
+    import numpy as np
+
+    rows = duck(DATA).sql("SELECT vec_id, embedding, label FROM embeddings WHERE label IS NOT NULL").fetchall()
+    ids, x, label = (np.array([r[i] for r in rows]) for i in range(3))
+    x = x.astype(np.float32).astype(float)
+    train = ids % 5 != 0
+    assert x.shape[1] == 64
+    width = np.ptp(x[train], axis=0)
+    near = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        far = np.round(np.sqrt((((x[i] - x[train]) / width) ** 2).sum(axis=1) + (ids[i] % 4 != ids[train] % 4)), 8)
+        best = label[train][np.lexsort((ids[train], far))[:5]].tolist()
+        near[ids[i]] = max(best, key=lambda v: (best.count(v), -best.index(v)))
+    assert {r.vec_id: r.predicted for r in plans.QUERIES["knn_predictions"](spark, str(DATA)).collect()} == near
+    classes, groups = sorted(set(label.tolist())), len(set((ids[train] % 4).tolist()))
+    scores = []
+    for c in classes:
+        own = train & (label == c)
+        m, s, n = x[own].mean(axis=0), np.maximum(x[own].std(axis=0), 1e-4), own.sum()
+        same_g = np.array([(ids[own] % 4 == g).sum() for g in range(4)])[ids % 4]
+        scores.append(np.log((n + 1) / (train.sum() + len(classes))) + (-0.5 * np.log(2 * np.pi * s * s) - (x - m) ** 2 / (2 * s * s)).sum(axis=1) + np.log((same_g + 1) / (n + groups)))
+    scores = np.array(scores)
+    want = dict(zip(ids.tolist(), np.array(classes)[scores.argmax(axis=0)].tolist()))
+    sure = dict(zip(ids.tolist(), (1 / np.exp(scores - scores.max(axis=0)).sum(axis=0)).tolist()))
+    got = plans.QUERIES["nb_predictions"](spark, str(DATA)).collect()
+    assert {r.vec_id: r.predicted for r in got} == want
+    assert all(abs(r.confidence - sure[r.vec_id]) < 1e-4 for r in got)

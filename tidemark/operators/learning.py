@@ -68,17 +68,28 @@ def calibration(rows: DataFrame, bins: int = 5) -> DataFrame:
     return rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("prediction_confidence").alias("avg_confidence"), F.avg(hit).alias("accuracy"))
 
 
-def naive_bayes(train: DataFrame, rows: DataFrame, numeric: list[str], categorical: list[str], key: str, label: str) -> DataFrame:
-    """Gaussian numbers (spread at least 1e-4) and Laplace-smoothed categories: key, predicted and its probability. Statistics
-    are a row per class, so they are joined to every row as one small broadcast."""
-    stats = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *(F.avg(c).alias(f"_m_{c}") for c in numeric), *(F.greatest(F.when(F.count(F.lit(1)) > 1, F.stddev_pop(c)).otherwise(1.0), F.lit(1e-4)).alias(f"_s_{c}") for c in numeric))
+def _vector(numeric: list[str] | str):
+    """An array column, or numbers side by side as one."""
+    return F.col(numeric) if isinstance(numeric, str) else F.array(*numeric)
+
+
+def naive_bayes(train: DataFrame, rows: DataFrame, numeric: list[str] | str, categorical: list[str], key: str, label: str) -> DataFrame:
+    """Gaussian numbers (spread at least 1e-4) and Laplace-smoothed categories: key, predicted and its probability. numeric:
+    columns, or one array column of any length. Statistics are a row per class, so they are joined to every row as one small
+    broadcast."""
+    sizes = train.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     one = Window.partitionBy(F.lit(0))
-    stats = stats.withColumns({"_total": F.sum("_n").over(one), "_classes": F.count(F.lit(1)).over(one)}).withColumnRenamed(label, "_label")
-    pairs = rows.select(key, *numeric, *categorical).join(F.broadcast(stats))  # rows x classes
+    sizes = sizes.withColumns({"_total": F.sum("_n").over(one), "_classes": F.count(F.lit(1)).over(one)})
+    parts = train.select(F.col(label).alias("_label"), F.posexplode(_vector(numeric)).alias("_i", "_x")).groupBy("_label", "_i")
+    parts = parts.agg(F.avg("_x").alias("m"), F.greatest(F.when(F.count(F.lit(1)) > 1, F.stddev_pop("_x")).otherwise(1.0), F.lit(1e-4)).alias("s"))
+    shapes = parts.groupBy("_label").agg(F.array_sort(F.collect_list(F.struct("_i", "m", "s"))).alias("_shape"))
+    stats = sizes.join(shapes, "_label", "left")
+    pairs = rows.select(key, _vector(numeric).alias("_x"), *categorical).join(F.broadcast(stats))  # rows x classes
     score = F.log((F.col("_n") + 1) / (F.col("_total") + F.col("_classes")))
-    for c in numeric:
-        var = F.col(f"_s_{c}") * F.col(f"_s_{c}")
-        score = score - 0.5 * F.log(2 * math.pi * var) - (F.col(c) - F.col(f"_m_{c}")) ** 2 / (2 * var)
+    # Beside values, the class's mean and spread of their places; sums run over all places.
+    var = lambda t: t["s"] * t["s"]
+    terms = F.zip_with("_x", "_shape", lambda x, t: -0.5 * F.log(2 * math.pi * var(t)) - (x - t["m"]) ** 2 / (2 * var(t)))
+    score = score + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     for c in categorical:
         counts = train.groupBy(F.col(label).alias("_label"), c).agg(F.count(F.lit(1)).alias(f"_c_{c}"))
         size = train.agg(F.countDistinct(c).alias(f"_v_{c}"))
@@ -89,14 +100,14 @@ def naive_bayes(train: DataFrame, rows: DataFrame, numeric: list[str], categoric
     return top.select(key, "predicted", (1 / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))).alias("confidence"))
 
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, numeric: list[str], categorical: list[str], key: str, k: int) -> DataFrame:
-    """The k nearest training rows of each stated query, on min-max scaled numbers and 0/1 categories."""
-    bounds = train.agg(*(F.min(c).alias(f"_lo_{c}") for c in numeric), *(F.max(c).alias(f"_hi_{c}") for c in numeric)).first()
-    total = F.lit(0.0)
-    for c in numeric:
-        lo, hi = bounds[f"_lo_{c}"], bounds[f"_hi_{c}"]
-        width = (hi - lo) or 1.0
-        total = total + ((F.col(f"q_{c}") - F.col(c)) / width) ** 2
+def nearest_neighbours(train: DataFrame, queries: DataFrame, numeric: list[str] | str, categorical: list[str], key: str, k: int) -> DataFrame:
+    """The k nearest training rows of each stated query, on min-max scaled numbers (columns, or one array column of any
+    length) and 0/1 categories."""
+    bounds = train.select(F.posexplode(_vector(numeric)).alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("w"))
+    widths = F.array(*(F.lit(float(r.w or 1.0)) for r in bounds.orderBy("i").collect()))  # a row per place
+    wide = lambda rows: rows.withColumn("_x", _vector(numeric))
+    scaled = F.zip_with(F.zip_with("q__x", "_x", lambda a, x: a - x), widths, lambda d, w: (d / w) ** 2)
+    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
     for c in categorical:
         total = total + F.when(F.col(f"q_{c}") == F.col(c), 0.0).otherwise(1.0)
-    return top_pairs(queries, train, [], F.round(F.sqrt(total), 8), k, key, largest=False)
+    return top_pairs(wide(queries), wide(train), [], F.round(F.sqrt(total), 8), k, key, largest=False).drop("_x")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
@@ -70,8 +70,9 @@ def calibration(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
+    """Labelled vectors with all their components."""
     e = table(spark, sf_dir, "embeddings").where("label is not null")
-    return e.select("vec_id", F.col("label").cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)), (F.col("vec_id") % 4).alias("g"))
+    return e.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") % 4).alias("g"))
 
 
 _V = "vx AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(6)) + ", vec_id % 4 AS g FROM embeddings WHERE label IS NOT NULL)"
@@ -87,7 +88,7 @@ _X = [f"x{i}" for i in range(6)]
 )
 def nb_predictions(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    out = ln.naive_bayes(v.where("vec_id % 5 <> 0"), v, _X, ["g"], "vec_id", "label")
+    out = ln.naive_bayes(v.where("vec_id % 5 <> 0"), v, "x", ["g"], "vec_id", "label")
     return out.withColumn("confidence", F.round("confidence", 4))
 
 
@@ -101,7 +102,7 @@ def nb_predictions(spark, sf_dir):
 def knn_predictions(spark, sf_dir):
     """Votes of the five nearest vectors for a stated query set (ids divisible by 50)."""
     v = vectors(spark, sf_dir)
-    near = ln.nearest_neighbours(v.where("vec_id % 5 <> 0"), v.where("vec_id % 50 = 0").drop("label"), _X, ["g"], "vec_id", 5)
+    near = ln.nearest_neighbours(v.where("vec_id % 5 <> 0"), v.where("vec_id % 50 = 0").drop("label"), "x", ["g"], "vec_id", 5)
     votes = near.groupBy("q_vec_id", "label").agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("best"))
     return votes.groupBy(F.col("q_vec_id").alias("vec_id")).agg(F.min_by("label", F.struct(-F.col("votes"), "best")).alias("predicted"), F.round(F.max("votes") / 5, 4).alias("confidence"))
 
@@ -110,8 +111,9 @@ def _fit(spark, sf_dir, classifier):
     v = vectors(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
     weights = v.where("vec_id % 5 <> 0").groupBy("label").agg((1000.0 / F.count(F.lit(1))).alias("w"))
     train = v.where("vec_id % 5 <> 0").join(F.broadcast(weights), "label")
-    stages = [VectorAssembler(inputCols=_X, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), classifier]
-    scored = Pipeline(stages=stages).fit(train).transform(v.where("vec_id % 5 = 0"))
+    raw = lambda rows: rows.withColumn("raw", array_to_vector("x"))
+    stages = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), classifier]
+    scored = Pipeline(stages=stages).fit(raw(train)).transform(raw(v.where("vec_id % 5 = 0")))
     return scored.select("vec_id", F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
 
 
