@@ -111,3 +111,19 @@ def test_vectors_by_brute_force(spark):
     got = plans.QUERIES["nb_predictions"](spark, str(DATA)).collect()
     assert {r.vec_id: r.predicted for r in got} == want
     assert all(abs(r.confidence - sure[r.vec_id]) < 1e-4 for r in got)
+
+
+@pytest.fixture(scope="module")
+def split_events(spark, tmp_path_factory):
+    """The events as a folder of files, the latest rows in the first file."""
+    folder = tmp_path_factory.mktemp("split")
+    e = spark.read.parquet(str(DATA / "events.parquet")).toPandas().sort_values("ts", ascending=False)
+    (folder / "events.parquet").mkdir()
+    for k in range(5):
+        e.iloc[k * 200 : (k + 1) * 200].to_parquet(folder / "events.parquet" / f"part-{k}.parquet", coerce_timestamps="us")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stream_daily_counts", "stream_rolling_coverage", "stream_reputation", "stream_first_seen", "stream_sessions", "stream_run_counters"])
+def test_streams_of_several_files(spark, split_events, name):
+    same(spark, name, plans.SQL[name], split_events)

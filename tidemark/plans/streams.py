@@ -49,7 +49,7 @@ def stream_reputation(spark, sf_dir):
 
 @query("stream_first_seen", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def stream_first_seen(spark, sf_dir):
-    """One row per user and type; the given table is one file, so one batch holds all."""
+    """One row per user and type; one batch holds all files."""
     rows = jobs.first_seen(jobs.event_stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type")
     return _finished(rows, spark, False)
 

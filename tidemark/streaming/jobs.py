@@ -13,11 +13,15 @@ from tidemark.functions import scoring
 DELAY = "1 hour"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The events table as a stream of files."""
+def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """The events table, one file or a folder of them, as a stream. By default all files there are make one batch, so none of
+    their rows is late, however the files are ordered; files_per_batch is for files that arrive in time order."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    return raw.withColumn("published_at", F.col("ts").cast("timestamp"))
+    raw = spark.readStream.schema(schema)
+    if files_per_batch:
+        raw = raw.option("maxFilesPerTrigger", files_per_batch)
+    # A pattern, since the stream's source takes a single file by pattern only.
+    return raw.parquet(f"{sf_dir}/[e]vents.parquet").withColumn("published_at", F.col("ts").cast("timestamp"))
 
 
 def dated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
