@@ -127,3 +127,16 @@ def split_events(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["stream_daily_counts", "stream_rolling_coverage", "stream_reputation", "stream_first_seen", "stream_sessions", "stream_run_counters"])
 def test_streams_of_several_files(spark, split_events, name):
     same(spark, name, plans.SQL[name], split_events)
+
+
+def test_history_merge_holds_all_claims(spark):
+    same(spark, "history_merge", "SELECT event_id AS claim_id, 'reporter ' || user_id AS journalist, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'history' ELSE 'live' END AS origin FROM events")
+
+
+def test_run_diff_holds_all_cases(spark):
+    same(spark, "run_diff", plans.SQL["run_diff"].replace(" WHERE case_id % 3 <> 0", "").replace(" WHERE case_id % 5 <> 0", ""))
+    assert plans.QUERIES["run_diff"](spark, str(DATA)).count() == duck(DATA).sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
+def test_every_page_unwraps(spark):
+    same(spark, "unwrapped_urls", plans.SQL["unwrapped_urls"].replace(" WHERE page_id % 5 <> 0", ""))

@@ -194,9 +194,10 @@ def decision_queue(spark, sf_dir):
     FROM (SELECT case_id, predicted_label AS label FROM predictions WHERE case_id % 3 <> 0) o FULL JOIN (SELECT case_id, actual_label AS label FROM predictions WHERE case_id % 5 <> 0) n ON o.case_id = n.case_id""",
 )
 def run_diff(spark, sf_dir):
+    """Predicted against actual labels of all cases."""
     p = b.predictions(spark, sf_dir)
-    old = p.where("case_id % 3 <> 0").select("case_id", F.col("predicted_label").alias("label"))
-    new = p.where("case_id % 5 <> 0").select("case_id", F.col("actual_label").alias("label"))
+    old = p.select("case_id", F.col("predicted_label").alias("label"))
+    new = p.select("case_id", F.col("actual_label").alias("label"))
     return cs.run_difference(old, new, "case_id", "label").select("case_id", "change")
 
 

@@ -149,8 +149,10 @@ def credibility_scores(spark, sf_dir):
 
 @query("history_merge", f"WITH {CLAIMS} SELECT claim_id, journalist, CASE WHEN claim_id % 2 = 0 THEN 'history' ELSE 'live' END AS origin FROM claims WHERE claim_id % 2 = 0 OR claim_id % 3 = 0")
 def history_merge(spark, sf_dir):
-    c = b.claims(spark, sf_dir).select("claim_id", "journalist")
-    return mt.first_wins([("history", c.where("claim_id % 2 = 0")), ("live", c.where("claim_id % 3 = 0"))], "claim_id")
+    """All claims: history up to a date, then the live ones, which begin three days earlier and hold claims without a time."""
+    c = b.claims(spark, sf_dir).select("claim_id", "journalist", "published_at")
+    history, live = c.where("published_at < timestamp'2024-01-16'"), c.where("published_at is null or published_at >= timestamp'2024-01-13'")
+    return mt.first_wins([("history", history), ("live", live)], "claim_id").drop("published_at")
 
 
 @query("leaderboard", f"WITH {_REP} SELECT journalist, n_claims, n_matched, round(n_matched / n_claims, 4) AS match_rate, round((n_matched + 2.5) / (n_claims + 5), 4) AS smoothed_rate, round(avg_match_score, 4) AS avg_match_score FROM rep WHERE grain = 'journalist' AND n_claims >= 2 ORDER BY (n_matched + 2.5) / (n_claims + 5) DESC, avg_match_score DESC, n_claims DESC, journalist LIMIT 12")

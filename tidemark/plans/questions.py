@@ -174,5 +174,5 @@ def unwrapped_urls(spark, sf_dir):
     i = F.col("article_id")
     wrap = lambda n: F.concat(F.lit("https://news.google.com/rss/articles/"), n)
     a = b.articles(spark, sf_dir).select("article_id", F.when(i % 2 == 0, wrap(i % 250)).otherwise(F.concat(F.lit("https://a.example/"), i)).alias("url"), F.when(i % 3 == 0, F.concat(F.lit("Story "), i, F.lit(" - The Paper"))).otherwise("Story").alias("title"), "source", ((i % 10) / 10.0).alias("confidence"))
-    landed = table(spark, sf_dir, "pages").where("page_id % 5 <> 0").select(wrap(F.col("page_id")).alias("url"), F.col("url").alias("decoded"))
+    landed = table(spark, sf_dir, "pages").select(wrap(F.col("page_id")).alias("url"), F.col("url").alias("decoded"))
     return ct.unwrapped(a, landed).drop("title")
