@@ -140,3 +140,14 @@ def test_run_diff_holds_all_cases(spark):
 
 def test_every_page_unwraps(spark):
     same(spark, "unwrapped_urls", plans.SQL["unwrapped_urls"].replace(" WHERE page_id % 5 <> 0", ""))
+
+
+def test_one_row_of_each_near_group(spark):
+    """Rows without an id beside rows with one, groups without any id, ids that repeat, and rows equal in id and text."""
+    from tidemark.llm.simhash_dedup import one_of_each_group
+
+    a, b, c = "the quick brown fox jumps over it", "lorem ipsum dolor sit amet again", "nine ten eleven twelve thirteen more"
+    rows = [(1, a, "x"), (1, a.upper(), "x"), (None, a, "x"), (None, b, "x"), (None, b.upper(), "x"), (7, c, "x"), (7, c, "y"), (9, c, "x"), (7, "", "x"), (None, None, "x")]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted(((r.text or "").lower(), r.doc_id) for r in got if r.text in (a, a.upper(), c, "")) == [("", 7), (c, 7), (a, 1)]
+    assert len(got) == 4 and [r.doc_id for r in got if r.text in (b, b.upper())] == [None]

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, written
+from .common import chunks, keyed, small_batches, written
 from .components import components
 
 RADIUS = 3
@@ -63,7 +63,8 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts).view(np.int64))], names=["doc_id", "fp"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(fingerprints_of(texts).view(np.int64))], names=[*others, "fp"])
 
 
 def covering_masks(bits: int, radius: int) -> list[int]:
@@ -138,12 +139,9 @@ def _links(radius: int):
     return rows
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of docs: doc_id (bigint), fingerprint, component_id."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _rooted(prints: DataFrame, least, radius: int, bucket: int) -> DataFrame:
+    """One row per distinct fingerprint of prints: fp, the aggregate `least`, and the component's smallest fingerprint."""
+    distinct = written(prints.groupBy("fp").agg(least.alias("least")), "distinct")
     cover = tables(radius)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _) in enumerate(cover)))
     placed = distinct.select("fp", F.inline(keys))
@@ -162,19 +160,33 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     split = split.select(F.col("t2").alias("t"), F.col("key2").alias("key"), "fp")
     edges = usual.unionByName(split).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_links(radius), "u bigint, v bigint")
     roots = components(edges)
-    # Roots are the smallest fingerprints; a component is named by its smallest doc_id.
-    labelled = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labelled = written(labelled, "labelled")
+    # Roots are the smallest fingerprints.
+    return distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of docs: doc_id (bigint), fingerprint, component_id."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"), "fingerprints")
+    labelled = written(_rooted(prints, F.min("doc_id"), radius, bucket), "labelled")
+    # A component is named by its smallest doc_id.
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(names.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, whole, whose doc_id names their group. A row without an id stays if its group has no id at all."""
-    groups = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kept_id")).distinct()
-    own = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
-    rows = docs.select(own.alias("kept_id"), F.struct("*").alias("row"))
-    return rows.join(kept.hint("merge"), "kept_id", "left_semi").select("row.*")
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs, whole, of each group: the smallest doc_id, then the smallest key of doc_id and text. A row without an
+    id stays only if its group has no id at all."""
+    small_batches(docs.sparkSession)
+    whole = keyed(docs.withColumn("row", F.struct("*")), "row")
+    rows = whole.select(F.col("doc_id").cast("bigint").alias("doc_id"), "r1", "r2", "text")
+    prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, r1 bigint, r2 bigint, fp bigint"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    kept = _rooted(prints, F.min(place), radius, bucket).groupBy("root").agg(F.min("least").alias("least")).select("least.r1", "least.r2")
+    found = whole.join(kept.hint("merge"), ["r1", "r2"], "left_semi")
+    # Rows that share doc_id and text share a key; one of them stays. The join has dealt them by the window's key already.
+    turn = F.row_number().over(Window.partitionBy("r1", "r2").orderBy(F.xxhash64("m_0")))
+    return found.withColumn("turn", turn).where("turn = 1").select("m_0.*")
