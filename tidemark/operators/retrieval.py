@@ -1,7 +1,11 @@
-"""Batch retrieval: a stated set of queries against all documents, by words, by character n-grams, and both together.
+"""Batch retrieval: a stated set of queries against all documents, by words, by character n-grams, by named fields and by date.
 
-documents: doc, title, text, source, published_at. queries: q, query. Scores are made from joins on terms; documents are
-read once, and no document meets a query that it shares nothing with.
+documents: doc, title, text, source, published_at and, where known, club, player, reporter, doc_type. queries: q, query.
+
+Documents are tokenised once and written. Spark counts the document frequency of the queries' words and gives every query
+its weights. Documents are then dealt once into parts of about PART_BYTES of text; every query visits every part, where a
+block of queries is multiplied with the part's counts. A part keeps the k best documents of each query, so what leaves a
+task is queries x k rows, never pairs; the parts' winners are ranked by a window. A task holds one part and one block.
 """
 
 from __future__ import annotations
@@ -10,19 +14,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, text
+from tidemark.functions import text
+from tidemark.storage import written
 
-BLOCK = 500  # queries held at a time by a task of the n-gram cosine, about
-SALTS = 64  # parts of the documents that each block of those queries goes to
-PHRASE = 3  # words by which a phrase is looked up before it is verified
+PART_BYTES = 6_000_000
+BLOCK = 64  # queries multiplied at a time
+ROWS = 256  # documents multiplied at a time
+#: What a match of each field weighs.
+FIELDS = {"club": 1.2, "player": 2.35, "reporter": 1.15, "source": 0.95}
+#: Kinds of documents that gain a little.
+BOOSTED, BOOST = ("signal", "article"), 1.07
+LEAST_COSINE, LEAST_FUZZY, LEAST_SCORE = 0.05, 0.58, 0.35
+PARTS = ("lexical", "semantic", "structured", "recency")
+METHODS = {"lexical": "lexical", "semantic_chargram": "semantic", "structured_entity": "structured", "recency": "recency"}
 
 
-def search_text(doc: DataFrame) -> Column:
-    """The title counts twice."""
-    return F.concat_ws(" ", "title", "title", "text", "source")
+def _column(documents: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in documents.columns else F.lit(None).cast("string")
 
 
 def expanded(query: Column, aliases: dict[str, str]) -> Column:
@@ -31,124 +43,271 @@ def expanded(query: Column, aliases: dict[str, str]) -> Column:
     return F.concat_ws(" ", query, *more)
 
 
-def lexical(documents: DataFrame, queries: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """q, doc, lexical and matched (number of distinct query words in the document)."""
-    d = documents.select("doc", text.tokens(search_text(documents)).alias("w"), text.tokens(F.col("title")).alias("t")).where(F.size("w") > 0)
-    q = queries.select("q", text.tokens(expanded(F.col("query"), aliases or {})).alias("w"))
-    tf = d.select("doc", F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def indexed(documents: DataFrame) -> DataFrame:
+    """What the parts are made of: tokens of the search text (the title counts twice), the title's tokens as one string, the
+    text whose n-grams count, the tokens of each field and the kind."""
+    fields = [_column(documents, c) for c in FIELDS]
+    words = text.tokens(F.concat_ws(" ", "title", "title", "text", *fields))
+    body = F.concat_ws(" ", "title", *fields, "text")
+    kinds = F.array(*(text.tokens(c) for c in fields))
+    return documents.select(F.col("doc").cast("bigint").alias("doc"), words.alias("w"), F.array_join(text.tokens(F.col("title")), " ").alias("title"), body.alias("body"), kinds.alias("fields"), F.replace(_column(documents, "doc_type"), F.lit("_"), F.lit(" ")).alias("kind"), "published_at")
+
+
+def weighted(index: DataFrame, queries: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Queries with their words in order, and each distinct word's weight (times asked x inverse document frequency)."""
+    full = expanded(F.col("query"), aliases or {})
+    q = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("w"))
     asked = q.select("q", F.explode("w").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
-    needed = tf.join(asked.select("term").distinct().hint("merge"), "term", "left_semi")
-    df = needed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = d.agg(F.count(F.lit(1)).alias("n"))
+    known = asked.select("term").distinct()
+    df = index.select(F.explode(F.array_distinct("w")).alias("term")).join(known.hint("merge"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = index.where(F.size("w") > 0).agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1
-    weights = asked.join(df.hint("merge"), "term").join(F.broadcast(n)).select("q", "term", (F.col("qf") * idf).alias("w"))
-    base = needed.join(weights.hint("merge"), "term").groupBy("q", "doc").agg(F.sum((1 + F.log("tf")) * F.col("w")).alias("s"), F.count(F.lit(1)).alias("matched"))
-    base = base.join(phrases(d, q).hint("merge"), ["q", "doc"], "left")
-    sizes = q.select("q", F.size(F.array_distinct("w")).alias("words"))
-    lengths = d.select("doc", F.size("w").alias("length"))
-    j = base.join(sizes.hint("merge"), "q").join(lengths.hint("merge"), "doc")
-    s = (F.col("s") + F.coalesce("bonus", F.lit(0.0))) * (1 + F.least(F.lit(0.25), F.col("matched") / F.col("words") * 0.25)) * F.greatest(F.lit(0.35), 9 / F.sqrt("length"))
-    return j.select("q", "doc", s.alias("lexical"), "matched")
-
-
-def phrases(d: DataFrame, q: DataFrame) -> DataFrame:
-    """q, doc, bonus: 4 where the whole query stands in the title, 2 where it stands in the text. Candidates share the first
-    words of the query as consecutive words (queries with fewer have no phrase), and only those are verified."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (PHRASE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, PHRASE), " ")))
-    starts = q.where(F.size("w") >= PHRASE).select("q", F.array_join("w", " ").alias("phrase"), F.xxhash64(F.array_join(F.slice("w", 1, PHRASE), " ")).alias("g"))
-    seen = d.where(F.size("w") >= PHRASE).select("doc", F.explode(F.array_distinct(grams)).alias("g"))
-    found = seen.join(starts.hint("merge"), "g").join(d.select("doc", F.array_join("w", " ").alias("tokens"), F.array_join("t", " ").alias("title")).hint("merge"), "doc")
-    bonus = F.when(F.contains("title", "phrase"), 4.0).when(F.contains("tokens", "phrase"), 2.0)
-    return found.select("q", "doc", bonus.alias("bonus")).where("bonus is not null").distinct()
-
-
-def gram_counts(value: str) -> dict[str, int]:
-    norm = " ".join(value.lower().split())
-    padded, out = f"  {norm}  ", {}
-    for i in range(len(padded) - 2) if norm else ():
-        out[padded[i : i + 3]] = out.get(padded[i : i + 3], 0) + 1
-    return out
-
-
-def _matrix(block: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each trigram, counts by trigram and query, norms and ids of a block of queries."""
-    grams: dict[str, int] = {}
-    vectors = [gram_counts(t) for _, t in block]
-    for v in vectors:
-        for g in v:
-            grams.setdefault(g, len(grams))
-    matrix = np.zeros((len(grams), len(block)))
-    for column, v in enumerate(vectors):
-        for g, n in v.items():
-            matrix[grams[g], column] = n
-    return grams, matrix, np.sqrt((matrix**2).sum(axis=0)), np.array([q for q, _ in block], np.int64)
-
-
-def _cosines(least: float):
-    """From rows (block, salt, document, id, body) sorted by the first three: the queries of a block come before its documents."""
+    terms = asked.join(df.hint("merge"), "term").join(F.broadcast(n)).groupBy("q").agg(F.collect_list(F.struct("term", (F.col("qf") * idf).alias("weight"))).alias("terms"))
+    return q.join(terms.hint("merge"), "q", "left")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, known = None, [], None
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                qs, docs, values = [], [], []
-                for block, salt, document, i, body in zip(*(c.to_pylist() for c in whole.slice(start, 512).columns)):
-                    if (block, salt) != at:
-                        at, queries, known = (block, salt), [], None
-                    if not document:
-                        queries.append((i, body))
-                        continue
-                    if known is None:
-                        known = _matrix(queries)
-                    grams, matrix, norms, ids = known
-                    own = gram_counts(body)
-                    shared = [(grams[g], n) for g, n in own.items() if g in grams]
-                    if not shared:
+
+def gram_codes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character trigrams of the squeezed, padded lower-case texts as numbers, and the text of each."""
+    padded = [f"  {n}  " if (n := " ".join(v.lower().split())) else "" for v in values]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    lens = np.array([len(p) for p in padded], np.int64)
+    if len(chars) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    who = np.repeat(np.arange(len(padded)), lens)
+    codes = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
+    inside = who[:-2] == who[2:]
+    return codes[inside], who[:-2][inside]
+
+
+class Counts:
+    """How often each key occurs in each row, as sorted triples; keys are numbered by `vocabulary`."""
+
+    def __init__(self, rows: int, who: np.ndarray, key: np.ndarray, size: int):
+        pair, n = np.unique(who * max(size, 1) + key, return_counts=True)
+        self.rows, self.who, self.key, self.n = rows, pair // max(size, 1), pair % max(size, 1), n.astype(float)
+        self.first = np.searchsorted(self.who, np.arange(rows + 1))
+        self.norm = np.sqrt(np.bincount(self.who, self.n**2, rows))
+
+    def times(self, place: np.ndarray, weights: np.ndarray, value=lambda n: n) -> np.ndarray:
+        """Rows x columns of weights: the sum of value(count) x weight over the keys that have a place in weights."""
+        out = np.empty((self.rows, weights.shape[1]))
+        for a in range(0, self.rows, ROWS):
+            b = min(self.rows, a + ROWS)
+            part = slice(self.first[a], self.first[b])
+            at = place[self.key[part]]
+            hit = at >= 0
+            dense = np.zeros((b - a, weights.shape[0]))
+            dense[self.who[part][hit] - a, at[hit]] = value(self.n[part][hit])
+            out[a:b] = dense @ weights
+        return out
+
+
+def _grams(values: list[str]) -> tuple[np.ndarray, Counts]:
+    codes, who = gram_codes(values)
+    vocabulary, key = np.unique(codes, return_inverse=True)
+    return vocabulary, Counts(len(values), who, key, len(vocabulary))
+
+
+def _cosines(vocabulary: np.ndarray, rows: Counts, other: np.ndarray, queries: Counts) -> np.ndarray:
+    """Cosines of rows with queries; each side has a sorted vocabulary of its own."""
+    place = np.full(len(vocabulary), -1)
+    at = np.searchsorted(other, vocabulary)
+    same = at < len(other)
+    same[same] = other[at[same]] == vocabulary[same]
+    place[same] = at[same]
+    weights = np.zeros((len(other), queries.rows))
+    weights[queries.key, queries.who] = queries.n
+    return rows.times(place, weights) / np.maximum(np.outer(rows.norm, queries.norm), 1e-12)
+
+
+class Part:
+    """The documents of one part, ready to meet blocks of queries."""
+
+    def __init__(self, batches: list[pa.RecordBatch], parts: tuple[str, ...]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.parts = parts
+        self.doc = table["doc"].to_numpy()
+        self.age = table["age"].to_pylist()
+        self.kind = table["kind"].to_pylist()
+        n = len(self.doc)
+        words = table["w"].combine_chunks()
+        lens = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+        coded = pc.dictionary_encode(pc.list_flatten(words))
+        self.terms = coded.dictionary
+        self.tf = Counts(n, np.repeat(np.arange(n), lens), np.asarray(coded.indices), len(self.terms))
+        self.length = lens.astype(float)
+        self.text = [" ".join(w or ()) for w in words.to_pylist()]
+        self.title = table["title"].to_pylist()
+        if "semantic" in parts:
+            self.grams = _grams([x or "" for x in table["body"].to_pylist()])
+        if "structured" in parts:
+            rows = [tuple(map(tuple, r)) for r in table["fields"].to_pylist()]
+            self.values = [sorted({r[i] for r in rows if r[i]}) for i in range(len(FIELDS))]
+            self.value_of = [{v: k for k, v in enumerate(vs)} for vs in self.values]
+            self.field = [np.array([self.value_of[i].get(r[i], -1) for r in rows]) for i in range(len(FIELDS))]
+
+    def lexical(self, block: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of shared words, documents x queries."""
+        names = sorted({t["term"] for q in block for t in q["terms"] or ()})
+        at = {t: i for i, t in enumerate(names)}
+        weights = np.zeros((len(names), len(block)))
+        for j, q in enumerate(block):
+            for t in q["terms"] or ():
+                weights[at[t["term"]], j] = t["weight"]
+        place = np.full(max(len(self.terms), 1), -1)
+        if names:
+            found = pc.index_in(pa.array(names), value_set=self.terms)
+            for i, v in enumerate(found.to_pylist()):
+                if v is not None:
+                    place[v] = i
+        score = self.tf.times(place, weights, lambda n: 1 + np.log(n))
+        shared = self.tf.times(place, (weights > 0).astype(float), np.ones_like)
+        distinct = np.array([max(len(set(q["w"])), 1) for q in block])
+        bonus = np.zeros_like(score)
+        for j, q in enumerate(block):
+            phrase = " ".join(q["w"])
+            # Between its first and last word a phrase has whole words; those two may be parts of longer ones.
+            near = np.flatnonzero(shared[:, j] >= len(set(q["w"][1:-1]))) if phrase else ()
+            for i in near:
+                bonus[i, j] = 4.0 if phrase in self.title[i] else 2.0 if phrase in self.text[i] else 0.0
+        some = (score + bonus) * (1 + np.minimum(0.25, shared / distinct * 0.25)) * np.maximum(0.35, 9 / np.sqrt(np.maximum(self.length, 1)))[:, None]
+        return np.where(self.length[:, None] > 0, some, 0.0), shared
+
+    def structured(self, block: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Field scores and whether any field matched, documents x queries."""
+        total, hit = np.zeros((len(self.doc), len(block))), np.zeros((len(self.doc), len(block)), bool)
+        asked = _grams([q["query"] or "" for q in block])
+        tokens = sorted({w for q in block for w in q["w"]})
+        token_grams, at = _grams(tokens), {w: i for i, w in enumerate(tokens)}
+        phrases, sets = [" ".join(q["w"]) for q in block], [set(q["w"]) for q in block]
+        of_query = [np.array([at[w] for w in s], np.int64) for s in sets]
+        for weight, values, field in zip(FIELDS.values(), self.values, self.field):
+            if not values:
+                continue
+            whole = _cosines(*_grams([" ".join(v) for v in values]), *asked)
+            names = sorted({w for v in values for w in v})
+            of_name = {w: i for i, w in enumerate(names)}
+            apart = _cosines(*_grams(names), *token_grams) if tokens else np.zeros((len(names), 0))
+            best = np.stack([apart[:, c].max(axis=1) if len(c) else np.zeros(len(names)) for c in of_query], axis=1)
+            points = np.zeros((len(values), len(block)))
+            for i, v in enumerate(values):
+                name, own = " ".join(v), set(v)
+                fuzzy = np.maximum(whole[i], best[[of_name[w] for w in v]].max(axis=0))
+                for j, (phrase, words) in enumerate(zip(phrases, sets)):
+                    if not words:
                         continue
-                    rank, n = np.array(shared).T
-                    cosine = n @ matrix[rank] / np.maximum(norms * np.sqrt(sum(x * x for x in own.values())), 1e-12)
-                    hit = np.flatnonzero(cosine >= least)
-                    qs.append(ids[hit]), docs.append(np.full(len(hit), i, np.int64)), values.append(cosine[hit])
-                if qs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, docs, values)], names=["q", "doc", "cosine"])
+                    if name in phrase:
+                        points[i, j] = 1.25
+                    elif own & words:
+                        points[i, j] = min(1.0, len(own & words) / len(own))
+                    elif fuzzy[j] >= LEAST_FUZZY:
+                        points[i, j] = fuzzy[j] * 0.8
+            known = field >= 0
+            total[known] += points[field[known]] * weight
+            hit[known] |= points[field[known]] > 0
+        for kind in {k for k in self.kind if k}:
+            rows = np.array([k == kind for k in self.kind])
+            total[np.ix_(rows, np.array([kind in p for p in phrases]))] += 0.5
+        return total * 3.25, hit
+
+    def best(self, block: list[dict], k: int, digits: int, least: float) -> pa.RecordBatch:
+        """The k best documents of each query of the block."""
+        shape = (len(self.doc), len(block))
+        scores = {p: np.zeros(shape) for p in PARTS}
+        shared, named = np.zeros(shape), np.zeros(shape, bool)
+        if "lexical" in self.parts:
+            scores["lexical"], shared = self.lexical(block)
+        if "semantic" in self.parts:
+            cosine = _cosines(*self.grams, *_grams([q["query"] or "" for q in block]))
+            scores["semantic"] = np.where(cosine >= least, cosine * 4.25, 0.0)
+        if "structured" in self.parts:
+            scores["structured"], named = self.structured(block)
+        if "recency" in self.parts:
+            steps = [(14, 0.35), (60, 0.22), (365, 0.10)]
+            value = [0.0 if a is None else 0.03 if a < 0 else next((s for d, s in steps if a <= d), 0.0) for a in self.age]
+            scores["recency"] = np.repeat(np.array(value)[:, None], len(block), axis=1)
+        asked = np.array([len(q["w"]) > 0 for q in block])
+        total = sum(scores.values())
+        if len(self.parts) > 1:
+            total = total * np.where([x in BOOSTED for x in self.kind], BOOST, 1.0)[:, None]
+            kept = ((total >= LEAST_SCORE) | (shared > 0) | named) & asked & (self.length > 0)[:, None]
+        else:
+            kept = total > 0
+        order = np.round(total, digits)
+        rows, columns = [], []
+        for j in range(len(block)):
+            at = np.flatnonzero(kept[:, j])
+            if len(at) > k:
+                at = at[order[at, j] >= np.partition(order[at, j], -k)[-k]]
+            at = at[np.lexsort((self.doc[at], -order[at, j]))][:k]
+            rows.append(at), columns.append(np.full(len(at), j))
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        ids = np.array([q["id"] for q in block], np.int64)
+        arrays = [ids[j], self.doc[i], *(scores[p][i, j] for p in PARTS), shared[i, j].astype(np.int64), total[i, j]]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["q", "doc", *PARTS, "matched", "score"])
+
+
+def _search(parts: tuple[str, ...], k: int, digits: int, size: int, least: float):
+    """From rows sorted by part, documents before queries."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, part, block = None, [], None, []
+        for batch in batches:
+            salts, asked = batch.column("part").to_numpy(), batch.column("asked").to_numpy()
+            edges = np.flatnonzero((salts[1:] != salts[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if salts[a] != at:
+                    if block and part is not None:
+                        yield part.best(block, k, digits, least)
+                    at, docs, part, block = salts[a], [], None, []
+                if not asked[a]:
+                    docs.append(piece)
+                    continue
+                if docs:
+                    part, docs = Part(docs, parts), []
+                if part is None:
+                    continue
+                for row in piece.select(["id", "query", "w", "terms"]).to_pylist():
+                    block.append(row)
+                    if len(block) == size:
+                        yield part.best(block, k, digits, least)
+                        block = []
+        if block and part is not None:
+            yield part.best(block, k, digits, least)
 
     return rows
 
 
-def character(documents: DataFrame, queries: DataFrame, least: float = 0.05) -> DataFrame:
-    """q, doc, cosine of character trigrams of the query and of the document's title, source and whole text. Queries are dealt
-    into blocks of about BLOCK and documents into salts; each block goes to each salt and is sorted before its documents, so
-    a task holds one block at a time and nothing passes through the driver but the number of queries."""
-    blocks = 1 + queries.count() // BLOCK
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = queries.select(dealt("q", blocks).alias("block"), every(SALTS).alias("salt"), F.lit(0).alias("document"), F.col("q").cast("bigint").alias("id"), F.coalesce("query", F.lit("")).alias("body"))
-    body = F.concat_ws(" ", "title", "source", "text")
-    held = documents.select(every(blocks).alias("block"), dealt("doc", SALTS).alias("salt"), F.lit(1).alias("document"), F.col("doc").cast("bigint").alias("id"), body.alias("body"))
-    rows = asked.unionByName(held).repartition("block", "salt").sortWithinPartitions("block", "salt", "document")
-    return rows.mapInArrow(_cosines(least), "q bigint, doc bigint, cosine double")
-
-
-def hybrid(documents: DataFrame, queries: DataFrame, as_of: Column, aliases: dict[str, str] | None = None) -> DataFrame:
-    """q, doc, the parts lexical, semantic, structured and recency, their sum and the methods that gave it."""
-    words, grams = lexical(documents, queries, aliases), character(documents, queries)
-    j = words.join(grams.hint("merge"), ["q", "doc"], "full_outer")
-    facts = documents.select("doc", "source", F.datediff(as_of, "published_at").alias("age"))
-    asked = queries.select("q", text.tokens(F.col("query")).alias("w"))
-    j = j.join(facts.hint("merge"), "doc").join(asked.hint("merge"), "q")
-    named = F.size(F.array_intersect("w", text.tokens(F.col("source")))) > 0
-    j = j.withColumns({"lexical": F.coalesce("lexical", F.lit(0.0)), "semantic": F.coalesce(4.25 * F.col("cosine"), F.lit(0.0)), "structured": F.when(named, 3.25 * 0.95).otherwise(0.0), "recency": dates.recency(F.col("age"))})
-    parts = {"lexical": "lexical", "semantic_chargram": "semantic", "structured_entity": "structured", "recency": "recency"}
-    methods = F.array_join(F.array_compact(F.array(*(F.when(F.col(c) > 0, k) for k, c in parts.items()))), "|")
-    j = j.withColumns({"score": sum((F.col(c) for c in parts.values()), F.lit(0.0)), "methods": methods})
-    return j.where("score >= 0.35 or matched > 0").select("q", "doc", *parts.values(), "score", "methods")
-
-
-def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The k best documents of each query, with the score as a share of the best."""
-    by = Window.partitionBy("q").orderBy(F.desc(score), "doc")
-    ranked = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.withColumn("normalized", F.col(score) / F.first(score).over(by))
+def search(documents: DataFrame, queries: DataFrame, k: int, parts: tuple[str, ...] = PARTS, as_of: Column | None = None, aliases: dict[str, str] | None = None, digits: int = 6, block: int = BLOCK, least_cosine: float = LEAST_COSINE) -> DataFrame:
+    """The k best documents of each query: q, doc, rank, score, its parts, matched (number of shared words), methods (the parts
+    that gave something) and normalized (share of the query's best score). Ties of the score, rounded to `digits`, go to the
+    smaller doc. With one part, documents that have nothing of it are no hits; with several, the score is 0.35 at least or
+    a word or field is shared."""
+    index = written(indexed(documents), "search-index")
+    if "lexical" in parts:
+        asked = written(weighted(index, queries, aliases), "search-queries")
+    else:
+        full = expanded(F.col("query"), aliases or {})
+        none = F.lit(None).cast("array<struct<term:string,weight:double>>")
+        asked = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("w"), none.alias("terms"))
+    size = index.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    salts = max(1, int(size) // PART_BYTES)
+    age = F.datediff(as_of, F.col("published_at")) if as_of is not None else F.lit(None).cast("int")
+    part = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(salts)).cast("int")
+    nothing = {"title": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "fields": F.lit(None).cast("array<array<string>>"), "kind": F.lit(None).cast("string"), "age": F.lit(None).cast("int")}
+    columns = ["part", "asked", "id", "doc", "w", "title", "body", "fields", "kind", "age", "query", "terms"]
+    held = index.withColumns({"part": part, "asked": F.lit(0), "id": F.col("doc"), "age": age, "query": F.lit(None).cast("string"), "terms": F.lit(None).cast("array<struct<term:string,weight:double>>")}).select(*columns)
+    visits = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "asked": F.lit(1), "id": F.col("q"), "doc": F.col("q"), **nothing}).select(*columns)
+    rows = held.unionByName(visits).repartition("part").sortWithinPartitions("part", "asked")
+    schema = "q bigint, doc bigint, " + ", ".join(f"{p} double" for p in PARTS) + ", matched bigint, score double"
+    best = rows.mapInArrow(_search(tuple(parts), k, digits, block, least_cosine), schema)
+    by = Window.partitionBy("q").orderBy(F.desc(F.round("score", digits)), "doc")
+    ranked = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    methods = F.array_join(F.array_compact(F.array(*(F.when(F.col(c) > 0, name) for name, c in METHODS.items()))), "|")
+    return ranked.withColumns({"methods": methods, "normalized": F.col("score") / F.first("score").over(by)})
 
 
 def merged(hits: DataFrame) -> DataFrame:

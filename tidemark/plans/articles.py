@@ -34,7 +34,7 @@ def _block(t: str) -> str:
     return f"CASE WHEN length({_STRIP.format(h=inner)}) >= 250 THEN {_STRIP.format(h=inner)} END"
 
 
-@query("strip_html_text", f"SELECT page_id, {_STRIP.format(h='html')} AS stripped, left(coalesce({_block('article')}, {_block('main')}, {_block('body')}, {_STRIP.format(h='html')}), 8000) AS main FROM pages")
+@query("strip_html_text", f"SELECT page_id, {_STRIP.format(h='html')} AS stripped, coalesce({_block('article')}, {_block('main')}, {_block('body')}, {_STRIP.format(h='html')}) AS main FROM pages")
 def strip_html_text(spark, sf_dir):
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(html).alias("stripped"), text.main_text(html).alias("main"))

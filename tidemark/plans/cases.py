@@ -191,7 +191,7 @@ def decision_queue(spark, sf_dir):
 @query(
     "run_diff",
     f"""WITH {PREDICTIONS} SELECT coalesce(o.case_id, n.case_id) AS case_id, CASE WHEN o.case_id IS NULL THEN 'new' WHEN n.case_id IS NULL THEN 'dropped' WHEN o.label <> n.label THEN 'changed' ELSE 'same' END AS change
-    FROM (SELECT case_id, predicted_label AS label FROM predictions WHERE case_id % 3 <> 0) o FULL JOIN (SELECT case_id, actual_label AS label FROM predictions WHERE case_id % 5 <> 0) n ON o.case_id = n.case_id""",
+    FROM (SELECT case_id, predicted_label AS label FROM predictions) o FULL JOIN (SELECT case_id, actual_label AS label FROM predictions) n ON o.case_id = n.case_id""",
 )
 def run_diff(spark, sf_dir):
     """Predicted against actual labels of all cases."""

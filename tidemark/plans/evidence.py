@@ -15,9 +15,15 @@ from .sql_bindings import ARTICLES
 AS_OF = "2024-02-01"
 
 
+#: Kinds that stand for those of the documents, by doc_id mod their number.
+KINDS = ("article", "transfer", "signal")
+
+
 def corpus(spark, sf_dir):
+    """Articles as evidence: the reporter is the desk of a language."""
     a = b.articles(spark, sf_dir)
-    return a.select(F.col("article_id").alias("doc"), "title", F.col("body").alias("text"), "source", "published_at")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("article_id") % len(KINDS) + 1).cast("int"))
+    return a.select(F.col("article_id").alias("doc"), "title", F.col("body").alias("text"), "source", F.concat(F.lit("desk "), "lang").alias("reporter"), kind.alias("doc_type"), "published_at")
 
 
 def asked(spark, sf_dir):
@@ -26,57 +32,120 @@ def asked(spark, sf_dir):
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TOK = lambda x: f"list_filter(list_transform(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9_''-]*'), lambda t: trim(t, '''')), lambda t: length(t) >= 2 AND NOT list_contains([{_STOP}], t))"
-_LEX = f"""{ARTICLES}, dt AS (SELECT article_id AS doc, {_TOK("concat_ws(' ', title, title, body, source)")} AS w, {_TOK("coalesce(title, '')")} AS t FROM articles), d AS (SELECT * FROM dt WHERE len(w) > 0),
-qt AS (SELECT item_id AS q, {_TOK("coalesce(text, '')")} AS w FROM benchmark), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) GROUP BY 1, 2), qf AS (SELECT q, term, count(*) AS qf FROM (SELECT q, unnest(w) AS term FROM qt) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
-s AS (SELECT q, doc, sum((1 + ln(tf)) * qf * (ln((n + 1) / (df + 0.5)) + 1)) AS s, count(*) AS matched FROM tf JOIN qf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
-b AS (SELECT q, doc, CASE WHEN contains(array_to_string(d.t, ' '), array_to_string(qt.w, ' ')) THEN 4 WHEN contains(array_to_string(d.w, ' '), array_to_string(qt.w, ' ')) THEN 2 ELSE 0 END AS bonus FROM s JOIN d USING (doc) JOIN qt USING (q) WHERE len(qt.w) >= 3),
-lex AS (SELECT s.q, s.doc, (s + coalesce(bonus, 0)) * (1 + least(0.25, matched / len(list_distinct(qt.w)) * 0.25)) * greatest(0.35, 9 / sqrt(len(d.w))) AS lexical, matched FROM s LEFT JOIN b USING (q, doc) JOIN d ON d.doc = s.doc JOIN qt ON qt.q = s.q)"""
+_BONUS = """
+CASE WHEN contains(array_to_string(d.t, ' '), array_to_string(qt.w, ' ')) THEN 4
+     WHEN contains(array_to_string(d.w, ' '), array_to_string(qt.w, ' ')) THEN 2 ELSE 0 END"""
+_LEX = f"""{ARTICLES},
+a2 AS (SELECT *, 'desk ' || lang AS reporter, ({list(KINDS)})[article_id % {len(KINDS)} + 1] AS doc_type FROM articles),
+dt AS (SELECT article_id AS doc, {_TOK("concat_ws(' ', title, title, body, reporter, source)")} AS w, {_TOK("coalesce(title, '')")} AS t FROM a2),
+d AS (SELECT * FROM dt WHERE len(w) > 0),
+qt AS (SELECT item_id AS q, {_TOK("coalesce(text, '')")} AS w FROM benchmark),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) GROUP BY 1, 2),
+qf AS (SELECT q, term, count(*) AS qf FROM (SELECT q, unnest(w) AS term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+n AS (SELECT count(*) AS n FROM d),
+s AS (
+  SELECT q, doc, sum((1 + ln(tf)) * qf * (ln((n + 1) / (df + 0.5)) + 1)) AS s, count(*) AS matched
+  FROM tf JOIN qf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+bn AS (SELECT * FROM (SELECT q, doc, {_BONUS} AS bonus FROM d, qt WHERE len(qt.w) > 0) WHERE bonus > 0),
+sb AS (SELECT q, doc, coalesce(s, 0) AS s, coalesce(bonus, 0) AS bonus, coalesce(matched, 0) AS matched FROM s FULL JOIN bn USING (q, doc)),
+lex AS (
+  SELECT sb.q, sb.doc, (s + bonus) * (1 + least(0.25, matched / len(list_distinct(qt.w)) * 0.25)) * greatest(0.35, 9 / sqrt(len(d.w))) AS lexical, matched
+  FROM sb JOIN d ON d.doc = sb.doc JOIN qt ON qt.q = sb.q)"""
 _TOP = lambda score, t, k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {score} DESC, doc) AS rank FROM {t}) WHERE rank <= {k}"
+_rank = lambda: F.col("rank").cast("bigint").alias("rank")
 
 
 @query("tfidf_topk", f"WITH {_LEX} SELECT q, doc, rank, matched, round(lexical, 4) AS score FROM ({_TOP('round(lexical, 6)', 'lex', 5)})")
 def tfidf_topk(spark, sf_dir):
-    scored = rt.lexical(corpus(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("lexical", 6))
-    return rt.top(scored, 5).select("q", "doc", F.col("rank").cast("bigint").alias("rank"), "matched", F.round("lexical", 4).alias("score"))
+    hits = rt.search(corpus(spark, sf_dir), asked(spark, sf_dir), 5, ("lexical",))
+    return hits.select("q", "doc", _rank(), "matched", F.round("score", 4).alias("score"))
 
 
+_PADDED = lambda x: f"'  ' || trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')) || '  '"
 _GRAM = lambda x: f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
-_CHAR = f"""pq AS (SELECT item_id AS q, '  ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || '  ' AS x FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
-pd AS (SELECT article_id AS doc, '  ' || trim(regexp_replace(lower(concat_ws(' ', title, source, left(body, 900))), '\\s+', ' ', 'g')) || '  ' AS x FROM articles),
-gq AS (SELECT q, g, count(*) AS n FROM (SELECT q, unnest({_GRAM('x')}) AS g FROM pq) GROUP BY 1, 2), gd AS (SELECT doc, g, count(*) AS n FROM (SELECT doc, unnest({_GRAM('x')}) AS g FROM pd) GROUP BY 1, 2),
-nq AS (SELECT q, sqrt(sum(n * n)) AS z FROM gq GROUP BY 1), nd AS (SELECT doc, sqrt(sum(n * n)) AS z FROM gd GROUP BY 1),
-chr AS (SELECT * FROM (SELECT q, doc, sum(gq.n * gd.n) / (any_value(nq.z) * any_value(nd.z)) AS cosine FROM gq JOIN gd USING (g) JOIN nq USING (q) JOIN nd USING (doc) GROUP BY q, doc) WHERE cosine >= 0.05)"""
-
-
-@query("chargram_cosine", f"WITH {ARTICLES}, {_CHAR} SELECT q, doc, rank, round(cosine, 4) AS cosine FROM ({_TOP('round(cosine, 8)', 'chr', 5)})")
+_CHAR = f"""
+pq AS (SELECT item_id AS q, {_PADDED('text')} AS x FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
+pd AS (SELECT article_id AS doc, {_PADDED("concat_ws(' ', title, reporter, source, body)")} AS x FROM a2),
+gq AS (SELECT q, g, count(*) AS n FROM (SELECT q, unnest({_GRAM('x')}) AS g FROM pq) GROUP BY 1, 2),
+gd AS (SELECT doc, g, count(*) AS n FROM (SELECT doc, unnest({_GRAM('x')}) AS g FROM pd) GROUP BY 1, 2),
+nq AS (SELECT q, sqrt(sum(n * n)) AS z FROM gq GROUP BY 1),
+nd AS (SELECT doc, sqrt(sum(n * n)) AS z FROM gd GROUP BY 1),
+chr AS (
+  SELECT * FROM (
+    SELECT q, doc, sum(gq.n * gd.n) / (any_value(nq.z) * any_value(nd.z)) AS cosine
+    FROM gq JOIN gd USING (g) JOIN nq USING (q) JOIN nd USING (doc) GROUP BY q, doc)
+  WHERE cosine >= 0.05)"""
+_A2 = "a2 AS (SELECT *, 'desk ' || lang AS reporter FROM articles)"
+
+
+@query("chargram_cosine", f"WITH {ARTICLES}, {_A2}, {_CHAR} SELECT q, doc, rank, round(cosine, 4) AS cosine FROM ({_TOP('round(4.25 * cosine, 8)', 'chr', 5)})")
 def chargram_cosine(spark, sf_dir):
-    scored = rt.character(corpus(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("cosine", 8))
-    return rt.top(scored, 5).select("q", "doc", F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 4).alias("cosine"))
+    hits = rt.search(corpus(spark, sf_dir), asked(spark, sf_dir), 5, ("semantic",), digits=8)
+    return hits.select("q", "doc", _rank(), F.round(F.col("semantic") / 4.25, 4).alias("cosine"))
 
 
 _AGE = f"date_diff('day', CAST(a.published_at AS DATE), DATE '{AS_OF}')"
-_HYBRID = f"""{_LEX}, {_CHAR}, h0 AS (SELECT q, doc, coalesce(lexical, 0) AS lexical, matched, coalesce(4.25 * cosine, 0) AS semantic FROM lex FULL JOIN chr USING (q, doc)),
-hy AS (SELECT h0.*, CASE WHEN {_AGE} < 0 THEN 0.03e0 WHEN {_AGE} <= 14 THEN 0.35e0 WHEN {_AGE} <= 60 THEN 0.22e0 WHEN {_AGE} <= 365 THEN 0.10e0 ELSE 0.0e0 END AS recency, CASE WHEN list_has_any(qt.w, {_TOK('a.source')}) THEN 3.0875e0 ELSE 0.0e0 END AS structured FROM h0 JOIN articles a ON a.article_id = h0.doc JOIN qt ON qt.q = h0.q),
-hs AS (SELECT *, lexical + semantic + structured + recency AS score, concat_ws('|', CASE WHEN lexical > 0 THEN 'lexical' END, CASE WHEN semantic > 0 THEN 'semantic_chargram' END, CASE WHEN structured > 0 THEN 'structured_entity' END, CASE WHEN recency > 0 THEN 'recency' END) AS methods FROM hy)"""
+_FIELD = f"""
+fv AS (
+  SELECT DISTINCT 'reporter' AS f, 1.15e0 AS wt, reporter AS v FROM a2 WHERE reporter IS NOT NULL
+  UNION SELECT DISTINCT 'source', 0.95e0, source FROM a2 WHERE source IS NOT NULL),
+fw AS (SELECT * FROM (SELECT *, {_TOK('v')} AS w FROM fv) WHERE len(w) > 0),
+ss AS (
+  SELECT unnest(w) AS s FROM fw UNION SELECT array_to_string(w, ' ') FROM fw UNION SELECT unnest(w) FROM qt
+  UNION SELECT text FROM benchmark WHERE text IS NOT NULL),
+sg AS (SELECT s, g, count(*) AS n FROM (SELECT s, unnest({_GRAM('x')}) AS g FROM (SELECT s, {_PADDED('s')} AS x FROM ss WHERE trim(s) <> '')) GROUP BY 1, 2),
+sz AS (SELECT s, sqrt(sum(n * n)) AS z FROM sg GROUP BY 1),
+fs AS (SELECT DISTINCT unnest(w) AS s FROM fw UNION SELECT array_to_string(w, ' ') FROM fw),
+cs AS (
+  SELECT a.s AS a, b.s AS b, sum(a.n * b.n) / (any_value(x.z) * any_value(y.z)) AS c
+  FROM sg a JOIN fs ON fs.s = a.s JOIN sg b USING (g) JOIN sz x ON x.s = a.s JOIN sz y ON y.s = b.s GROUP BY 1, 2),
+fz AS (
+  SELECT q, f, v, max(c) AS fuzzy FROM (
+    SELECT q, f, v, c FROM (SELECT f, v, unnest(w) AS a FROM fw) JOIN cs USING (a) JOIN (SELECT q, unnest(w) AS b FROM qt) USING (b)
+    UNION ALL SELECT item_id, f, v, c FROM (SELECT f, v, array_to_string(w, ' ') AS a FROM fw) JOIN cs USING (a) JOIN benchmark ON text = b)
+  GROUP BY 1, 2, 3),
+fp AS (
+  SELECT qt.q, fw.f, fw.v, wt * CASE WHEN contains(array_to_string(qt.w, ' '), array_to_string(fw.w, ' ')) THEN 1.25e0
+    WHEN list_has_any(qt.w, fw.w) THEN least(1, len(list_intersect(list_distinct(qt.w), list_distinct(fw.w))) / len(list_distinct(fw.w)))
+    WHEN fuzzy >= 0.58 THEN fuzzy * 0.8e0 ELSE 0 END AS p
+  FROM qt JOIN fw ON len(qt.w) > 0 LEFT JOIN fz ON fz.q = qt.q AND fz.f = fw.f AND fz.v = fw.v)"""
+_HYBRID = f"""{_LEX}, {_CHAR}, {_FIELD},
+h0 AS (
+  SELECT qt.q, a.article_id AS doc, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched, coalesce(4.25 * cosine, 0) AS semantic,
+    3.25e0 * (coalesce(r.p, 0) + coalesce(c.p, 0) + CASE WHEN contains(array_to_string(qt.w, ' '), doc_type) THEN 0.5e0 ELSE 0 END) AS structured,
+    coalesce(r.p, 0) + coalesce(c.p, 0) > 0 AS named,
+    CASE WHEN {_AGE} < 0 THEN 0.03e0 WHEN {_AGE} <= 14 THEN 0.35e0 WHEN {_AGE} <= 60 THEN 0.22e0 WHEN {_AGE} <= 365 THEN 0.10e0 ELSE 0.0e0 END AS recency,
+    CASE WHEN doc_type IN ('signal', 'article') THEN 1.07e0 ELSE 1 END AS boost
+  FROM qt JOIN a2 a ON len(qt.w) > 0 JOIN d ON d.doc = a.article_id LEFT JOIN lex ON lex.q = qt.q AND lex.doc = a.article_id LEFT JOIN chr ON chr.q = qt.q AND chr.doc = a.article_id
+    LEFT JOIN fp r ON r.q = qt.q AND r.f = 'reporter' AND r.v = a.reporter LEFT JOIN fp c ON c.q = qt.q AND c.f = 'source' AND c.v = a.source),
+hs AS (
+  SELECT * FROM (SELECT *, (lexical + semantic + structured + recency) * boost AS score,
+    concat_ws('|', CASE WHEN lexical > 0 THEN 'lexical' END, CASE WHEN semantic > 0 THEN 'semantic_chargram' END,
+      CASE WHEN structured > 0 THEN 'structured_entity' END, CASE WHEN recency > 0 THEN 'recency' END) AS methods FROM h0)
+  WHERE score >= 0.35 OR matched > 0 OR named)"""
+
+
+def hits_of(spark, sf_dir):
+    return rt.search(corpus(spark, sf_dir), asked(spark, sf_dir), 5, as_of=F.lit(AS_OF).cast("date"))
 
 
 @query("hybrid_topk", f"WITH {_HYBRID} SELECT q, doc, rank, round(score, 4) AS score, methods FROM ({_TOP('round(score, 6)', 'hs', 5)})")
 def hybrid_topk(spark, sf_dir):
-    scored = rt.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), F.lit(AS_OF).cast("date")).withColumn("s", F.round("score", 6))
-    return rt.top(scored, 5, "s").select("q", "doc", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"), "methods")
+    return hits_of(spark, sf_dir).select("q", "doc", _rank(), F.round("score", 4).alias("score"), "methods")
 
 
 @query(
     "multi_query_merge",
-    f"""WITH {_HYBRID}, t AS ({_TOP('round(score, 6)', 'hs', 5)}), g AS (SELECT q // 4 AS question, doc, max(score) AS score, count(DISTINCT q) AS n_queries, array_to_string(list_sort(list_distinct(flatten(list(string_split(methods, '|'))))), '|') AS methods FROM t GROUP BY 1, 2)
+    f"""WITH {_HYBRID}, t AS ({_TOP('round(score, 6)', 'hs', 5)}),
+    g AS (
+      SELECT q // 4 AS question, doc, max(score) AS score, count(DISTINCT q) AS n_queries,
+        array_to_string(list_sort(list_distinct(flatten(list(string_split(methods, '|'))))), '|') AS methods FROM t GROUP BY 1, 2)
     SELECT question, doc, round(score, 4) AS score, n_queries, methods FROM g""",
 )
 def multi_query_merge(spark, sf_dir):
     """Four queries form a question; their hits become one list."""
-    scored = rt.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), F.lit(AS_OF).cast("date")).withColumn("s", F.round("score", 6))
-    hits = rt.top(scored, 5, "s").withColumn("question", F.floor(F.col("q") / 4))
-    return rt.merged(hits).withColumn("score", F.round("score", 4))
+    return rt.merged(hits_of(spark, sf_dir).withColumn("question", F.floor(F.col("q") / 4))).withColumn("score", F.round("score", 4))
 
 
 @query(

@@ -75,16 +75,20 @@ def vectors(spark, sf_dir):
     return e.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") % 4).alias("g"))
 
 
-_V = "vx AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(6)) + ", vec_id % 4 AS g FROM embeddings WHERE label IS NOT NULL)"
-_X = [f"x{i}" for i in range(6)]
+_V = "vx AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x, vec_id % 4 AS g FROM embeddings WHERE label IS NOT NULL)"
+_PLACES = "SELECT {keep}, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM {rows}"
 
 
 @query(
     "nb_predictions",
-    f"""WITH {_V}, tr AS (SELECT * FROM vx WHERE vec_id % 5 <> 0), st AS (SELECT label, count(*) AS n, {', '.join(f'avg({x}) AS m_{x}, greatest(stddev_pop({x}), 1e-4) AS s_{x}' for x in _X)} FROM tr GROUP BY label),
-    gc AS (SELECT label, g, count(*) AS c FROM tr GROUP BY 1, 2), tot AS (SELECT sum(n) AS total, count(*) AS classes FROM st),
-    sc AS (SELECT v.vec_id, st.label, ln((n + 1) / (total + classes)) + {' + '.join(f'(-0.5 * ln(2 * pi() * s_{x} * s_{x}) - pow(v.{x} - m_{x}, 2) / (2 * s_{x} * s_{x}))' for x in _X)} + ln((coalesce(c, 0) + 1) / (n + (SELECT count(DISTINCT g) FROM tr))) AS score FROM vx v, st, tot LEFT JOIN gc ON gc.label = st.label AND gc.g = v.g),
-    mx AS (SELECT vec_id, arg_max(label, score) AS predicted, max(score) AS top FROM sc GROUP BY 1) SELECT vec_id, predicted, round(1 / sum(exp(score - top)), 4) AS confidence FROM sc JOIN mx USING (vec_id) GROUP BY vec_id, predicted""",
+    f"""WITH {_V}, tr AS (SELECT * FROM vx WHERE vec_id % 5 <> 0), cn AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
+    st AS (SELECT label, i, avg(v) AS m, greatest(stddev_pop(v), 1e-4) AS s FROM ({_PLACES.format(keep='label', rows='tr')}) GROUP BY label, i),
+    gc AS (SELECT label, g, count(*) AS c FROM tr GROUP BY 1, 2), tot AS (SELECT sum(n) AS total, count(*) AS classes FROM cn),
+    ll AS (SELECT p.vec_id, st.label, sum(-0.5 * ln(2 * pi() * s * s) - pow(v - m, 2) / (2 * s * s)) AS ll FROM ({_PLACES.format(keep='vec_id', rows='vx')}) p JOIN st USING (i) GROUP BY 1, 2),
+    sc AS (SELECT ll.vec_id, ll.label, ln((n + 1) / (total + classes)) + ll + ln((coalesce(c, 0) + 1) / (n + (SELECT count(DISTINCT g) FROM tr))) AS score
+      FROM ll JOIN cn ON cn.label = ll.label JOIN vx ON vx.vec_id = ll.vec_id CROSS JOIN tot LEFT JOIN gc ON gc.label = ll.label AND gc.g = vx.g),
+    mx AS (SELECT vec_id, arg_max(label, score) AS predicted, max(score) AS top FROM sc GROUP BY 1)
+    SELECT vec_id, predicted, round(1 / sum(exp(score - top)), 4) AS confidence FROM sc JOIN mx USING (vec_id) GROUP BY vec_id, predicted""",
 )
 def nb_predictions(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -94,8 +98,9 @@ def nb_predictions(spark, sf_dir):
 
 @query(
     "knn_predictions",
-    f"""WITH {_V}, tr AS (SELECT * FROM vx WHERE vec_id % 5 <> 0), bd AS (SELECT {', '.join(f'min({x}) AS lo_{x}, max({x}) - min({x}) AS w_{x}' for x in _X)} FROM tr),
-    d AS (SELECT q.vec_id AS q, t.vec_id, t.label, round(sqrt({' + '.join(f'pow((q.{x} - t.{x}) / w_{x}, 2)' for x in _X)} + CASE WHEN q.g = t.g THEN 0 ELSE 1 END), 8) AS dist FROM vx q, tr t, bd WHERE q.vec_id % 50 = 0),
+    f"""WITH {_V}, tr AS (SELECT * FROM vx WHERE vec_id % 5 <> 0),
+    bd AS (SELECT list(w ORDER BY i) AS w FROM (SELECT i, max(v) - min(v) AS w FROM ({_PLACES.format(keep='vec_id', rows='tr')}) GROUP BY i)),
+    d AS (SELECT q.vec_id AS q, t.vec_id, t.label, round(sqrt(list_sum(list_transform(list_zip(q.x, t.x, bd.w), lambda z: pow((z[1] - z[2]) / z[3], 2))) + CASE WHEN q.g = t.g THEN 0 ELSE 1 END), 8) AS dist FROM vx q, tr t, bd WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS k FROM d), v AS (SELECT q, label, count(*) AS votes, min(k) AS best FROM r WHERE k <= 5 GROUP BY 1, 2)
     SELECT q AS vec_id, arg_min(label, (-votes, best)) AS predicted, round(max(votes) / 5, 4) AS confidence FROM v GROUP BY q""",
 )

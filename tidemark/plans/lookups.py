@@ -15,7 +15,7 @@ from .sql_bindings import CLAIMS, PREDICTIONS, TRANSFERS
 
 @query(
     "page_bodies",
-    r"""WITH a AS (SELECT doc_id AS article_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 300) ELSE text END AS body, doc_id % 250 AS page_id, (doc_id % 10) / 10.0e0 AS confidence FROM documents),
+    r"""WITH a AS (SELECT doc_id AS article_id, text AS body, doc_id % 250 AS page_id, (doc_id % 10) / 10.0e0 AS confidence FROM documents),
     p AS (SELECT page_id, length(html) AS n FROM pages)
     SELECT article_id, CASE WHEN coalesce(length(body), 0) < 400 AND p.page_id IS NOT NULL THEN 'page' ELSE 'feed' END AS body_from, CASE WHEN coalesce(length(body), 0) < 400 AND p.page_id IS NOT NULL THEN greatest(confidence, 0.82e0) ELSE confidence END AS confidence FROM a LEFT JOIN p USING (page_id)""",
 )
@@ -23,7 +23,7 @@ def page_bodies(spark, sf_dir):
     """Articles with a body below 400 characters take the main text of their landed page and gain confidence."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    a = d.select(i.alias("article_id"), F.when(i % 3 == 0, F.left("text", F.lit(300))).otherwise(F.col("text")).alias("body"), (i % 250).alias("page_id"), ((i % 10) / 10.0).alias("confidence"))
+    a = d.select(i.alias("article_id"), F.col("text").alias("body"), (i % 250).alias("page_id"), ((i % 10) / 10.0).alias("confidence"))
     pages = table(spark, sf_dir, "pages").select("page_id", text.main_text(F.col("html")).alias("page_text"))
     needs = (F.coalesce(F.char_length("body"), F.lit(0)) < 400) & F.col("page_text").isNotNull()
     return a.join(pages, "page_id", "left").select("article_id", F.when(needs, "page").otherwise("feed").alias("body_from"), F.when(needs, F.greatest("confidence", F.lit(0.82))).otherwise(F.col("confidence")).alias("confidence"))

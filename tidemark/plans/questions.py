@@ -59,7 +59,7 @@ _NORM = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"  #
 _ROUTED = f"""qs AS (SELECT q, question, {_NORM("question")} AS n FROM (SELECT o_orderkey AS q, {_FILLED} AS question FROM orders JOIN customer ON o_custkey = c_custkey)),
 nm AS (SELECT kind, name, {_NORM("name")} AS n, list_filter(string_split({_NORM("name")}, ' '), lambda w: length(w) > 2) AS long FROM (
   SELECT DISTINCT 'club' AS kind, c_mktsegment AS name FROM customer UNION SELECT 'reporter', 'Kim Desk' || (c_custkey % 100) FROM customer UNION SELECT 'player', 'Pat Surname' || (c_custkey % 60) FROM customer)),
-sc AS (SELECT q, kind, name, strpos(' ' || qs.n || ' ', ' ' || nm.n || ' ') AS p, list_filter(nm.long, lambda w: strpos(' ' || qs.n || ' ', ' ' || w || ' ') > 0) AS hit, nm.n AS nn, nm.long, qs.n AS qn FROM qs, nm),
+sc AS (SELECT q, kind, name, strpos(' ' || qs.n || ' ', ' ' || nm.n || ' ') AS p, list_filter(nm.long, lambda w: strpos(' ' || qs.n || ' ', ' ' || w || ' ') > 0) AS hit, nm.n AS nn, nm.long, qs.n AS qn FROM (SELECT DISTINCT q, kind, name FROM (SELECT DISTINCT q, unnest(string_split(n, ' ')) AS w FROM qs) JOIN (SELECT kind, name, unnest(string_split(n, ' ')) AS w FROM nm) USING (w)) pair JOIN qs USING (q) JOIN nm USING (kind, name)),
 gr AS (SELECT q, kind, name, CASE WHEN p > 0 THEN 100 + length(nn) WHEN len(long) > 0 AND len(hit) = len(long) THEN 70 + len(long) ELSE len(hit) END AS score, CASE WHEN p > 0 THEN p ELSE list_min(list_transform(long, lambda w: strpos(' ' || qn || ' ', ' ' || w || ' '))) END AS place FROM sc WHERE p > 0 OR len(hit) > 0),
 best AS (SELECT q, kind, name FROM (SELECT *, row_number() OVER (PARTITION BY q, kind ORDER BY score DESC, name) AS r FROM gr) WHERE r = 1),
 cl AS (SELECT q, list(name ORDER BY place, name) AS names FROM gr WHERE kind = 'club' AND score > 70 GROUP BY q),
@@ -137,7 +137,7 @@ _NOTE = [n for _, n in ct.NOTES]
 def citation_notes(spark, sf_dir):
     """How many citations each passage has, and what they lack."""
     q = asked(spark, sf_dir)
-    hits = rt.top(rt.lexical(corpus(spark, sf_dir), q).withColumn("score", F.round("lexical", 6)), 3)
+    hits = rt.search(corpus(spark, sf_dir), q, 3, ("lexical",))
     typed = hits.select("q", "doc", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc") % len(_KINDS) + 1).cast("int")).alias("doc_type"))
     return ct.cited(q.select("q"), typed).withColumn("notes", F.array_join("notes", "|"))
 
@@ -166,7 +166,7 @@ def stream_run_counters(spark, sf_dir):
 @query(
     "unwrapped_urls",
     f"""WITH {ARTICLES}, a AS (SELECT article_id, CASE WHEN article_id % 2 = 0 THEN 'https://news.google.com/rss/articles/' || (article_id % 250) ELSE 'https://a.example/' || article_id END AS url, CASE WHEN article_id % 3 = 0 THEN 'Story ' || article_id || ' - The Paper' ELSE 'Story' END AS title, source, (article_id % 10) / 10.0e0 AS confidence FROM articles),
-    m AS (SELECT 'https://news.google.com/rss/articles/' || page_id AS w, min(trim(regexp_replace(url, '\\s+', ' ', 'g'))) AS decoded FROM pages WHERE page_id % 5 <> 0 GROUP BY 1)
+    m AS (SELECT 'https://news.google.com/rss/articles/' || page_id AS w, min(trim(regexp_replace(url, '\\s+', ' ', 'g'))) AS decoded FROM pages GROUP BY 1)
     SELECT article_id, coalesce(decoded, url) AS url, CASE WHEN decoded IS NOT NULL THEN url END AS original_url, CASE WHEN decoded IS NOT NULL AND title LIKE '% - %' THEN 'The Paper' ELSE source END AS source, CASE WHEN decoded IS NOT NULL THEN greatest(confidence, 0.68e0) ELSE confidence END AS confidence FROM a LEFT JOIN m ON a.url = m.w""",
 )
 def unwrapped_urls(spark, sf_dir):

@@ -20,7 +20,7 @@ def covered(spark, sf_dir):
     return c.withColumns({"credibility": (F.col("claim_id") % 97) / 96.0, "stage_score": scoring.lookup(F.col("rumor_stage"), scoring.STAGE_SCORES, 0.4)})
 
 
-_COVERED = f"""{CLAIMS}, cov AS (SELECT *, (claim_id % 97) / 96.0e0 AS credibility, CASE rumor_stage WHEN 'official' THEN 0.95e0 WHEN 'agreed' THEN 0.82e0 WHEN 'talks' THEN 0.55e0 WHEN 'linked' THEN 0.48e0 ELSE 0.4e0 END AS stage_score FROM claims WHERE claim_id % 7 < 3)"""
+_COVERED = f"""{CLAIMS}, cov AS (SELECT *, (claim_id % 97) / 96.0e0 AS credibility, CASE rumor_stage WHEN 'official' THEN 0.95e0 WHEN 'agreed' THEN 0.82e0 WHEN 'talks' THEN 0.55e0 WHEN 'linked' THEN 0.48e0 ELSE 0.4e0 END AS stage_score FROM claims)"""
 _CLUSTERS = f"""{_COVERED}, g0 AS (SELECT *, published_at - lag(published_at) OVER w AS gap FROM cov WINDOW w AS (PARTITION BY club, player ORDER BY published_at, claim_id)),
 g1 AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY club, player ORDER BY published_at, claim_id) AS cluster_no FROM g0),
 cl AS (SELECT * EXCLUDE (gap) FROM g1 QUALIFY max(CAST(prediction_scope = 'direct' AS INTEGER)) OVER (PARTITION BY club, player, cluster_no) = 1)"""

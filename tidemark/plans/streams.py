@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.storage import shared_dir
 from tidemark.streaming import jobs
 
 from .registry import query
 
 
 def _shared(spark) -> str:
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{path.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _finished(rows: DataFrame, spark, complete: bool) -> DataFrame:
