@@ -13,15 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.storage import written
 
-PART_BYTES = 6_000_000
+PART_BYTES = 2_000_000
 BLOCK = 64  # queries multiplied at a time
 ROWS = 256  # documents multiplied at a time
 #: What a match of each field weighs.
@@ -43,24 +43,35 @@ def expanded(query: Column, aliases: dict[str, str]) -> Column:
     return F.concat_ws(" ", query, *more)
 
 
-def indexed(documents: DataFrame) -> DataFrame:
-    """What the parts are made of: tokens of the search text (the title counts twice), the title's tokens as one string, the
-    text whose n-grams count, the tokens of each field and the kind."""
-    fields = [_column(documents, c) for c in FIELDS]
-    words = text.tokens(F.concat_ws(" ", "title", "title", "text", *fields))
+def indexed(documents: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """What the parts are made of: tokens of the search text (the title counts twice) and of the title, each joined by spaces,
+    the text whose n-grams count, the tokens of each field and the kind. What no part asks for is NULL."""
+    fields, lexical = [_column(documents, c) for c in FIELDS], "lexical" in parts
     body = F.concat_ws(" ", "title", *fields, "text")
-    kinds = F.array(*(text.tokens(c) for c in fields))
-    return documents.select(F.col("doc").cast("bigint").alias("doc"), words.alias("w"), F.array_join(text.tokens(F.col("title")), " ").alias("title"), body.alias("body"), kinds.alias("fields"), F.replace(_column(documents, "doc_type"), F.lit("_"), F.lit(" ")).alias("kind"), "published_at")
+    joined = lambda c: F.array_join(text.tokens(c), " ")
+    made = {
+        "doc": F.col("doc").cast("bigint"),
+        "own": joined(F.concat_ws(" ", "text", *fields)) if lexical or len(parts) > 1 else F.lit(""),
+        "title": joined(F.col("title")) if lexical or len(parts) > 1 else F.lit(""),
+        "body": body if "semantic" in parts else F.lit(""),
+        "fields": F.array(*(text.tokens(c) for c in fields)) if "structured" in parts else F.lit(None).cast("array<array<string>>"),
+        "kind": F.replace(_column(documents, "doc_type"), F.lit("_"), F.lit(" ")),
+        "size": F.octet_length(body),
+        "published_at": F.col("published_at"),
+    }
+    index = documents.select(*(c.alias(k) for k, c in made.items()))
+    return index.withColumn("w", F.btrim(F.concat_ws(" ", "title", "title", "own"), F.lit(" "))).drop("own")
 
 
 def weighted(index: DataFrame, queries: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Queries with their words in order, and each distinct word's weight (times asked x inverse document frequency)."""
     full = expanded(F.col("query"), aliases or {})
-    q = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("w"))
-    asked = q.select("q", F.explode("w").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
-    known = asked.select("term").distinct()
-    df = index.select(F.explode(F.array_distinct("w")).alias("term")).join(known.hint("merge"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = index.where(F.size("w") > 0).agg(F.count(F.lit(1)).alias("n"))
+    q = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("words"))
+    asked = q.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
+    # Written out, so that Spark knows how large it is and broadcasts it only where it is small.
+    known = written(asked.select("term").distinct(), "search-terms")
+    df = index.select(F.explode(F.array_distinct(F.split("w", " "))).alias("term")).join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = index.where("w <> ''").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1
     terms = asked.join(df.hint("merge"), "term").join(F.broadcast(n)).groupBy("q").agg(F.collect_list(F.struct("term", (F.col("qf") * idf).alias("weight"))).alias("terms"))
     return q.join(terms.hint("merge"), "q", "left")
@@ -83,7 +94,9 @@ class Counts:
     """How often each key occurs in each row, as sorted triples; keys are numbered by `vocabulary`."""
 
     def __init__(self, rows: int, who: np.ndarray, key: np.ndarray, size: int):
-        pair, n = np.unique(who * max(size, 1) + key, return_counts=True)
+        place, pair = pd.factorize(who * max(size, 1) + key)
+        n, order = np.bincount(place, minlength=len(pair)), np.argsort(pair)
+        pair, n = pair[order], n[order]
         self.rows, self.who, self.key, self.n = rows, pair // max(size, 1), pair % max(size, 1), n.astype(float)
         self.first = np.searchsorted(self.who, np.arange(rows + 1))
         self.norm = np.sqrt(np.bincount(self.who, self.n**2, rows))
@@ -104,8 +117,11 @@ class Counts:
 
 def _grams(values: list[str]) -> tuple[np.ndarray, Counts]:
     codes, who = gram_codes(values)
-    vocabulary, key = np.unique(codes, return_inverse=True)
-    return vocabulary, Counts(len(values), who, key, len(vocabulary))
+    key, seen = pd.factorize(codes)
+    order = np.argsort(seen)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return seen[order], Counts(len(values), who, rank[key], len(seen))
 
 
 def _cosines(vocabulary: np.ndarray, rows: Counts, other: np.ndarray, queries: Counts) -> np.ndarray:
@@ -130,18 +146,17 @@ class Part:
         self.age = table["age"].to_pylist()
         self.kind = table["kind"].to_pylist()
         n = len(self.doc)
-        words = table["w"].combine_chunks()
-        lens = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
-        coded = pc.dictionary_encode(pc.list_flatten(words))
-        self.terms = coded.dictionary
-        self.tf = Counts(n, np.repeat(np.arange(n), lens), np.asarray(coded.indices), len(self.terms))
+        self.text = table["w"].to_pylist()
+        words = [w.split() for w in self.text]
+        lens = np.array(list(map(len, words)), np.int64)
+        coded, self.terms = pd.factorize(np.array([t for w in words for t in w], object))
+        self.tf = Counts(n, np.repeat(np.arange(n), lens), coded, len(self.terms))
         self.length = lens.astype(float)
-        self.text = [" ".join(w or ()) for w in words.to_pylist()]
         self.title = table["title"].to_pylist()
         if "semantic" in parts:
             self.grams = _grams([x or "" for x in table["body"].to_pylist()])
         if "structured" in parts:
-            rows = [tuple(map(tuple, r)) for r in table["fields"].to_pylist()]
+            rows = [tuple(map(tuple, x)) for x in table["fields"].to_pylist()]
             self.values = [sorted({r[i] for r in rows if r[i]}) for i in range(len(FIELDS))]
             self.value_of = [{v: k for k, v in enumerate(vs)} for vs in self.values]
             self.field = [np.array([self.value_of[i].get(r[i], -1) for r in rows]) for i in range(len(FIELDS))]
@@ -156,18 +171,15 @@ class Part:
                 weights[at[t["term"]], j] = t["weight"]
         place = np.full(max(len(self.terms), 1), -1)
         if names:
-            found = pc.index_in(pa.array(names), value_set=self.terms)
-            for i, v in enumerate(found.to_pylist()):
-                if v is not None:
-                    place[v] = i
+            place[: len(self.terms)] = pd.Index(names).get_indexer(self.terms)
         score = self.tf.times(place, weights, lambda n: 1 + np.log(n))
         shared = self.tf.times(place, (weights > 0).astype(float), np.ones_like)
-        distinct = np.array([max(len(set(q["w"])), 1) for q in block])
+        distinct = np.array([max(len(set(q["words"])), 1) for q in block])
         bonus = np.zeros_like(score)
         for j, q in enumerate(block):
-            phrase = " ".join(q["w"])
+            phrase = " ".join(q["words"])
             # Between its first and last word a phrase has whole words; those two may be parts of longer ones.
-            near = np.flatnonzero(shared[:, j] >= len(set(q["w"][1:-1]))) if phrase else ()
+            near = np.flatnonzero(shared[:, j] >= len(set(q["words"][1:-1]))) if phrase else ()
             for i in near:
                 bonus[i, j] = 4.0 if phrase in self.title[i] else 2.0 if phrase in self.text[i] else 0.0
         some = (score + bonus) * (1 + np.minimum(0.25, shared / distinct * 0.25)) * np.maximum(0.35, 9 / np.sqrt(np.maximum(self.length, 1)))[:, None]
@@ -177,9 +189,9 @@ class Part:
         """Field scores and whether any field matched, documents x queries."""
         total, hit = np.zeros((len(self.doc), len(block))), np.zeros((len(self.doc), len(block)), bool)
         asked = _grams([q["query"] or "" for q in block])
-        tokens = sorted({w for q in block for w in q["w"]})
+        tokens = sorted({w for q in block for w in q["words"]})
         token_grams, at = _grams(tokens), {w: i for i, w in enumerate(tokens)}
-        phrases, sets = [" ".join(q["w"]) for q in block], [set(q["w"]) for q in block]
+        phrases, sets = [" ".join(q["words"]) for q in block], [set(q["words"]) for q in block]
         of_query = [np.array([at[w] for w in s], np.int64) for s in sets]
         for weight, values, field in zip(FIELDS.values(), self.values, self.field):
             if not values:
@@ -226,7 +238,7 @@ class Part:
             steps = [(14, 0.35), (60, 0.22), (365, 0.10)]
             value = [0.0 if a is None else 0.03 if a < 0 else next((s for d, s in steps if a <= d), 0.0) for a in self.age]
             scores["recency"] = np.repeat(np.array(value)[:, None], len(block), axis=1)
-        asked = np.array([len(q["w"]) > 0 for q in block])
+        asked = np.array([len(q["words"]) > 0 for q in block])
         total = sum(scores.values())
         if len(self.parts) > 1:
             total = total * np.where([x in BOOSTED for x in self.kind], BOOST, 1.0)[:, None]
@@ -270,7 +282,7 @@ def _search(parts: tuple[str, ...], k: int, digits: int, size: int, least: float
                     part, docs = Part(docs, parts), []
                 if part is None:
                     continue
-                for row in piece.select(["id", "query", "w", "terms"]).to_pylist():
+                for row in piece.select(["id", "query", "words", "terms"]).to_pylist():
                     block.append(row)
                     if len(block) == size:
                         yield part.best(block, k, digits, least)
@@ -286,20 +298,20 @@ def search(documents: DataFrame, queries: DataFrame, k: int, parts: tuple[str, .
     that gave something) and normalized (share of the query's best score). Ties of the score, rounded to `digits`, go to the
     smaller doc. With one part, documents that have nothing of it are no hits; with several, the score is 0.35 at least or
     a word or field is shared."""
-    index = written(indexed(documents), "search-index")
+    index = written(indexed(documents, parts), "search-index")
     if "lexical" in parts:
         asked = written(weighted(index, queries, aliases), "search-queries")
     else:
         full = expanded(F.col("query"), aliases or {})
         none = F.lit(None).cast("array<struct<term:string,weight:double>>")
-        asked = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("w"), none.alias("terms"))
-    size = index.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        asked = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("words"), none.alias("terms"))
+    size = index.agg(F.sum("size")).first()[0] or 0
     salts = max(1, int(size) // PART_BYTES)
     age = F.datediff(as_of, F.col("published_at")) if as_of is not None else F.lit(None).cast("int")
     part = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(salts)).cast("int")
-    nothing = {"title": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "fields": F.lit(None).cast("array<array<string>>"), "kind": F.lit(None).cast("string"), "age": F.lit(None).cast("int")}
-    columns = ["part", "asked", "id", "doc", "w", "title", "body", "fields", "kind", "age", "query", "terms"]
-    held = index.withColumns({"part": part, "asked": F.lit(0), "id": F.col("doc"), "age": age, "query": F.lit(None).cast("string"), "terms": F.lit(None).cast("array<struct<term:string,weight:double>>")}).select(*columns)
+    nothing = {"w": F.lit(None).cast("string"), "title": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "fields": F.lit(None).cast("array<array<string>>"), "kind": F.lit(None).cast("string"), "age": F.lit(None).cast("int")}
+    columns = ["part", "asked", "id", "doc", "w", "title", "body", "fields", "kind", "age", "query", "words", "terms"]
+    held = index.withColumns({"part": part, "asked": F.lit(0), "id": F.col("doc"), "age": age, "query": F.lit(None).cast("string"), "words": F.lit(None).cast("array<string>"), "terms": F.lit(None).cast("array<struct<term:string,weight:double>>")}).select(*columns)
     visits = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "asked": F.lit(1), "id": F.col("q"), "doc": F.col("q"), **nothing}).select(*columns)
     rows = held.unionByName(visits).repartition("part").sortWithinPartitions("part", "asked")
     schema = "q bigint, doc bigint, " + ", ".join(f"{p} double" for p in PARTS) + ", matched bigint, score double"
