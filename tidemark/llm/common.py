@@ -2,52 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shipping import ship
+from tidemark.storage import discard, shared_dir, written
+
+__all__ = ["CHUNK_BYTES", "chunks", "crc32_of_id", "discard", "keyed", "prepared", "shared_dir", "texts_of", "written"]
+
 #: Bytes of text that a task turns into numpy arrays at a time.
 CHUNK_BYTES = 384 * 1024
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one if it is unset (local runs)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir")
-    if not path:
-        path = spark.conf.get("tidemark.checkpoint.dir", None)
-        if not path:
-            path = tempfile.mkdtemp(prefix="tidemark-")
-            spark.conf.set("tidemark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows with whole texts reach Python in small Arrow batches, so that long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepared(spark: SparkSession) -> None:
+    """Sends the package to the executors and bounds Arrow batches in rows and bytes, so that long texts don't add up. The two
+    settings hold for the session from then on: Spark reads them when a query runs, which is after the operator returns."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:

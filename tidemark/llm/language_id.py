@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, small_batches
+from .common import crc32_of_id, prepared
 
 GRAM = 4
 SLOT_BITS = 20
@@ -142,7 +142,7 @@ def _predict(shared):
 
 def identify(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` (others are ignored), then lang_pred and score; one row per row of docs."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = docs.select("text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
     kinds = dict(docs.dtypes)
     schema = "text string, " + ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep)) + ", lang_pred string, score double"

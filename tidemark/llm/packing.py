@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import prepared, written
 
 CAPACITY = 2048
 END = 0
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: a file's name among the
     public tokenizers or its path; its ranks lie beside it."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepared(spark)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, capacity, end), schema), "pieces")

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, small_batches
+from .common import chunks, prepared
 
 MARK = "▁"
 _LITERAL = "\ud800"  # stands for a literal mark while a text is split; no UTF-8 text holds it
@@ -208,7 +208,7 @@ def _encode(path: str, kind: str, keep_ids: bool):
 def encode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", kind: str = "bpe", ids: bool = False) -> DataFrame:
     """kind: bpe or unigram, as the model was trained. One row per row of docs: doc_id, n_ids, ids_crc32 (little-endian
     unsigned 32-bit ids), decoded_sha256 (of the text that the ids decode to) and, if `ids`, the ids."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {id_type}, n_ids bigint, ids_crc32 bigint, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select("doc_id", "text").mapInArrow(_encode(model_file, kind, ids), schema)

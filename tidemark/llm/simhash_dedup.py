@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, keyed, small_batches, written
+from .common import chunks, keyed, prepared, written
 from .components import components
 
 RADIUS = 3
@@ -166,7 +166,7 @@ def _rooted(prints: DataFrame, least, radius: int, bucket: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row per row of docs: doc_id (bigint), fingerprint, component_id."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"), "fingerprints")
     labelled = written(_rooted(prints, F.min("doc_id"), radius, bucket), "labelled")
@@ -180,7 +180,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row of docs, whole, of each group: the smallest doc_id, then the smallest key of doc_id and text. A row without an
     id stays only if its group has no id at all."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     whole = keyed(docs.withColumn("row", F.struct("*")), "row")
     rows = whole.select(F.col("doc_id").cast("bigint").alias("doc_id"), "r1", "r2", "text")
     prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, r1 bigint, r2 bigint, fp bigint"), "fingerprints")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, small_batches, texts_of
+from .common import keyed, prepared, texts_of
 from .repeats import Windows, covered, with_spans
 from .suffix_order import common_prefixes, suffix_array
 
@@ -80,7 +80,7 @@ def _apply(width: int, texts_out: bool):
 def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, hot: int = 24_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the kept words joined by
     one space, or the text as it was where nothing went) and the columns `carry`."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     spec = Windows(width, prefix, words=True, hot=hot)
     id_type = dict(docs.dtypes)["doc_id"]
     spans = with_spans(keyed(docs, *carry), spec, lambda text, rest: repeated(text, rest, width))

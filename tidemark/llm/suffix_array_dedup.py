@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, small_batches, texts_of
+from .common import keyed, prepared, texts_of
 from .repeats import Windows, covered, with_spans
 from .suffix_order import common_prefixes, suffix_array
 
@@ -84,7 +84,7 @@ def _apply(width: int, texts_out: bool):
 
 def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot: int = 24_000, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if `texts`, kept (binary)."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     spec = Windows(width, anchor, words=False, hot=hot)
     id_type = dict(docs.dtypes)["doc_id"]
     spans = with_spans(keyed(docs), spec, lambda text, rest: repeated(text, rest, width))

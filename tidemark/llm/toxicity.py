@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, small_batches, written
+from .common import crc32_of_id, prepared, written
 
 SAMPLE = 4000
 TERMS = 5000
@@ -174,7 +174,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
         return Lexicon()
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = written(labelled.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < share * 1_000_000), "toxic-sample")
-    small_batches(labelled.sparkSession)
+    prepared(labelled.sparkSession)
     total = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
@@ -211,7 +211,7 @@ def _scores(shared):
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted. Fitted on labels of rows whose crc32(doc_id) mod 5 is not 0."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     held = crc32_of_id() % 5 == 0
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
