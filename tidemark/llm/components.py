@@ -51,8 +51,9 @@ def _stars(edges: DataFrame) -> DataFrame:
     """(node, root) pairs in which no root is a node with a smaller root, step by step."""
     current = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        # Large star: larger neighbours of a node point to the smallest neighbour of that node.
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Large star: larger neighbours of a node point to the smallest neighbour of that node. Both sides of the join are
+        # written tables, so a node with very many neighbours is split.
+        both = written(current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
@@ -60,11 +61,12 @@ def _stars(edges: DataFrame) -> DataFrame:
         small = written(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         moved = large.join(small.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        # Done when every node has one root and no root has a root.
-        state = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
-        open_nodes = state.where("c > 1").limit(1).count() or nxt.select("v").distinct().join(state.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").limit(1).count()
-        for old in (current, least, large, small):
-            discard(old)
+        # Done when every node has one root and no root has a root. The roots are the right side of the semi join: on the left
+        # Spark would move the join below their distinct, and all rows of a root would meet in one task.
+        roots = nxt.select(F.col("v").alias("u")).distinct()
+        several = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        open_nodes = several.limit(1).count() or nxt.select("u").join(roots.hint("merge"), "u", "left_semi").limit(1).count()
+        discard(current, both, least, large, small)
         current = nxt
         if not open_nodes:
             return current
