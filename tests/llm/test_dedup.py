@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
 from tidemark.llm.components import components
-from tidemark.llm.embedding_dedup import embedding_dedup
+from tidemark.llm.embedding_dedup import cell_visits, embedding_dedup
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.simhash_dedup import covering_masks, simhash_groups, tables
@@ -182,27 +182,54 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == [] and cls
 
 
-@pytest.mark.parametrize("n, block", [(300, 64), (1500, 256)])
-def test_embeddings(spark, n, block):
+def planted_vectors(n):
+    """Labelled vectors around a few directions, so that many pairs lie near the threshold and near borders of cells; one
+    vector is very frequent, some are unusable, very large, very small, short, without id, or share an id."""
     rng = np.random.default_rng(n)
-    base = rng.normal(size=(12, 8))
-    vec = [(base[i % 12] + rng.normal(size=8) * rng.choice([0.02, 0.15, 1.0])).astype(np.float32).tolist() for i in range(n)]
+    base = rng.normal(size=(40, 8))
+    vec = [(base[i % 40] + rng.normal(size=8) * rng.choice([0.02, 0.1, 0.15, 1.0])).astype(np.float32).astype(float).tolist() for i in range(n)]
     vec[5], vec[6], vec[7], vec[8] = None, [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7
-    vec[20:60] = [vec[19]] * 40
-    vec[70] = vec[71][:4]
-    label = [None if i % 50 == 49 else i % 3 if i < 200 else 0 for i in range(n)]
-    rows = [(i, v, x, "clash") for i, (v, x) in enumerate(zip(vec, label))]
-    got = {r.vec_id: r for r in embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, node string"), block=block, sample=400).collect()}
+    vec[20 : 20 + n // 3] = [vec[19]] * (n // 3)
+    vec[2], vec[3], vec[4] = [x * 1e300 for x in vec[19]], [x * 1e-300 for x in vec[19]], [float("inf")] * 8
+    vec[9] = vec[1][:4]
+    label = [None if i % 50 == 49 else i % 3 if i < n // 4 else 0 for i in range(n)]
+    ids = [None if i == 15 else 40 if i == n - 1 else i for i in range(n)]
+    return ids, vec, label
+
+
+@pytest.mark.parametrize("n, block, cell", [(60, 8192, 4096), (300, 64, 10), (1500, 8192, 100), (1500, 50, 100)])
+def test_embeddings(spark, n, block, cell):
+    ids, vec, label = planted_vectors(n)
+    rows = [(i, v, x, "clash", 1.0) for i, v, x in zip(ids, vec, label)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node string, unit double").repartition(4)
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup(df, block=block, sample=800, cell=cell).collect()), key=repr)
     good = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if good(v) else None for v in vec]
-    link = lambda i, j: label[i] is not None and label[i] == label[j] and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.98
-    near = [sum(link(i, j) for j in range(n) if j != i) for i in range(n)] if n <= 300 else None
-    cls = classes(n, link)
-    assert len(got) == n
+    scaled = lambda v: np.array(v) / max(map(abs, v))
+    unit = [scaled(v) / np.linalg.norm(scaled(v)) if good(v) else None for v in vec]
+    same = np.zeros((n, n), bool)
+    usable = [i for i in range(n) if unit[i] is not None and label[i] is not None and len(unit[i]) == 8]
+    u = np.stack([unit[i] for i in usable])
+    same[np.ix_(usable, usable)] = (u @ u.T >= 0.98) & (np.array([label[i] for i in usable])[:, None] == np.array([label[i] for i in usable]))
+    np.fill_diagonal(same, False)
+    if n == 1500:
+        others = np.delete(np.arange(n), np.arange(19, 20 + n // 3))
+        assert same[np.ix_(others, others)].sum() > 2000  # thousands of links besides those of the frequent vector
+    cls = classes(n, lambda i, j: same[i, j])
+    least = defaultdict(lambda: None)
     for i in range(n):
-        assert got[i].component_id == cls[i] and got[i].kept == (cls[i] == i)
-        if near:
-            assert got[i].n_links == near[i]
+        if ids[i] is not None and (least[cls[i]] is None or ids[i] < least[cls[i]]):
+            least[cls[i]] = ids[i]
+    want = sorted(((k is None, k or 0, int(same[i].sum()), least[cls[i]], k == least[cls[i]]) for i, k in enumerate(ids)), key=repr)
+    assert got == want
+
+
+def test_cells(spark):
+    """Small cells are many, every vector has one home, and visits stay below all cells where vectors lie apart."""
+    ids, vec, label = planted_vectors(1500)
+    df = spark.createDataFrame(list(zip(ids, vec, label)), "vec_id bigint, embedding array<double>, label int")
+    r = cell_visits(df, cell=50).where("size = 8").first()
+    assert r.cells >= 8 and r.vectors <= r.visits < r.vectors * r.cells
+    assert cell_visits(df.limit(0)).collect() == []
 
 
 def test_no_vectors(spark):

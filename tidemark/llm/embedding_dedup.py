@@ -4,12 +4,15 @@ Definition: vectors are compared only when labels are equal and not null; vector
 non-finite components link with nothing. Two vectors link if their cosine in double precision is `threshold` or more.
 
 Equal vectors of a label are joined first and carry a weight. Spherical k-means (fitted on a bounded sample of at most
-about `sample` vectors) assigns every distinct vector to its nearest centre. A vector whose partners may lie across a
-border also visits that cell: unit vectors within the threshold are at most r = sqrt(2 - 2 threshold) apart, so a partner
-can only be in a cell whose bisecting plane is within r. Each cell's home vectors are multiplied with all its members in
-blocks of at most `block` rows a side, so neither a cell nor a task is unbounded, and no pair is lost. A block sends on
-sums of links and a spanning forest, never pairs.
-
+about `sample` vectors) assigns every distinct vector to its nearest centre; there is a centre for every `cell` vectors,
+eight at least, and at most as many as fit in CENTRE_BYTES, which is what the broadcast is bounded by. A vector whose
+partners may lie across a border also visits that cell: unit vectors within the threshold are at most
+r = sqrt(2 - 2 threshold) apart, so a partner can only be in a cell whose bisecting plane is within r. Each cell's home
+vectors are multiplied with all its members in blocks of at most `block` rows a side, so neither a cell nor a task is
+unbounded, and no pair is lost. A usual cell is one block, whose rows are shipped once; a cell of m blocks ships its rows
+m times. A block sends on sums of links and a spanning forest, never pairs. `cell_visits` tells how many cells vectors visit.
+
+Vectors are scaled by their largest component before their length is taken, so no square overflows or vanishes.
 Vectors of different lengths link with nothing (their cosine is not defined). Repeated vec_ids are separate rows, each
 counted; the smallest id stays. An empty table gives an empty result; other columns are ignored.
 """
@@ -26,19 +29,24 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from tidemark.shipping import ship
+
+from .common import discard, written
 from .components import components, forest
 
 THRESHOLD = 0.98
 SAMPLE = 100_000
-BLOCK = 1024
+CELL = 4096
+BLOCK = 8192
+CENTRE_BYTES = 16 << 20
+SLICE = 128  # rows multiplied at a time
 
 
-def _centres(units: DataFrame, total: int, sample: int) -> np.ndarray:
+def _centres(units: DataFrame, total: int, size: int, sample: int, cell: int) -> np.ndarray:
     """Unit centres of spherical k-means."""
-    k = max(1, round(math.sqrt(total) / 16))
+    k = min(max(8, math.ceil(total / cell)), total, max(1, sample // 8), max(1, CENTRE_BYTES // (8 * size)))
     if k == 1:
-        return np.zeros((1, 1))
+        return np.full((1, size), size**-0.5)
     part = units.select(array_to_vector("unit").alias("features"))
     if total > sample:
         part = part.sample(fraction=sample / total, seed=7)
@@ -52,20 +60,18 @@ def _cells(shared, reach: float):
 
     def rows(batches):
         centres = shared.value
-        apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-        for batch in batches:
-            unit = np.stack(batch.column("unit").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
-            if len(centres) == 1:
-                home, near = np.zeros(len(unit), np.int64), np.ones((len(unit), 1), bool)
-            else:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                unit = np.stack(batch.column("unit").to_numpy(zero_copy_only=False))
                 dot = unit @ centres.T
                 home = dot.argmax(axis=1)
-                gap = dot[np.arange(len(unit)), home][:, None] - dot
-                near = gap <= (reach + 1e-9) * apart[home] + 1e-12
+                apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T)))
+                near = dot[np.arange(len(unit)), home][:, None] - dot <= (reach + 1e-9) * apart + 1e-12
                 near[np.arange(len(unit)), home] = True
-            who, cell = np.nonzero(near)
-            at = pa.array(who)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("label", "node", "weight", "unit")] + [pa.array(cell), pa.array(home[who] == cell)], names=["label", "node", "weight", "unit", "cell", "home"])
+                who, cell = np.nonzero(near)
+                columns = [batch.column(c).take(pa.array(who)) for c in ("label", "node", "weight", "unit")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(home[who] == cell)], names=["label", "node", "weight", "unit", "cell", "home"])
 
     return rows
 
@@ -75,63 +81,103 @@ def _block_links(threshold: float):
         home, members = pdf[pdf["left"]], pdf[~pdf["left"]]
         if not len(home) or not len(members):
             return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-        a, b = np.stack(home["unit"].to_numpy()), np.stack(members["unit"].to_numpy())
-        near = a @ b.T >= threshold
-        an, bn = home["node"].to_numpy(), members["node"].to_numpy()
-        near &= an[:, None] != bn[None, :]
-        links = near @ members["weight"].to_numpy()
-        i, j = np.nonzero(near)
-        node, root = forest(an[i], bn[j]) if len(i) else (np.zeros(0, np.int64),) * 2
+        a, b = np.stack(home["unit"].to_numpy()), np.stack(members["unit"].to_numpy()).T
+        an, bn, weight = home["node"].to_numpy(), members["node"].to_numpy(), members["weight"].to_numpy()
+        links, us, vs = np.zeros(len(an), np.int64), [], []
+        for at in range(0, len(an), SLICE):
+            near = a[at : at + SLICE] @ b >= threshold
+            near &= an[at : at + SLICE, None] != bn
+            links[at : at + SLICE] = near @ weight
+            i, j = np.nonzero(near)
+            u, v = forest(an[at + i], bn[j]) if len(i) else (np.zeros(0, np.int64),) * 2
+            us.append(u), vs.append(v)
+        node, root = forest(np.concatenate(us), np.concatenate(vs))
         some = links > 0
-        return pd.DataFrame({"node": np.concatenate([an[some], node]), "links": np.concatenate([links[some], np.zeros(len(node), np.int64)]), "root": np.concatenate([an[some], root])})
+        none = np.zeros(len(node), np.int64)
+        return pd.DataFrame({"node": np.concatenate([an[some], node]), "links": np.concatenate([links[some], none]), "root": np.concatenate([an[some], root])})
 
     return solve
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """vectors: vec_id, embedding, label. One row per row: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, v (NULL if the vector links with nothing) and unit, the vector of length one."""
     wide = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", "label", F.when(F.coalesce(finite, F.lit(False)), wide).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("norm", norm)
-    usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    rows = rows.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    usable = F.coalesce(F.col("label").isNotNull() & (F.col("top") > 0), F.lit(False))
     # -0.0 and 0.0 are one value.
     rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + 0.0)))
-    groups = rows.where("v is not null").groupBy("label", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.first("norm").alias("norm"))
-    groups = groups.withColumns({"node": F.xxhash64("label", "v", F.lit(5)), "unit": F.transform("v", lambda x: x / F.col("norm"))})
-    groups = written(groups, "vectors")
-    dims = {r.d: r.n for r in groups.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # lengths of vectors: few
-    found = None
-    for d, total in sorted(dims.items()):
-        of_size = groups.where(F.size("v") == d) if len(dims) > 1 else groups
-        one = _links(of_size, total, threshold, sample, block)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "node bigint, links bigint, root bigint")
+    rows = rows.withColumn("scaled", F.transform("v", lambda x: x / F.col("top")))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x)))
+    return rows.select("vec_id", "label", "v", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """One row per distinct vector of a label."""
+    one = rows.where("v is not null").groupBy("label", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
+    return one.withColumn("node", F.xxhash64("label", "v", F.lit(5)))
+
+
+def _by_size(groups: DataFrame) -> list[tuple[int, int, DataFrame]]:
+    """(length, vectors, rows) for each length of vectors; lengths are few."""
+    sizes = groups.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    return [(r.d, r.n, groups.where(F.size("v") == r.d) if len(sizes) > 1 else groups) for r in sizes]
+
+
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """vectors: vec_id, embedding, label. One row per row: vec_id, n_links, component_id, kept."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = _usable(vectors)
+    groups = written(_groups(rows), "vectors")
+    found, used = spark.createDataFrame([], "node bigint, links bigint, root bigint"), []
+    for size, total, some in _by_size(groups):
+        found = found.unionByName(_links(some, total, size, threshold, sample, block, cell, used))
     found = written(found, "vector-links")
+    discard(*used)
     links = found.groupBy("node").agg(F.sum("links").alias("others"))
     roots = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     labelled = groups.select("label", "v", "node", "least", "weight").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = written(labelled.join(links.hint("merge"), "node", "left"), "vector-groups")
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written out, so that the join with it can split a very large component.
+    names = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "vector-names")
     named = labelled.join(names.hint("merge"), "root").select("label", "v", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    linked = rows.where("v is not null").select("vec_id", "label", "v").join(named.hint("merge"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    linked = rows.where("v is not null").select("vec_id", "label", "v").join(written(named, "vector-named").hint("merge"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    discard(groups, found, labelled, names)
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(groups: DataFrame, total: int, threshold: float, sample: int, block: int) -> DataFrame:
-    """node, links (weights of the vectors linked with it, in parts) and root (a forest of the links)."""
-    spark = groups.sparkSession
-    shared = spark.sparkContext.broadcast(_centres(groups, total, sample))  # about sqrt(rows) / 16 centres
+def _placed(groups: DataFrame, total: int, size: int, threshold: float, sample: int, cell: int) -> DataFrame:
+    """label, node, weight, unit, cell and home: a row for each cell that a vector visits."""
+    shared = groups.sparkSession.sparkContext.broadcast(_centres(groups, total, size, sample, cell))  # CENTRE_BYTES at most
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     label = dict(groups.dtypes)["label"]
-    placed = groups.select("label", "node", "weight", "unit").mapInArrow(_cells(shared, reach), f"label {label}, node bigint, weight bigint, unit array<double>, cell bigint, home boolean")
+    return groups.select("label", "node", "weight", "unit").mapInArrow(_cells(shared, reach), f"label {label}, node bigint, weight bigint, unit array<double>, cell bigint, home boolean")
+
+
+def cell_visits(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+    """size, cells, vectors, visits: how many cells the distinct vectors of each length visit in all."""
+    ship(vectors.sparkSession)
+    found = None
+    for size, total, some in _by_size(written(_groups(_usable(vectors)), "vectors")):
+        placed = _placed(some, total, size, threshold, sample, cell)
+        one = placed.agg(F.lit(size).alias("size"), F.countDistinct("cell").alias("cells"), F.count_if("home").alias("vectors"), F.count(F.lit(1)).alias("visits"))
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], "size int, cells bigint, vectors bigint, visits bigint")
+
+
+def _links(groups: DataFrame, total: int, size: int, threshold: float, sample: int, block: int, cell: int, used: list[DataFrame]) -> DataFrame:
+    """node, links (weights of the vectors linked with it, in parts) and root (a forest of the links). used: takes the tables
+    that the result reads."""
+    placed = written(_placed(groups, total, size, threshold, sample, cell), "placed")
+    block = max(1, min(block, (64 << 20) // (8 * size)))  # bytes of a block are bounded too
     sizes = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
-    sizes = sizes.select("label", "cell", F.ceil(F.col("members") / block).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.col("homes") / block)).cast("int").alias("hb"))
-    cells = placed.join(written(sizes, "cells").hint("merge"), ["label", "cell"])
+    sizes = sizes.where("homes > 0").select("label", "cell", F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("homes") / block).cast("int").alias("hb"))
+    sizes = written(sizes, "cells")
+    used += [placed, sizes]
+    cells = placed.join(sizes.hint("merge"), ["label", "cell"])
     part = F.xxhash64("node", F.lit(11))
     right = cells.select("label", "cell", "node", "weight", "unit", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod(part, F.col("mb")).cast("int").alias("b"), F.lit(False).alias("left"))
     left = cells.where("home").select("label", "cell", "node", "weight", "unit", F.pmod(part, F.col("hb")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("b"), F.lit(True).alias("left"))
