@@ -91,7 +91,8 @@ def test_packing(spark, documents):
     odd = ODD + ["see <|endoftext|> here", "word " * 9000]
     df = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)] + [(None, "a b")] * 2, "doc_id bigint, text string"))
     texts = {r.doc_id: r.text or "" for r in df.collect()}
-    got = packing.pack(df).collect()
+    clash = df.selectExpr("*", "1 AS piece", "'x' AS id", "2.5 AS size", "true AS sequence_id")  # names used inside
+    got = packing.pack(clash).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = defaultdict(list)
     for r in got:
@@ -116,29 +117,63 @@ def test_packing(spark, documents):
     assert packing.pack(df.where("doc_id = -1")).collect() == []
 
 
-def test_plan_is_best_fit_decreasing():
-    rnd = random.Random(4)
-    for _ in range(60):
-        capacity = rnd.choice([10, 64, 200])
-        counts = {n: rnd.randint(1, 30) for n in rnd.sample(range(1, capacity + 1), rnd.randint(1, 9))}
-        slots, n = packing.plan(counts, capacity)
-        used = defaultdict(list)
-        for length, rank, count, first, offset in slots.tolist():
-            for i in range(count):
-                used[first + i].append((offset, length))
-        assert sum(s[2] for s in slots.tolist()) == sum(counts.values()) and len(used) == n
-        for x in used.values():
-            x.sort()
-            assert x[0][0] == 0 and sum(m for _, m in x) <= capacity and all(a + m == b for (a, m), (b, _) in pairwise(x))
-        gaps = []
-        for length in sorted((k for k, c in counts.items() for _ in range(c)), reverse=True):
-            fit = [g for g in gaps if g >= length]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - length)
-            else:
-                gaps.append(capacity - length)
-        assert n <= len(gaps) * 1.05 + 1
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= size]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind, range_rows", [("mixed", 10**6), ("mixed", 40), ("hot", 60), ("tiny", 50), ("large", 30), ("one", 5)])
+def test_rounds(spark, kind, range_rows):
+    """Every piece is placed once, no sequence overflows, and there are few more sequences than best fit decreasing needs;
+    with one range and with many, and with one very frequent length."""
+    rnd = random.Random(kind)
+    sizes = {
+        "mixed": [rnd.randint(1, 199) for _ in range(400)],
+        "hot": [67] * 300 + [rnd.randint(1, 199) for _ in range(200)],
+        "tiny": [rnd.randint(1, 9) for _ in range(500)],
+        "large": [rnd.randint(101, 199) for _ in range(200)],
+        "one": [7],
+    }[kind]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "id bigint, size bigint").repartition(3)
+    got = packing.rounds(pieces, 200, salts=8, range_rows=range_rows).collect()
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence] += sizes[r.id]
+    assert sorted(r.id for r in got) == list(range(len(sizes))) and max(fill.values()) <= 200
+    assert len(fill) <= best_fit_decreasing(sizes, 200) * 1.03 + 1
+
+
+def test_exchange():
+    """Ranks past a gap's share go to the next range above; a gap takes as many pieces as surely fit."""
+    assert packing.exchange([(0, 0, None, 2, 100), (1, 3, 60, 2, 50), (2, 7, 20, 0, None)]) == [(1, 0, 2, 0, 0, 1), (2, 0, 4, 1, 0, 2)]
+    assert packing.exchange([(0, 5, 10, 0, None)]) == []
+
+
+def test_ids_of_all_kinds_of_characters():
+    import sys
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k.json")
+    kinds = defaultdict(list)
+    for i in range(sys.maxunicode + 1):
+        if not 0xD800 <= i <= 0xDFFF:
+            kinds[unicodedata.category(chr(i))].append(chr(i))
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+    rnd = random.Random(8)
+    for _ in range(1500):
+        few = [rnd.choice(kinds[rnd.choice(list(kinds))]) for _ in range(6)] + list("aé'0 \n") + [rnd.choice(spaces), rnd.choice(kinds["Mn"])]
+        text = "".join(rnd.choices(few, k=rnd.randint(1, 30)))
+        assert ids(text) == exact.encode(text, add_special_tokens=False).ids, ascii(text)
+    for text in (" " * 5000, "a" * 20_000, "\n\t" * 3000, "́" * 2000, "'s" * 3000, "9" * 5000):
+        assert ids(text) == exact.encode(text, add_special_tokens=False).ids
 
 
 def test_sentencepiece_best_segmentation():
