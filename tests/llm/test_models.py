@@ -184,7 +184,7 @@ def test_sentencepiece_best_segmentation():
         if not word:
             return 0.0
         options = [m.scored[word[i:]][1] + best(word[:i]) for i in range(len(word)) if word[i:] in m.scored]
-        return max([best(word[:-1]) + m.penalty, *options])
+        return max([best(word[:-1]) + m.penalty] * (word[-1] not in m.scored) + options)
 
     for word, ids in m.forward(sorted(words)):
         scores = {i: s for i, s in m.scored.values()}
@@ -215,6 +215,9 @@ def test_sentencepiece_round_trip(spark, documents):
     odd = [*ODD, "  two  spaces  ", "tab\tnew\nline  ​", " ", "▁▁ a▁b", "日本語 emoji 🎉"]
     df = documents.limit(100).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
     texts = {r.doc_id: r.text or "" for r in df.collect()}
+    twice = spark.createDataFrame([(None, "a b", 1, "x"), (None, "a b", 1, "x"), (5, None, None, None)], "doc_id bigint, text string, n_ids int, ids string")
+    got = sorted(map(tuple, sentencepiece_codec.encode(twice).collect()), key=repr)
+    assert got[1] == got[2] and got[1][1] == len(sp.encode("a b")) and got[0][:3] == (5, 0, 0)
     encoded = sentencepiece_codec.encode(df, ids=True).cache()
     assert {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded).collect()} == texts
     for r in encoded.collect():

@@ -1,22 +1,26 @@
-"""SentencePiece encoding and decoding by shared-prefix forward tables (Viterbi for unigram models).
+"""SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 Encoding: a text gets a space in front, every space becomes the mark U+2581, and the text is split before each run of
 marks into marked words. Distinct words of a batch are sorted, which lays them out as a trie in depth-first order: the
 forward table of the prefix shared with the word before is kept, and only the branch below it is computed.
 
-* Unigram models: the table holds each prefix's best sum of piece scores and the start of its last piece (on a tie, the
-  longer piece).
-* BPE models: scores are merge ranks, and the best sum of them is not what merging gives. Here the table holds, for each
-  prefix, the last piece of its encoding. That is enough, because the encoding of a prefix followed by a piece is an
-  encoding exactly if the last two pieces, merged from their characters, come out as these two. The ids equal those of
-  the library.
+The forward table holds, for each prefix, the best sum of piece scores, the last piece and where it starts. A piece may
+follow a prefix
+
+* in unigram models always;
+* in BPE models if the prefix's last piece and it, merged from their characters, come out as these two. Scores of BPE
+  models are merge ranks, and the best sum over all segmentations is not what merging gives; over the transitions allowed
+  here it is. The ids equal those of the library.
+
+On a tie the longer piece wins.
 
 A character in no piece is written as the byte pieces of its UTF-8. Decoding puts pieces and bytes together, turns marks
 into spaces and drops the first one; it gives back every text exactly. A literal U+2581 in a text is written as bytes, so
 it does not come back as a space.
 
-Null and empty texts have no ids and decode to the empty text. Rows are independent; an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+Null and empty texts have no ids and decode to the empty text. Rows are independent, so equal rows give equal rows and a
+null doc_id stays null; an empty table gives an empty result; columns other than doc_id and text are ignored. A very long
+text is encoded like any other, word by word, and so is a very long word (its forward table grows with it).
 """
 
 from __future__ import annotations
@@ -54,9 +58,9 @@ class Model:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.scored = {self.pieces[i]: (i, sp.get_score(i)) for i in usable}
-        # Ends of pieces, from two characters on; for those that are pieces and come out of merging their own characters: which
-        # pieces may stand before them, as far as it was asked.
-        whole = [p for p in self.scored if kind == "bpe" and len(p) > 1 and self.merge(p) == [p]]
+        # Ends of pieces, from two characters on; for those that are pieces (and, in BPE models, come out of merging their own
+        # characters): which pieces may stand before them, as far as it was asked.
+        whole = [p for p in self.scored if len(p) > 1 and (kind == "unigram" or self.merge(p) == [p])]
         self.tails: dict[str, dict[str, bool] | None] = {p[i:]: None for p in whole for i in range(len(p) - 1)}
         self.tails.update((p, {}) for p in whole)
         self.bytes = [0] * 256
@@ -68,7 +72,6 @@ class Model:
             self.text_of[i] = self.pieces[i].replace(MARK, " ").encode()
         for value, i in enumerate(self.bytes):
             self.text_of[i] = bytes((value,))
-        self.longest = max(map(len, self.scored))
         self.penalty = min(s for _, s in self.scored.values()) - 10.0
 
     def fallback(self, char: str) -> list[int]:
@@ -76,8 +79,8 @@ class Model:
 
     def forward(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) for sorted distinct words, in order."""
-        best, back = [0.0], [0]  # of each prefix of the current word: score or last piece, and where its last piece starts
-        step = self.best_score if self.kind == "unigram" else self.last_piece
+        scored, tails, free, penalty = self.scored, self.tails, self.kind == "unigram", self.penalty
+        best, piece, back = [0.0], [""], [0]  # of each prefix of the current word: score, last piece and its start
         last = ""
         for word in words:
             shared = 0
@@ -85,49 +88,36 @@ class Model:
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :]
+            del best[shared + 1 :], piece[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                step(word, end, best, back)
+                char = word[end - 1]
+                hit = scored.get(char)
+                top, own, start, at = best[end - 1] + (penalty if hit is None else hit[1]), char, end - 1, end - 2
+                found = free
+                while at >= 0:
+                    tail = word[at:end]
+                    before = tails.get(tail, False)
+                    if before is False:
+                        break
+                    if before is not None:
+                        allowed = free or at == 0 or before.get(piece[at])
+                        if allowed is None:
+                            allowed = before[piece[at]] = self.stay_apart(piece[at], tail)
+                        # A character stands for itself only where no longer piece may follow.
+                        if allowed and (not found or best[at] + scored[tail][1] >= top):
+                            found, top, own, start = True, best[at] + scored[tail][1], tail, at
+                    at -= 1
+                best.append(top), piece.append(own), back.append(start)
             ids: list[int] = []
             end = len(word)
             while end:
-                start = back[end]
-                hit = self.scored.get(word[start:end])
-                ids.extend((hit[0],) if hit is not None else reversed(self.fallback(word[start:end])))
-                end = start
+                hit = scored.get(piece[end])
+                ids.extend((hit[0],) if hit is not None else reversed(self.fallback(piece[end])))
+                end = back[end]
             ids.reverse()
             last = word
             yield word, ids
 
-    def best_score(self, word: str, end: int, best: list, back: list) -> None:
-        top, start, get = best[end - 1] + self.penalty, end - 1, self.scored.get
-        for at in range(max(0, end - self.longest), end):
-            hit = get(word[at:end])
-            if hit is not None and (score := best[at] + hit[1]) > top:
-                top, start = score, at
-        best.append(top)
-        back.append(start)
-
-    def last_piece(self, word: str, end: int, best: list, back: list) -> None:
-        tails, found = self.tails, []
-        for at in range(end - 2, -1, -1):
-            known = tails.get(word[at:end], False)
-            if known is None:
-                continue
-            if known is False:
-                break
-            found.append((at, known))
-        for at, known in reversed(found):
-            ok = at == 0 or known.get(best[at])
-            if ok is None:
-                ok = known[best[at]] = self.stay_apart(best[at], word[at:end])
-            if ok:
-                best.append(word[at:end])
-                back.append(at)
-                return
-        best.append(word[end - 1])
-        back.append(end - 1)
-
     def edges(self, piece: str, left: bool) -> list[str]:
         """What stands at one end of a piece while it is merged from its characters."""
         known = self.ends[left]
