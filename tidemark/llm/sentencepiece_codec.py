@@ -41,7 +41,7 @@ from .common import chunks, prepared
 MARK = "▁"
 _LITERAL = "\ud800"  # stands for a literal mark while a text is split; no UTF-8 text holds it
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-MEMO = 200_000  # words a task remembers
+MEMO = 500_000  # words a task remembers
 
 
 class Model:
