@@ -48,15 +48,59 @@ def corpus(spark):
     return spark.createDataFrame(data, SCHEMA).repartition(5), [(r[0], (r[1] or "").encode()) for r in data]
 
 
-@pytest.mark.parametrize("hot", [24_000, 2])
+@pytest.mark.parametrize("hot", [1 << 19, 3000, 2])
 @pytest.mark.parametrize("op, plain, width", [(suffix_array_dedup, brute.byte_repeats, 200), (substring_dedup, brute.word_repeats, 35)])
 def test_substrings(corpus, op, plain, width, hot):
+    """All columns, with groups that hold all, with longer prefixes for some groups, and with whole windows for all."""
     df, rows = corpus
-    want = sorted((k is None, k or 0, sha(x)) for (k, _), x in zip(rows, plain([t for _, t in rows], width)))
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.kept_sha256) for r in op(df, hot=hot).collect())
+    want = sorted((k is None, k or 0, n, gone, spans if op is suffix_array_dedup else 0, sha(x)) for (k, _), (n, gone, spans, x) in zip(rows, plain([t for _, t in rows], width)))
+    size = "n_bytes" if op is suffix_array_dedup else "n_words"
+    got = op(df, hot=hot).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r[size], r.n_removed, r.n_spans if op is suffix_array_dedup else 0, r.kept_sha256) for r in got)
     assert got == want
 
 
+def test_index_and_tree_of_many_small_texts():
+    """Both indexes against plain search; the first run of a text matters as much as the others."""
+    from tidemark.llm import substring_dedup as tree, suffix_array_dedup as runs
+
+    rnd = random.Random(11)
+    for _ in range(400):
+        parts = [[rnd.randint(1, 3) for _ in range(rnd.randint(0, 14))] for _ in range(rnd.randint(1, 6))]
+        parts += [parts[0]] * rnd.randint(0, 2)
+        text = np.array([x for part in parts for x in (*part, 0)])
+        rest = np.array([len(part) - i for part in parts for i in range(len(part) + 1)])
+        places = [(k, i) for k, part in enumerate(parts) for i in range(len(part) + 1)]
+        windows = [tuple(parts[k][i : i + 4]) if i + 4 <= len(parts[k]) else None for k, i in places]
+        want = [w is not None and windows.count(w) > 1 for w in windows]
+        for op in (tree, runs):
+            assert (op.repeated(text, rest, 4) & (rest >= 4)).tolist() == want
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_longer_prefixes(words):
+    """Finer runs hold every window of a run once, and equal windows of different runs are filed under one prefix."""
+    from tidemark.llm import repeats
+
+    rnd = random.Random(9)
+    spec = repeats.Windows(12, 4, words, 100)
+    letters = [rnd.choice("abc") for _ in range(300)] * 2
+    text = (" " if words else "").join(letters).encode()
+    u = repeats.units_of([text], words)
+    filed, seen = {}, []
+    for t, start, n, mh, sh in zip(*(x.tolist() for x in repeats.runs_of(u, spec))):
+        body = repeats.cut(text, spec, [start], [abs(n)])[0]
+        row = [(1, 2, mh, sh, start, abs(n), True, body)]
+        batch = repeats.pa.RecordBatch.from_arrays([repeats.pa.array(c, f.type) for c, f in zip(zip(*row), repeats.PIECE)], schema=repeats.PIECE)
+        for out in repeats.finer_runs(spec)(iter([batch])):
+            for r in out.to_pylist():
+                for i in range(r["n"]):
+                    seen.append(r["start"] + i)
+                    window = tuple(letters[r["start"] + i : r["start"] + i + 12])
+                    assert filed.setdefault(window, r["mh"]) == r["mh"]
+    assert sorted(seen) == list(range(600 - 12 + 1))
+
+
 def test_substrings_of_a_long_text_in_pieces(spark, monkeypatch):
     from tidemark.llm import repeats
 
@@ -64,12 +108,12 @@ def test_substrings_of_a_long_text_in_pieces(spark, monkeypatch):
     words = [str(rnd.randrange(1000)) for _ in range(4000)]
     words[3000:3050] = words[100:150]
     text = " ".join(words).encode()
-    for spec, n in ((repeats.Windows(35, 6, True), len(words)), (repeats.Windows(200, 40, False), len(text))):
+    for spec, n in ((repeats.Windows(35, 6, True, 1000), len(words)), (repeats.Windows(200, 40, False, 1000), len(text))):
         pieces = repeats.pieces_of([text], spec, limit=3000)
         assert len(pieces) > 2
         seen = []
         for _, base, body in pieces:
-            _, start, count, _, _ = repeats.runs_of(*repeats.units_of([body], spec.words), spec)
+            _, start, count, _, _ = repeats.runs_of(repeats.units_of([body], spec.words), spec)
             seen += [base + a + i for a, c in zip(start, np.abs(count)) for i in range(c)]
         assert sorted(seen) == list(range(n - spec.width + 1))
 

@@ -2,14 +2,20 @@
 
 Every window is filed under the smallest hash of the K-grams in it (its anchor). Equal windows have equal anchors, so
 repeats are found per anchor, exactly, while a text moves only about two rows per W-K+2 units. Consecutive windows with
-one anchor form a *run*; a run is stored as positions and two 64-bit digests, not as text.
-
-1. Count runs per anchor, combined before the shuffle. An anchor met once is dropped: its windows are unique.
-2. Anchors whose runs are all alike have only repeated windows. Other anchors are *contested*.
-3. Of equal contested runs one copy goes on; runs met twice are repeated as a whole. An index over the distinct runs of
-   each anchor finds the repeated windows of the rest. Its groups are bounded: anchors with over `hot` distinct runs are
-   split by whole windows instead, and counted.
-4. The spans of each document are gathered and applied to its text.
+one anchor form a *run* of bounded length; a run is stored as positions and a digest of its content, not as text.
+
+1. Write the runs, and count them per anchor. An anchor met once is dropped: its windows are unique.
+2. Equal runs of an anchor are one *kind*, kept with its number of copies: a kind met twice is repeated as a whole. An
+   anchor of a single kind needs no more than that number.
+3. An index over the kinds of each other anchor finds the repeated windows of the kinds met once. Its groups are bounded
+   in units of text.
+4. An anchor whose kinds are more than a group may hold is split by a longer prefix: windows are filed under the anchor
+   with about half a window of what follows it (or, where the anchor stands late in the window, of what comes before it).
+   Equal windows have the same place of the anchor and so the same prefix. Steps 2 and 3 are done again with these groups.
+5. Where even half a window is shared by too many kinds, the prefix is the whole window, which is then counted.
+6. The spans of each document are gathered and applied to its text.
+
+Kinds are told apart by anchor and content digest, 128 bits together; the index compares the content itself.
 """
 
 from __future__ import annotations
@@ -18,12 +24,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, written
+from .common import CHUNK_BYTES, chunks, discard, written
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -35,12 +42,22 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 @dataclass(frozen=True)
 class Windows:
-    """width: units in a window; gram: units in an anchor; words: units are words, else bytes."""
+    """width: units in a window; gram: units in an anchor; words: units are words, else bytes; hot: units of text that a group
+    of the index may hold."""
 
     width: int
     gram: int
     words: bool
-    hot: int = 24_000
+    hot: int
+
+    @property
+    def prefix(self) -> int:
+        """Units of the longer prefix: as many as surely follow or precede the anchor in a window."""
+        return (self.width + self.gram + 1) // 2
+
+
+#: Windows of a run, at most.
+LONGEST = 8192
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -98,38 +115,57 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: the sum of mixed values of its bytes and their places."""
     if not len(starts):
         return np.zeros(0, U64)
     lens = ends - starts
     total = np.cumsum(lens)
     place = np.arange(total[-1]) - np.repeat(total - lens, lens)
-    table = np.empty(max(int(lens.max()), 1), U64)
-    table[0] = 1
-    table[1:] = BASE
-    table = np.multiply.accumulate(table)
-    chars = buf[np.repeat(starts, lens) + place] if int(total[-1]) != len(buf) else buf
-    return np.add.reduceat(BYTE_VALUE[chars] * table[place], total - lens) ^ (lens.astype(U64) << U64(56))
+    chars = buf[np.repeat(starts, lens) + place]
+    return np.add.reduceat(mixed(BYTE_VALUE[chars] + place.astype(U64) * BASE), total - lens) ^ (lens.astype(U64) << U64(56))
+
+
+def squeezed(text: bytes) -> bytes:
+    """The words of a text with one space between them."""
+    return b" ".join(text.split())
 
 
-def units_of(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed units of several texts in a row, the offset of each text (one more at the end), and what runs are hashed from."""
-    buf = np.frombuffer(b"\n".join(texts) if words else b"".join(texts), np.uint8)
+@dataclass
+class Units:
+    """Hashed units of several texts in a row; text i has units offsets[i] to offsets[i + 1]. Unit i of the row is
+    raw[starts[i]:ends[i]]."""
+
+    hashes: np.ndarray
+    offsets: np.ndarray
+    raw: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def units_of(texts: list[bytes], words: bool) -> Units:
+    """texts: of words, with one space between them."""
+    raw = (b"\n" if words else b"").join(texts)
+    buf = np.frombuffer(raw, np.uint8)
     lens = np.array([len(x) for x in texts], np.int64)
     if not words:
-        return BYTE_VALUE[buf], np.concatenate([[0], np.cumsum(lens)]), buf
+        at = np.arange(len(buf) + 1)
+        return Units(BYTE_VALUE[buf], np.concatenate([[0], np.cumsum(lens)]), raw, at[:-1], at[1:])
     starts, ends = word_bounds(buf)
-    hashes = word_hashes(buf, starts, ends)
-    at = np.concatenate([[0], np.cumsum(lens + 1)])
-    return hashes, np.searchsorted(starts, at), hashes
+    return Units(word_hashes(buf, starts, ends), np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens + 1)])), raw, starts, ends)
+
+
+def digests(u: Units, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A digest of the content of units first[i] to last[i]."""
+    view, digest = memoryview(u.raw), xxhash.xxh3_64_intdigest
+    return np.array([digest(view[a:b]) for a, b in zip(u.starts[first].tolist(), u.ends[last].tolist())], U64).view(np.int64)
 
 
-def runs_of(units: np.ndarray, offsets: np.ndarray, raw: np.ndarray, spec: Windows):
+def runs_of(u: Units, spec: Windows):
     """Runs of all texts: text number, start in the text, windows (negative if a window may repeat inside), anchor, digest."""
-    W, none = spec.width, (np.zeros(0, np.int64),) * 5
-    if len(units) < W:
+    W, none, offsets = spec.width, (np.zeros(0, np.int64),) * 5, u.offsets
+    if len(u.hashes) < W:
         return none
-    h = gram_hashes(units, spec.gram)
+    h = gram_hashes(u.hashes, spec.gram)
     m = window_min(h, W - spec.gram + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(m)]
     at = np.arange(len(m))
@@ -143,15 +179,17 @@ def runs_of(units: np.ndarray, offsets: np.ndarray, raw: np.ndarray, spec: Windo
     first, n = first[keep], n[keep]
     if not len(first):
         return none
+    if n.max() > LONGEST:
+        parts = -(-n // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, n = np.repeat(first, parts) + nth * LONGEST, np.minimum(LONGEST, np.repeat(n, parts) - nth * LONGEST)
     anchor = m[first]
     small = np.flatnonzero(h <= anchor.max())
     order = np.lexsort((small, h[small]))
     small = small[order]
     twice = (h[small][1:] == h[small][:-1]) & (small[1:] - small[:-1] < 2 * W)
     again = np.isin(anchor, h[small][1:][twice]) if twice.any() else np.zeros(len(first), bool)
-    view, step, digest = memoryview(raw).cast("B"), raw.itemsize, xxhash.xxh3_64_intdigest
-    sh = np.array([digest(view[a:b]) for a, b in zip((first * step).tolist(), ((first + n + W - 1) * step).tolist())], U64)
-    return text[first], first - offsets[:-1][text[first]], np.where(again, -n, n), anchor.view(np.int64), sh.view(np.int64)
+    return text[first], first - offsets[:-1][text[first]], np.where(again, -n, n), anchor.view(np.int64), digests(u, first, first + n + W - 2)
 
 
 RUN = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("mh", pa.int64()), ("sh", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -179,10 +217,10 @@ def run_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             r1, r2 = (batch.column(c).to_numpy() for c in ("r1", "r2"))
-            pieces = pieces_of(texts, spec)
+            pieces = pieces_of([squeezed(x) for x in texts] if spec.words else texts, spec)
             groups = [pieces] if sum(len(p[2]) for p in pieces) <= 4 * CHUNK_BYTES else [[p] for p in pieces]
             for group in groups:
-                t, start, n, mh, sh = runs_of(*units_of([p[2] for p in group], spec.words), spec)
+                t, start, n, mh, sh = runs_of(units_of([p[2] for p in group], spec.words), spec)
                 if len(t):
                     who, base = np.array([p[0] for p in group])[t], np.array([p[1] for p in group])[t]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[who], r2[who], mh, sh, start + base, n)], schema=RUN)
@@ -191,33 +229,70 @@ def run_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def cut(text: bytes, spec: Windows, starts: list[int], ns: list[int]) -> list[bytes]:
-    """The units of each run of a text: bytes, or the 64-bit hashes of words."""
+    """The bytes of each run of a text; words have one space between them."""
     if not spec.words:
         return [text[a : a + n + spec.width - 1] for a, n in zip(starts, ns)]
-    buf = np.frombuffer(text, np.uint8)
-    hashes = word_hashes(buf, *word_bounds(buf))
-    return [hashes[a : a + n + spec.width - 1].tobytes() for a, n in zip(starts, ns)]
+    whole = squeezed(text)
+    first, last = word_bounds(np.frombuffer(whole, np.uint8))
+    return [whole[first[a] : last[a + n + spec.width - 2]] for a, n in zip(starts, ns)]
 
 
-PIECE = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("mh", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("once", pa.bool_()), ("body", pa.binary())])
+PIECE = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("mh", pa.int64()), ("sh", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("once", pa.bool_()), ("body", pa.binary())])
+
+
+def _pieces(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size."""
+    out: list[tuple] = []
+    size = 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1])
+        if len(out) >= 4096 or size >= 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
 
 
 def run_bodies(spec: Windows):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run with its bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch, texts in chunks(batches):
-            out: list[list] = [[] for _ in PIECE]
             for r1, r2, runs, text in zip(batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), batch.column("runs").to_pylist(), texts):
-                bodies = cut(text, spec, [x["start"] for x in runs], [x["n"] for x in runs])
-                for x, body in zip(runs, bodies):
-                    for col, v in zip(out, (r1, r2, x["mh"], x["start"], x["n"], x["once"], body)):
-                        col.append(v)
-                    if len(out[0]) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECE)], schema=PIECE)
-                        out = [[] for _ in PIECE]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECE)], schema=PIECE)
+                for x, body in zip(runs, cut(text, spec, [x["start"] for x in runs], [x["n"] for x in runs])):
+                    yield r1, r2, x["mh"], x["sh"], x["start"], x["n"], x["once"], body
+
+    return lambda batches: _pieces(rows(batches))
+
+
+def finer_runs(spec: Windows):
+    """Runs filed under a longer prefix: the anchor with what follows it, or what comes before it, in all windows of the run."""
+    W, K, L = spec.width, spec.gram, spec.prefix
+
+    def parts(mh: int, body: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+        u = units_of([body], spec.words)
+        n = len(u.hashes) - W + 1
+        places = np.flatnonzero(gram_hashes(u.hashes, K).view(np.int64) == mh)
+        at = places[np.searchsorted(places, np.arange(n))]  # the first anchor in each window
+        behind = at - np.arange(n) + L <= W
+        new = np.flatnonzero((at[1:] != at[:-1]) | (behind[1:] != behind[:-1])) + 1
+        first = np.concatenate([[0], new])
+        count = np.diff(np.append(first, n))
+        begin = np.where(behind[first], at[first], at[first] + K - L)
+        key = digests(u, begin, begin + L - 1)
+        own = digests(u, first, first + count + W - 2)
+        for a, c, k, side, d in zip(first.tolist(), count.tolist(), key.tolist(), behind[first].tolist(), own.tolist()):
+            filed = xxhash.xxh3_64_intdigest(b"%d %d %d" % (mh, k, side)) - 2**63
+            yield a, c, filed, d, u.raw[u.starts[a] : u.ends[a + c + W - 2]]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for r1, r2, mh, start, body in zip(*(batch.column(c).to_pylist() for c in ("r1", "r2", "mh", "start", "body"))):
+                for a, c, filed, own, part in parts(mh, body):
+                    yield r1, r2, filed, own, start + a, c, True, part
 
-    return rows
+    return lambda batches: _pieces(rows(batches))
 
 
 SPAN = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -235,12 +310,15 @@ def indexed(spec: Windows, repeated: Callable[[np.ndarray, np.ndarray], np.ndarr
     window that starts there also starts elsewhere."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        kind = np.uint64 if spec.words else np.uint8
-        parts = [np.frombuffer(x[5], kind) for x in rows]
-        lens = np.array([len(p) for p in parts])
-        flat = np.concatenate(parts)
         if spec.words:
-            flat = np.unique(flat, return_inverse=True)[1]
+            split = [x[5].split() for x in rows]
+            lens = np.array(list(map(len, split)))
+            flat = pd.factorize(np.array([w for words in split for w in words], object))[0]
+            parts = split
+        else:
+            parts = [x[5] for x in rows]
+            lens = np.array(list(map(len, parts)))
+            flat = np.frombuffer(b"".join(parts), np.uint8)
         marks = np.zeros(len(flat) + len(parts), np.int64)
         ends = np.cumsum(lens + 1)
         inner = np.ones(len(marks), bool)
@@ -262,7 +340,7 @@ def indexed(spec: Windows, repeated: Callable[[np.ndarray, np.ndarray], np.ndarr
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("r1", "r2", "mh", "start", "once", "body"))):
-                if size >= limit * (8 if spec.words else 1) and row[2] != held[-1][2]:
+                if size >= limit and row[2] != held[-1][2]:
                     if (out := solve(held)) is not None:
                         yield out
                     held, size = [], 0
@@ -281,19 +359,18 @@ def single_windows(spec: Windows):
     """Each window of runs of hot anchors with its 128-bit digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 8 if spec.words else 1
+        out: list[tuple[int, int, int, int, int]] = []
         for batch in batches:
-            out: list[list] = [[] for _ in WINDOW]
             for r1, r2, start, n, body in zip(*(batch.column(c).to_pylist() for c in ("r1", "r2", "start", "n", "body"))):
+                u = units_of([body], spec.words)
                 for i in range(n):
-                    d = xxhash.xxh3_128_intdigest(body[i * step : (i + spec.width) * step])
-                    for col, v in zip(out, (r1, r2, start + i, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63)):
-                        col.append(v)
-                if len(out[0]) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=WINDOW)
-                    out = [[] for _ in WINDOW]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=WINDOW)
+                    d = xxhash.xxh3_128_intdigest(u.raw[u.starts[i] : u.ends[i + spec.width - 1]])
+                    out.append((r1, r2, start + i, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63))
+                if len(out) >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=WINDOW)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=WINDOW)
 
     return rows
 
@@ -305,42 +382,50 @@ def ddl(schema: pa.Schema) -> str:
 
 def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """keyed_docs (see common.keyed) with `spans`: an array of (a, b), the windows that start at units a to b - 1 are repeated."""
-    runs = keyed_docs.select("r1", "r2", "text").mapInArrow(run_rows(spec), ddl(RUN))
-    per_anchor = (
-        runs.groupBy("mh")
-        .agg(F.count(F.lit(1)).alias("total"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.min("n").alias("least"))
-        .where("total > 1 or least < 0")
-        .select("mh", ((F.col("lo") != F.col("hi")) | (F.col("least") < 0)).alias("contested"))
-    )
+    one = F.count(F.lit(1))
+    span = ("r1", "r2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    runs = written(keyed_docs.select("r1", "r2", "text").mapInArrow(run_rows(spec), ddl(RUN)), "runs")
+    per_anchor = runs.groupBy("mh").agg(one.alias("total"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.min("n").alias("least")).where("total > 1 or least < 0")
     # Small sides are written out: a join whose sides are plain exchanges can have a very frequent anchor split by Spark.
-    per_anchor = written(per_anchor, "anchors")
-    hits = written(runs.join(per_anchor.hint("merge"), "mh").select("r1", "r2", "mh", "sh", "start", F.abs("n").alias("n"), "contested"), "runs")
+    per_anchor = written(per_anchor.select("mh", ((F.col("lo") != F.col("hi")) | (F.col("least") < 0)).alias("contested")), "anchors")
+    hits = written(runs.join(per_anchor.hint("merge"), "mh").select("r1", "r2", "mh", "sh", "start", F.abs("n").alias("n"), "contested"), "hits")
+    discard(runs, per_anchor)
     contested = hits.where("contested")
-    copies = written(contested.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("copies"), F.min("r1").alias("rep")), "copies")
-    anchors = written(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
-    copies = written(copies.join(anchors.hint("merge"), "mh"), "counted")
-    named = contested.join(copies.hint("merge"), ["mh", "sh"])
+    kinds = contested.groupBy("mh", "sh").agg(one.alias("copies"), F.min(F.struct("r1", "r2", "start")).alias("rep"), F.min("n").alias("n"))
+    kinds = _sized(written(kinds, "kinds"), spec)
+    place = F.struct("r1", "r2", "start")
+    named = contested.join(kinds.drop("n").hint("merge"), ["mh", "sh"])
+    run = F.struct("mh", "sh", "start", "n", (F.col("copies") == 1).alias("once"))
+    reps = named.where(place == F.col("rep"))
 
     def bodies(rows: DataFrame) -> DataFrame:
-        run = F.struct("mh", "start", "n", (F.col("copies") == 1).alias("once"))
-        per_doc = rows.where(F.col("r1") == F.col("rep")).groupBy("r1", "r2").agg(F.collect_list(run).alias("runs"))
+        per_doc = rows.groupBy("r1", "r2").agg(F.collect_list(run).alias("runs"))
         return keyed_docs.join(per_doc.hint("merge"), ["r1", "r2"]).mapInArrow(run_bodies(spec), ddl(PIECE))
 
-    found = bodies(named.where(F.col("kinds") <= spec.hot)).repartition("mh").sortWithinPartitions("mh").mapInArrow(indexed(spec, repeated), ddl(SPAN))
-    single = bodies(named.where(F.col("kinds") > spec.hot)).mapInArrow(single_windows(spec), ddl(WINDOW))
-    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    found_hot = single.join(twice.hint("merge"), ["w1", "w2"]).select("r1", "r2", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    whole = hits.where("not contested").unionByName(named.where("copies > 1").select(*hits.columns))
-    spans = (
-        whole.select("r1", "r2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-        .unionByName(found)
-        .unionByName(found_hot)
-        .groupBy("r1", "r2")
-        .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    )
+    index = lambda rows: rows.repartition("mh").sortWithinPartitions("mh").mapInArrow(indexed(spec, repeated, spec.hot), ddl(SPAN))
+    found = index(bodies(reps.where(F.col("units") <= spec.hot)))
+    whole = hits.where("not contested").select(*span).unionByName(named.where("copies > 1").select(*span))
+    # Anchors with too many kinds: the same with longer prefixes, then with whole windows.
+    finer = written(bodies(reps.where(F.col("units") > spec.hot)).mapInArrow(finer_runs(spec), ddl(PIECE)), "finer")
+    again = finer.groupBy("mh", "sh").agg(one.alias("copies"), F.min(place).alias("rep"), F.min("n").alias("n"))
+    again = _sized(written(again, "finer-kinds"), spec)
+    split = finer.drop("once").join(again.drop("n").hint("merge"), ["mh", "sh"]).withColumn("once", F.col("copies") == 1)
+    ours = split.where(place == F.col("rep"))
+    found = found.unionByName(index(ours.where(F.col("units") <= spec.hot).select(*PIECE.names)))
+    whole = whole.unionByName(split.where("copies > 1").select(*span))
+    single = ours.where(F.col("units") > spec.hot).mapInArrow(single_windows(spec), ddl(WINDOW))
+    twice = written(single.groupBy("w1", "w2").agg(one.alias("c")).where("c > 1").select("w1", "w2"), "windows")
+    counted = single.join(twice.hint("merge"), ["w1", "w2"]).select("r1", "r2", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
+    spans = whole.unionByName(found).unionByName(counted).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return keyed_docs.join(spans.hint("merge"), ["r1", "r2"], "left")
 
 
+def _sized(kinds: DataFrame, spec: Windows) -> DataFrame:
+    """Kinds with `units`: how much text the kinds of their anchor have together."""
+    units = kinds.groupBy("mh").agg(F.sum(F.col("n") + spec.width - 1).alias("units"))
+    return written(kinds.join(written(units, "units").hint("merge"), "mh"), "sized")
+
+
 def covered(spans: list[dict] | None, units: int, width: int) -> list[tuple[int, int]]:
     """The maximal runs of units that repeated windows cover, ascending."""
     out: list[list[int]] = []

@@ -4,11 +4,13 @@ Definition: words are `[^\\x20\\x09-\\x0D]+`, unchanged (null text: none). A win
 document. A word goes if a window that covers it also starts at another place of the corpus; windows are judged on the
 input. What is kept is joined by one space.
 
-Suffixes are taken at anchors (see `repeats`) and split by the prefix that starts there: short prefixes first, whole
-windows where a prefix has more distinct contexts than a task should hold. Each group's suffix tree is held as suffix
-order and match lengths; its internal nodes at a depth of `width` words or more are the repeats, and the leaves below
-them are the repeated windows.
+Suffixes are taken at anchors (see `repeats`) and split by prefixes of three lengths: the anchor itself, about half a
+window with the anchor in it where more distinct contexts share an anchor than a task should hold, and the whole window
+where even that is not enough. Each group's suffix tree is held as suffix order and match lengths; its internal nodes at a
+depth of `width` words or more are the repeats, and the leaves below them are the repeated windows. Contexts that are alike
+as a whole are one leaf with its number; whole windows need no tree below them, only that number.
 
+Very long texts are read in pieces that overlap by a window less one word.
 Texts with fewer words than a window lose nothing; rows equal in doc_id and text are separate places; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -28,6 +30,7 @@ from .suffix_order import common_prefixes, suffix_array
 
 WIDTH = 35
 PREFIX = 6
+HOT = 1 << 16  # words of text that the tree of a group holds, about
 
 
 def deep_nodes(text: np.ndarray, order: np.ndarray, rest: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -77,7 +80,7 @@ def _apply(width: int, texts_out: bool):
     return rows
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, hot: int = 24_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, hot: int = HOT, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the kept words joined by
     one space, or the text as it was where nothing went) and the columns `carry`."""
     prepared(docs.sparkSession)

@@ -7,7 +7,7 @@ another place of the corpus, the same text included. Overlaps count; strings are
 ends of its equal-letter runs with their text places and irreducible match lengths, and streams the matching statistics
 of the text from those samples: inside a run a match is one shorter than the match one place to the left.
 
-Empty and short texts come back unchanged with nothing removed; rows with equal doc_id and text are separate places, so
+Very long texts are read in pieces that overlap by a window less one byte. Empty and short texts come back unchanged with nothing removed; rows with equal doc_id and text are separate places, so
 both lose their repeated bytes; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +27,52 @@ from .suffix_order import common_prefixes, suffix_array
 
 WIDTH = 200
 ANCHOR = 40
+HOT = 1 << 19  # bytes of text that the index of a task holds at a time, about
 
 
-def matching_statistics(text: np.ndarray, order: np.ndarray, bwt: np.ndarray, most: int) -> np.ndarray:
-    """The longest match of each place with a neighbour in suffix order, from the sampled ends of BWT runs alone."""
+@dataclass(frozen=True)
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform: the letter and length of each run, the text places of the suffixes at its
+    last rank and at the first rank of the next run, and how long those two match. It holds nothing per letter of the text."""
+
+    letters: np.ndarray
+    lengths: np.ndarray
+    last: np.ndarray
+    first: np.ndarray
+    match: np.ndarray
+
+
+def run_index(text: np.ndarray) -> RunIndex:
+    """The index of a text; suffix order and transform are dropped when it is made."""
     n = len(text)
-    best = np.zeros(n, np.int64)
-    if n < 2:
-        return best
+    order = suffix_array(text)
+    bwt = np.where(order > 0, text[order - 1], -1)  # nothing stands before the first place: a run of its own
     ends = np.flatnonzero(bwt[1:] != bwt[:-1])  # rank i is the last of its run, i + 1 the first of the next
-    sampled = common_prefixes(text, order[ends], order[ends + 1], n)
-    for places in (order[ends + 1], order[ends]):  # matches with the rank above, then with the rank below
-        place_of = np.full(n, -1, np.int64)
-        length = np.zeros(n, np.int64)
-        place_of[places] = places
-        length[places] = sampled
-        last = np.maximum.accumulate(place_of)
-        known = last >= 0
-        carried = np.where(known, length[np.maximum(last, 0)] - (np.arange(n) - last), 0)
-        best = np.maximum(best, carried)
-    return best
+    last, first = order[ends], order[ends + 1]
+    bounds = np.concatenate([[0], ends + 1, [n]])
+    return RunIndex(bwt[bounds[:-1]], np.diff(bounds), last, first, common_prefixes(text, last, first, n))
+
+
+def matching_statistics(index: RunIndex, n: int, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The longest match of each place with a neighbour in suffix order, streamed over the text from the sampled run ends:
+    inside a run a match is one shorter than the match one place to the left."""
+    sides = []
+    for places in (index.first, index.last):  # matches with the rank above, then with the rank below
+        by_place = np.argsort(places, kind="stable")
+        sides.append((places[by_place], index.match[by_place]))
+    for a in range(0, n, step):
+        at = np.arange(a, min(n, a + step))
+        best = np.zeros(len(at), np.int64)
+        for places, match in sides:
+            k = np.searchsorted(places, at, side="right") - 1
+            known = k >= 0
+            best[known] = np.maximum(best[known], match[k[known]] - (at[known] - places[k[known]]))
+        yield best
 
 
 def repeated(text: np.ndarray, rest: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Whether the string of `width` units from each place also starts elsewhere in the text; end marks are 0."""
-    order = suffix_array(text)
-    bwt = text[order - 1]  # the text is read as a ring
-    return matching_statistics(text, order, bwt, width) >= width
+    return np.concatenate([part >= width for part in matching_statistics(run_index(text), len(text))]) if len(text) else np.zeros(0, bool)
 
 
 def _apply(width: int, texts_out: bool):
@@ -82,7 +102,7 @@ def _apply(width: int, texts_out: bool):
     return rows
 
 
-def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot: int = 24_000, texts: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot: int = HOT, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if `texts`, kept (binary)."""
     prepared(docs.sparkSession)
     spec = Windows(width, anchor, words=False, hot=hot)
