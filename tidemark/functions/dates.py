@@ -73,3 +73,25 @@ def recency(days: Column) -> Column:
 def in_window(ts: Column, first: Column, last: Column) -> Column:
     """Inside, or without a readable date."""
     return ts.isNull() | ts.between(first, last)
+
+
+def canonical_season(label: Column, year: Column | None = None) -> Column:
+    """`2023-24` from `2023/24`, `23/24`, `2023/2024` or `2023-24`; other labels take the season that starts in `year`, if given."""
+    raw = F.trim(label)
+    left, right = F.regexp_extract(raw, r"^(\d{2}|\d{4})[/-](\d{2}|\d{4})$", 1), F.regexp_extract(raw, r"^(\d{2}|\d{4})[/-](\d{2}|\d{4})$", 2)
+    start = F.when(F.char_length(left) == 2, F.concat(F.lit("20"), left)).otherwise(left)
+    found = F.when(left != "", F.concat(start, F.lit("-"), F.right(right, F.lit(2))))
+    if year is None:
+        return F.coalesce(found, raw)
+    start_of = year.try_cast("int")
+    named = F.concat(start_of.cast("string"), F.lit("-"), F.lpad(((start_of + 1) % 100).cast("string"), 2, "0"))
+    return F.coalesce(found, named, raw)
+
+
+def season_in_range(label: Column, first: Column, last: Column) -> Column:
+    return season_start(label).between(season_start(first), season_start(last))
+
+
+def league_code(label: Column) -> Column:
+    """`2324` for `2023-24`."""
+    return F.concat(F.substring(label, 3, 2), F.right(label, F.lit(2)))

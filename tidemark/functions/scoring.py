@@ -102,3 +102,110 @@ def stance(score: Column) -> Column:
 
 def stance_value(c: Column) -> Column:
     return F.when(c == "bullish", 1).when(c == "bearish", -1).otherwise(0)
+
+
+def parse_number(c: Column, default: float | None = None) -> Column:
+    """A number from text; the default for blank or unreadable text."""
+    found = F.trim(c.cast("string")).try_cast("double")
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def parse_flag(c: Column) -> Column:
+    """true for 1, true, yes and y."""
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def money_from_millions(c: Column) -> Column:
+    """Euros from a cleaned fee in millions; NULL for blank and NA."""
+    raw = F.trim(c)
+    return F.when((raw != "") & (F.upper(raw) != "NA"), raw.try_cast("double") * 1_000_000)
+
+
+def log_money(c: Column) -> Column:
+    return F.when(c > 0, F.log1p(c)).otherwise(0.0)
+
+
+def market_minus_fee(fee: Column, market: Column) -> Column:
+    m, f = F.coalesce(market, F.lit(0.0)), F.coalesce(fee, F.lit(0.0))
+    return F.when((m <= 0) & (f <= 0), 0.0).otherwise(m - f)
+
+
+def source_prior(source: Column, priors: dict[str, float], default: float = 0.5) -> Column:
+    """The largest prior of the known names that are part of the source's name; the default at least."""
+    found = [F.when(F.contains(F.lower(source), F.lit(name.lower())), score).otherwise(0.0) for name, score in priors.items()]
+    return clamp(F.greatest(F.lit(default), *found) if found else F.lit(default))
+
+
+def text_credibility(text: Column, source: Column, priors: dict[str, float], keywords: dict[str, float], default: float = 0.5) -> Column:
+    """The largest prior of names in source or text, moved by the keywords in the text."""
+    has = lambda c, name: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(name.lower()))
+    base = F.greatest(F.lit(default), *(F.when(has(source, n) | has(text, n), v).otherwise(0.0) for n, v in priors.items()), F.lit(0.0))
+    return clamp(base + sum((F.when(has(text, k), v).otherwise(0.0) for k, v in keywords.items()), F.lit(0.0)))
+
+
+def rumor_strength(text: Column, credibility: Column) -> Column:
+    """Credibility and urgency; fixed words tell urgent texts."""
+    urgent = F.lower(F.coalesce(text, F.lit(""))).rlike("medical|agreement|signed")
+    return clamp(0.65 * credibility + 0.35 * F.when(urgent, 1.0).otherwise(0.4))
+
+
+def article_kind(title: Column, source: Column, stage: Column) -> Column:
+    """exclusive, live_blog, official, aggregate, analysis or report, the first that fits."""
+    t, s = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(source, F.lit("")))
+    has = lambda *words: t.rlike("|".join(words))
+    return (
+        F.when(has("exclusive") | F.contains(s, F.lit("exclusive")), "exclusive")
+        .when(has("live", "as it happened"), "live_blog")
+        .when(has("official") | F.coalesce(stage == "official", F.lit(False)), "official")
+        .when(has("rumours", "rumors", "latest", "roundup"), "aggregate")
+        .when(F.contains(t, F.lit("|")), "analysis")
+        .otherwise("report")
+    )
+
+
+#: Phrases of titles that make a rumor stronger.
+PHRASE_BOOSTS = {"here we go": 0.15, "agreement": 0.10, "medical": 0.10, "confirm": 0.08, "complete": 0.08, "talks": 0.04, "interested": 0.02}
+
+
+def rumor_indicator(credibility: Column, strength: Column, count: Column, title: Column) -> Column:
+    told = sum((F.when(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(p)), b).otherwise(0.0) for p, b in PHRASE_BOOSTS.items()), F.lit(0.0))
+    parts = 0.45 * F.coalesce(credibility, F.lit(0.5)) + 0.35 * F.coalesce(strength, F.lit(0.5)) + 0.20 * clamp(F.coalesce(count, F.lit(1.0)) / 4.0)
+    return clamp(parts + told)
+
+
+def component_indicator(credibility: Column, conversion: Column, stage: Column, article: Column, timing: Column) -> Column:
+    """The rumor indicator of a scored claim."""
+    or_ = lambda c, d: F.coalesce(c, F.lit(d))
+    return clamp(0.40 * or_(credibility, 0.5) + 0.20 * or_(conversion, 0.5) + 0.20 * or_(stage, 0.4) + 0.10 * or_(article, 0.5) + 0.10 * or_(timing, 0.5))
+
+
+def entity_match(score: Column, ambiguous: Column) -> Column:
+    return clamp(F.coalesce(score, F.lit(0.0)) / 1.2) * F.when(ambiguous, 0.85).otherwise(1.0)
+
+
+def expected_impact(strength: Column, quality: Column, direction: Column) -> tuple[Column, Column]:
+    """(expected abnormal return, confidence) of a rumor by rule."""
+    raw = (strength - 0.5) * 0.05 + (quality - 0.5) * 0.06 * F.when(direction == "in", 1.0).otherwise(0.65)
+    return F.greatest(F.lit(-0.08), F.least(F.lit(0.08), raw)), clamp(0.35 + 0.45 * strength)
+
+
+def result_sentiment(result: Column, goals_for: Column, goals_against: Column) -> Column:
+    """positive, negative or neutral, by the result's name, else by goals."""
+    named = F.lower(F.trim(F.coalesce(result, F.lit(""))))
+    return (
+        F.when(named.isin("w", "win", "won"), "positive")
+        .when(named.isin("l", "loss", "lost"), "negative")
+        .when(named.isin("d", "draw"), "neutral")
+        .when(goals_for > goals_against, "positive")
+        .when(goals_for < goals_against, "negative")
+        .otherwise("neutral")
+    )
+
+
+def blended_confidence(score: Column, credibility: Column) -> Column:
+    return clamp(0.30 + 0.45 * F.abs(score) / 100.0 + 0.25 * F.coalesce(credibility, F.lit(0.0)))
+
+
+def queue_score(direct: Column, credibility: Column, confidence: Column, sources: Column, stage: Column) -> Column:
+    """How much a signal is worth a look: directness, credibility, confidence, up to five sources, strong stages."""
+    return F.when(direct, 2.0).otherwise(0.0) + credibility + confidence + F.least(sources, F.lit(5.0)) * 0.08 + F.when(stage.isin(*STRONG_STAGES), 0.35).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,14 +11,35 @@ from pyspark.sql import functions as F
 TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "cmpid", "output", "ref", "refsrc")
 #: Words that do not tell headlines apart.
 COMMON_HEADLINE_WORDS = (
-    "the a an and or to for of on in with news rumor rumors rumour rumours transfer transfers deal deals move moves "
-    "sign signs signing bid bids update updates report reports star latest live"
-).split()
+    "the", "a", "an", "and", "or", "to", "for", "of", "on", "in", "with", "news", "rumor", "rumors", "rumour", "rumours",
+    "transfer", "transfers", "deal", "deals", "move", "moves", "sign", "signs", "signing", "bid", "bids", "update", "updates",
+    "report", "reports", "star", "latest", "live",
+)
 #: Words without weight in searches.
-STOP_WORDS = "a about also an and are as at be by can club do does for from has have how in is it me of on or show stock the this to transfer what with".split()
+STOP_WORDS = (
+    "a", "about", "also", "an", "and", "are", "as", "at", "be", "by", "can", "club", "do", "does", "for", "from", "has", "have",
+    "how", "in", "is", "it", "me", "of", "on", "or", "show", "stock", "the", "this", "to", "transfer", "what", "with",
+)
+
+
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode tables: characters whose compatibility decomposition, without combining marks, is one other character,
+    that character, and those that become several ASCII characters."""
+    single, several = {}, {}
+    for i in range(128, 0x20000):
+        char = chr(i)
+        if 0xD800 <= i <= 0xDFFF or unicodedata.combining(char):
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain != char and plain.isascii() and any(c.isalnum() for c in plain):
+            (single if len(plain) == 1 else several)[char] = plain
+    return "".join(single), "".join(single.values()), several
+
+
+_ACCENTED, _PLAIN, _SPELLED = _foldings()
+#: Letters of Latin that decompose into two: ligatures and digraphs.
+_LIGATURES = {k: v for k, v in _SPELLED.items() if len(v) <= 3 and v.isalpha() and unicodedata.category(k) in ("Ll", "Lu", "Lt")}
 
 
 def squeeze(c: Column) -> Column:
@@ -24,8 +47,12 @@ def squeeze(c: Column) -> Column:
 
 
 def alnum_folded(c: Column) -> Column:
-    """Accents off, lower case, all but a-z and 0-9 to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), _ACCENTED, _PLAIN)), "[^a-z0-9]+", " "))
+    """Accents off (compatibility decomposition, combining marks dropped), lower case, all but a-z and 0-9 to single spaces.
+    Letters that do not decompose, such as o with a stroke, become spaces."""
+    bare = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"\p{M}+", ""), _ACCENTED, _PLAIN)
+    for char, plain in _LIGATURES.items():
+        bare = F.replace(bare, F.lit(char), F.lit(plain))
+    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
 
 
 def alnum_unicode(c: Column) -> Column:
@@ -160,6 +187,31 @@ def snippet(text: Column, found: Column, width: int = 260, before: int = 80) ->
     return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + width < F.char_length(text), "...").otherwise(""))
 
 
-def any_of(lists: list[str]) -> str:
-    """One pattern of several."""
-    return "|".join(lists)
+#: Words of which one at least is in a story about transfers.
+STORY_WORDS = (
+    "transfer", "signing", "sign", "signed", "agreement", "agree", "agreed", "talks", "bid", "bids", "deal", "clause", "medical",
+    "join", "joins", "move", "moves", "sell", "sale", "buy", "loan", "future", "contract", "exit",
+)
+#: Texts about matches.
+MATCH_STORIES = ("as it happened", "match report", "minute by minute", "live updates", "live blog", "preview", "player ratings")
+
+
+def is_transfer_story(text: Column, words: tuple[str, ...] = STORY_WORDS) -> Column:
+    """One of the words is there, and no phrase of match stories is."""
+    norm = alnum_ascii(text)
+    return F.arrays_overlap(F.split(norm, " "), F.array(*map(F.lit, words))) & ~norm.rlike("|".join(MATCH_STORIES))
+
+
+def named_clubs(text: Column, clubs: Column) -> Column:
+    """Names of the clubs (an array of name and aliases) that stand in the text with spaces around them, in their order."""
+    inside = F.concat(F.lit(" "), squeeze(F.lower(F.coalesce(text, F.lit("")))), F.lit(" "))
+    has = lambda label: F.contains(inside, F.concat(F.lit(" "), squeeze(F.lower(label)), F.lit(" "))) & (squeeze(label) != "")
+    found = F.filter(clubs, lambda c: has(c["name"]) | F.exists(F.coalesce(c["aliases"], F.array().cast("array<string>")), has))
+    return F.array_distinct(F.transform(found, lambda c: c["name"]))
+
+
+def day_of(c: Column) -> Column:
+    """yyyy-MM-dd at the start of a text, else the date it parses to, else its first ten characters; blank for no text."""
+    raw = F.trim(F.coalesce(c, F.lit("")))
+    parsed = F.date_format(F.try_to_timestamp(F.regexp_replace(raw, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")), "yyyy-MM-dd")
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(raw, F.lit(10))).otherwise(F.coalesce(parsed, F.left(raw, F.lit(10))))
