@@ -80,8 +80,9 @@ def as_of(events: DataFrame, bars: DataFrame, forward: bool = True, strict: bool
     late_bars = not (forward and strict)  # on a tied date a bar behind the event is on or after it, one before is neither
     b = bars.select("ticker", F.col("date").alias("_d"), F.lit(int(late_bars)).alias("_k"), F.col("idx").alias("_i"))
     e = events.withColumns({"_d": F.col("event_date"), "_k": F.lit(int(not late_bars)), "_i": F.lit(None).cast("int")})
-    w = Window.partitionBy("ticker").orderBy("_d", "_k")
-    found = F.first("_i", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_i", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Running frames in the order of the search: each row costs the same, however long the series.
+    w = Window.partitionBy("ticker").orderBy(*((F.desc("_d"), F.desc("_k")) if forward else ("_d", "_k"))).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_i", True).over(w)
     both = e.withColumn("_e", F.lit(True)).unionByName(b, allowMissingColumns=True)
     return both.withColumn("idx", found).where("_e").drop("_d", "_k", "_i", "_e")
 

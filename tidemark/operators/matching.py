@@ -85,9 +85,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_date: str, right_d
     r = right.select(key, F.col(right_date).alias("_d"), F.lit(1).alias("_k"), F.struct(*cols).alias("_r"))
     first = r.groupBy(key, "_d", "_k").agg(F.min_by("_r", F.struct(*(F.col("_r")[t] for t in tie))).alias("_r"))  # one row per date
     l = left.select("*", F.col(left_date).alias("_d"), F.lit(0).alias("_k"))
-    w = Window.partitionBy(key).orderBy("_d", "_k")
+    up, down = Window.partitionBy(key).orderBy("_d", "_k"), Window.partitionBy(key).orderBy(F.desc("_d"), F.desc("_k"))
+    running = (Window.unboundedPreceding, 0)  # frames that grow by a row at a time
     both = l.unionByName(first, allowMissingColumns=True)
-    both = both.withColumns({"_after": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_before": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("_k = 0")
+    both = both.withColumns({"_after": F.last("_r", True).over(down.rowsBetween(*running)), "_before": F.last("_r", True).over(up.rowsBetween(*running))}).where("_k = 0")
     gap = lambda c: F.abs(F.datediff(F.col(c)[right_date], left_date))
     order = lambda c: F.struct(gap(c).alias("g"), *(F.col(c)[t].alias(t) for t in tie))
     pick = F.when(F.col("_before").isNull() | (F.col("_after").isNotNull() & (order("_after") < order("_before"))), F.col("_after")).otherwise(F.col("_before"))

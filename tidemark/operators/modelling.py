@@ -121,13 +121,14 @@ def predicted(model: PipelineModel, rows: DataFrame, numeric: list[str], categor
     the split."""
     scoped = learning.split_of(rows.withColumnRenamed(label, "label") if label != "label" else rows, train_end)
     direct = scoped.where(F.col("prediction_scope") == "direct")
-    out = model.transform(prepared(direct, numeric, categorical).withColumn("_w", F.lit(1.0)))
+    whole = direct.withColumn("_row", F.struct(*scoped.columns))
+    out = model.transform(prepared(whole, numeric, categorical).withColumn("_w", F.lit(1.0)))
     p = vector_to_array("probability")
     probs = {f"prob_{x}": F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i, x in enumerate(learning.LABELS)}
     named = F.element_at(F.array(*map(F.lit, learning.LABELS)), (F.col("prediction") + 1).cast("int"))
     out = out.withColumns({**probs, "predicted_label": named, "prediction_confidence": F.array_max(p)})
     extra = ["predicted_label", *probs, "prediction_confidence"]
-    scored = out.select(*scoped.columns, *extra)
+    scored = out.select("_row.*", *extra)
     rest = scoped.where(~F.coalesce(F.col("prediction_scope") == "direct", F.lit(False)))
     return scored.select(*scoped.columns, *extra).unionByName(rest, allowMissingColumns=True)
 

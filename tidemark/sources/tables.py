@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +25,20 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, whatever the file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+BARS = "date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT"
+
+
 def read_price_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars; `N/D` is missing, and bars without a close are dropped."""
-    bars = spark.read.schema("date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT").option("nullValue", "N/D").csv(path, header=True)
-    return bars.where("close IS NOT NULL")
+    """Daily bars; `N/D` is missing, bars without a close are dropped, and a path with nothing there has no bars."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], BARS)
+    return spark.read.schema(BARS).option("nullValue", "N/D").csv(path, header=True).where("close IS NOT NULL")
 
 
 def read_chart(spark: SparkSession, path: str) -> DataFrame:
@@ -39,24 +51,32 @@ def read_chart(spark: SparkSession, path: str) -> DataFrame:
     return bars.withColumns({**price, "date": F.to_date(F.timestamp_seconds("timestamp"))}).drop("timestamp")
 
 
-def read_feed(spark: SparkSession, path: str, per_source: int | None = None) -> DataFrame:
-    """Landed RSS items with alternate tag names: title, url, published_at, source, snippet. per_source: the newest items kept."""
-    from tidemark.functions.dates import parse_timestamp
-    from pyspark.sql import Window
+def read_feed(spark: SparkSession, path: str, per_source: int | None = None, tag: str = "item", first: Column | None = None, last: Column | None = None, story: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Landed feed items with alternate tag names: title, url, published_at, source, snippet. tag: item or entry. first, last:
+    a window of dates (items without a readable date stay); story: a test of title and snippet. per_source: the newest items
+    kept of each source."""
+    from tidemark.functions.dates import in_window, parse_timestamp
 
-    raw = spark.read.format("xml").option("rowTag", "item").schema("title STRING, link STRING, guid STRING, pubDate STRING, published STRING, source STRING, description STRING, summary STRING").load(path)
-    items = raw.select("title", F.coalesce("link", "guid").alias("url"), parse_timestamp(F.coalesce("pubDate", "published")).alias("published_at"), "source", F.coalesce("description", "summary").alias("snippet"))
+    kinds = "title STRING, link STRING, guid STRING, id STRING, pubDate STRING, published STRING, updated STRING, source STRING, description STRING, summary STRING"
+    raw = spark.read.format("xml").option("rowTag", tag).schema(kinds).load(path)
+    items = raw.select("title", F.coalesce("link", "guid", "id").alias("url"), parse_timestamp(F.coalesce("pubDate", "published", "updated")).alias("published_at"), "source", F.coalesce("description", "summary").alias("snippet"))
+    if first is not None and last is not None:
+        items = items.where(in_window(F.col("published_at"), first, last))
+    if story is not None:
+        items = items.where(story(F.concat_ws(" ", "title", "snippet")))
     if per_source is None:
         return items
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("published_at"), "url"))
     return items.withColumn("k", k).where(F.col("k") <= per_source).drop("k")
 
 
-def read_news_json(spark: SparkSession, path: str) -> DataFrame:
-    """Landed news API pages: `articles` unpacked, byline joined to the source, first row of a URL kept."""
+def read_news_json(spark: SparkSession, path: str, lines: bool = False, most: int = 300) -> DataFrame:
+    """Landed news service pages (one JSON value a file, or one a line): `articles` unpacked, byline joined to the source, one
+    row of a URL kept (the first by title), snippets of at most `most` characters."""
     schema = "articles ARRAY<STRUCT<url: STRING, title: STRING, seendate: STRING, domain: STRING, byline: STRING, body: STRING>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("articles"))
-    return rows.select("url", "title", "seendate", F.concat_ws(" / ", "domain", F.nullif("byline", F.lit(""))).alias("source"), F.left("body", F.lit(300)).alias("snippet")).dropDuplicates(["url"])
+    rows = spark.read.schema(schema).json(path, multiLine=not lines).select(F.inline("articles"))
+    shaped = rows.select("url", "title", "seendate", F.concat_ws(" / ", "domain", F.nullif("byline", F.lit(""))).alias("source"), F.left("body", F.lit(most)).alias("snippet"))
+    return shaped.groupBy("url").agg(F.min(F.struct("title", "seendate", "source", "snippet")).alias("a")).select("url", "a.*")
 
 
 def read_transfers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
