@@ -49,6 +49,74 @@ def test_grams():
     assert got == [(b" ab ", 0), (b"ab c", 0), (b"b cd", 0), (b" cd ", 0), (b" xyz", 2), (b"xyz ", 2)]
 
 
+def test_language_by_exact_sets(spark, documents):
+    """Beside a plain version with exact sets of n-grams in place of the filter: the same members, and scores that differ by
+    what the filter's corrected false positives leave."""
+    from collections import Counter
+
+    from tidemark.llm import language_id as li
+
+    clash = documents.limit(300).selectExpr("*", "1 AS lang_pred", "'x' AS score", "2 AS c0")
+    rows = clash.collect() * 2
+    model = li.fit(clash.select("text", "lang"), sample=10**6)
+    counts = {x: Counter() for x in model.languages}
+    for r in rows[: len(rows) // 2]:
+        if r.text is not None and r.lang is not None:
+            counts[r.lang].update(li.grams_of([r.text])[0].tolist())
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    members = {x: {g for g, n in counts[x].items() if n >= 3 and rate[x][g] >= 0.5 * max(rate[y].get(g, 0) for y in rate)} for x in model.languages}
+    members = {x: set(sorted(m, key=lambda g: (-counts[x][g], g))[: li.GRAMS]) for x, m in members.items()}
+    texts = [r.text for r in rows[:300]] + ["", None, "zzqx", rows[0].text * 400]
+    got = li.scores_of(model, texts)
+    agree = 0
+    for t, score in zip(texts, got):
+        gram = li.grams_of([t])[0].tolist()
+        want = [sum(g in members[x] for g in gram) for x in model.languages]
+        assert all(abs(a - b) <= 0.02 * len(gram) + 1 for a, b in zip(score, want))
+        agree += model.languages[int(np.argmax(score))] == model.languages[int(np.argmax(want))]
+    assert agree >= len(texts) - 2
+    got = li.identify(clash.unionByName(clash), model, ("doc_id", "lang"))
+    pairs = defaultdict(set)
+    for r in got.collect():
+        pairs[r.doc_id].add((r.lang_pred, r.score))
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score"] and all(len(v) == 1 for v in pairs.values())
+
+
+def test_grams_in_slices():
+    from tidemark.llm import language_id as li
+
+    texts = ["some words here", None, "", "  a  b ", "x" * 50, "ünï cödé"]
+    whole = [np.concatenate(x).tolist() for x in zip(*li.gram_slices(texts))]
+    for step in (1, 3, 7, 40):
+        assert [np.concatenate(x).tolist() for x in zip(*li.gram_slices(texts, step))] == whole
+
+
+def test_toxicity_by_plain_search(spark):
+    """Scores beside a plain search for every term at every word, on rows with clashing columns, repeats and several labels."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    twice = docs.unionByName(docs.limit(5)).selectExpr("doc_id", "text", "1 AS toxic", "'x' AS score", "2 AS held_out", "3 AS term")
+    doubled = labels.unionByName(labels.limit(40).withColumn("toxic", 1 - labels.toxic))
+    lexicon = toxicity.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id").select("text", "toxic"))
+    automaton = lexicon.automaton()
+    for text in [r.text for r in docs.collect()] + [None, "", "1d10t " * 50]:
+        words = toxicity.folded(text).split()
+        line = f" {' '.join(words)} "
+        total = 0.0
+        for i, w in enumerate(words):
+            found = [v for t, v in lexicon.terms.items() if (t.endswith(" ") and t == f" {w} ") or (not t.endswith(" ") and f" {w}".startswith(t))]
+            near = (f"{words[i - 1] if i else ''} {w}", f"{w} {words[i + 1] if i + 1 < len(words) else ''}")
+            if found and not any(p in lexicon.phrases for p in near):
+                total += max(found)
+        length = toxicity.folded(text).count(" ")
+        assert toxicity.strength(text, lexicon, automaton) == pytest.approx(total / np.log2(2 + length) if text else 0.0), ascii(line)[:200]
+    got = toxicity.toxicity(twice, doubled).collect()
+    scores = defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add((r.score, r.predicted))
+    assert len(got) == 405 and all(len(v) == 1 for v in scores.values())
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -10,6 +10,8 @@ on a digest alone, and no step sees more rows of a group than there are tasks or
 group by two digests.
 
 Rows equal in doc_id and text are copies; one of them stays. An empty table gives an empty result. Extra columns are ignored.
+A very long text is one value that every step carries whole. doc_id must be a number: text that is none ends the job in
+ANSI mode.
 """
 
 from __future__ import annotations

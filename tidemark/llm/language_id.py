@@ -8,7 +8,9 @@ Only text is an input of a prediction. Fitting reads labelled rows: per language
 by a digest of the text, whatever the corpus size) and `grams` n-grams; these bounds are parameters.
 
 Null texts and texts without a letter are `und` with score 0. A text whose n-grams are all unknown gets the most frequent
-learned language with score 0. Ties go to the more frequent language. With no labelled row every text is `und`.
+learned language with score 0. Ties go to the more frequent language. With no labelled row every text is `und`. Very long
+texts are read in slices; repeated rows are predicted alike; an empty table gives an empty result; other columns are
+ignored. Every language value is one literal of the plan that fits the filter, so it should be a clean column.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, prepared
+from .common import CHUNK_BYTES, crc32_of_id, prepared
 
 GRAM = 4
 SLOT_BITS = 20
@@ -41,23 +43,34 @@ class LanguageFilter:
     false_rate: np.ndarray
 
 
-def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of all texts in a row as 32-bit numbers, and the text of each."""
+STEP = 1 << 18  # n-grams looked at together
+
+
+def gram_slices(texts: list[str | None], step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n-grams of all texts in a row as 32-bit numbers, and the text of each, in slices of bounded size."""
     joined = b"\n".join((b" " + x.lower().encode().translate(_KEEP) + b" ") if x else b"" for x in texts)
     buf = np.frombuffer(joined, np.uint8)
     space = buf == 32
     keep = np.ones(len(buf), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     buf = buf[keep]
-    if len(buf) < GRAM:
+    before = 0  # texts that ended before the slice
+    for a in range(0, len(buf) - GRAM + 1, step):
+        part = buf[a : a + step + GRAM - 1]
+        end = part == 10
+        wide, n = part.astype(np.uint32), len(part) - GRAM + 1
+        text = before + np.cumsum(end)
+        gram = wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3 : n + 3] << np.uint32(24)
+        inside = ~(end[:n] | end[1 : n + 1] | end[2 : n + 2] | end[3 : n + 3])
+        yield gram[inside], text[:n][inside]
+        before += int(np.count_nonzero(end[:step]))
+
+
+def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    parts = list(gram_slices(texts))
+    if not parts:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    end = buf == 10
-    text = np.cumsum(end)
-    wide = buf.astype(np.uint32)
-    n = len(buf) - GRAM + 1
-    gram = wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3 : n + 3] << np.uint32(24)
-    inside = ~(end[:n] | end[1 : n + 1] | end[2 : n + 2] | end[3 : n + 3])
-    return gram[inside], text[:n][inside]
+    return np.concatenate([g for g, _ in parts]), np.concatenate([t for _, t in parts])
 
 
 def slots_of(gram: np.ndarray) -> list[np.ndarray]:
@@ -104,17 +117,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Langua
 def scores_of(model: LanguageFilter, texts: list[str | None]) -> np.ndarray:
     """Corrected popcounts, a row for each text and a column for each language."""
     n = len(texts)
-    gram, text = grams_of(texts)
-    first, second = slots_of(gram)
-    hits = np.zeros((n, len(model.languages)))
-    for word in range(model.slots.shape[1]):
-        column = model.slots[:, word]
-        mask = column[first] & column[second]
-        table = np.bincount(text * 256 + mask, minlength=n * 256).reshape(n, 256)
-        bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-        width = min(8, len(model.languages) - word * 8)
-        hits[:, word * 8 : word * 8 + width] = (table @ bits)[:, :width]
-    total = np.bincount(text, minlength=n)[:, None]
+    hits, total = np.zeros((n, len(model.languages))), np.zeros((n, 1))
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    for gram, text in gram_slices(texts):
+        first, second = slots_of(gram)
+        total[:, 0] += np.bincount(text, minlength=n)
+        for word in range(model.slots.shape[1]):
+            column = model.slots[:, word]
+            table = np.bincount(text * 256 + (column[first] & column[second]), minlength=n * 256).reshape(n, 256)
+            width = min(8, len(model.languages) - word * 8)
+            hits[:, word * 8 : word * 8 + width] += (table @ bits)[:, :width]
     return np.maximum(0, (hits - total * model.false_rate) / (1 - np.minimum(model.false_rate, 0.999)))
 
 
@@ -124,10 +136,14 @@ def _predict(shared):
         for batch in batches:
             column = batch.column("text")
             names, values = [], []
-            start, size = 0, 64
-            while start < len(column):
-                texts = column.slice(start, size).to_pylist()
-                start += size
+            whole = column.to_pylist()
+            start = 0
+            while start < len(whole):
+                end, size = start + 1, len(whole[start] or "")
+                while end < len(whole) and end - start < 64 and size + len(whole[end] or "") <= CHUNK_BYTES:
+                    size += len(whole[end] or "")
+                    end += 1
+                texts, start = whole[start:end], end
                 known = [bool(x) and bool(model.languages) and _LETTER.search(x) is not None for x in texts]
                 score = scores_of(model, texts) if model.languages else np.zeros((len(texts), 1))
                 best = score.argmax(axis=1)

@@ -7,10 +7,12 @@ A fingerprint bit is 1 if it is set in over half of the hashes. Fingerprints lin
 Covering: each of the 64 bits gets a non-zero vector of radius + 1 bits; table v (every non-zero vector) compares the
 bits whose vector has an odd product with v. At most `radius` bits differ, so some v is orthogonal to all of theirs and
 that table sees equal keys: no pair within the radius is missed. Equal fingerprints are joined beforehand. A bucket with
-over `bucket` fingerprints is covered again over its free bits, which bounds it without losing a pair.
+over `bucket` fingerprints is covered again over its free bits without losing a pair; a bucket then holds at most as many
+distinct fingerprints as its free bits allow (about 2^14).
 
 Null text counts as empty; documents without words share the fingerprint zero; null doc_ids never name a group unless it
-has no other id, then component_id is null; an empty table gives an empty result; other columns are ignored.
+has no other id, then component_id is null; an empty table gives an empty result; other columns are ignored. Very long texts are hashed shingle by shingle; repeated rows share their
+fingerprint. doc_id must be a number: text that is none ends the job in ANSI mode.
 """
 
 from __future__ import annotations
@@ -146,7 +148,8 @@ def _rooted(prints: DataFrame, least, radius: int, bucket: int) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _) in enumerate(cover)))
     placed = distinct.select("fp", F.inline(keys))
     # Buckets with one fingerprint have no pair; those with very many are covered again.
-    sizes = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Small sides are written out: a join whose sides are plain exchanges can have a very frequent key split by Spark.
+    sizes = written(placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     shared = placed.join(sizes.hint("merge"), ["t", "key"])
     usual = shared.where(F.col("size") <= bucket).select("t", "key", "fp")
     finer = F.array(
@@ -171,8 +174,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"), "fingerprints")
     labelled = written(_rooted(prints, F.min("doc_id"), radius, bucket), "labelled")
     # A component is named by its smallest doc_id.
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(names.hint("merge"), "root").select("fp", "component_id")
+    names = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
+    named = written(labelled.join(names.hint("merge"), "root").select("fp", "component_id"), "simhash-named")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 

@@ -9,8 +9,9 @@ Terms, phrases and the curve are fitted on a bounded sample of labelled rows: at
 chosen by a digest of the text. Only text is an input of a score.
 
 Null and empty texts have no match and get the curve's lowest score. With no labelled row of both classes every score
-is 0. A doc_id with several labels counts as toxic if any says so. An empty table gives an empty result; other columns
-are ignored.
+is 0. A doc_id with several labels counts as toxic if any says so. Repeated rows are scored alike; of terms with equal
+weight the first by spelling is kept; very long texts are matched whole, in time and memory in proportion to them. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,11 +216,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     held = crc32_of_id() % 5 == 0
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # A bounded set of labelled ids goes to every task, so that texts stay where they are.
+    # About 2 x sample ids of each class, chosen by a digest of the id, go to every task, so that texts stay where they are.
     share = F.lit(0.0)
     for value, n in sizes.items():
         share = F.when(F.col("toxic") == value, min(1.0, 2.0 * sample / n)).otherwise(share)
-    ids = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(8 * sample)
+    ids = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     labelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample))
     rows = docs.select("doc_id", "text", held.alias("held_out"))
