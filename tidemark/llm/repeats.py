@@ -58,6 +58,8 @@ class Windows:
 
 #: Windows of a run, at most.
 LONGEST = 8192
+#: Tasks that a repeated window of the last step is dealt to.
+SALTS = 16
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -415,7 +417,10 @@ def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndar
     whole = whole.unionByName(split.where("copies > 1").select(*span))
     single = ours.where(F.col("units") > spec.hot).mapInArrow(single_windows(spec), ddl(WINDOW))
     twice = written(single.groupBy("w1", "w2").agg(one.alias("c")).where("c > 1").select("w1", "w2"), "windows")
-    counted = single.join(twice.hint("merge"), ["w1", "w2"]).select("r1", "r2", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
+    # A window in very many contexts is dealt to several tasks.
+    dealt = single.withColumn("salt", F.pmod(F.xxhash64("r1", "start"), F.lit(SALTS)).cast("int"))
+    salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = dealt.join(salted.hint("merge"), ["w1", "w2", "salt"]).select("r1", "r2", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
     spans = whole.unionByName(found).unionByName(counted).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return keyed_docs.join(spans.hint("merge"), ["r1", "r2"], "left")
 
