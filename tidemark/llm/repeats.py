@@ -404,7 +404,7 @@ def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndar
         per_doc = rows.groupBy("r1", "r2").agg(F.collect_list(run).alias("runs"))
         return keyed_docs.join(per_doc.hint("merge"), ["r1", "r2"]).mapInArrow(run_bodies(spec), ddl(PIECE))
 
-    index = lambda rows: rows.repartition("mh").sortWithinPartitions("mh").mapInArrow(indexed(spec, repeated, spec.hot), ddl(SPAN))
+    index = lambda rows: rows.repartition("mh").sortWithinPartitions("mh").mapInArrow(indexed(spec, repeated, min(spec.hot, 1 << 19)), ddl(SPAN))
     found = index(bodies(reps.where(F.col("units") <= spec.hot)))
     whole = hits.where("not contested").select(*span).unionByName(named.where("copies > 1").select(*span))
     # Anchors with too many kinds: the same with longer prefixes, then with whole windows.

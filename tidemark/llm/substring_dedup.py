@@ -30,7 +30,7 @@ from .suffix_order import common_prefixes, suffix_array
 
 WIDTH = 35
 PREFIX = 6
-HOT = 1 << 16  # words of text that the tree of a group holds, about
+HOT = 1 << 20  # words of text that the tree of a group holds, at most
 
 
 def deep_nodes(text: np.ndarray, order: np.ndarray, rest: np.ndarray, depth: int) -> list[np.ndarray]:

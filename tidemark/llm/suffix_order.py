@@ -46,8 +46,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, together: int = 1 << 16) -> np.ndarray:
     """For pairs of places, the number of equal units from there on, counted up to `most` at least where it is reached."""
+    if len(left) > together:  # so that what is compared at a time stays small
+        parts = range(0, len(left), together)
+        return np.concatenate([common_prefixes(text, left[a : a + together], right[a : a + together], most, together) for a in parts])
     n = len(text)
     out = np.zeros(len(left), np.int64)
     live = np.arange(len(left))
