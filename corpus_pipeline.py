@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read by the next.
 
-A stage takes (spark, docs, sf_dir) and returns documents with the same columns, the last one packed pieces.
+A stage takes (spark, docs, sf_dir) and returns documents with the same columns, the last one packed pieces. Other columns go
+through unchanged. Null texts count as empty, are `und`, and so go in the first stage; an empty table gives an empty table;
+very long texts are read whole. Of rows that tie or repeat in every column one stays where a stage keeps one of a group.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ LEAST_SHARE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     model = fit(docs.where(~held_out(2, 4)).select("text", "lang"))
-    columns = docs.columns
-    found = identify(docs.select(*columns, F.struct(*columns).alias("row")), model, ("row",))
+    found = identify(docs.select("text", F.struct(*docs.columns).alias("row")), model, ("row",))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
@@ -39,9 +40,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated word windows; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup(docs, texts=True, carry=others).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    others = {c: f"x{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    inner = docs.select("doc_id", "text", *(F.col(c).alias(x) for c, x in others.items()))
+    cut = substring_dedup(inner, texts=True, carry=tuple(others.values()))
+    values = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")} | {c: F.col(x) for c, x in others.items()}
+    return cut.select(*(values[c].alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
