@@ -37,6 +37,23 @@ def test_stages(spark):
         near[c].append((k is None, k or 0, k, t))
     assert sorted(map(repr, rows[3])) == sorted(repr(min(g)[2:]) for g in near.values())
     kept = brute.word_repeats([t.encode() for _, t in rows[3]], 35)
-    want = {k: (t if x == b" ".join(t.encode().split()) else x.decode()) for (k, t), x in zip(rows[3], kept)}
+    want = {k: (t if x == b" ".join(t.encode().split()) else x.decode()) for (k, t), (_, _, _, x) in zip(rows[3], kept)}
     assert dict(rows[4]) == want and len(rows[4]) == len(rows[3])
+    places = defaultdict(list)
+    for r in tables[5].collect():
+        places[r.sequence_id].append((r.offset, r.length))
     assert {r.doc_id for r in tables[5].select("doc_id").collect()} == set(want)
+    for x in places.values():
+        x.sort()
+        assert all(a == sum(n for _, n in x[:i]) for i, (a, _) in enumerate(x)) and sum(n for _, n in x) <= 2048
+
+
+def test_empty_documents(spark):
+    """Every stage takes an empty table and gives an empty one with its columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).selectExpr("*", "1 AS row", "'x' AS turn")
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), name)
+        assert out.count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            docs = out
