@@ -60,6 +60,36 @@ def test_substrings(corpus, op, plain, width, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1 << 18, 0])
+@pytest.mark.parametrize("op, spec, width", [("suffix_array_dedup", (200, 40, False, 1 << 21), 200), ("substring_dedup", (35, 6, True, 1 << 20), 35)])
+def test_very_many_equal_rows(spark, op, spec, width, limit):
+    """Thousands of rows equal in doc_id and text, or without an id, beside a row that shares a part and one that shares nothing."""
+    from importlib import import_module
+
+    from tidemark.llm import repeats
+    from tidemark.llm.common import keyed, prepared
+
+    rnd = random.Random(7)
+    text = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    same, other, short = text(400), text(300), text(3)
+    part = " ".join(same.split()[100:160])
+    data = [(1, same)] * 5000 + [(None, other)] * 3000 + [(2, short)] * 50 + [(3, f"{part} {text(40)}"), (4, text(200))]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(8)
+    prepared(spark)
+    module = import_module(f"tidemark.llm.{op}")
+    spans = repeats.with_spans(keyed(docs), repeats.Windows(*spec), lambda t, rest: module.repeated(t, rest, width), twin_limit=limit)
+    out = module._apply(width, False)
+    size = "n_words" if spec[2] else "n_bytes"
+    schema = f"doc_id bigint, {size} bigint, n_removed bigint, " + ("" if spec[2] else "n_spans bigint, ") + "kept_sha256 string"
+    got = spans.select("doc_id", "text", "spans").mapInArrow(out, schema).groupBy("doc_id", size, "n_removed").count().collect()
+    units = (lambda t: len(t.split())) if spec[2] else (lambda t: len(t.encode()))
+    want = {(1, units(same), units(same), 5000), (None, units(other), units(other), 3000), (2, units(short), 0, 50)}
+    got = {tuple(r) for r in got}
+    assert want <= got and len(got) == 5
+    gone = {r[0]: r[2] for r in got}
+    assert gone[4] == 0 and gone[3] in ((60,) if spec[2] else (len(part), len(part) + 1))
+
+
 def test_index_and_tree_of_many_small_texts():
     """Both indexes against plain search; the first run of a text matters as much as the others."""
     from tidemark.llm import substring_dedup as tree, suffix_array_dedup as runs

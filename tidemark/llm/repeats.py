@@ -4,6 +4,7 @@ Every window is filed under the smallest hash of the K-grams in it (its anchor).
 repeats are found per anchor, exactly, while a text moves only about two rows per W-K+2 units. Consecutive windows with
 one anchor form a *run* of bounded length; a run is stored as positions and a digest of its content, not as text.
 
+0. Rows equal in doc_id and text are counted first and read once from then on: every window of such a row is repeated.
 1. Write the runs, and count them per anchor. An anchor met once is dropped: its windows are unique.
 2. Equal runs of an anchor are one *kind*, kept with its number of copies: a kind met twice is repeated as a whole. An
    anchor of a single kind needs no more than that number.
@@ -60,6 +61,10 @@ class Windows:
 LONGEST = 8192
 #: Tasks that a repeated window of the last step is dealt to.
 SALTS = 16
+#: Keys of repeated rows that are broadcast, at most (16 bytes each); more are joined by a shuffle.
+TWINS = 1 << 18
+#: Stands for the end of any text.
+WHOLE = 1 << 48
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -382,11 +387,25 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kind[f.type]}" for f in schema)
 
 
-def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _distinct_rows(keyed_docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(r1, r2, text) with one row per key, and the keys that more than one row has. Only rows with such a key are shuffled,
+    combined in their tasks first."""
+    texts = keyed_docs.select("r1", "r2", "text")
+    twins = written(texts.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("r1", "r2"), "twins")
+    n = twins.count()
+    if not n:
+        return texts, twins
+    known = F.broadcast(twins) if n <= limit else twins.hint("merge")
+    several = texts.join(known, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.max("text").alias("text"))
+    return texts.join(known, ["r1", "r2"], "left_anti").unionByName(several), twins
+
+
+def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndarray, np.ndarray], np.ndarray], twin_limit: int = TWINS) -> DataFrame:
     """keyed_docs (see common.keyed) with `spans`: an array of (a, b), the windows that start at units a to b - 1 are repeated."""
     one = F.count(F.lit(1))
     span = ("r1", "r2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    runs = written(keyed_docs.select("r1", "r2", "text").mapInArrow(run_rows(spec), ddl(RUN)), "runs")
+    sole, twins = _distinct_rows(keyed_docs, twin_limit)
+    runs = written(sole.mapInArrow(run_rows(spec), ddl(RUN)), "runs")
     per_anchor = runs.groupBy("mh").agg(one.alias("total"), F.min("sh").alias("lo"), F.max("sh").alias("hi"), F.min("n").alias("least")).where("total > 1 or least < 0")
     # Small sides are written out: a join whose sides are plain exchanges can have a very frequent anchor split by Spark.
     per_anchor = written(per_anchor.select("mh", ((F.col("lo") != F.col("hi")) | (F.col("least") < 0)).alias("contested")), "anchors")
@@ -402,7 +421,7 @@ def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndar
 
     def bodies(rows: DataFrame) -> DataFrame:
         per_doc = rows.groupBy("r1", "r2").agg(F.collect_list(run).alias("runs"))
-        return keyed_docs.join(per_doc.hint("merge"), ["r1", "r2"]).mapInArrow(run_bodies(spec), ddl(PIECE))
+        return sole.join(per_doc.hint("merge"), ["r1", "r2"]).mapInArrow(run_bodies(spec), ddl(PIECE))
 
     index = lambda rows: rows.repartition("mh").sortWithinPartitions("mh").mapInArrow(indexed(spec, repeated, min(spec.hot, 1 << 19)), ddl(SPAN))
     found = index(bodies(reps.where(F.col("units") <= spec.hot)))
@@ -421,8 +440,10 @@ def with_spans(keyed_docs: DataFrame, spec: Windows, repeated: Callable[[np.ndar
     dealt = single.withColumn("salt", F.pmod(F.xxhash64("r1", "start"), F.lit(SALTS)).cast("int"))
     salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     counted = dealt.join(salted.hint("merge"), ["w1", "w2", "salt"]).select("r1", "r2", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    spans = whole.unionByName(found).unionByName(counted).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return keyed_docs.join(spans.hint("merge"), ["r1", "r2"], "left")
+    alike = twins.select("r1", "r2", F.lit(0).cast("bigint").alias("a"), F.lit(WHOLE).cast("bigint").alias("b"))
+    spans = whole.unionByName(found).unionByName(counted).unionByName(alike).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # Written out, so that a key that very many rows share can be split.
+    return keyed_docs.join(written(spans, "spans").hint("merge"), ["r1", "r2"], "left")
 
 
 def _sized(kinds: DataFrame, spec: Windows) -> DataFrame:
@@ -433,6 +454,8 @@ def _sized(kinds: DataFrame, spec: Windows) -> DataFrame:
 
 def covered(spans: list[dict] | None, units: int, width: int) -> list[tuple[int, int]]:
     """The maximal runs of units that repeated windows cover, ascending."""
+    if units < width:
+        return []
     out: list[list[int]] = []
     for a, b in sorted((x["a"], x["b"] + width - 1) for x in spans or ()):
         if out and a <= out[-1][1]:
