@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
+from . import kd_search as _kd
 from . import line_dedup as _line
 from . import substring_dedup as _substring
 from .language_id import language_id
@@ -62,6 +63,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kd.kd_topk(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_suffix_array_dedup,
     op2_embedding_dedup,
@@ -73,6 +78,7 @@ QUERIES = (
     op8_substring_dedup,
     op9_exact_dedup,
     op10_sentencepiece,
+    op12_exact_topk,
 )
 
 
@@ -86,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": _line.ORACLE_SQL,
         "op8_substring_dedup": _substring.ORACLE_SQL,
         "op9_exact_dedup": _exact.ORACLE_SQL,
+        "op12_exact_topk": _kd.ORACLE_SQL,
     }
