@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import best_position as _lexical
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
 from . import kd_search as _kd
@@ -63,6 +64,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kd.kd_topk(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +83,7 @@ QUERIES = (
     op8_substring_dedup,
     op9_exact_dedup,
     op10_sentencepiece,
+    op11_ranked_search,
     op12_exact_topk,
 )
 
@@ -92,5 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": _line.ORACLE_SQL,
         "op8_substring_dedup": _substring.ORACLE_SQL,
         "op9_exact_dedup": _exact.ORACLE_SQL,
+        "op11_ranked_search": _lexical.ORACLE_SQL,
         "op12_exact_topk": _kd.ORACLE_SQL,
     }
