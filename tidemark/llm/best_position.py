@@ -270,14 +270,14 @@ def lexical_search(index: DataFrame, queries: DataFrame, k: int = K, block_pairs
     return found.select("q", "rank", "doc_id", "score")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = K, most_terms: int = TERMS, **more) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = K, most_terms: int = TERMS, shard_bytes: int = SHARD_BYTES, **more) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. Returns item_id, rank, doc_id, score."""
     prepared(docs.sparkSession)
     asked = written(items.select("item_id", "text").withColumn("q", F.monotonically_increasing_id()), "lexical-items")
     queries = written(asked.select("q", "text").mapInArrow(_query_terms, "q bigint, terms array<string>"), "lexical-queries")
     distinct = written(queries.select(F.explode("terms").alias("term")).distinct(), "lexical-terms")
     few = distinct.count() <= most_terms
-    index = lexical_index(docs, [r.term.encode() for r in distinct.collect()] if few else None)
+    index = lexical_index(docs, [r.term.encode() for r in distinct.collect()] if few else None, shard_bytes)
     found = lexical_search(index, queries, k, **more)
     discard(distinct, index)
     return found.join(asked.select("q", "item_id").hint("merge"), "q").select("item_id", "rank", "doc_id", "score")

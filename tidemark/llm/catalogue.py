@@ -11,6 +11,7 @@ from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
 from . import kd_search as _kd
 from . import line_dedup as _line
+from . import spelling as _spelling
 from . import substring_dedup as _substring
 from .language_id import language_id
 from .packing import pack
@@ -72,6 +73,10 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kd.kd_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_suffix_array_dedup,
     op2_embedding_dedup,
@@ -85,6 +90,7 @@ QUERIES = (
     op10_sentencepiece,
     op11_ranked_search,
     op12_exact_topk,
+    op13_spelling_variants,
 )
 
 
@@ -100,4 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_exact_dedup": _exact.ORACLE_SQL,
         "op11_ranked_search": _lexical.ORACLE_SQL,
         "op12_exact_topk": _kd.ORACLE_SQL,
+        "op13_spelling_variants": _spelling.ORACLE_SQL,
     }
