@@ -27,7 +27,7 @@ from .suffix_order import common_prefixes, suffix_array
 
 WIDTH = 200
 ANCHOR = 40
-HOT = 1 << 21  # bytes of text that the index of a group holds, at most
+HOT = 1 << 20  # bytes of text that the index of a group holds, at most
 
 
 @dataclass(frozen=True)
