@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
 from tidemark.operators import retrieval as rt
+from tidemark.operators.evidence_index import EvidenceIndex
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
+from tidemark.storage import shared_dir
 
 from .registry import query
 from .sql_bindings import ARTICLES
@@ -62,6 +66,29 @@ def tfidf_topk(spark, sf_dir):
     return hits.select("q", "doc", _rank(), "matched", F.round("score", 4).alias("score"))
 
 
+def stored_index(spark, sf_dir):
+    """The index of all articles, made of the earlier ones and extended twice; the extensions overlap what is stored."""
+    index = EvidenceIndex(spark, f"{shared_dir(spark)}/evidence/{uuid.uuid4().hex}")
+    docs = corpus(spark, sf_dir)
+    day = F.to_date("published_at")
+    index.extend(docs.where(day < F.lit("2024-01-01").cast("date") + F.expr("interval 2 days")))
+    index.extend(docs.where(day <= F.lit("2024-01-05").cast("date")))
+    index.extend(docs)
+    return index
+
+
+@query("indexed_topk", f"WITH {_LEX} SELECT q, doc, rank, matched, round(lexical, 4) AS score FROM ({_TOP('round(lexical, 6)', 'lex', 5)})")
+def indexed_topk(spark, sf_dir):
+    """The hits of tfidf_topk from a stored index: postings, block maxima, no document without a query word."""
+    return stored_index(spark, sf_dir).topk(asked(spark, sf_dir), 5).select("q", "doc", _rank(), "matched", F.round("score", 4).alias("score"))
+
+
+@query("index_stats", f"WITH {_LEX} SELECT doc_type AS kind, source, count(*) AS n FROM a2 GROUP BY 1, 2")
+def index_stats(spark, sf_dir):
+    """Documents of a stored index by kind and source."""
+    return stored_index(spark, sf_dir).stats()
+
+
 _PADDED = lambda x: f"'  ' || trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')) || '  '"
 _GRAM = lambda x: f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
 _CHAR = f"""

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.storage import shared_dir
-from tidemark.streaming import jobs
+from tidemark.sources.tables import table
+from tidemark.streaming import jobs, rings
+from tidemark.streaming.keyed_table import KeyedTable, upsert_batches
+from tidemark.streaming.polling import Poll
 
 from .registry import query
 
@@ -61,3 +64,65 @@ def stream_first_seen(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     rows = jobs.sessions(jobs.event_stream(spark, sf_dir), ["user_id"], "6 hours")
     return _finished(rows, spark, True).select("user_id", "n", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
+
+
+def _arriving(rows: DataFrame, path: str, files: int, order: str) -> DataFrame:
+    """Rows landed as `files` files and read as a stream, one file a batch."""
+    rows.repartitionByRange(files, order).write.parquet(f"{path}/landed")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+
+
+def _run(rows: DataFrame, path: str, sink, mode: str = "append") -> None:
+    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+
+@query("stream_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, epoch_us(arg_max(ts, event_id)) AS at_us FROM events GROUP BY user_id")
+def stream_upsert(spark, sf_dir):
+    """The latest event of each user, upserted batch by batch into a table that is written by buckets of users."""
+    path = _shared(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    latest = KeyedTable(spark, f"{path}/latest", events.schema, ["user_id"], ["event_id"], buckets=16)
+    _run(_arriving(events, path, 4, "event_id"), path, upsert_batches(latest))
+    return latest.read().select("user_id", "event_id", "event_type", F.unix_micros("at").alias("at_us"))
+
+
+@query(
+    "stream_recent_runs",
+    f"SELECT user_id, place, event_id AS run_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= {rings.SIZE}",
+)
+def stream_recent_runs(spark, sf_dir):
+    """The last twenty events of each user, kept as state by a stream and upserted."""
+    path = _shared(spark)
+    runs = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("run_id"))
+    places = KeyedTable(spark, f"{path}/places", f"user_id {dict(runs.dtypes)['user_id']}, place int, {rings.RUN}", ["user_id", "place"], [], buckets=8)
+    _run(rings.last_runs(_arriving(runs, path, 2, "run_id"), "user_id"), path, upsert_batches(places), "update")
+    return places.read().select("user_id", F.col("place").cast("bigint").alias("place"), "run_id")
+
+
+@query(
+    "polled_articles",
+    """WITH h AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS undated, 'https://a.example/' || (o_orderkey % 4000) AS url, o_orderkey % 7 AS form, CAST(o_orderdate AS DATE) AS d FROM orders)
+    SELECT normalized_url, title, dated, count(*) AS n FROM (SELECT DISTINCT url AS normalized_url, 'Town ' || (['agree fee for', 'in talks with', 'match report on'])[form % 3 + 1] || ' Player ' || form AS title, NOT undated AS dated, CASE WHEN undated THEN NULL ELSE d END AS day FROM h) GROUP BY 1, 2, 3""",
+)
+def polled_articles(spark, sf_dir):
+    """Articles of three overlapping polls, those without a time in a table of their own: each is stored once."""
+    path = _shared(spark)
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    form = k % 7
+    said = F.element_at(F.array(*map(F.lit, ("agree fee for", "in talks with", "match report on"))), (form % 3 + 1).cast("int"))
+    rows = o.select(
+        k.alias("k"),
+        F.concat(F.lit("Town "), said, F.lit(" Player "), form).alias("title"),
+        F.concat(F.lit("https://a.example/"), k % 4000).alias("url"),
+        F.when(k % 5 != 0, F.to_date("o_orderdate").cast("string")).alias("published_at"),
+        F.lit("Desk").alias("source"),
+        F.lit("Town").alias("club"),
+    )
+    # Each poll brings what is new and half of what the one before has brought.
+    third = F.pmod(F.xxhash64("k"), F.lit(3))
+    polls = rows.withColumn("poll", F.explode(F.when(F.col("k") % 2 == 0, F.array(third, third + 1)).otherwise(F.array(third))))
+    job = Poll(spark, f"{path}/polls", buckets=8)
+    _run(_arriving(polls, path, 4, "poll"), path, job)
+    both = job.articles.read().withColumn("dated", F.lit(True)).unionByName(job.undated.read().withColumn("dated", F.lit(False)))
+    return both.groupBy("normalized_url", "title", "dated").agg(F.count(F.lit(1)).alias("n"))

@@ -60,20 +60,6 @@ def running_reputation(rows: DataFrame, key: str, matched) -> DataFrame:
     return g.withColumn("smoothed_rate", scoring.smoothed(F.col("n_matched"), F.col("n_claims"), 0.5))
 
 
-def upsert_to(path: str, keys: list[str]):
-    """foreachBatch function: the latest row of each key is kept in a table at `path`, written anew beside it and pointed to by
-    its batch number, so a repeated batch gives the same table."""
-    from tidemark.sources.sinks import last_write_wins
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch.withColumn("loaded_at", F.lit(number).cast("bigint"))
-        stored = spark.read.parquet(f"{path}/v={number - 1}") if number else arrived.limit(0)
-        last_write_wins(stored, last_write_wins(arrived.limit(0), arrived, keys), keys).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return write
-
-
 def to_memory(rows: DataFrame, name: str, mode: str, checkpoint: str, timeout: int = 300) -> DataFrame:
     """Run a stream over what is there now and return its result as a table (tests and small reports)."""
     q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
