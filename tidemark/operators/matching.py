@@ -6,49 +6,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
+from tidemark.storage import written
 
 
-def scored_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
-    """Claims with the moves of their club and season, scored. claims: claim_id, player, club, season, published, direction,
-    kind, fee. moves: move_id, m_player, club, season, m_date, m_direction, m_kind, m_loan, m_fee. The join is an equi-join
-    on (club, season), so a claim meets the moves of one club and season only."""
-    # Names are normalised once a row, before the join makes pairs.
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    c = claims.withColumn("_n", text.alnum_unicode(F.col("player"))).withColumn("_w", words(F.col("_n")))
-    m = moves.withColumn("_mn", text.alnum_unicode(F.col("m_player"))).withColumn("_mw", words(F.col("_mn")))
-    c, m = c.withColumn("_s", F.try_element_at("_w", F.lit(-1))), m.withColumn("_ms", F.try_element_at("_mw", F.lit(-1)))
-    p = c.join(m, ["club", "season"])
+#: Stands for any club, or any season, in the key of a pool.
+ANY = "*"
+#: The most that date, direction, kind and fee can add.
+MOST_DATE, MOST_DIRECTION, MOST_KIND, MOST_FEE = 0.10, 0.08, 0.05, 0.08
+#: The names of the signals, in the order of their options in scored_pairs.
+REASONS = (("exact_player", "surname_player", "fuzzy_player"), ("exact_club", "club_alias"), ("season_match",), ("date_near",), ("direction_match", "direction_conflict"), ("type_match", "loan_match", "type_conflict"), ("fee_close", "fee_similar"))
+
+
+def _first_of(options: list[tuple[Column, Column | float]]) -> tuple[Column, Column]:
+    """(value, number) of the first option whose test holds; zero and NULL if none does."""
+    value = name = None
+    for i, (test, points) in enumerate(options):
+        nth = F.lit(i).cast("byte")
+        value, name = (F.when(test, points), F.when(test, nth)) if value is None else (value.when(test, points), name.when(test, nth))
+    return F.coalesce(value.cast("double"), F.lit(0.0)), name
+
+
+def _club_part() -> tuple[Column, Column]:
+    known = F.coalesce(F.col("club"), F.lit("")) != ""
+    alias = F.contains(text.alnum_unicode(F.col("m_club")), text.alnum_unicode(F.col("club")))
+    return _first_of([(known & (F.col("club") == F.col("m_club")), 0.20), (known & alias, 0.10)])
+
+
+def _season_part() -> tuple[Column, Column]:
+    return _first_of([((F.coalesce(F.col("season"), F.lit("")) != "") & (F.col("season") == F.col("m_season")), 0.10)])
+
+
+def _direction_part() -> tuple[Column, Column]:
+    told = F.col("direction").isin("in", "out")
+    return _first_of([(told & (F.col("direction") == F.col("m_direction")), MOST_DIRECTION), (told, -0.12)])
+
+
+def _kind_part() -> tuple[Column, Column]:
+    typed = F.col("kind") != "unclear"
+    return _first_of([(typed & (F.col("kind") == F.col("m_kind")), MOST_KIND), (typed & (F.col("kind") == "loan") & F.col("m_loan"), 0.03), (typed, -0.05)])
+
+
+def _fee_part(closeness: Column) -> tuple[Column, Column]:
+    return _first_of([(closeness >= 0.8, MOST_FEE), (closeness >= 0.5, 0.04)])
+
+
+def _shared() -> Column:
+    return F.size(F.array_intersect("_w", "_mw"))
+
+
+def _player_part() -> tuple[Column, Column]:
     exact = (F.col("_n") == F.col("_mn")) & (F.col("_n") != "")
     same_last = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
-    shared = F.size(F.array_intersect("_w", "_mw"))
-    fuzzy = (shared > 0) & (shared / (F.size("_w") + F.size("_mw") - shared) >= 0.5)
-    near = dates.proximity(F.abs(F.datediff("m_date", "published")))
-    told, agrees = F.col("direction").isin("in", "out"), F.col("direction") == F.col("m_direction")
-    typed, same_kind, loan = F.col("kind") != "unclear", F.col("kind") == F.col("m_kind"), (F.col("kind") == "loan") & F.col("m_loan")
-    fee = scoring.fee_closeness(F.col("fee"), F.col("m_fee"))
-    #: What each signal adds, and its name.
-    signals = [
-        [(exact, 0.45, "exact_player"), (same_last, 0.25, "surname_player"), (fuzzy, 0.15, "fuzzy_player")],
-        [(F.lit(True), 0.20, "exact_club")],
-        [(F.lit(True), 0.10, "season_match")],
-        [(near > 0, 0.10 * near, "date_near")],
-        [(told & agrees, 0.08, "direction_match"), (told, -0.12, "direction_conflict")],
-        [(typed & same_kind, 0.05, "type_match"), (typed & loan, 0.03, "loan_match"), (typed, -0.05, "type_conflict")],
-        [(fee >= 0.8, 0.08, "fee_close"), (fee >= 0.5, 0.04, "fee_similar")],
-    ]
-    score, told_by = F.lit(0.0), []
-    for options in signals:
-        value = name = None
-        for i, (test, points, _) in enumerate(options):
-            value = F.when(test, points) if value is None else value.when(test, points)
-            name = F.when(test, F.lit(i).cast("byte")) if name is None else name.when(test, F.lit(i).cast("byte"))
-        score = score + F.coalesce(value.cast("double"), F.lit(0.0))
-        told_by.append(name)
-    return p.select("claim_id", "move_id", F.round(score, 6).alias("score"), *(x.alias(f"_o{i}") for i, x in enumerate(told_by)))
+    fuzzy = (_shared() > 0) & (_shared() / (F.size("_w") + F.size("_mw") - _shared()) >= 0.5)
+    return _first_of([(exact, 0.45), (same_last, 0.25), (fuzzy, 0.15)])
 
 
-#: The names of the signals, in the order of their options in scored_pairs.
-REASONS = (("exact_player", "surname_player", "fuzzy_player"), ("exact_club",), ("season_match",), ("date_near",), ("direction_match", "direction_conflict"), ("type_match", "loan_match", "type_conflict"), ("fee_close", "fee_similar"))
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """Score and signals of claims that stand beside a move."""
+    near = dates.proximity(F.abs(F.datediff("m_date", "published")))
+    fee = scoring.fee_closeness(F.col("fee"), F.col("m_fee"))
+    parts = [_player_part(), _club_part(), _season_part(), _first_of([(near > 0, MOST_DATE * near)]), _direction_part(), _kind_part(), _fee_part(fee)]
+    score = F.lit(0.0)
+    for value, _ in parts:
+        score = score + value
+    return pairs.select("claim_id", "move_id", F.round(score, 6).alias("score"), *(name.alias(f"_o{i}") for i, (_, name) in enumerate(parts)))
 
 
 def reasons() -> Column:
@@ -56,26 +77,176 @@ def reasons() -> Column:
     return F.array_compact(F.array(*(F.get(F.array(*map(F.lit, names)), F.col(f"_o{i}").cast("int")) for i, names in enumerate(REASONS))))
 
 
+def _named(rows: DataFrame, player: str, n: str, w: str, s: str) -> DataFrame:
+    rows = rows.withColumn(n, text.alnum_unicode(F.col(player)))
+    rows = rows.withColumn(w, F.array_distinct(F.filter(F.split(n, " "), lambda x: x != "")))
+    return rows.withColumn(s, F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")))
+
+
+def _numbered(claims: DataFrame) -> DataFrame:
+    """Claims, written, with a number for each row (claim_ids may repeat), blank clubs and seasons as NULL."""
+    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
+    out = claims.withColumns({"club": blank("club"), "season": blank("season"), "_row": F.monotonically_increasing_id()})
+    if "clubs" not in out.columns:
+        out = out.withColumn("clubs", F.array().cast("array<string>"))
+    if "related" not in out.columns:
+        out = out.withColumn("related", F.lit(True))
+    return written(_named(out.hint("rebalance"), "player", "_n", "_w", "_s"), "pool-claims")
+
+
+def _keyed_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
+    """Moves, written, once under each kind of pool key that claims ask for: club and season, club, all."""
+    asks = claims.agg(F.max(F.col("season").isNotNull()).alias("season"), F.max(F.col("season").isNull()).alias("any_season"), F.max(F.col("club").isNull()).alias("any_club")).first()
+    kinds = [(F.col("club"), F.col("season"))] * bool(asks.season) + [(F.col("club"), F.lit(ANY))] * bool(asks.any_season) + [(F.lit(ANY), F.lit(ANY))] * bool(asks.any_club)
+    wanted = F.array(*(F.struct(c.alias("k_club"), s.alias("k_season")) for c, s in kinds or [(F.col("club"), F.col("season"))]))
+    keyed = moves.select("*", F.inline(wanted)).withColumnsRenamed({"club": "m_club", "season": "m_season"})
+    # Rebalanced, so that what is read several times lies in even files, whatever the files of the source are.
+    rows = keyed.where("k_club is not null and k_season is not null").hint("rebalance")
+    return written(_named(rows, "m_player", "_mn", "_mw", "_ms"), "pool-moves")
+
+
+def _pools(c: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pools, keys) of numbered claims and keyed moves; see candidate_pools. keys: _row, k_club, k_season."""
+    names = F.array_distinct(F.array_compact(F.concat(F.array("club"), F.transform(F.coalesce("clubs", F.array().cast("array<string>")), lambda x: F.when(F.trim(x) != "", x)))))
+    first = c.where("related").select("_row", F.explode(names).alias("k_club"), F.coalesce("season", F.lit(ANY)).alias("k_season"))
+    sizes = written(m.groupBy("k_club", "k_season").agg(F.count(F.lit(1)).alias("n")), "pool-sizes")
+    met = written(first.join(sizes.hint("merge"), ["k_club", "k_season"]), "pool-keys")
+    every = sizes.where(F.col("k_club") == ANY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))  # one row
+    own = met.groupBy("_row").agg(F.sum("n").alias("own"))
+    pools = c.select("_row", "claim_id", "club", "related").join(own.hint("merge"), "_row", "left").join(F.broadcast(every))
+    open_club = F.col("club").isNull() & (F.col("every") > 0)
+    kind = F.when(~F.col("related"), "unrelated").when(F.col("own").isNotNull(), "clubs").when(open_club, "all").otherwise("none")
+    pools = written(pools.withColumn("pool", kind), "pools")
+    n = F.when(F.col("pool") == "clubs", F.col("own")).when(F.col("pool") == "all", F.col("every")).otherwise(0).cast("bigint")
+    anywhere = pools.where("pool = 'all'").select("_row", F.lit(ANY).alias("k_club"), F.lit(ANY).alias("k_season"))
+    return pools.select("_row", "claim_id", "pool", n.alias("candidates")), met.drop("n").select("_row", "k_club", "k_season").unionByName(anywhere)
+
+
+def candidate_pools(claims: DataFrame, moves: DataFrame) -> DataFrame:
+    """claim_id, pool and candidates (how many moves), a row for each claim.
+
+    The pool of a related claim is the moves of its clubs (club and `clubs`) in its season, in all seasons where it names none.
+    Where that is empty, a claim without a club of its own has all moves as its pool. No pairs are made for this: keys of
+    claims meet counts of moves."""
+    c = _numbered(claims)
+    return _pools(c, _keyed_moves(moves, c))[0].drop("_row")
+
+
+_KEYS = "array<struct<a:int,b:int,word:string>>"
+
+
+def _name_keys(claims: DataFrame, moves: DataFrame) -> DataFrame:
+    """For each distinct name (_name) of either side its words, rarest first (_o), and the keys of its blocks as a claim's name
+    (_c) and as a move's (_m).
+
+    Two names share half of their words, taken together, only if they share (a + b) / 3 or more, where a and b are their numbers of
+    words; so a rare one of the first a - (a + b) / 3 + 1 words of the one is among the first b - (a + b) / 3 + 1 of the other. A
+    key is (a, b, that word), for the numbers that the other side has; (-1, -1, surname) is that of equal surnames."""
+    rare = moves.select("_mn", "_mw").distinct().select(F.explode("_mw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    named = lambda rows, n, w: rows.select(F.col(n).alias("_name"), F.col(w).alias("w")).distinct()
+    sides = [named(claims, "_n", "_w"), named(moves, "_mn", "_mw")]
+    sizes = [sorted(r[0] for r in side.select(F.size("w")).distinct().collect() if r[0]) for side in sides]  # numbers of words: few
+    words = sides[0].unionByName(sides[1]).distinct().select("_name", F.try_element_at("w", F.lit(-1)).alias("last"), F.explode("w").alias("word"))
+    words = words.join(rare.hint("merge"), "word", "left")
+    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"])
+    names = words.groupBy("_name", "last").agg(order.alias("_o"))
+    size = F.size("_o")
+
+    def keys(side: int) -> Column:
+        parts = [F.when(F.char_length("last") >= 4, F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.col("last").alias("word"))))]
+        for other in sizes[1 - side]:
+            need = F.ceil((size + other) / 3).cast("int")
+            a, b = (size, F.lit(other)) if side == 0 else (F.lit(other), size)
+            parts.append(F.when(need <= F.least(size, F.lit(other)), _with_sizes(F.slice("_o", 1, F.greatest(size - need + 1, F.lit(0))), a, b)))
+        return F.flatten(F.array_compact(F.array(*(p.cast(_KEYS) for p in parts))))
+
+    return written(names.select("_name", "_o", keys(0).alias("_c"), keys(1).alias("_m")), "names")
+
+
+def _with_sizes(words: Column, a: Column, b: Column) -> Column:
+    return F.transform(words, lambda w: F.struct(a.alias("a"), b.alias("b"), w.alias("word")))
+
+
+def named_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
+    """Claims beside the moves of their pool with a player signal. Pairs come from blocks of a surname or of a rare word;
+    each pair has one block that owns it: that of the surname where both have it, else that of their rarest shared word.
+    claims and moves have k_club, k_season and names (see _named)."""
+    names = _name_keys(claims, moves)
+    of = lambda rows, n, keys, o: rows.join(names.select("_name", F.col("_o").alias(o), F.col(keys).alias("_keys")).hint("merge"), F.col(n) == F.col("_name")).drop("_name").select("*", F.inline("_keys")).drop("_keys")
+    met = of(claims, "_n", "_c", "_o").join(of(moves, "_mn", "_m", "_mo").hint("merge"), ["k_club", "k_season", "a", "b", "word"])
+    by_surname = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
+    by_word = ~by_surname & (F.get(F.array_intersect("_o", "_mo"), F.lit(0)) == F.col("word")) & (_shared() * 3 >= F.size("_w") + F.size("_mw"))
+    return met.where(F.when(F.col("a") == -1, by_surname).otherwise(by_word))
+
+
+def _blocks(moves: DataFrame) -> DataFrame:
+    """Moves of a pool that agree in club, season, direction, kind and month: the spans of their dates and fees."""
+    by = ("k_club", "k_season", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "month")
+    paid = F.when(F.col("m_fee") > 0, F.col("m_fee"))
+    club = F.when(F.col("k_club") == ANY, ANY).otherwise(F.col("m_club"))
+    rows = moves.withColumns({"month": F.trunc("m_date", "month"), "m_club": club})
+    return rows.groupBy(*by).agg(F.min("m_date").alias("d0"), F.max("m_date").alias("d1"), F.min(paid).alias("f0"), F.max(paid).alias("f1"))
+
+
+def rival_pairs(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
+    """Claims beside the moves of their pool without a player signal that could come within `close` of the claim's best named
+    pair. best: claims with keys, names and `top`, the best score. A block of moves whose bound is lower stays closed."""
+    room = F.lit(0.30 + MOST_DATE) + F.when(F.col("direction").isin("in", "out"), MOST_DIRECTION).otherwise(0.0) + F.when(F.col("kind") != "unclear", MOST_KIND).otherwise(0.0) + F.when(F.col("fee") > 0, MOST_FEE).otherwise(0.0)
+    least = F.col("top") - close - 1e-9
+    open_claims = best.where(room > least)
+    blocks = written(_blocks(moves), "pool-blocks")
+    met = open_claims.join(blocks.hint("merge"), ["k_club", "k_season"])
+    away = F.greatest(F.datediff("d0", "published"), F.datediff("published", "d1"), F.lit(0))
+    nearest = F.least(F.greatest("fee", "f0"), F.col("f1"))
+    bound = _club_part()[0] + _season_part()[0] + MOST_DATE * dates.proximity(away) + _direction_part()[0] + _kind_part()[0] + _fee_part(scoring.fee_closeness(F.col("fee"), nearest))[0]
+    met = met.where(bound > least).drop("d0", "d1", "f0", "f1")
+    keys = ["k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan", "month"]
+    # Keys may be NULL: blocks and moves are matched by a digest of them.
+    digest = F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
+    opened = met.withColumn("_k", digest).drop("m_club", *keys[2:])
+    rows = moves.withColumn("month", F.trunc("m_date", "month")).withColumn("_k", digest).drop("month")
+    pairs = opened.join(rows.hint("merge"), ["_k", "k_club", "k_season"])
+    return pairs.where(_player_part()[1].isNull())
+
+
 def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close: float = 0.07) -> DataFrame:
-    """One row per claim: move_id (NULL if none), score, reasons, ambiguous, candidates and status."""
+    """One row per claim: move_id (NULL if none), score, reasons, ambiguous, candidates and status. claims: claim_id, player, club,
+    season, published, direction, kind, fee and, where known, clubs (other clubs named) and related. moves: move_id, m_player,
+    club, season, m_date, m_direction, m_kind, m_loan, m_fee.
+
+    Pairs are made only of names that are alike (named_pairs) and of moves that could come close to those (rival_pairs); that a
+    claim's pool has other moves is known from counts."""
+    c = _numbered(claims)
+    m = _keyed_moves(moves, c)
+    pools, keys = _pools(c, m)
+    c = c.drop("clubs", "related").join(keys.hint("merge"), "_row")
+    named = written(scored_pairs(named_pairs(c, m)), "named-pairs")
+    top = written(named.groupBy("claim_id").agg(F.max("score").alias("top")), "named-best")
+    rivals = scored_pairs(rival_pairs(c.join(top.hint("merge"), "claim_id"), m, close))
     by = Window.partitionBy("claim_id").orderBy(F.desc("score"), "move_id")
-    ranked = scored_pairs(claims, moves).withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by), "candidates": F.count(F.lit(1)).over(Window.partitionBy("claim_id"))})
-    top = ranked.where("k = 1").withColumn("reasons", reasons())
-    signal = F.col("_o0").isNotNull()
-    status = F.when(~signal, "missing_player_signal").when(F.col("score") < least, "score_below_threshold").otherwise("matched")
+    ranked = named.unionByName(rivals).withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by)})
+    first = ranked.where("k = 1").withColumn("reasons", reasons())
+    # Rows that share a claim_id are one claim told several times.
+    sizes = pools.groupBy("claim_id").agg(F.sum("candidates").alias("candidates"))
+    out = pools.drop("candidates").join(sizes.hint("merge"), "claim_id").join(first.hint("merge"), "claim_id", "left")
+    status = (
+        F.when(F.col("pool") == "unrelated", "not_transfer_related")
+        .when(F.col("candidates") == 0, "no_candidates")
+        .when(F.col("_o0").isNull(), "missing_player_signal")
+        .when(F.col("score") < least, "score_below_threshold")
+        .otherwise("matched")
+    )
     unsure = F.coalesce(F.round(F.col("score") - F.col("next"), 6) < close, F.lit(False))
-    top = top.withColumns({"status": status, "ambiguous": unsure})
     found = F.col("status") == "matched"
-    out = claims.select("claim_id").join(top, "claim_id", "left")
-    return out.select(
+    return out.withColumn("status", status).select(
         "claim_id",
         F.when(found, F.col("move_id")).alias("move_id"),
         F.when(found, F.col("score")).otherwise(0.0).alias("score"),
         F.when(found, F.array_join("reasons", "|")).alias("reasons"),
-        (found & F.col("ambiguous")).cast("int").alias("ambiguous"),
-        F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"),
-        F.coalesce("status", F.lit("no_candidates")).alias("status"),
-    ).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(0)))
+        (found & unsure).cast("int").alias("ambiguous"),
+        "candidates",
+        "status",
+    )
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, tie: list[str]) -> DataFrame:

@@ -57,6 +57,66 @@ def claim_best_match(spark, sf_dir):
     return mt.best_matches(*moves_and_claims(spark, sf_dir))
 
 
+def open_claims(spark, sf_dir):
+    """The same claims, some without a club or a season, with another club, or about something else."""
+    claims, moves = moves_and_claims(spark, sf_dir)
+    k = F.split_part("claim_id", F.lit("-"), F.lit(1)).cast("bigint")
+    other = F.concat(F.lit("Club "), k % 97)
+    more = {
+        "clubs": F.when(k % 9 == 0, F.array(other, "club")).when(k % 9 == 1, F.array(other)),
+        "related": k % 10 != 3,
+        "club": F.when(k % 16 == 5, "").when(k % 16 == 6, "Nowhere").otherwise(F.col("club")),
+        "season": F.when(k % 13 == 4, "").when(k % 13 == 5, "1901-02").otherwise(F.col("season")),
+    }
+    return claims.withColumns(more), moves
+
+
+_OPEN = f"""
+oc AS (SELECT c2.* REPLACE (CASE WHEN k % 16 = 5 THEN NULL WHEN k % 16 = 6 THEN 'Nowhere' ELSE club END AS club,
+    CASE WHEN k % 13 = 4 THEN NULL WHEN k % 13 = 5 THEN '1901-02' ELSE season END AS season),
+  k % 10 <> 3 AS related,
+  CASE WHEN k % 9 = 0 THEN ['Club ' || (k % 97), club] WHEN k % 9 = 1 THEN ['Club ' || (k % 97)] ELSE [] END AS clubs
+  FROM (SELECT *, CAST(split_part(claim_id, '-', 1) AS BIGINT) AS k, row_number() OVER () AS rn FROM c2) c2),
+mw AS (SELECT *, row_number() OVER () AS mn FROM mv),
+ck AS (SELECT DISTINCT rn, season, unnest(list_filter(list_append(clubs, club), lambda x: x IS NOT NULL)) AS k_club FROM oc WHERE related),
+own AS (SELECT ck.rn, mn FROM ck JOIN mw ON mw.club = k_club AND mw.season = ck.season WHERE ck.season IS NOT NULL
+  UNION ALL SELECT ck.rn, mn FROM ck JOIN mw ON mw.club = k_club WHERE ck.season IS NULL),
+rest AS (SELECT rn FROM oc WHERE related AND club IS NULL AND rn NOT IN (SELECT rn FROM own)),
+pool AS (SELECT * FROM own UNION ALL SELECT rn, mn FROM rest, mw)"""
+
+
+@query(
+    "candidate_pools",
+    f"""WITH {_MATCHES}, {_OPEN}
+    SELECT claim_id, coalesce(n, 0) AS candidates,
+      CASE WHEN NOT related THEN 'unrelated' WHEN n IS NULL THEN 'none' WHEN rn IN (SELECT rn FROM rest) THEN 'all' ELSE 'clubs' END AS pool
+    FROM oc LEFT JOIN (SELECT rn, count(*) AS n FROM pool GROUP BY 1) USING (rn)""",
+)
+def candidate_pools(spark, sf_dir):
+    """How many moves each claim may be about, and why."""
+    return mt.candidate_pools(*open_claims(spark, sf_dir))
+
+
+@query(
+    "pooled_matches",
+    f"""WITH {_MATCHES}, {_OPEN},
+    prs AS (SELECT oc.claim_id, id AS move_id, CASE WHEN told = 3 OR oc.o_custkey <> mv.o_custkey THEN 0 ELSE told + 1 END AS sig, oc.club = mv.club AS same_club,
+      oc.club IS NOT NULL AND contains(lower(mv.club), lower(oc.club)) AS alias, oc.season = mv.season AS same_season, abs(date_diff('day', published, d)) AS gap,
+      direction, way, kind, typ, l_returnflag = 'A' AS loan, 1 - abs(fee - l_extendedprice) / greatest(fee, l_extendedprice) AS f FROM oc JOIN pool USING (rn) JOIN mw mv USING (mn)),
+    scs AS (SELECT claim_id, move_id, sig, round(CASE sig WHEN 1 THEN 0.45e0 WHEN 2 THEN 0.25e0 WHEN 3 THEN 0.15e0 ELSE 0 END + CASE WHEN same_club THEN 0.2e0 WHEN alias THEN 0.1e0 ELSE 0 END + CASE WHEN same_season THEN 0.1e0 ELSE 0 END
+      + CASE WHEN gap <= 7 THEN 0.1e0 WHEN gap <= 30 THEN 0.08e0 WHEN gap <= 90 THEN 0.05e0 WHEN gap <= 180 THEN 0.02e0 ELSE 0 END + CASE WHEN direction = 'unclear' THEN 0 WHEN direction = way THEN 0.08e0 ELSE -0.12e0 END
+      + CASE WHEN kind = 'unclear' THEN 0 WHEN kind = typ THEN 0.05e0 WHEN kind = 'loan' AND loan THEN 0.03e0 ELSE -0.05e0 END + CASE WHEN f >= 0.8 THEN 0.08e0 WHEN f >= 0.5 THEN 0.04e0 ELSE 0 END, 6) AS score FROM prs),
+    rks AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM scs WINDOW w AS (PARTITION BY claim_id ORDER BY score DESC, move_id)),
+    st AS (SELECT oc.claim_id, move_id, score, nxt, CASE WHEN NOT related THEN 'not_transfer_related' WHEN rks.claim_id IS NULL THEN 'no_candidates' WHEN sig = 0 THEN 'missing_player_signal' WHEN score < 0.45 THEN 'score_below_threshold' ELSE 'matched' END AS status
+      FROM oc LEFT JOIN rks ON oc.claim_id = rks.claim_id AND r = 1)
+    SELECT claim_id, status, CASE WHEN status = 'matched' THEN move_id END AS move_id, CASE WHEN status = 'matched' THEN score ELSE 0 END AS score,
+      CAST(status = 'matched' AND coalesce(round(score - nxt, 6) < 0.07, false) AS INTEGER) AS ambiguous FROM st""",
+)
+def pooled_matches(spark, sf_dir):
+    """The best move of each claim's pool, whatever the claim names."""
+    return mt.best_matches(*open_claims(spark, sf_dir)).select("claim_id", "status", "move_id", "score", "ambiguous")
+
+
 @query("match_reason_counts", f"WITH {_MATCHES} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, '|')) AS reason FROM best WHERE status = 'matched') GROUP BY 1")
 def match_reason_counts(spark, sf_dir):
     found = mt.best_matches(*moves_and_claims(spark, sf_dir)).where("reasons is not null")
