@@ -81,6 +81,11 @@ def test_claim_text(spark):
     assert one(spark, way, t="Redtown's Holm to leave", c="Redtown", p="Pat Holm") == "out"
     fees = one(spark, lambda t: F.struct(*(c.alias(n) for c, n in zip(cl.fee_and_wage(t), ("f", "w")))), t="a £10m fee, €12.5 million in all, $100k a week")
     assert fees.f == pytest.approx(12.5e6) and fees.w == pytest.approx(100e3 * 0.92 * 52)
+    # A unit is read as one letter where it can be, which ends the amount: this is no weekly wage.
+    odd = one(spark, lambda t: cl.money(t), t="paid £1.5 million a week and £2m a week")
+    assert [(r.raw, r.weekly, round(r.eur)) for r in odd] == [("£1.5 m", False, 1755000), ("£2m a week", True, 2340000)]
+    assert one(spark, way, t="Bluetown close in on deal for Pat Holm", c="Redtown", p="") == "out"
+    assert one(spark, way, t="Redtown bid for Holm", c="", p="Pat Holm") == "unclear"
 
 
 def test_mentions(spark):
@@ -183,10 +188,12 @@ def test_landed_files(spark, tmp_path):
 
 def test_stream_upsert(spark, tmp_path):
     from tidemark.streaming import jobs
+    from tidemark.streaming.keyed_table import KeyedTable, upsert_batches
 
-    write = jobs.upsert_to(str(tmp_path / "s"), ["id"])
+    table = KeyedTable(spark, str(tmp_path / "s"), "id int, v string", ["id"], [])
+    write = upsert_batches(table)
     for n, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")], [(2, "c")]]):
         write(spark.createDataFrame(rows, "id int, v string"), n)
-    assert {r.id: r.v for r in spark.read.parquet(str(tmp_path / "s/v=2")).collect()} == {1: "a", 2: "c"}
+    assert {r.id: r.v for r in table.read().collect()} == {1: "a", 2: "c"}
     quiet, undated = jobs.dated(spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1))], "id int, published_at timestamp"))
     assert quiet.first().id == 2 and undated.first().id == 1

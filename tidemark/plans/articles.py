@@ -107,8 +107,8 @@ _TYPE = f"CASE WHEN regexp_matches(norm, 'loan with option|loan option') THEN 'l
 
 @query("stage_ladder", f"WITH {HEADLINES}, n AS (SELECT article_id, {_NORM} AS norm FROM headlines) SELECT article_id, {_STAGE} AS stage, {_TYPE} AS transfer_type FROM n")
 def stage_ladder(spark, sf_dir):
-    h = b.headlines(spark, sf_dir).withColumn("norm", text.alnum_folded(F.col("title")))
-    return h.select("article_id", cl.stage(F.col("norm")).alias("stage"), cl.transfer_type(F.col("norm")).alias("transfer_type"))
+    h = b.headlines(spark, sf_dir).withColumn("norm", text.alnum_folded(F.col("title"))).withColumn("context", cl.has_context(F.col("norm")))
+    return h.select("article_id", cl.stage(F.col("norm"), F.col("context")).alias("stage"), cl.transfer_type(F.col("norm"), F.col("context")).alias("transfer_type"))
 
 
 _C, _S = "lower(club)", "lower(split_part(player, ' ', -1))"
@@ -146,7 +146,8 @@ def lexicon_mentions(spark, sf_dir):
 )
 def claim_confidence(spark, sf_dir):
     h = b.headlines(spark, sf_dir).withColumn("norm", text.alnum_folded(F.col("title")))
-    h = h.withColumn("stage", cl.stage(F.col("norm")))
-    h = h.withColumn("related", cl.related(F.col("norm"), F.col("stage"), F.col("player"), F.col("club")))
+    h = h.withColumn("context", cl.has_context(F.col("norm")))
+    h = h.withColumn("stage", cl.stage(F.col("norm"), F.col("context")))
+    h = h.withColumn("related", cl.related(F.col("norm"), F.col("stage"), F.col("player"), F.col("club"), F.col("context")))
     score = cl.confidence(F.col("stage"), F.col("player"), F.col("club"), F.col("related"), F.size(cl.money(F.col("snippet"))) > 0)
     return h.select("article_id", "related", "stage", F.round(cl.validated(score, F.col("player"), F.col("club"), F.col("related"), F.col("title")), 4).alias("confidence"))
