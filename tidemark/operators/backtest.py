@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.operators import frames as fr
+from tidemark.operators.quantiles import exact_median
+from tidemark.storage import written
 
 
 def strategy_signals(rows: DataFrame, positive: float = 0.40, negative: float = 0.40, credible: float = 0.55) -> DataFrame:
@@ -63,16 +65,17 @@ def daily(trade_rows: DataFrame, points: DataFrame, hold: int = 3) -> DataFrame:
 
 def metrics(trade_rows: DataFrame, daily_rows: DataFrame) -> DataFrame:
     """Figures of each strategy. The Sharpe ratio takes the sample deviation and 365 days; the drawdown starts at the first value."""
+    trade_rows = written(trade_rows.select("strategy", "side", "trade_return", "abnormal_return"), "trades")
     t = trade_rows.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n_trades"),
         F.count_if(F.col("side") == "long").alias("long_trades"),
         F.avg((F.col("trade_return") > 0).cast("int")).alias("win_rate"),
         F.avg("trade_return").alias("avg_trade_return"),
-        F.median("trade_return").alias("median_trade_return"),
         F.avg("abnormal_return").alias("avg_abnormal_return"),
     )
     by = Window.partitionBy("strategy").orderBy("date")  # a row per strategy and calendar day
     d = daily_rows.withColumn("equity", F.product(1 + F.col("ret")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("down", F.col("equity") / F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     g = d.groupBy("strategy").agg(F.count(F.lit(1)).alias("days"), (F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(365.0))).alias("sharpe"), F.min("down").alias("max_drawdown"), (F.max_by("equity", "date") - 1).alias("total_return"))
-    return t.join(g, "strategy").withColumn("turnover", F.col("n_trades") / F.col("days"))
+    median = exact_median(trade_rows, ["strategy"], "trade_return").withColumnRenamed("median", "median_trade_return")
+    return t.join(g, "strategy").join(median.hint("merge"), "strategy", "left").withColumn("turnover", F.col("n_trades") / F.col("days"))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
+from tidemark.operators.near_in_time import ALWAYS, NEVER, candidates
+from tidemark.storage import written
 
-SALTS = 16
+#: Query rows that are broadcast at a time; more go out in blocks.
+QUERY_ROWS = 100_000
 
 
 def targets(moves: DataFrame, listed: DataFrame) -> DataFrame:
@@ -42,31 +45,35 @@ def similarity(a, b) -> Column:
     )
 
 
-def top_pairs(queries: DataFrame, rows: DataFrame, keys: list[str], score, k: int, id_column: str, largest: bool = True) -> DataFrame:
-    """The k best rows for each query (q_*) among rows with equal keys. Rows are dealt into salts, every query goes to each
-    salt, and each task keeps its k best before the shuffle, so a frequent key neither gathers in a task nor ships pairs."""
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), F.explode(salts).alias("_salt"))
-    r = rows.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
-    on = [q["_salt"] == r["_salt"], *(q[f"q_{c}"] == r[c] for c in keys)]
-    pairs = q.join(r.hint("shuffle_hash"), on).withColumn("_score", score)
+def top_pairs(queries: DataFrame, rows: DataFrame, keys: list[str], score, k: int, id_column: str, largest: bool = True, block: int = QUERY_ROWS) -> DataFrame:
+    """The k best rows for each query (q_*) among rows with equal keys. Queries are counted and broadcast in blocks of about
+    `block` rows; rows stay where they lie, as many tasks as they fill, and each task keeps its k best of a query before the
+    shuffle. A frequent key neither gathers in a task nor ships pairs."""
+    q = written(queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)), "top-queries")
+    blocks = max(1, -(-q.count() // block))
     order = [F.desc("_score") if largest else F.asc("_score"), F.col(id_column)]
-    by = lambda *more: Window.partitionBy(f"q_{id_column}", *more).orderBy(*order)
-    part = pairs.select(f"q_{id_column}", r["_salt"].alias("_s"), "_score", *rows.columns).withColumn("_k", F.row_number().over(by("_s"))).where(F.col("_k") <= k)
-    return part.withColumn("rank", F.row_number().over(by())).where(F.col("rank") <= k).drop("_k", "_s")
+    by = Window.partitionBy(f"q_{id_column}").orderBy(*order)
+    found = None
+    for b in range(blocks):
+        mine = q.where(F.pmod(F.xxhash64(f"q_{id_column}"), F.lit(blocks)) == b) if blocks > 1 else q
+        on = [F.col(f"q_{c}") == F.col(c) for c in keys]
+        pairs = rows.join(F.broadcast(mine), on) if on else rows.join(F.broadcast(mine))
+        # Spark cuts each task's rows to k a query before it shuffles them for the rank.
+        part = pairs.select(f"q_{id_column}", score.alias("_score"), *rows.columns).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def similar_cases(current: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
     """The k most similar past cases of each current one. The pool narrows to the same role and direction where at least
     max(2, k) cases share them, else to the same role, else stays whole; pool sizes are counted beforehand."""
     need = max(2, k)
-    role = history.groupBy("target_role").agg(F.count(F.lit(1)).alias("n_role"))
-    both = history.groupBy("target_role", "direction").agg(F.count(F.lit(1)).alias("n_both"))
-    way = history.groupBy("direction").agg(F.count(F.lit(1)).alias("n_way"))
-    c = current.join(role.hint("merge"), "target_role", "left").join(both.hint("merge"), ["target_role", "direction"], "left").join(way.hint("merge"), "direction", "left")
+    # Numbers of cases by role, direction and both: a few values each, so they are small.
+    count = lambda name, *by: F.broadcast(history.groupBy(*by).agg(F.count(F.lit(1)).alias(name)))
+    c = current.join(count("n_role", "target_role"), "target_role", "left").join(count("n_both", "target_role", "direction"), ["target_role", "direction"], "left").join(count("n_way", "direction"), "direction", "left")
     enough = lambda x: F.coalesce(F.col(x), F.lit(0)) >= need
     level = F.when(enough("n_role") & enough("n_both"), 3).when(enough("n_role"), 2).when(enough("n_way"), 1).otherwise(0)
-    c = c.withColumn("level", level).drop("n_role", "n_both", "n_way")
+    c = written(c.withColumn("level", level).drop("n_role", "n_both", "n_way"), "similar-queries")
     score = F.round(similarity(lambda f: F.col(f"q_{f}"), lambda f: F.col(f)), 6)
     found = None
     for at, keys in ((3, ["target_role", "direction"]), (2, ["target_role"]), (1, ["direction"]), (0, [])):
@@ -75,14 +82,30 @@ def similar_cases(current: DataFrame, history: DataFrame, k: int = 3) -> DataFra
     return found.withColumnRenamed("_score", "similarity")
 
 
+#: What an equal club and role give, and what closeness in time gives within so many days.
+SAME_CLUB, SAME_ROLE, CLOSE, CLOSE_DAYS = 0.55, 0.20, 0.17, 365
+
+
+def closeness(a: Column, b: Column) -> Column:
+    return F.greatest(F.lit(0.0), CLOSE - F.least(F.abs(F.datediff(a, b)), F.lit(CLOSE_DAYS)) / float(CLOSE_DAYS) * CLOSE)
+
+
 def confirmed_links(signals: DataFrame, moves: DataFrame, limit: int = 3) -> DataFrame:
-    """The best confirmed moves of a signal's player. signals: signal_id, player, club, role, day; moves: move_id, player, m_club, m_role, m_day."""
-    j = signals.withColumn("_p", F.lower(F.trim("player"))).join(moves.withColumn("_p", F.lower(F.trim("player"))).drop("player"), "_p")
-    near = F.greatest(F.lit(0.0), 0.17 - F.least(F.abs(F.datediff("m_day", "day")), F.lit(365)) / 365.0 * 0.17)
-    score = F.when(F.col("club") == F.col("m_club"), 0.55).otherwise(0.0) + F.when(F.col("role") == F.col("m_role"), 0.20).otherwise(0.0) + near
-    j = j.withColumn("score", F.round(score, 6)).where("score > 0")
-    k = F.row_number().over(Window.partitionBy("signal_id").orderBy(F.desc("score"), F.desc("m_day"), "move_id"))
-    return j.withColumn("rank", k).where(F.col("rank") <= limit).select("signal_id", "move_id", "score", "rank")
+    """The best confirmed moves of a signal's player. signals: signal_id, player, club, role, day; moves: move_id, player, m_club,
+    m_role, m_day. A pair's score falls with its distance in time among moves that agree with the signal in the same of club
+    and role, so the nearest ones of each such class (and the latest, where closeness is spent) are all that is looked at."""
+    name = F.lower(F.trim("player"))
+    s = signals.withColumns({"player": name, "day": F.coalesce("day", F.lit(ALWAYS).cast("date"))}).where("player is not null")
+    m = moves.select(name.alias("m_player"), "move_id", "m_club", "m_role", F.coalesce("m_day", F.lit(NEVER).cast("date")).alias("m_day")).where("m_player is not null")
+    asked = written(s.select("player", "club", "role", "day").distinct(), "links-asked")
+    found = candidates(asked, m, [["player", "club", "role"], ["player", "club"], ["player", "role"], ["player"]], limit, ["move_id"])
+    equal = lambda a, b, points: F.when(F.col(a) == F.col(b), points).otherwise(0.0)
+    score = equal("club", "m_club", SAME_CLUB) + equal("role", "m_role", SAME_ROLE) + closeness(F.col("m_day"), F.col("day"))
+    scored = found.withColumn("score", F.round(score, 6)).where("score > 0")
+    k = F.row_number().over(Window.partitionBy("player", "club", "role", "day").orderBy(F.desc("score"), F.desc("m_day"), "move_id"))
+    best = written(scored.withColumn("rank", k).where(F.col("rank") <= limit), "links")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("player", "club", "role", "day")]
+    return s.alias("s").join(best.hint("merge").alias("b"), same).select("s.signal_id", "b.move_id", "b.score", "b.rank")
 
 
 def what_if(deals: DataFrame) -> DataFrame:

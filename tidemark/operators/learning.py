@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.cases import top_pairs
+from tidemark.storage import written
 
 LABELS = ("negative", "neutral", "positive")
+#: Counts of categories by class that are broadcast, at most.
+CATEGORY_ROWS = 200_000
 
 
 def split_of(rows: DataFrame, train_end: int) -> DataFrame:
@@ -91,23 +93,12 @@ def naive_bayes(train: DataFrame, rows: DataFrame, numeric: list[str] | str, cat
     terms = F.zip_with("_x", "_shape", lambda x, t: -0.5 * F.log(2 * math.pi * var(t)) - (x - t["m"]) ** 2 / (2 * var(t)))
     score = score + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     for c in categorical:
-        counts = train.groupBy(F.col(label).alias("_label"), c).agg(F.count(F.lit(1)).alias(f"_c_{c}"))
-        size = train.agg(F.countDistinct(c).alias(f"_v_{c}"))
-        pairs = pairs.join(counts.hint("merge"), ["_label", c], "left").join(F.broadcast(size))
-        score = score + F.log((F.coalesce(f"_c_{c}", F.lit(0)) + 1) / (F.col("_n") + F.col(f"_v_{c}")))
+        # (label, value) counts: as many rows as there are values and classes; how many is counted, and they are a map where few.
+        counts = written(train.where(F.col(c).isNotNull()).groupBy(F.col(label).alias("_label"), F.col(c)).agg(F.count(F.lit(1)).alias(f"_c_{c}")), "category-counts")
+        values = counts.agg(F.countDistinct(c).alias("v"), F.count(F.lit(1)).alias("n")).first()
+        side = F.broadcast(counts) if values.n <= CATEGORY_ROWS else counts.hint("merge")
+        pairs = pairs.join(side, ["_label", c], "left")
+        score = score + F.log((F.coalesce(f"_c_{c}", F.lit(0)) + 1) / (F.col("_n") + values.v))
     scored = pairs.select(key, "_label", score.alias("_score"))
     top = scored.groupBy(key).agg(F.max_by("_label", "_score").alias("predicted"), F.max("_score").alias("_top"), F.collect_list("_score").alias("_all"))
     return top.select(key, "predicted", (1 / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))).alias("confidence"))
-
-
-def nearest_neighbours(train: DataFrame, queries: DataFrame, numeric: list[str] | str, categorical: list[str], key: str, k: int) -> DataFrame:
-    """The k nearest training rows of each stated query, on min-max scaled numbers (columns, or one array column of any
-    length) and 0/1 categories."""
-    bounds = train.select(F.posexplode(_vector(numeric)).alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("w"))
-    widths = F.array(*(F.lit(float(r.w or 1.0)) for r in bounds.orderBy("i").collect()))  # a row per place
-    wide = lambda rows: rows.withColumn("_x", _vector(numeric))
-    scaled = F.zip_with(F.zip_with("q__x", "_x", lambda a, x: a - x), widths, lambda d, w: (d / w) ** 2)
-    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
-    for c in categorical:
-        total = total + F.when(F.col(f"q_{c}") == F.col(c), 0.0).otherwise(1.0)
-    return top_pairs(wide(queries), wide(train), [], F.round(F.sqrt(total), 8), k, key, largest=False).drop("_x")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.operators import frames as fr
+from tidemark.operators.cases import SAME_CLUB, closeness
+from tidemark.operators.near_in_time import NEVER, candidates
+from tidemark.storage import written
 
 
 def transfer_history(targets: DataFrame, points: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
@@ -121,10 +124,15 @@ def view(signals: DataFrame, club: str | None, term: str, fields: list[str], sor
 
 
 def with_best_link(signals: DataFrame, moves: DataFrame) -> DataFrame:
-    """Signals (club, player, day, ...) with the confirmed move (deal_id, line, date) of their player that lies nearest; signals
-    without one stay."""
-    j = signals.select("club", "player", "day").join(moves.hint("merge"), "player")
-    near = F.greatest(F.lit(0.0), 0.17 - F.least(F.abs(F.datediff("date", "day")), F.lit(365)) / 365.0 * 0.17)
-    scored = j.withColumn("score", F.round(0.55 + near, 6))
-    best = scored.groupBy("club", "player").agg(F.min_by(F.struct("deal_id", "score"), F.struct(-F.col("score"), "deal_id", "line", "market_value_eur")).alias("b"))
-    return signals.join(best.select("club", "player", "b.*").hint("merge"), ["club", "player"], "left")
+    """Signals (club, player, day, ...) with the confirmed move (deal_id, line, date, market_value_eur) of their player that lies
+    nearest; signals without one stay. Moves over a year away tie: of these the first by deal counts. Only the neighbours of
+    a signal in its player's calendar and the player's first move are looked at."""
+    tie = ["deal_id", "line", "market_value_eur"]
+    m = moves.where("player is not null").select(F.col("player").alias("m_player"), F.coalesce("date", F.lit(NEVER).cast("date")).alias("m_day"), *tie)
+    asked = written(signals.select("player", "day").where("player is not null and day is not null").distinct(), "watched")
+    near = candidates(asked, m, [["player"]], 1, tie)
+    first = m.groupBy("m_player").agg(F.min(F.struct(*tie, "m_day")).alias("f")).select("m_player", "f.*")
+    far = asked.join(written(first, "first-moves").hint("merge"), F.col("player") == F.col("m_player")).select(*near.columns)
+    scored = near.unionByName(far).withColumn("score", F.round(SAME_CLUB + closeness(F.col("m_day"), F.col("day")), 6))
+    best = scored.groupBy("player", "day").agg(F.min_by(F.struct("deal_id", "score"), F.struct(-F.col("score"), *tie)).alias("b"))
+    return signals.join(written(best.select("player", "day", "b.*"), "best-links").hint("merge"), ["player", "day"], "left")

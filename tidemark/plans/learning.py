@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import learning as ln
+from tidemark.operators import neighbours as nb
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
 
@@ -107,9 +108,10 @@ def nb_predictions(spark, sf_dir):
 def knn_predictions(spark, sf_dir):
     """Votes of the five nearest vectors for a stated query set (ids divisible by 50)."""
     v = vectors(spark, sf_dir)
-    near = ln.nearest_neighbours(v.where("vec_id % 5 <> 0"), v.where("vec_id % 50 = 0").drop("label"), "x", ["g"], "vec_id", 5)
-    votes = near.groupBy("q_vec_id", "label").agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("best"))
-    return votes.groupBy(F.col("q_vec_id").alias("vec_id")).agg(F.min_by("label", F.struct(-F.col("votes"), "best")).alias("predicted"), F.round(F.max("votes") / 5, 4).alias("confidence"))
+    train = v.where("vec_id % 5 <> 0")
+    near, _ = nb.nearest(train, v.where("vec_id % 50 = 0"), "x", ["g"], "vec_id", 5)
+    votes = near.join(train.select("vec_id", "label").hint("merge"), "vec_id").groupBy("q", "label").agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("best"))
+    return votes.groupBy(F.col("q").alias("vec_id")).agg(F.min_by("label", F.struct(-F.col("votes"), "best")).alias("predicted"), F.round(F.max("votes") / 5, 4).alias("confidence"))
 
 
 def _fit(spark, sf_dir, classifier):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import learning as ln
 from tidemark.operators import modelling as md
+from tidemark.operators.boosting import SoftmaxBoosting
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
 
@@ -156,6 +157,7 @@ def _candidates() -> dict:
         "logistic": LogisticRegression(family="multinomial", maxIter=20, regParam=0.01, **common),
         "forest_small": RandomForestClassifier(numTrees=20, maxDepth=3, seed=7, **common),
         "forest_large": RandomForestClassifier(numTrees=40, maxDepth=5, seed=7, **common),
+        "boosted": SoftmaxBoosting(len(ln.LABELS), rounds=3, depth=3, step=0.5),
     }
 
 
