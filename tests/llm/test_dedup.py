@@ -153,6 +153,28 @@ def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_exact_and_near_stages_with_very_many_equal_rows(spark):
+    """A third of all rows has no id and one text: counted before they move, and one of them stays."""
+    from tidemark.llm.exact_dedup import one_of_each_text
+    from tidemark.llm.simhash_dedup import one_of_each_group
+
+    data = [(None, "the same text for all of these", i) for i in range(4000)] + [(5, "the same  text for all of these", 0)] * 3 + [(i, f"{i} other words {i * 7} of no kin {i * 3}", 1) for i in range(100, 130)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, n_chars int").repartition(7)
+    got = exact_dedup(docs).groupBy("doc_id", "keep_id", "group_size", "kept").count()
+    got = {tuple(r) for r in got.where("doc_id is null or doc_id = 5").collect()}
+    assert got == {(None, 5, 4003, False, 4000), (5, 5, 4003, True, 1), (5, 5, 4003, False, 2)}
+    for stage in (one_of_each_text, one_of_each_group):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id or -1 for r in kept.collect()) == [5, *range(100, 130)]
+    alone = docs.where("doc_id is null")
+    for stage in (one_of_each_text, one_of_each_group):
+        assert [(r.doc_id, r.text) for r in stage(alone).collect()] == [(None, "the same text for all of these")]
+    assert {tuple(r) for r in exact_dedup(alone).groupBy("keep_id", "kept").count().collect()} == {(None, True, 1), (None, False, 3999)}
+    groups = {(r.doc_id, r.component_id) for r in simhash_groups(docs).where("doc_id is null or doc_id = 5").collect()}
+    assert groups == {(None, 5), (5, 5)} and {r.component_id for r in simhash_groups(alone).collect()} == {None}
+
+
 def test_exact(corpus):
     df, rows = corpus
     groups = defaultdict(list)
@@ -214,14 +236,15 @@ def classes(n, linked):
 @pytest.mark.parametrize("bucket", [4096, 1])
 def test_simhash(corpus, bucket):
     df, rows = corpus
-    rows = [r for r in rows if r[0] is not None]
     fps = [fingerprint(t) for _, t in rows]
     cls = classes(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
-    least = defaultdict(lambda: 10**9)
+    least = {}
     for (k, _), c in zip(rows, cls):
-        least[c] = min(least[c], k)
-    want = sorted((k, f"{f:016x}", least[c]) for (k, _), f, c in zip(rows, fps, cls))
-    got = sorted(tuple(r) for r in simhash_groups(df.where("doc_id is not null"), bucket=bucket).collect())
+        if k is not None:
+            least[c] = min(least.get(c, k), k)
+    want = sorted(((k, f"{f:016x}", least.get(c)) for (k, _), f, c in zip(rows, fps, cls)), key=str)
+    assert any(k is None for k, _, _ in want)
+    got = sorted((tuple(r) for r in simhash_groups(df, bucket=bucket).collect()), key=str)
     assert got == want
 
 

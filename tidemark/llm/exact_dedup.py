@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
@@ -66,16 +66,17 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.char_length(F.coalesce("text", F.lit(""))).alias("own_size"),
         F.coalesce(F.col("doc_id").cast(_WIDE), F.lit(_NO_ID).cast(_WIDE)).alias("own"),
     )
-    found = rows.join(groups(docs, salts).hint("merge"), ["d1", "d2"])
+    # Rows alike in all of this have one result but for `kept`: they are counted, in their tasks first, and numbered at the end.
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"))
+    found = alike.join(groups(docs, salts).hint("merge"), ["d1", "d2"])
     first = (F.col("own") == F.col("keep")) & (F.col("own_size") == F.col("size"))
-    # Rows that repeat a doc_id as well are told apart by a number; all others stand alone in their window.
-    turn = F.row_number().over(Window.partitionBy("doc_id", "d1", "own_size").orderBy("d2"))
+    found = found.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
     id_type = dict(docs.dtypes)["doc_id"]
     return found.select(
         "doc_id",
         F.when(F.col("keep") < _NO_ID, F.col("keep").cast(id_type)).alias("keep_id"),
         "group_size",
-        (first & (turn == 1)).alias("kept"),
+        (first & (F.col("turn") == 1)).alias("kept"),
         F.col("d1").alias("text_sha256"),
     )
 
@@ -86,10 +87,9 @@ def one_of_each_text(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     whole = docs.select(*key, F.sha2(normalised(F.col("text")), 256).alias("d1"), F.struct("*").alias("row"))
     decided = exact_dedup(docs.select("doc_id", "text"), salts).where("kept")
     kept = decided.select(key[0], F.col("text_sha256").alias("d1"))
-    found = whole.join(kept.hint("merge"), ["kept_id", "d1"], "left_semi")
-    # Of rows that share doc_id and content, one stays: the longest. The join has dealt them by the window's key already.
-    turn = F.row_number().over(Window.partitionBy("kept_id", "d1").orderBy(F.desc("size")))
-    return found.withColumn("turn", turn).where("turn = 1").select("row.*")
+    # Of rows that share doc_id and content, one stays: the longest. Tasks combine their own such rows before anything moves.
+    one = whole.groupBy("kept_id", "d1").agg(F.max_by("row", "size").alias("row"))
+    return one.join(kept.hint("merge"), ["kept_id", "d1"], "left_semi").select("row.*")
 
 
 ORACLE_SQL = r"""

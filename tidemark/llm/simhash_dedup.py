@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, keyed, prepared, written
@@ -189,7 +189,6 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKE
     prints = written(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, r1 bigint, r2 bigint, fp bigint"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
     kept = _rooted(prints, F.min(place), radius, bucket).groupBy("root").agg(F.min("least").alias("least")).select("least.r1", "least.r2")
-    found = whole.join(kept.hint("merge"), ["r1", "r2"], "left_semi")
-    # Rows that share doc_id and text share a key; one of them stays. The join has dealt them by the window's key already.
-    turn = F.row_number().over(Window.partitionBy("r1", "r2").orderBy(F.xxhash64("m_0")))
-    return found.withColumn("turn", turn).where("turn = 1").select("m_0.*")
+    # Rows that share doc_id and text share a key; one of them stays. Tasks combine their own such rows before anything moves.
+    one = whole.select("r1", "r2", "m_0").groupBy("r1", "r2").agg(F.min_by("m_0", F.xxhash64("m_0")).alias("m_0"))
+    return one.join(kept.hint("merge"), ["r1", "r2"], "left_semi").select("m_0.*")
