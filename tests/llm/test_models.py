@@ -293,3 +293,34 @@ def test_sentencepiece_round_trip(spark, documents):
         if "▁" not in texts[r.doc_id]:
             assert sp.decode(list(r.ids)) == texts[r.doc_id] and sp.encode(texts[r.doc_id]) == list(r.ids)
     assert sentencepiece_codec.encode(df.where("doc_id = -1")).collect() == []
+
+
+def test_most_languages_are_bounded(spark, documents):
+    """A dirty column adds no language beyond the bound; rows of other languages are predicted like any."""
+    from tidemark.llm import language_id as li
+
+    clean = documents.select("doc_id", "text", "lang").where("lang is not null")
+    dirty = clean.limit(60).selectExpr("doc_id + 1000000 as doc_id", "text", "concat('odd', doc_id) as lang")
+    known = {r.lang for r in clean.select("lang").distinct().collect()}
+    model = li.fit(clean.unionByName(dirty).select("text", "lang"), most=len(known))
+    assert set(model.languages) == known
+    assert {r.lang_pred for r in li.identify(dirty, model).collect()} <= known | {"und"}
+
+
+def test_toxicity_with_very_many_copies(spark):
+    """Thousands of copies of a labelled text, and of a row, count once when the lexicon is fitted."""
+    rnd = np.random.default_rng(5)
+    clean = [f"w{a} w{b} w{c}" for a, b, c in rnd.integers(0, 40, (200, 3))]
+    toxic = [f"{t} vile scum" for t in clean[:80]]
+    rows = [(i, t) for i, t in enumerate(clean + toxic)] + [(1, clean[1])] * 3000 + [(10_000 + i, toxic[0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(280)] + [(10_000 + i, 1) for i in range(3000)], "doc_id bigint, toxic int")
+    sizes = []
+    real = toxicity.logistic
+    toxicity.logistic = lambda x, y: (sizes.append(len(x)), real(x, y))[1]
+    try:
+        got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    finally:
+        toxicity.logistic = real
+    assert sizes[0] <= 281
+    assert sum(got[i] == int(i >= 200) for i in range(280)) >= 270

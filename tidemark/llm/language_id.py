@@ -5,12 +5,13 @@ languages that contain it. A text's languages are scored by their popcounts over
 filter's false positives; the largest wins.
 
 Only text is an input of a prediction. Fitting reads labelled rows: per language at most about `sample` documents (chosen
-by a digest of the text, whatever the corpus size) and `grams` n-grams; these bounds are parameters.
+by a digest of the text, whatever the corpus size) and `grams` n-grams, and at most the `most` languages with the most labelled
+rows, so a dirty column does not grow the model; these bounds are parameters.
 
 Null texts and texts without a letter are `und` with score 0. A text whose n-grams are all unknown gets the most frequent
 learned language with score 0. Ties go to the more frequent language. With no labelled row every text is `und`. Very long
 texts are read in slices; repeated rows are predicted alike; an empty table gives an empty result; other columns are
-ignored. Every language value is one literal of the plan that fits the filter, so it should be a clean column.
+ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ GRAM = 4
 SLOT_BITS = 20
 SAMPLE = 3000
 GRAMS = 40_000
+#: Languages that are learned, at most: the filter then has 32 MB, and the driver sees GRAMS n-grams for each.
+LANGUAGES = 256
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and all bytes of other characters stay, anything else is a space.
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -82,24 +85,27 @@ def _count_grams(languages: tuple[str, ...]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, text = grams_of(batch.column("text").to_pylist())
-            if len(gram):
-                lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.uint64)[text]
+            codes = np.array([index[x] for x in batch.column("lang").to_pylist()], np.uint64)
+            for gram, text in gram_slices(batch.column("text").to_pylist()):
+                if not len(gram):
+                    continue
+                lang = codes[text]
                 both, count = np.unique(lang << np.uint64(32) | gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(32)).astype(np.int64)), pa.array((both & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
 
     return rows
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> LanguageFilter:
-    """labelled: text, lang."""
+def fit(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, most: int = LANGUAGES) -> LanguageFilter:
+    """labelled: text, lang. The `most` languages with the most labelled rows are learned; the model grows with their number."""
     rows = labelled.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    sizes = {r.lang: r.n for r in counts}
     languages = tuple(sorted(sizes, key=lambda x: (-sizes[x], x)))
     if not languages:
         return LanguageFilter((), np.zeros((1 << SLOT_BITS, 1), np.uint8), np.zeros(0))
     share = F.create_map(*(F.lit(v) for x in languages for v in (x, min(1.0, sample / sizes[x]))))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = rows.where(F.col("lang").isin(*languages)).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     counted = chosen.select("text", "lang").mapInArrow(_count_grams(languages), "lang bigint, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rated = counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     # An n-gram belongs to the languages in which it is at least half as frequent as where it is most frequent.

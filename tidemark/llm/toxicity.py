@@ -169,12 +169,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, flo
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """labelled: text, toxic (0 or 1)."""
+    """labelled: text, toxic (0 or 1). A text counts once for each label that it has, however many rows repeat it."""
     sizes = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon()
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    chosen = written(labelled.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < share * 1_000_000), "toxic-sample")
+    texts = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # Chosen by a digest of the text, so copies come together; tasks combine their own before anything moves.
+    chosen = written(texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).distinct(), "toxic-sample")
     prepared(labelled.sparkSession)
     total = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
