@@ -60,7 +60,7 @@ def daily(trade_rows: DataFrame, points: DataFrame, hold: int = 3) -> DataFrame:
     """Mean return of the open trades by strategy and day."""
     days = trade_rows.select("strategy", "side", "ticker", F.explode(F.sequence(F.col("idx"), F.col("idx") + hold - 1)).alias("idx"))
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
-    return days.join(points.select("ticker", "idx", "date", "r"), ["ticker", "idx"]).groupBy("strategy", "date").agg(F.avg(sign * F.col("r")).alias("ret"))
+    return days.join(points.select("ticker", "idx", "date", "r").hint("merge"), ["ticker", "idx"]).groupBy("strategy", "date").agg(F.avg(sign * F.col("r")).alias("ret"))
 
 
 def metrics(trade_rows: DataFrame, daily_rows: DataFrame) -> DataFrame:

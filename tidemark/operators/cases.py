@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.operators.near_in_time import ALWAYS, NEVER, candidates
-from tidemark.storage import written
+from tidemark.storage import sided, written
 
 #: Query rows that are broadcast at a time; more go out in blocks.
 QUERY_ROWS = 100_000
@@ -18,7 +18,7 @@ def targets(moves: DataFrame, listed: DataFrame) -> DataFrame:
     moves: from_id, to_id, direction, ...; listed: club_id, club_name (a dimension)."""
     side = lambda column, name: (F.col(column) == F.col(f"{name}_id"))
     buyer, seller = listed.selectExpr("club_id AS buyer_id", "club_name AS buyer"), listed.selectExpr("club_id AS seller_id", "club_name AS seller")
-    j = moves.join(F.broadcast(buyer), side("to_id", "buyer"), "left").join(F.broadcast(seller), side("from_id", "seller"), "left")
+    j = moves.join(sided(buyer), side("to_id", "buyer"), "left").join(sided(seller), side("from_id", "seller"), "left")
     one = lambda test, name, role: F.when(test, F.struct(F.col(name).alias("target_club"), F.lit(role).alias("target_role")))
     sides = F.array_compact(F.array(one(F.col("buyer").isNotNull(), "buyer", "buyer"), one(F.col("seller").isNotNull() & ~F.col("buyer_id").eqNullSafe(F.col("seller_id")), "seller", "seller")))
     j = j.withColumns({"public_target_count": F.size(sides), "_t": F.explode_outer(sides)})

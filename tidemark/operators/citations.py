@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.storage import sided
 
 ENTITIES = ("club", "player", "reporter", "source")
 #: Hosts and paths of wrapped addresses.
@@ -78,7 +79,7 @@ def selected_sources(sources: DataFrame, keys: list[str], club: str | None = Non
     """The sources (key, club_keys) with the given keys, for one club if named; a source without clubs is for all. A key that no
     source has ends the job."""
     asked = sources.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-    known = asked.join(F.broadcast(sources.where(F.col("key").isin(keys)).withColumn("_known", F.lit(True))), "key", "left")
+    known = asked.join(sided(sources.where(F.col("key").isin(keys)).withColumn("_known", F.lit(True))), "key", "left")
     checked = known.where(F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown source: "), F.col("key"))).cast("boolean"))).drop("_known")
     if club is None:
         return checked

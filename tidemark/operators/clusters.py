@@ -61,7 +61,7 @@ def stage_timeline(clusters: DataFrame) -> DataFrame:
     """Every stage of the fixed order for every cluster, with articles and sources (0 where it was not seen)."""
     seen = clusters.groupBy(*KEYS, F.col("rumor_stage").alias("stage")).agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source").alias("sources"), F.max("published_at").alias("last_seen"))
     frame = clusters.select(*KEYS).distinct().select(*KEYS, F.explode(F.array(*map(F.lit, STAGES))).alias("stage"))
-    return frame.join(seen, [*KEYS, "stage"], "left").withColumns({"articles": F.coalesce("articles", F.lit(0)), "sources": F.coalesce("sources", F.lit(0))})
+    return frame.join(seen.hint("merge"), [*KEYS, "stage"], "left").withColumns({"articles": F.coalesce("articles", F.lit(0)), "sources": F.coalesce("sources", F.lit(0))})
 
 
 def watchlist(summaries: DataFrame, as_of, days: int = 21, limit: int = 10) -> DataFrame:

@@ -36,7 +36,7 @@ def edges(rows: DataFrame) -> DataFrame:
     # Evidence is cut to four before it is gathered.
     few = each.groupBy(*keys, "evidence").agg(F.lit(1).alias("x")).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("evidence"))).where("k <= 4")
     texts = few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("evidence")), "|").alias("evidence"))
-    return base.join(texts, keys)
+    return base.join(texts.hint("merge"), keys)
 
 
 def timelines(rows: DataFrame, last: int = 8, limit: int = 20) -> DataFrame:
@@ -45,4 +45,4 @@ def timelines(rows: DataFrame, last: int = 8, limit: int = 20) -> DataFrame:
     late = rows.select("player", "club", "day", "event_id", "stage").withColumn("k", F.row_number().over(by)).where(F.col("k") <= last)
     tail = late.groupBy("player", "club").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("k"), "stage"))), lambda x: x["stage"]), "|").alias("stages"))
     base = rows.groupBy("player", "club").agg(F.count(F.lit(1)).alias("event_count"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.avg("credibility").alias("avg_credibility"))
-    return base.orderBy(F.desc("last_seen"), F.desc("event_count"), "player", "club").limit(limit).join(tail, ["player", "club"])
+    return base.orderBy(F.desc("last_seen"), F.desc("event_count"), "player", "club").limit(limit).join(tail.hint("merge"), ["player", "club"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
-from tidemark.storage import written
+from tidemark.storage import sided, written
 
 
 #: Stands for any club, or any season, in the key of a pool.
@@ -304,7 +304,9 @@ def first_wins(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
 def credibility(claims: DataFrame, stats: DataFrame, prior: Column) -> DataFrame:
     """Seven weighted components for each claim. claims: source, journalist, club, rumor_stage, article_kind, days (to the
     match, NULL if none), related, ambiguous; prior: the source's prior score."""
-    part = lambda grain, keys, name: stats.where(F.col("grain") == grain).select(*keys, F.struct("n_claims", "n_matched", "avg_match_score").alias(name))
+    stats = written(stats, "reputation")
+    # Rows of each grain are counted: few sources and reporters are broadcast, whatever share of the claims one of them has.
+    part = lambda grain, keys, name: sided(stats.where(F.col("grain") == grain).select(*keys, F.struct("n_claims", "n_matched", "avg_match_score").alias(name)))
     j = claims.withColumn("prior", prior)
     for grain, keys, name in (("source", ["source"], "s"), ("journalist", ["journalist"], "j"), ("club_journalist", ["club", "journalist"], "c")):
         j = j.join(part(grain, keys, name), keys, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import frames as fr
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
+from tidemark.storage import sided
 
 from .registry import query
 from .sql_bindings import MARKET
@@ -218,7 +219,7 @@ def rebased_paths(spark, sf_dir):
     p = points(spark, sf_dir)
     e = fr.as_of(b.market_events(spark, sf_dir), p).where("idx IS NOT NULL").join(p.select("ticker", "idx", F.col("stock_close").alias("base")), ["ticker", "idx"])
     days = e.select("event_id", "ticker", "base", F.col("idx").alias("at"), F.explode(F.sequence(F.col("idx") - 20, F.col("idx") + 10)).alias("idx"))
-    return days.join(p, ["ticker", "idx"]).select("event_id", "ticker", (F.col("idx") - F.col("at")).cast("bigint").alias("day"), "date", F.round(F.col("stock_close") / F.col("base") * 100, 4).alias("rebased"))
+    return days.join(p.hint("merge"), ["ticker", "idx"]).select("event_id", "ticker", (F.col("idx") - F.col("at")).cast("bigint").alias("day"), "date", F.round(F.col("stock_close") / F.col("base") * 100, 4).alias("rebased"))
 
 
 RESULTS = {"R": "L", "A": "W", "N": "D"}
@@ -246,7 +247,7 @@ def path_markers(spark, sf_dir):
     by = Window.partitionBy("ticker").orderBy("date")
     tail = p.select("ticker", "date", "idx", F.round(F.col("stock_close") / F.first("stock_close").over(by) * 100, 4).alias("rebased"))
     since = tail.groupBy("ticker").agg(F.min("date").alias("since"))
-    results = match_results(spark, sf_dir).join(F.broadcast(since), "ticker").where("event_date >= since").drop("since")
+    results = match_results(spark, sf_dir).join(sided(since), "ticker").where("event_date >= since").drop("since")
     marked = fr.as_of(results, tail).where("idx IS NOT NULL").join(tail, ["ticker", "idx"])
     kinds = {"wins": "W", "draws": "D", "losses": "L"}
     return marked.groupBy("ticker", "date", "rebased").agg(F.count(F.lit(1)).alias("n_markers"), *(F.count_if(F.col("result") == v).alias(k) for k, v in kinds.items()))

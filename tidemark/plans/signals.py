@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring
@@ -33,15 +34,19 @@ GAP = 1  # days; the given events are dense
       array_to_string(list_sort(list(DISTINCT source))[1:5], ' | ') AS sources FROM claims GROUP BY 1, 2, 3""",
 )
 def same_day_groups(spark, sf_dir):
-    c = b.claims(spark, sf_dir)
-    return c.groupBy(F.to_date("published_at").alias("day"), "club", "player").agg(
+    c = b.claims(spark, sf_dir).withColumn("day", F.to_date("published_at"))
+    keys = ["day", "club", "player"]
+    # Five sources of a group are kept before they are gathered.
+    first = c.select(*keys, "source").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("source"))).where("k <= 5")
+    named = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("source")), " | ").alias("sources"))
+    groups = c.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rumor_count"),
         F.countDistinct("source").alias("source_count"),
         F.round(F.max("fee"), 4).alias("max_fee"),
         F.round(F.avg("fee") + 1e-9, 4).alias("avg_fee"),
         F.min_by("rumor_stage", "claim_id").alias("first_stage"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), " | ").alias("sources"),
     )
+    return groups.join(named.hint("merge"), keys)
 
 
 @query("gap_clusters", f"WITH {_CLUSTERS} SELECT club, player, cluster_no, count(*) AS n, min(claim_id) AS first_id, max(claim_id) AS last_id FROM cl GROUP BY 1, 2, 3")

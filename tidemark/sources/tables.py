@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import sided
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; TIMESTAMP_NTZ columns become TIMESTAMP (session time zone UTC), as watermarks need."""
@@ -99,6 +101,6 @@ def league_results(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
     side = lambda venue, club, other, own, against: F.struct(F.lit(venue).alias("venue"), F.col(club).alias("name"), F.col(other).alias("opponent"), F.col(own).cast("int").alias("goals_for"), F.col(against).cast("int").alias("goals_against"))
     each = rows.select(football_date(F.col("Date")).alias("date"), F.inline(F.array(side("home", "HomeTeam", "AwayTeam", "FTHG", "FTAG"), side("away", "AwayTeam", "HomeTeam", "FTAG", "FTHG"))))
-    known = each.join(F.broadcast(aliases), alnum_ascii(F.col("name")) == F.col("alias_norm")).where("goals_for IS NOT NULL AND goals_against IS NOT NULL")
+    known = each.join(sided(aliases), alnum_ascii(F.col("name")) == F.col("alias_norm")).where("goals_for IS NOT NULL AND goals_against IS NOT NULL")
     result = F.when(F.col("goals_for") > F.col("goals_against"), "W").when(F.col("goals_for") < F.col("goals_against"), "L").otherwise("D")
     return known.select("date", "club", "opponent", "venue", "goals_for", "goals_against", result.alias("result"), F.format_string("%d-%d", "goals_for", "goals_against").alias("score"))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that is broadcast, at most.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +34,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def sided(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table as the small side of a join: broadcast if it has at most `rows` rows, which is counted, else merged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
