@@ -3,9 +3,9 @@
 documents: doc, title, text, source, published_at and, where known, club, player, reporter, doc_type. queries: q, query.
 
 Documents are tokenised once and written. Spark counts the document frequency of the queries' words and gives every query
-its weights. Documents are then dealt once into parts of about PART_BYTES of text; every query visits every part, where a
-block of queries is multiplied with the part's counts. A part keeps the k best documents of each query, so what leaves a
-task is queries x k rows, never pairs; the parts' winners are ranked by a window. A task holds one part and one block.
+its weights. Queries are counted and broadcast in blocks of about QUERIES; documents stay where they lie. A task takes its
+documents in parts of about PART_BYTES of text and multiplies a part's counts with BLOCK queries at a time. A part keeps the k
+best documents of each query, so what leaves a task is queries x k rows, never pairs; winners are ranked by a window.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.shipping import ship
 from tidemark.storage import written
 
 PART_BYTES = 2_000_000
 BLOCK = 64  # queries multiplied at a time
 ROWS = 256  # documents multiplied at a time
+QUERIES = 20_000  # queries that are broadcast at a time, about
 #: What a match of each field weighs.
 FIELDS = {"club": 1.2, "player": 2.35, "reporter": 1.15, "source": 0.95}
 #: Kinds of documents that gain a little.
@@ -259,63 +261,61 @@ class Part:
         return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["q", "doc", *PARTS, "matched", "score"])
 
 
-def _search(parts: tuple[str, ...], k: int, digits: int, size: int, least: float):
-    """From rows sorted by part, documents before queries."""
+def _search(shared, parts: tuple[str, ...], k: int, digits: int, size: int, least: float):
+    """The k best documents of each query of the broadcast block, for each part of a task's documents."""
+
+    def part_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, queries = Part(held, parts), shared.value
+        for a in range(0, len(queries), size):
+            yield part.best(queries[a : a + size], k, digits, least)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs, part, block = None, [], None, []
+        held: list[pa.RecordBatch] = []
+        full = 0
         for batch in batches:
-            salts, asked = batch.column("part").to_numpy(), batch.column("asked").to_numpy()
-            edges = np.flatnonzero((salts[1:] != salts[:-1]) | (asked[1:] != asked[:-1])) + 1
-            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-                if a == b:
-                    continue
-                piece = batch.slice(a, b - a)
-                if salts[a] != at:
-                    if block and part is not None:
-                        yield part.best(block, k, digits, least)
-                    at, docs, part, block = salts[a], [], None, []
-                if not asked[a]:
-                    docs.append(piece)
-                    continue
-                if docs:
-                    part, docs = Part(docs, parts), []
-                if part is None:
-                    continue
-                for row in piece.select(["id", "query", "words", "terms"]).to_pylist():
-                    block.append(row)
-                    if len(block) == size:
-                        yield part.best(block, k, digits, least)
-                        block = []
-        if block and part is not None:
-            yield part.best(block, k, digits, least)
+            ends = np.cumsum(batch.column("size").fill_null(0).to_numpy() + 64)
+            a = 0
+            while a < batch.num_rows:
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + PART_BYTES - full, side="right")))
+                held.append(batch.slice(a, b - a))
+                full += int(ends[b - 1]) - done
+                a = b
+                if full >= PART_BYTES:
+                    yield from part_of(held)
+                    held, full = [], 0
+        if held:
+            yield from part_of(held)
 
     return rows
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int, parts: tuple[str, ...] = PARTS, as_of: Column | None = None, aliases: dict[str, str] | None = None, digits: int = 6, block: int = BLOCK, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int, parts: tuple[str, ...] = PARTS, as_of: Column | None = None, aliases: dict[str, str] | None = None, digits: int = 6, block: int = BLOCK, least_cosine: float = LEAST_COSINE, queries_sent: int = QUERIES) -> DataFrame:
     """The k best documents of each query: q, doc, rank, score, its parts, matched (number of shared words), methods (the parts
     that gave something) and normalized (share of the query's best score). Ties of the score, rounded to `digits`, go to the
     smaller doc. With one part, documents that have nothing of it are no hits; with several, the score is 0.35 at least or
     a word or field is shared."""
-    index = written(indexed(documents, parts), "search-index")
+    # Rebalanced, so that documents are tokenised and searched in even tasks, whatever the files of the source are.
+    index = written(indexed(documents.hint("rebalance"), parts), "search-index")
     if "lexical" in parts:
         asked = written(weighted(index, queries, aliases), "search-queries")
     else:
         full = expanded(F.col("query"), aliases or {})
         none = F.lit(None).cast("array<struct<term:string,weight:double>>")
         asked = queries.select(F.col("q").cast("bigint").alias("q"), full.alias("query"), text.tokens(full).alias("words"), none.alias("terms"))
-    size = index.agg(F.sum("size")).first()[0] or 0
-    salts = max(1, int(size) // PART_BYTES)
+    spark = documents.sparkSession
+    ship(spark)
     age = F.datediff(as_of, F.col("published_at")) if as_of is not None else F.lit(None).cast("int")
-    part = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(salts)).cast("int")
-    nothing = {"w": F.lit(None).cast("string"), "title": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "fields": F.lit(None).cast("array<array<string>>"), "kind": F.lit(None).cast("string"), "age": F.lit(None).cast("int")}
-    columns = ["part", "asked", "id", "doc", "w", "title", "body", "fields", "kind", "age", "query", "words", "terms"]
-    held = index.withColumns({"part": part, "asked": F.lit(0), "id": F.col("doc"), "age": age, "query": F.lit(None).cast("string"), "words": F.lit(None).cast("array<string>"), "terms": F.lit(None).cast("array<struct<term:string,weight:double>>")}).select(*columns)
-    visits = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "asked": F.lit(1), "id": F.col("q"), "doc": F.col("q"), **nothing}).select(*columns)
-    rows = held.unionByName(visits).repartition("part").sortWithinPartitions("part", "asked")
+    held = index.withColumn("age", age).select("doc", "w", "title", "body", "fields", "kind", "age", "size")
+    asked = asked.select(F.col("q").alias("id"), "query", "words", "terms")
+    blocks = max(1, -(-asked.count() // queries_sent))
     schema = "q bigint, doc bigint, " + ", ".join(f"{p} double" for p in PARTS) + ", matched bigint, score double"
-    best = rows.mapInArrow(_search(tuple(parts), k, digits, block, least_cosine), schema)
+    best = None
+    for i in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        sent = spark.sparkContext.broadcast([row.asDict(recursive=True) for row in mine.collect()])  # about queries_sent rows
+        found = held.mapInArrow(_search(sent, tuple(parts), k, digits, block, least_cosine), schema)
+        best = found if best is None else best.unionByName(found)
     by = Window.partitionBy("q").orderBy(F.desc(F.round("score", digits)), "doc")
     ranked = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     methods = F.array_join(F.array_compact(F.array(*(F.when(F.col(c) > 0, name) for name, c in METHODS.items()))), "|")

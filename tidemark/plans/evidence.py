@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
-from tidemark.operators import retrieval as rt
+from tidemark.operators import grounding, retrieval as rt
 from tidemark.operators.evidence_index import EvidenceIndex
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
@@ -196,3 +196,35 @@ def grounding_audit(spark, sf_dir):
     fresh = dates.citation_freshness(F.col("conv_id") % 400)
     j = j.withColumn("overall", scoring.rounded((0.26 * F.col("support") + 0.14 * diversity + 0.12 * fresh) / 0.52))
     return j.select("conv_id", "cites", scoring.rounded(F.col("support")).alias("support"), "overall", scoring.score_status(F.col("overall")).alias("status"))
+
+
+_SAID = "['lexical', 'semantic', 'structured']"
+
+
+@query(
+    "grounding_dimensions",
+    f"""WITH c AS (SELECT conv_id AS run, turn, role, coalesce(text, '') AS text, coalesce(role = 'assistant', false) AS answer FROM conversations),
+    w AS (SELECT DISTINCT run, answer, unnest(list_filter({_TOK("text")}, lambda t: length(t) > 3)) AS w FROM c),
+    sp AS (SELECT a.run, avg(CASE WHEN b.w IS NULL THEN 0 ELSE 1 END) AS v FROM w a LEFT JOIN w b ON b.run = a.run AND b.w = a.w AND NOT b.answer WHERE a.answer GROUP BY a.run),
+    ct AS (SELECT run, avg((turn % 10) / 10.0e0) AS strength, count(DISTINCT role || (turn % 3)) / count(*) * 1.35e0 AS diversity,
+      avg(CASE WHEN turn % 4 <> 3 THEN greatest(date_diff('day', DATE '2024-01-01' + CAST((run * 7 + turn) % 500 AS INTEGER), DATE '2024-06-01'), 0) END) AS age FROM c WHERE NOT answer GROUP BY run),
+    se AS (SELECT run, 0.35e0 * least(1, count(*) / 5.0e0) + 0.35e0 * least(1, count(DISTINCT ({_SAID})[turn % 3 + 1]) / 3.0e0) + 0.3e0 * least(1, sum(length(text) % 5) / 10.0e0) AS health FROM c GROUP BY run),
+    an AS (SELECT run, CASE WHEN sum(CAST(length(text) % 3 = 0 AS INTEGER)) > 0 THEN 0.45e0 ELSE 0 END + CASE WHEN sum(CAST(length(text) % 2 = 0 AS INTEGER)) > 0 THEN 0.55e0 ELSE 0 END AS told FROM c WHERE answer GROUP BY run),
+    d AS (SELECT an.run, round(coalesce(sp.v, 0) + 1e-9, 4) AS answer_support, round(coalesce(strength, 0) + 1e-9, 4) AS citation_strength, round(coalesce(least(1, diversity), 0) + 1e-9, 4) AS source_diversity, round(coalesce(health, 0) + 1e-9, 4) AS retrieval_health,
+      round(CASE WHEN age IS NULL THEN 0.45e0 WHEN age <= 14 THEN 1.0e0 WHEN age <= 45 THEN 0.76e0 WHEN age <= 120 THEN 0.55e0 WHEN age <= 365 THEN 0.34e0 ELSE 0.18e0 END + 1e-9, 4) AS citation_freshness, round(told + 1e-9, 4) AS uncertainty_disclosure
+      FROM an LEFT JOIN sp USING (run) LEFT JOIN ct USING (run) LEFT JOIN se USING (run)),
+    o AS (SELECT *, round(0.26e0 * answer_support + 0.18e0 * citation_strength + 0.14e0 * source_diversity + 0.18e0 * retrieval_health + 0.12e0 * citation_freshness + 0.12e0 * uncertainty_disclosure + 1e-9, 4) AS overall FROM d)
+    SELECT *, CASE WHEN overall >= 0.82 THEN 'strong' WHEN overall >= 0.62 THEN 'usable' WHEN overall >= 0.42 THEN 'watch' ELSE 'needs_refresh' END AS status,
+      coalesce(nullif(concat_ws('|', CASE WHEN answer_support < 0.65 THEN 'improve_grounding' END, CASE WHEN source_diversity < 0.6 THEN 'more_sources' END, CASE WHEN retrieval_health < 0.65 THEN 'rebuild_index' END, CASE WHEN citation_freshness < 0.55 THEN 'refresh_articles' END), ''), 'usable') AS advice FROM o""",
+)
+def grounding_dimensions(spark, sf_dir):
+    """Six dimensions of each conversation: the assistant answers, other turns are cited, every turn is a search."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("answer"))
+    size, turn = F.char_length("text"), F.col("turn")
+    answers = c.where("answer").select("run", "text", (size % 3 == 0).cast("int").alias("warnings"), (size % 2 == 0).cast("int").alias("notes"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("run") * 7 + turn) % 500).cast("int"))
+    citations = c.where("not answer").select("run", "text", F.concat("role", turn % 3).alias("source"), F.when(turn % 4 != 3, day).alias("day"), ((turn % 10) / 10.0).alias("strength"))
+    method = F.element_at(F.array(*map(F.lit, ("lexical", "semantic", "structured"))), (turn % 3 + 1).cast("int"))
+    searches = c.select("run", turn.alias("purpose"), method.alias("method"), (size % 5).alias("hits"))
+    found = grounding.audit(answers, citations, searches, F.lit("2024-06-01").cast("date"))
+    return found.drop("warnings").withColumn("advice", F.array_join("advice", "|"))
