@@ -8,9 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.functions import dates, scoring
 from tidemark.operators import cases, learning
-from tidemark.storage import sided
 
 #: Columns that are known only after an event.
 LEAKY = tuple(f"{kind}_0_p{n}" for kind in ("raw_return", "market_return", "abnormal_return") for n in (1, 3, 5, 10)) + (
@@ -45,7 +45,7 @@ def claim_rows(claims: DataFrame, moves: DataFrame, listed: DataFrame) -> DataFr
         F.lit(True).alias("matched"),
     )
     rest = c.join(moves.select("move_id").hint("merge"), "move_id", "left_anti")
-    own = rest.join(sided(listed.select(F.col("club_name").alias("target_club"))), F.col("club") == F.col("target_club"), "left")
+    own = rest.join(storage.sided(listed.select(F.col("club_name").alias("target_club"))), F.col("club") == F.col("target_club"), "left")
     role = scoring.lookup(F.col("direction"), ROLES, "")
     direct = F.col("target_club").isNotNull() & (role != "")
     alone = own.select(

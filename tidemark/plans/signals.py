@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring
 from tidemark.operators import clusters as cs
-from tidemark.operators import graph
+from tidemark.operators import graph, quality
 from tidemark.sources import bindings as b
+from tidemark.sources.tables import table
 
 from .registry import query
-from .sql_bindings import CLAIMS
+from .sql_bindings import CLAIMS, PREDICTIONS
 
 AS_OF = "2024-02-05 00:00:00"
 
@@ -185,3 +186,35 @@ def quality_audit(spark, sf_dir):
     overall = sum((w * s for w, s in dims.values()), F.lit(0.0)) / sum(w for w, _ in dims.values())
     rows = [F.struct(F.lit(k).alias("name"), s.cast("double").alias("score")) for k, (_, s) in dims.items()] + [F.struct(F.lit("overall").alias("name"), overall.alias("score"))]
     return t.select(F.inline(F.array(*rows))).select("name", F.round("score", 4).alias("score"), scoring.score_status(F.col("score")).alias("status"))
+
+
+@query(
+    "quality_dimensions",
+    f"""WITH {_CLUSTERS}, {PREDICTIONS}, s AS (SELECT date_diff('day', max(CAST(published_at AS DATE)), DATE '2024-01-28') AS stale, count(*) AS rows_n, count(DISTINCT source) AS outlets, count(DISTINCT journalist) AS reporters, count_if(prediction_scope = 'direct') AS direct,
+      avg(least(fee / 100, 1)) FILTER (WHERE prediction_scope = 'direct') AS fit, count_if(prediction_scope = 'direct' AND least(fee / 100, 1) < 0.65) AS weak, count_if(CAST(published_at AS DATE) > DATE '2024-01-28') AS future FROM cov),
+    k AS (SELECT count(*) AS clusters, sum(a) AS articles, count_if(n >= 2) AS several, count_if(n < 2 OR a < 2) AS thin FROM (SELECT count(*) AS a, count(DISTINCT source) AS n FROM cl GROUP BY club, player, cluster_no)),
+    pt AS (SELECT 'NATION_' || c_nationkey AS club, CAST(max(o_orderdate) AS DATE) + CAST(9290 + 2 * c_nationkey AS INTEGER) AS latest_day, count_if(o_orderpriority = '1-URGENT' AND o_totalprice >= 400000) AS markers FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 6 <> 0 GROUP BY c_nationkey),
+    m AS (SELECT count(*) AS clubs, count_if(latest_day IS NULL) AS missing, count_if(date_diff('day', latest_day, DATE '2024-01-28') > 14) AS old, coalesce(sum(markers), 0) AS markers FROM (SELECT DISTINCT club FROM cov) LEFT JOIN pt USING (club)),
+    te AS (SELECT * FROM predictions WHERE split = 'test'),
+    f AS (SELECT avg(f1) AS macro_f1 FROM (SELECT 2 * count_if(actual_label = x AND predicted_label = x) / (count_if(actual_label = x) + count_if(predicted_label = x)) AS f1 FROM te, (SELECT unnest(['negative', 'neutral', 'positive']) AS x) GROUP BY x HAVING count_if(actual_label = x) + count_if(predicted_label = x) > 0)),
+    e AS (SELECT count(*) AS tested, coalesce(avg(CAST(actual_label = predicted_label AS INTEGER)), 0) AS accuracy, count_if(actual_label = 'positive') AS positives FROM te),
+    d AS (SELECT 'freshness' AS name, 0.24e0 AS w, CASE WHEN stale IS NULL THEN 0e0 WHEN stale <= 2 THEN 1.0e0 WHEN stale <= 7 THEN 0.76e0 WHEN stale <= 14 THEN 0.52e0 WHEN stale <= 30 THEN 0.28e0 ELSE 0.12e0 END AS x, concat_ws('|', CASE WHEN stale IS NULL THEN 'no dates' END, CASE WHEN stale > 7 THEN 'stale signals' END) AS warnings FROM s
+      UNION ALL SELECT 'sources', 0.18e0, 0.35e0 * least(1, outlets / 8) + 0.25e0 * least(1, articles / 24) + 0.2e0 * least(1, reporters / 6) + 0.2e0 * several / clusters, concat_ws('|', CASE WHEN clusters = 0 THEN 'no clusters' END, CASE WHEN thin > 0 THEN 'thin clusters' END) FROM s, k
+      UNION ALL SELECT 'market', 0.18e0, 0.45e0 * (1 - missing / clubs) + 0.35e0 * (1 - old / clubs) + 0.2e0 * least(1, markers / (clubs * 3)), concat_ws('|', CASE WHEN missing > 0 THEN 'missing paths' END, CASE WHEN old > 0 THEN 'stale paths' END, CASE WHEN markers = 0 THEN 'no markers' END) FROM m
+      UNION ALL SELECT 'matching', 0.16e0, 0.55e0 * fit + 0.3e0 * direct / rows_n + 0.15e0 * (1 - weak / direct), concat_ws('|', CASE WHEN weak > 0 THEN 'weak matches' END, CASE WHEN direct / rows_n < 0.5 THEN 'few direct signals' END) FROM s
+      UNION ALL SELECT 'model', 0.14e0, 0.35e0 * accuracy + 0.35e0 * coalesce(macro_f1, 0) + 0.2e0 * least(1, tested / 120) + 0.1e0 * least(1, positives / greatest(tested * 0.12e0, 1)), concat_ws('|', CASE WHEN tested < 50 THEN 'small holdout' END, CASE WHEN positives <= greatest(2, tested * 0.08e0) THEN 'sparse positives' END, CASE WHEN coalesce(macro_f1, 0) < 0.4 THEN 'low macro F1' END) FROM e, f
+      UNION ALL SELECT 'dates', 0.10e0, CASE WHEN future = 0 THEN 1.0e0 ELSE greatest(0.15e0, 1 - least(future, 20) / 20) END, CASE WHEN future > 0 THEN 'future dates' ELSE '' END FROM s),
+    r AS (SELECT name, w, round(x + 1e-9, 4) AS score, warnings FROM d), a AS (SELECT name, score, warnings FROM r UNION ALL SELECT 'overall', round(sum(w * score) + 1e-9, 4), '' FROM r)
+    SELECT name, score, warnings, CASE WHEN score >= 0.82 THEN 'strong' WHEN score >= 0.62 THEN 'usable' WHEN score >= 0.42 THEN 'watch' ELSE 'needs_refresh' END AS status FROM a""",
+)
+def quality_dimensions(spark, sf_dir):
+    """Six dimensions of the data: claims, their clusters, paths of nations, and the predictions of the test split."""
+    claims = covered(spark, sf_dir)
+    clusters = cs.gap_clusters(claims, GAP).groupBy(*cs.KEYS).agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source").alias("sources"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey % 6 <> 0")
+    marked = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") >= 400_000)
+    paths = orders.groupBy("c_nationkey").agg(F.max(F.to_date("o_orderdate")).alias("last"), F.count_if(marked).alias("markers"))
+    paths = paths.select(F.concat(F.lit("NATION_"), "c_nationkey").alias("club"), F.date_add("last", (9290 + 2 * F.col("c_nationkey")).cast("int")).alias("latest_day"), "markers")
+    signals = claims.withColumn("match_score", F.least(F.col("fee") / 100, F.lit(1.0)))
+    found = quality.audit(signals, clusters, claims.select("club"), paths, b.predictions(spark, sf_dir).where("split = 'test'"), F.lit("2024-01-28").cast("date"))
+    return found.withColumn("warnings", F.array_join("warnings", "|"))
