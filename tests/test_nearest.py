@@ -193,3 +193,17 @@ def test_candidates_of_large_pools_stay_few(spark):
     assert pairs.count() == pairs.distinct().count() == 4_000
     best = matching.best_matches(claims, moves)
     assert best.where("status = 'matched' and candidates = 20000").count() == 2_000
+
+
+def test_confirmed_links_in_rows_and_by_windows(spark):
+    """Both ways give the plain answer; moves that are alike in everything count each."""
+    rnd = random.Random(5)
+    day = lambda: DAY + dt.timedelta(rnd.randrange(900))
+    signals = [(i, rnd.choice(["Ann", " ann ", "Bo", "Cy", None]), rnd.choice([1, 2, 3, None]), rnd.choice(["in", "out", None]), rnd.choice([day(), None])) for i in range(120)]
+    moves = [(f"m{rnd.randrange(60)}", rnd.choice(["Ann", "BO", None]), rnd.choice([1, 2, 3, 4, None]), rnd.choice(["in", "out"]), rnd.choice([day(), None])) for _ in range(150)]
+    moves += [("same", "Bo", 2, "in", DAY)] * 5
+    s = spark.createDataFrame(signals, "signal_id INT, player STRING, club INT, role STRING, day DATE")
+    m = spark.createDataFrame(moves, "move_id STRING, player STRING, m_club INT, m_role STRING, m_day DATE")
+    want = links_by_hand(signals, moves, 3)
+    for limits in ({}, {"moves_held": 60}, {"pairs_held": 1}):
+        assert sorted(tuple(r) for r in cases.confirmed_links(s, m, **limits).collect()) == want
