@@ -207,3 +207,11 @@ def test_confirmed_links_in_rows_and_by_windows(spark):
     want = links_by_hand(signals, moves, 3)
     for limits in ({}, {"moves_held": 60}, {"pairs_held": 1}):
         assert sorted(tuple(r) for r in cases.confirmed_links(s, m, **limits).collect()) == want
+
+
+def test_what_if_bounds_round_as_their_sum(spark):
+    """A bound that stands for an exact half (0.0050005) rounds up, as it does where the terms are subtracted one by one."""
+    deal = (26273.7, 1050.17, 5000000.0, 28.0, False, "in", "agreed", None, 22 / 30)
+    d = spark.createDataFrame([deal], "market_value_eur DOUBLE, transfer_fee_eur DOUBLE, wage_eur_annual DOUBLE, age DOUBLE, is_loan BOOLEAN, direction STRING, stage STRING, source_rate DOUBLE, journalist_rate DOUBLE")
+    r = cases.what_if(d).first()
+    assert (r.midpoint, r.confidence, r.low, r.label) == (0.0343, 0.7489, 0.005001, "positive")
