@@ -215,3 +215,16 @@ def test_what_if_bounds_round_as_their_sum(spark):
     d = spark.createDataFrame([deal], "market_value_eur DOUBLE, transfer_fee_eur DOUBLE, wage_eur_annual DOUBLE, age DOUBLE, is_loan BOOLEAN, direction STRING, stage STRING, source_rate DOUBLE, journalist_rate DOUBLE")
     r = cases.what_if(d).first()
     assert (r.midpoint, r.confidence, r.low, r.label) == (0.0343, 0.7489, 0.005001, "positive")
+
+
+def test_candidate_pools_write_no_moves(spark):
+    """Pools are counted by keys; no table of moves is written for them."""
+    rows = [(f"m{i}", f"Pat {i}", f"Club {i % 3}" if i % 7 else None, "2020-21" if i % 2 else "2021-22", DAY, "in", "loan", True, 1.0) for i in range(50)]
+    moves = spark.createDataFrame(rows, MOVE)
+    told = [(1, "Pat 1", "Club 1", "2020-21"), (2, "Pat 2", "Club 2", " "), (3, "Pat 3", None, None), (4, "Pat 4", "Nowhere", "2020-21"), (1, "Pat 5", "Club 0", None)]
+    claims = spark.createDataFrame([(i, p, c, [], s, True, DAY, "in", "loan", 1.0) for i, p, c, s in told], CLAIM)
+    counted = matching._counted_moves(moves, matching._numbered(claims, named=False))
+    assert set(counted.columns) == {"k_club", "k_season", "n"}
+    size = lambda f: sum(1 for r in rows if f(r))
+    want = [(1, size(lambda r: r[2:4] == ("Club 1", "2020-21")), "clubs"), (1, size(lambda r: r[2] == "Club 0"), "clubs"), (2, size(lambda r: r[2] == "Club 2"), "clubs"), (3, 50, "all"), (4, 0, "none")]
+    assert sorted((r.claim_id, r.candidates, r.pool) for r in matching.candidate_pools(claims, moves).collect()) == sorted(want)

@@ -83,33 +83,48 @@ def _named(rows: DataFrame, player: str, n: str, w: str, s: str) -> DataFrame:
     return rows.withColumn(s, F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")))
 
 
-def _numbered(claims: DataFrame) -> DataFrame:
-    """Claims, written, with a number for each row (claim_ids may repeat), blank clubs and seasons as NULL."""
+def _numbered(claims: DataFrame, named: bool = True) -> DataFrame:
+    """Claims, written, with a number for each row (claim_ids may repeat), blank clubs and seasons as NULL. Without names, only
+    what pools need."""
     blank = lambda c: F.when(F.trim(c) != "", F.col(c))
     out = claims.withColumns({"club": blank("club"), "season": blank("season"), "_row": F.monotonically_increasing_id()})
     if "clubs" not in out.columns:
         out = out.withColumn("clubs", F.array().cast("array<string>"))
     if "related" not in out.columns:
         out = out.withColumn("related", F.lit(True))
+    if not named:
+        return written(out.select("_row", "claim_id", "club", "season", "clubs", "related"), "pool-claims")
     return written(_named(out.hint("rebalance"), "player", "_n", "_w", "_s"), "pool-claims")
 
 
-def _keyed_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
-    """Moves, written, once under each kind of pool key that claims ask for: club and season, club, all."""
+def _pool_keys(claims: DataFrame) -> Column:
+    """The keys of a row with club and season (k_club, k_season), of each kind that claims ask for: club and season, club, all."""
     asks = claims.agg(F.max(F.col("season").isNotNull()).alias("season"), F.max(F.col("season").isNull()).alias("any_season"), F.max(F.col("club").isNull()).alias("any_club")).first()
     kinds = [(F.col("club"), F.col("season"))] * bool(asks.season) + [(F.col("club"), F.lit(ANY))] * bool(asks.any_season) + [(F.lit(ANY), F.lit(ANY))] * bool(asks.any_club)
-    wanted = F.array(*(F.struct(c.alias("k_club"), s.alias("k_season")) for c, s in kinds or [(F.col("club"), F.col("season"))]))
-    keyed = moves.select("*", F.inline(wanted)).withColumnsRenamed({"club": "m_club", "season": "m_season"})
+    return F.array(*(F.struct(c.alias("k_club"), s.alias("k_season")) for c, s in kinds or [(F.col("club"), F.col("season"))]))
+
+
+def _counted_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
+    """k_club, k_season and how many moves (n). Moves are counted by club and season first."""
+    each = moves.groupBy("club", "season").agg(F.count(F.lit(1)).alias("n"))
+    keyed = each.select("n", F.inline(_pool_keys(claims))).where("k_club is not null and k_season is not null")
+    return keyed.groupBy("k_club", "k_season").agg(F.sum("n").alias("n"))
+
+
+def _keyed_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
+    """Moves, written, once under each kind of pool key that claims ask for."""
+    keyed = moves.select("*", F.inline(_pool_keys(claims))).withColumnsRenamed({"club": "m_club", "season": "m_season"})
     # Rebalanced, so that what is read several times lies in even files, whatever the files of the source are.
     rows = keyed.where("k_club is not null and k_season is not null").hint("rebalance")
     return written(_named(rows, "m_player", "_mn", "_mw", "_ms"), "pool-moves")
 
 
 def _pools(c: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pools, keys) of numbered claims and keyed moves; see candidate_pools. keys: _row, k_club, k_season."""
+    """(pools, keys) of numbered claims and keyed or counted moves; see candidate_pools. keys: _row, k_club, k_season."""
     names = F.array_distinct(F.array_compact(F.concat(F.array("club"), F.transform(F.coalesce("clubs", F.array().cast("array<string>")), lambda x: F.when(F.trim(x) != "", x)))))
     first = c.where("related").select("_row", F.explode(names).alias("k_club"), F.coalesce("season", F.lit(ANY)).alias("k_season"))
-    sizes = written(m.groupBy("k_club", "k_season").agg(F.count(F.lit(1)).alias("n")), "pool-sizes")
+    counts = m if "n" in m.columns else m.groupBy("k_club", "k_season").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(counts, "pool-sizes")
     met = written(first.join(sizes.hint("merge"), ["k_club", "k_season"]), "pool-keys")
     every = sizes.where(F.col("k_club") == ANY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))  # one row
     own = met.groupBy("_row").agg(F.sum("n").alias("own"))
@@ -128,8 +143,8 @@ def candidate_pools(claims: DataFrame, moves: DataFrame) -> DataFrame:
     The pool of a related claim is the moves of its clubs (club and `clubs`) in its season, in all seasons where it names none.
     Where that is empty, a claim without a club of its own has all moves as its pool. No pairs are made for this: keys of
     claims meet counts of moves."""
-    c = _numbered(claims)
-    return _pools(c, _keyed_moves(moves, c))[0].drop("_row")
+    c = _numbered(claims, named=False)
+    return _pools(c, _counted_moves(moves, c))[0].drop("_row")
 
 
 _KEYS = "array<struct<a:int,b:int,word:string>>"
