@@ -228,3 +228,13 @@ def test_candidate_pools_write_no_moves(spark):
     size = lambda f: sum(1 for r in rows if f(r))
     want = [(1, size(lambda r: r[2:4] == ("Club 1", "2020-21")), "clubs"), (1, size(lambda r: r[2] == "Club 0"), "clubs"), (2, size(lambda r: r[2] == "Club 2"), "clubs"), (3, 50, "all"), (4, 0, "none")]
     assert sorted((r.claim_id, r.candidates, r.pool) for r in matching.candidate_pools(claims, moves).collect()) == sorted(want)
+
+
+def test_rivals_are_scored_in_cells(spark):
+    """A claim without a club has 20,000 moves as its pool; those alike in day and step of fee are one cell."""
+    moves = spark.range(20_000).select(F.concat(F.lit("m"), "id").alias("move_id"), F.concat(F.lit("Kim Other"), "id").alias("m_player"), F.lit("Red").alias("club"), F.lit("2023-24").alias("season"), F.expr("date_add(date'2023-09-01', cast(id % 10 as int))").alias("m_date"), F.lit("in").alias("m_direction"), F.lit("loan").alias("m_kind"), F.lit(True).alias("m_loan"), (1e6 + F.col("id")).alias("m_fee"))
+    told = spark.createDataFrame([(1, "Kim Other7 Jr", None, None, None, True, dt.date(2023, 9, 3), "in", "loan", 1e6)], CLAIM)
+    m = matching._keyed_moves(moves, matching._numbered(told))
+    assert matching._cells(m).count() <= 40
+    r = matching.best_matches(told, moves).first()
+    assert (r.status, r.move_id, r.score, r.ambiguous, r.candidates) == ("matched", "m7", 0.46, 0, 20_000)

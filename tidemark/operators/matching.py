@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +63,15 @@ def _player_part() -> tuple[Column, Column]:
     return _first_of([(exact, 0.45), (same_last, 0.25), (fuzzy, 0.15)])
 
 
-def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Score and signals of claims that stand beside a move."""
+def scored_pairs(pairs: DataFrame, *kept: str) -> DataFrame:
+    """Score and signals of claims that stand beside a move, and the columns to keep."""
     near = dates.proximity(F.abs(F.datediff("m_date", "published")))
     fee = scoring.fee_closeness(F.col("fee"), F.col("m_fee"))
     parts = [_player_part(), _club_part(), _season_part(), _first_of([(near > 0, MOST_DATE * near)]), _direction_part(), _kind_part(), _fee_part(fee)]
     score = F.lit(0.0)
     for value, _ in parts:
         score = score + value
-    return pairs.select("claim_id", "move_id", F.round(score, 6).alias("score"), *(name.alias(f"_o{i}") for i, (_, name) in enumerate(parts)))
+    return pairs.select("claim_id", "move_id", *kept, F.round(score, 6).alias("score"), *(name.alias(f"_o{i}") for i, (_, name) in enumerate(parts)))
 
 
 def reasons() -> Column:
@@ -112,11 +114,11 @@ def _counted_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def _keyed_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
-    """Moves, written, once under each kind of pool key that claims ask for."""
-    keyed = moves.select("*", F.inline(_pool_keys(claims))).withColumnsRenamed({"club": "m_club", "season": "m_season"})
+    """Moves, once under each kind of pool key that claims ask for. They are written once, and keyed where they are read."""
     # Rebalanced, so that what is read several times lies in even files, whatever the files of the source are.
-    rows = keyed.where("k_club is not null and k_season is not null").hint("rebalance")
-    return written(_named(rows, "m_player", "_mn", "_mw", "_ms"), "pool-moves")
+    rows = written(moves.hint("rebalance"), "pool-moves")
+    keyed = rows.select("*", F.inline(_pool_keys(claims))).withColumnsRenamed({"club": "m_club", "season": "m_season"})
+    return _named(keyed.where("k_club is not null and k_season is not null"), "m_player", "_mn", "_mw", "_ms")
 
 
 def _pools(c: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,51 +149,64 @@ def candidate_pools(claims: DataFrame, moves: DataFrame) -> DataFrame:
     return _pools(c, _counted_moves(moves, c))[0].drop("_row")
 
 
-_KEYS = "array<struct<a:int,b:int,word:string>>"
+#: A word that more than this many distinct names of moves hold, or one in 10,000 words, is a frequent one.
+FREQUENT = 1_000
 
 
-def _name_keys(claims: DataFrame, moves: DataFrame) -> DataFrame:
-    """For each distinct name (_name) of either side its words, rarest first (_o), and the keys of its blocks as a claim's name
-    (_c) and as a move's (_m).
+def _frequent(moves: DataFrame) -> DataFrame:
+    """One row: frequent words of the moves' names with how many names hold them. At most 10,000 by its bound."""
+    words = moves.select("_mn", "_mw").distinct().select(F.explode("_mw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = written(words, "words")
+    most = F.greatest(F.lit(FREQUENT), F.expr("sum(df) / 10000"))
+    bound = words.agg(F.coalesce(most, F.lit(FREQUENT)).alias("most"))
+    return written(words.join(F.broadcast(bound)).where("df > most").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("_df")), "frequent")
+
+
+def _sizes(rows: DataFrame, words: str) -> list[int]:
+    """Numbers of words that names have: few."""
+    return sorted(r[0] for r in rows.select(F.size(words)).distinct().collect() if r[0] and r[0] > 0)
 
-    Two names share half of their words, taken together, only if they share (a + b) / 3 or more, where a and b are their numbers of
-    words; so a rare one of the first a - (a + b) / 3 + 1 words of the one is among the first b - (a + b) / 3 + 1 of the other. A
-    key is (a, b, that word), for the numbers that the other side has; (-1, -1, surname) is that of equal surnames."""
-    rare = moves.select("_mn", "_mw").distinct().select(F.explode("_mw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    named = lambda rows, n, w: rows.select(F.col(n).alias("_name"), F.col(w).alias("w")).distinct()
-    sides = [named(claims, "_n", "_w"), named(moves, "_mn", "_mw")]
-    sizes = [sorted(r[0] for r in side.select(F.size("w")).distinct().collect() if r[0]) for side in sides]  # numbers of words: few
-    words = sides[0].unionByName(sides[1]).distinct().select("_name", F.try_element_at("w", F.lit(-1)).alias("last"), F.explode("w").alias("word"))
-    words = words.join(rare.hint("merge"), "word", "left")
-    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"])
-    names = words.groupBy("_name", "last").agg(order.alias("_o"))
-    size = F.size("_o")
 
-    def keys(side: int) -> Column:
-        parts = [F.when(F.char_length("last") >= 4, F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.col("last").alias("word"))))]
-        for other in sizes[1 - side]:
-            need = F.ceil((size + other) / 3).cast("int")
-            a, b = (size, F.lit(other)) if side == 0 else (F.lit(other), size)
-            parts.append(F.when(need <= F.least(size, F.lit(other)), _with_sizes(F.slice("_o", 1, F.greatest(size - need + 1, F.lit(0))), a, b)))
-        return F.flatten(F.array_compact(F.array(*(p.cast(_KEYS) for p in parts))))
+def _name_keys(words: Column, side: int, sizes: list[int]) -> Column:
+    """The words whose blocks a name goes to, given its words, rare ones first; side 0: a claim's, 1: a move's; sizes: numbers of
+    words of the other side.
 
-    return written(names.select("_name", "_o", keys(0).alias("_c"), keys(1).alias("_m")), "names")
+    Two names share half of their words, taken together, only if they share (a + b) / 3 or more, where a and b are their numbers of
+    words; so a rare one of the first a - (a + b) / 3 + 1 words of the one is among the first b - (a + b) / 3 + 1 of the other,
+    whatever the order, if both sides have the same. Names of equal surnames meet by that."""
+    size, last = F.size(words), F.col("_s" if side == 0 else "_ms")
+    firsts = [F.lit(0)]
+    for other in sizes:
+        need = F.ceil((size + other) / 3).cast("int")
+        firsts.append(F.when(need <= F.least(size, F.lit(other)), size - need + 1).otherwise(0))
+    rare = F.coalesce(F.slice(words, 1, F.greatest(F.lit(0), *firsts)), F.array().cast("array<string>"))
+    return F.array_distinct(F.when(F.char_length(last) >= 4, F.concat(F.array(last), rare)).otherwise(rare))
 
 
-def _with_sizes(words: Column, a: Column, b: Column) -> Column:
-    return F.transform(words, lambda w: F.struct(a.alias("a"), b.alias("b"), w.alias("word")))
+def _rare_first(rows: DataFrame, words: str, frequent: DataFrame) -> DataFrame:
+    """_o: the words of a name, frequent ones last, else in the order of their letters."""
+    order = F.array_sort(F.transform(words, lambda w: F.struct(F.coalesce(F.try_element_at("_df", w), F.lit(0)).alias("df"), w.alias("word"))))
+    return rows.join(F.broadcast(frequent)).withColumn("_o", F.transform(order, lambda x: x["word"])).drop("_df")
 
 
 def named_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
     """Claims beside the moves of their pool with a player signal. Pairs come from blocks of a surname or of a rare word;
     each pair has one block that owns it: that of the surname where both have it, else that of their rarest shared word.
-    claims and moves have k_club, k_season and names (see _named)."""
-    names = _name_keys(claims, moves)
-    of = lambda rows, n, keys, o: rows.join(names.select("_name", F.col("_o").alias(o), F.col(keys).alias("_keys")).hint("merge"), F.col(n) == F.col("_name")).drop("_name").select("*", F.inline("_keys")).drop("_keys")
-    met = of(claims, "_n", "_c", "_o").join(of(moves, "_mn", "_m", "_mo").hint("merge"), ["k_club", "k_season", "a", "b", "word"])
+    claims and moves have k_club, k_season and names (see _named). Moves go to their blocks by a digest and without what
+    follows from other columns; the digest only brings pairs together, the rest is compared."""
+    frequent = _frequent(moves)
+    block = F.xxhash64("k_club", "k_season", "word")
+    of = lambda rows, words, side, sizes: _rare_first(rows, words, frequent).withColumn("word", F.explode(_name_keys(F.col("_o"), side, sizes))).withColumn("_block", block)
+    left = of(claims, "_w", 0, _sizes(moves, "_mw"))
+    lean = ("word", "_o", "_mn", "_mw", "_ms", "k_club", "k_season")
+    right = of(moves.withColumns({"_any": F.col("k_club") == ANY, "_any_season": F.col("k_season") == ANY}), "_mw", 1, _sizes(claims, "_w")).drop(*lean)
+    met = left.join(right.hint("merge"), "_block").drop("_block")
+    # Surnames and words are made again beside the claim; few rows are left by then.
+    same_pool = F.when(F.col("_any"), F.col("k_club") == ANY).otherwise(F.col("k_club") == F.col("m_club")) & F.when(F.col("_any_season"), F.col("k_season") == ANY).otherwise(F.col("k_season") == F.col("m_season"))
+    met = _named(met.where(same_pool), "m_player", "_mn", "_mw", "_ms").drop("_any", "_any_season")
     by_surname = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
-    by_word = ~by_surname & (F.get(F.array_intersect("_o", "_mo"), F.lit(0)) == F.col("word")) & (_shared() * 3 >= F.size("_w") + F.size("_mw"))
-    return met.where(F.when(F.col("a") == -1, by_surname).otherwise(by_word))
+    by_word = ~by_surname & (F.get(F.array_intersect("_o", "_mw"), F.lit(0)) == F.col("word")) & (_shared() * 3 >= F.size("_w") + F.size("_mw"))
+    return met.where((by_surname & (F.col("word") == F.col("_s"))) | by_word)
 
 
 def _blocks(moves: DataFrame) -> DataFrame:
@@ -203,25 +218,68 @@ def _blocks(moves: DataFrame) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("m_date").alias("d0"), F.max("m_date").alias("d1"), F.min(paid).alias("f0"), F.max(paid).alias("f1"))
 
 
-def rival_pairs(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
-    """Claims beside the moves of their pool without a player signal that could come within `close` of the claim's best named
-    pair. best: claims with keys, names and `top`, the best score. A block of moves whose bound is lower stays closed."""
+#: Paid fees of one step differ by less than a fifth, so each is close to all others.
+FEE_STEP = 1.2
+
+
+def _digest(*keys: str) -> Column:
+    """Keys may be NULL: blocks and cells are matched by a digest of them."""
+    return F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
+
+
+def _in_cells(moves: DataFrame) -> DataFrame:
+    """Moves with their block (_k) and cell (_cell): moves of a pool that agree in club, season, direction, kind, day and step of fee."""
+    step = F.when(F.col("m_fee") > 0, F.floor(F.log("m_fee") / math.log(FEE_STEP)))
+    keys = ["k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan"]
+    rows = moves.withColumns({"month": F.trunc("m_date", "month"), "step": step})
+    return rows.withColumns({"_k": _digest(*keys, "month"), "_cell": _digest(*keys, "m_date", "step")}).drop("month", "step")
+
+
+def _cells(moves: DataFrame) -> DataFrame:
+    """How many moves a cell has, its least and largest fee and its first move_id."""
+    paid = F.when(F.col("m_fee") > 0, F.col("m_fee"))
+    rows = _in_cells(moves).withColumn("m_club", F.when(F.col("k_club") == ANY, ANY).otherwise(F.col("m_club")))
+    by = ("_k", "_cell", "k_club", "k_season", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "m_date")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(paid).alias("f0"), F.max(paid).alias("f1"), F.min("move_id").alias("first_id"))
+
+
+def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
+    """For claims whose pool may have a move without a player signal that comes within `close` of the best named pair: claim_id, the
+    best score of such moves (rival), and whether one goes before the named pair (before). best: claims with keys, names, `top` and
+    `top_id` (the best named pair) and `own` (the cells of the named moves of the row).
+
+    A block of moves (a month) whose bound is lower stays closed. Of an open block, cells are scored, not moves: the ends of a cell's
+    fees are fees of moves, and where both score alike all of the cell do. Only cells where that leaves a doubt are opened."""
     room = F.lit(0.30 + MOST_DATE) + F.when(F.col("direction").isin("in", "out"), MOST_DIRECTION).otherwise(0.0) + F.when(F.col("kind") != "unclear", MOST_KIND).otherwise(0.0) + F.when(F.col("fee") > 0, MOST_FEE).otherwise(0.0)
     least = F.col("top") - close - 1e-9
-    open_claims = best.where(room > least)
+    open_claims = best.where(room > least).drop("_n", "_w", "_s")
     blocks = written(_blocks(moves), "pool-blocks")
     met = open_claims.join(blocks.hint("merge"), ["k_club", "k_season"])
     away = F.greatest(F.datediff("d0", "published"), F.datediff("published", "d1"), F.lit(0))
     nearest = F.least(F.greatest("fee", "f0"), F.col("f1"))
-    bound = _club_part()[0] + _season_part()[0] + MOST_DATE * dates.proximity(away) + _direction_part()[0] + _kind_part()[0] + _fee_part(scoring.fee_closeness(F.col("fee"), nearest))[0]
-    met = met.where(bound > least).drop("d0", "d1", "f0", "f1")
-    keys = ["k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan", "month"]
-    # Keys may be NULL: blocks and moves are matched by a digest of them.
-    digest = F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
-    opened = met.withColumn("_k", digest).drop("m_club", *keys[2:])
-    rows = moves.withColumn("month", F.trunc("m_date", "month")).withColumn("_k", digest).drop("month")
-    pairs = opened.join(rows.hint("merge"), ["_k", "k_club", "k_season"])
-    return pairs.where(_player_part()[1].isNull())
+    fee_part = lambda c: _fee_part(scoring.fee_closeness(F.col("fee"), c))[0]
+    bound = _club_part()[0] + _season_part()[0] + MOST_DATE * dates.proximity(away) + _direction_part()[0] + _kind_part()[0] + fee_part(nearest)
+    met = met.where(bound > least).withColumn("_k", _digest("k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan", "month"))
+    opened = met.drop("d0", "d1", "f0", "f1", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "month")
+    on = ["_k", "k_club", "k_season"]
+    near = dates.proximity(F.abs(F.datediff("m_date", "published")))
+    base = F.lit(0.0) + _club_part()[0] + _season_part()[0] + _first_of([(near > 0, MOST_DATE * near)])[0] + _direction_part()[0] + _kind_part()[0]
+    ends = {"_base": base, "_own": F.size(F.filter("own", lambda x: x == F.col("_cell")))}
+    cells = opened.join(written(_cells(moves), "pool-cells").hint("merge"), on).withColumns(ends)
+    cells = cells.withColumns({"_a": F.round(F.col("_base") + fee_part(F.col("f0")), 6), "_b": F.round(F.col("_base") + fee_part(F.col("f1")), 6)}).withColumn("rival", F.greatest("_a", "_b"))
+    cells = cells.where((F.col("rival") > least) & (F.col("n") > F.col("_own")))
+    even, tied = F.col("_a") == F.col("_b"), F.col("rival") == F.col("top")
+    # A named move adds its player signal, so a cell with one scores below `top` where it is even.
+    doubt = ~even & ((F.col("_own") > 0) | tied)
+    known = cells.where(~doubt).select("claim_id", "rival", ((F.col("rival") > F.col("top")) | (tied & (F.col("first_id") < F.col("top_id")))).alias("before"))
+    unsure = cells.where(doubt).select("claim_id", "player", "published", "club", "season", "direction", "kind", "fee", "top", "top_id", "k_club", "k_season", "_cell")
+    pairs = unsure.join(_in_cells(moves).drop("_k", "_mn", "_mw", "_ms").hint("merge"), ["_cell", "k_club", "k_season"])
+    pairs = _named(_named(pairs, "player", "_n", "_w", "_s"), "m_player", "_mn", "_mw", "_ms").where(_player_part()[1].isNull())
+    exact = F.round(base + fee_part(F.col("m_fee")), 6)
+    seen = pairs.withColumn("rival", exact).where(F.col("rival") > least).select("claim_id", "rival", ((F.col("rival") > F.col("top")) | (tied & (F.col("move_id") < F.col("top_id")))).alias("before"))
+    # Two aggregates over plain values: tasks send one row a claim.
+    some = [t.groupBy("claim_id").agg(F.max("rival").alias("rival"), F.max("before").alias("before")) for t in (known, seen)]
+    return some[0].unionByName(some[1]).groupBy("claim_id").agg(F.max("rival").alias("rival"), F.max("before").alias("before"))
 
 
 def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close: float = 0.07) -> DataFrame:
@@ -229,29 +287,31 @@ def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close
     season, published, direction, kind, fee and, where known, clubs (other clubs named) and related. moves: move_id, m_player,
     club, season, m_date, m_direction, m_kind, m_loan, m_fee.
 
-    Pairs are made only of names that are alike (named_pairs) and of moves that could come close to those (rival_pairs); that a
-    claim's pool has other moves is known from counts."""
+    Pairs are made only of names that are alike (named_pairs); other moves are scored in cells (best_rivals), and that a claim's
+    pool has them is known from counts."""
     c = _numbered(claims)
     m = _keyed_moves(moves, c)
     pools, keys = _pools(c, m)
     c = c.drop("clubs", "related").join(keys.hint("merge"), "_row")
-    named = written(scored_pairs(named_pairs(c, m)), "named-pairs")
-    top = written(named.groupBy("claim_id").agg(F.max("score").alias("top")), "named-best")
-    rivals = scored_pairs(rival_pairs(c.join(top.hint("merge"), "claim_id"), m, close))
+    named = written(scored_pairs(_in_cells(named_pairs(c, m)), "_row", "_cell"), "named-pairs")
     by = Window.partitionBy("claim_id").orderBy(F.desc("score"), "move_id")
-    ranked = named.unionByName(rivals).withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by)})
-    first = ranked.where("k = 1").withColumn("reasons", reasons())
+    ranked = named.withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by)})
+    first = written(ranked.where("k = 1").drop("k", "_row", "_cell"), "named-best")
+    own = named.groupBy("_row").agg(F.collect_list("_cell").alias("own"))
+    top = first.select("claim_id", F.col("score").alias("top"), F.col("move_id").alias("top_id"))
+    best = c.join(top.hint("merge"), "claim_id").join(own.hint("merge"), "_row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+    rivals = best_rivals(best.drop("_row"), m, close)
     # Rows that share a claim_id are one claim told several times.
     sizes = pools.groupBy("claim_id").agg(F.sum("candidates").alias("candidates"))
-    out = pools.drop("candidates").join(sizes.hint("merge"), "claim_id").join(first.hint("merge"), "claim_id", "left")
+    out = pools.drop("candidates").join(sizes.hint("merge"), "claim_id").join(first.withColumn("reasons", reasons()).hint("merge"), "claim_id", "left").join(rivals.hint("merge"), "claim_id", "left")
     status = (
         F.when(F.col("pool") == "unrelated", "not_transfer_related")
         .when(F.col("candidates") == 0, "no_candidates")
-        .when(F.col("_o0").isNull(), "missing_player_signal")
+        .when(F.col("_o0").isNull() | F.coalesce("before", F.lit(False)), "missing_player_signal")
         .when(F.col("score") < least, "score_below_threshold")
         .otherwise("matched")
     )
-    unsure = F.coalesce(F.round(F.col("score") - F.col("next"), 6) < close, F.lit(False))
+    unsure = F.coalesce(F.round(F.col("score") - F.greatest("next", "rival"), 6) < close, F.lit(False))
     found = F.col("status") == "matched"
     return out.withColumn("status", status).select(
         "claim_id",
