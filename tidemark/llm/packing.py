@@ -12,7 +12,9 @@ pieces are sequences of their own and take no part in the rounds. A round
 4. takes what was placed off the gaps, and starts again with the pieces left.
 
 A round that places nothing is followed by new sequences: as many as the pieces left would fill without waste, which is
-never more than they need. Lengths are whole numbers, so a frequent one is split into ranges by a salt.
+never more than they need. Once the pieces left and the open gaps are no more than the rows of one range, one task places
+them all and opens a sequence where no gap holds a piece. Lengths are whole numbers, so a frequent one is split into ranges
+by a salt.
 
 Null text is an empty document, which is one end id. Rows equal in every column are packed as separate documents. An
 empty table gives an empty result; columns other than doc_id and text are ignored; a very long text is one document of
@@ -93,37 +95,45 @@ _SWEPT = pa.schema([("part", pa.int32()), ("what", pa.int32()), ("id", pa.int64(
 _PLACED, _PIECE, _GAP = 0, 1, 2
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweep(opened: int | None = None, capacity: int = CAPACITY):
     """From rows (size, is_piece, id) of a range, largest first, gaps before pieces of their size: pieces placed (`to` is the
-    sequence), then pieces and untouched gaps left over (`to` is the rank)."""
-    part = TaskContext.get().partitionId()
-    at_gap: dict[int, list[tuple[int, bool]]] = {}
-    open_gaps = left = 0  # bit g is set if a gap of size g is open
-    for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for size, is_piece, i in zip(*(batch.column(c).to_pylist() for c in ("size", "is_piece", "id"))):
-            if not is_piece:
-                at_gap.setdefault(size, []).append((i, True))
-                open_gaps |= 1 << size
-                continue
-            fits = open_gaps >> size
-            if not fits:
-                out.append((_PIECE, i, left, size))
-                left += 1
-                continue
-            gap = size + (fits & -fits).bit_length() - 1
-            sequence, _ = at_gap[gap].pop()
-            if not at_gap[gap]:
-                open_gaps &= ~(1 << gap)
-            if gap > size:
-                at_gap.setdefault(gap - size, []).append((sequence, False))
-                open_gaps |= 1 << gap - size
-            out.append((_PLACED, i, sequence, size))
-        if out:
-            yield _swept(part, out)
-    rest = [(g, i) for g in sorted(at_gap) for i, untouched in at_gap[g] if untouched]
-    for a in range(0, len(rest), 1 << 16):
-        yield _swept(part, [(_GAP, i, a + k, g) for k, (g, i) in enumerate(rest[a : a + (1 << 16)])])
+    sequence), then pieces and untouched gaps left over (`to` is the rank). If `opened` is given, no piece is left over: one
+    without a gap opens a sequence, numbered from there, and gaps aren't listed."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        at_gap: dict[int, list[tuple[int, bool]]] = {}
+        open_gaps = left = 0  # bit g is set if a gap of size g is open
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for size, is_piece, i in zip(*(batch.column(c).to_pylist() for c in ("size", "is_piece", "id"))):
+                if not is_piece:
+                    at_gap.setdefault(size, []).append((i, True))
+                    open_gaps |= 1 << size
+                    continue
+                fits = open_gaps >> size
+                if not fits and opened is None:
+                    out.append((_PIECE, i, left, size))
+                    left += 1
+                    continue
+                if fits:
+                    gap = size + (fits & -fits).bit_length() - 1
+                    sequence, _ = at_gap[gap].pop()
+                    if not at_gap[gap]:
+                        open_gaps &= ~(1 << gap)
+                else:
+                    gap, sequence, left = capacity, opened + left, left + 1
+                if gap > size:
+                    at_gap.setdefault(gap - size, []).append((sequence, False))
+                    open_gaps |= 1 << gap - size
+                out.append((_PLACED, i, sequence, size))
+            if out:
+                yield _swept(part, out)
+        rest = [(g, i) for g in sorted(at_gap) for i, untouched in at_gap[g] if untouched] if opened is None else []
+        for a in range(0, len(rest), 1 << 16):
+            yield _swept(part, [(_GAP, i, a + k, g) for k, (g, i) in enumerate(rest[a : a + (1 << 16)])])
+
+    return rows
 
 
 def _swept(part: int, rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -179,20 +189,28 @@ def rounds(pieces: DataFrame, capacity: int, salts: int = SALTS, range_rows: int
     """id and sequence of every piece (id, size), in bulk-synchronous rounds."""
     spark = pieces.sparkSession
     left, made = pieces.select("id", "size"), 0
-    gaps, used_up = spark.createDataFrame([], "id bigint, size bigint"), []
+    gaps, used_up = spark.range(0).select("id", F.col("id").alias("size")), []
     placed: list[DataFrame] = []
     total = left.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).first()
     n, tokens, moved, open_gaps = total.n, total.s, 0, 0
     while n:
-        if not moved:
+        last = n + open_gaps <= range_rows
+        if not moved and not last:
             more = -(-tokens // capacity)
             fresh = spark.range(made, made + more).select("id", F.lit(capacity).cast("bigint").alias("size"))
             gaps, made, open_gaps = gaps.unionByName(fresh), made + more, open_gaps + more
         salt = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts))
         both = gaps.select("id", "size", F.lit(False).alias("is_piece"), salt.alias("salt")).unionByName(left.select("id", "size", F.lit(True).alias("is_piece"), (salt + salts).alias("salt")))
+        order = [F.desc("size"), "salt", "id"]
+        swept_as = "part int, what int, id bigint, to bigint, size bigint"
+        if last:
+            rows = both.repartition(1).sortWithinPartitions(*order).select("size", "is_piece", "id")
+            placed.append(written(rows.mapInArrow(_sweep(made, capacity), swept_as).select("id", F.col("to").alias("sequence")), "placed"))
+            discard(*used_up)
+            break
         parts = min(4096, 1 + (n + open_gaps) // range_rows)
-        sorted_rows = both.repartitionByRange(parts, F.desc("size"), "salt").sortWithinPartitions(F.desc("size"), "salt", "id")
-        swept = written(sorted_rows.select("size", "is_piece", "id").mapInArrow(_sweep, "part int, what int, id bigint, to bigint, size bigint"), "swept")
+        sorted_rows = both.repartitionByRange(parts, F.desc("size"), "salt").sortWithinPartitions(*order)
+        swept = written(sorted_rows.select("size", "is_piece", "id").mapInArrow(_sweep(), swept_as), "swept")
         over = swept.where(F.col("what") != _PLACED).groupBy("part").agg(
             F.count_if(F.col("what") == _PIECE).alias("pieces"), F.max(F.when(F.col("what") == _PIECE, F.col("size"))).alias("longest"),
             F.count_if(F.col("what") == _GAP).alias("gaps"), F.min(F.when(F.col("what") == _GAP, F.col("size"))).alias("smallest"),
@@ -214,7 +232,7 @@ def rounds(pieces: DataFrame, capacity: int, salts: int = SALTS, range_rows: int
             open_gaps = gaps.count()
         discard(swept, *used_up)
         used_up = [gaps, left]
-    found = spark.createDataFrame([], "id bigint, sequence bigint")
+    found = spark.range(0).select("id", F.col("id").alias("sequence"))
     for one in placed:
         found = found.unionByName(one.select("id", "sequence"))
     return found
