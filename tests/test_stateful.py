@@ -167,3 +167,20 @@ def test_failed_extension_is_written_over(spark, tmp_path, corpus):
     corpus.where("doc >= 500").select("doc").write.parquet(str(tmp_path / "i/docs/segment=1"))  # left behind, without a manifest
     assert index.documents().count() == 10
     assert index.extend(corpus.where("doc < 20")) == 10 and index.documents().count() == 20
+
+
+def test_batches_and_buckets_are_shared(spark, tmp_path, monkeypatch):
+    """A batch is read by more than one task, and so is a bucket written."""
+    from tidemark.plans import streams
+
+    rows = spark.range(4000).withColumn("poll", F.col("id") % 3)
+    seen = []
+    streams._run(streams._arriving(rows, str(tmp_path / "s"), 4, "poll", "id"), str(tmp_path / "s"), lambda batch, _: seen.append((batch.rdd.getNumPartitions(), sorted(r.id for r in batch.select("id").collect()))))
+    assert sorted(i for _, ids in seen for i in ids) == list(range(4000)) and len(seen) <= 5
+    assert max(n for n, _ in seen) > 1 and max(len(ids) for _, ids in seen) < 2000
+
+    table = KeyedTable(spark, str(tmp_path / "t"), "id bigint, v string", ["id"], [], buckets=1)
+    table.upsert(spark.range(3000).selectExpr("id", "'a' as v"), 0)
+    table.upsert(spark.range(1000, 4000).selectExpr("id", "'b' as v"), 1)
+    files = list((tmp_path / "t" / "data" / "v=1" / "bucket=0").glob("part-*.parquet"))
+    assert len(files) > 1 and table.read().groupBy("v").count().orderBy("v").collect() == [("a", 1000), ("b", 3000)]

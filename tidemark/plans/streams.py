@@ -66,10 +66,12 @@ def stream_sessions(spark, sf_dir):
     return _finished(rows, spark, True).select("user_id", "n", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
-def _arriving(rows: DataFrame, path: str, files: int, order: str) -> DataFrame:
-    """Rows landed as `files` files and read as a stream, one file a batch."""
-    rows.repartitionByRange(files, order).write.parquet(f"{path}/landed")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+def _arriving(rows: DataFrame, path: str, batches: int, *order: str) -> DataFrame:
+    """Rows landed in `batches` ranges and read as a stream, one range a batch. A range has a file for each core, so that what
+    a batch costs is shared. Files are written side by side: a batch can hold some of the range beside its own."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartitionByRange(batches * files, *order).write.parquet(f"{path}/landed")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landed")
 
 
 def _run(rows: DataFrame, path: str, sink, mode: str = "append") -> None:
@@ -123,6 +125,6 @@ def polled_articles(spark, sf_dir):
     third = F.pmod(F.xxhash64("k"), F.lit(3))
     polls = rows.withColumn("poll", F.explode(F.when(F.col("k") % 2 == 0, F.array(third, third + 1)).otherwise(F.array(third))))
     job = Poll(spark, f"{path}/polls", buckets=8)
-    _run(_arriving(polls, path, 4, "poll"), path, job)
+    _run(_arriving(polls, path, 4, "poll", "k"), path, job)
     both = job.articles.read().withColumn("dated", F.lit(True)).unionByName(job.undated.read().withColumn("dated", F.lit(False)))
     return both.groupBy("normalized_url", "title", "dated").agg(F.count(F.lit(1)).alias("n"))

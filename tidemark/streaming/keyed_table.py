@@ -19,7 +19,7 @@ BUCKETS = 64
 
 class KeyedTable:
     """schema: columns of the table; keys: what tells rows apart; order: of rows with one key the largest stays (then the one
-    that arrived last). buckets: at most so many rows of a manifest; a bucket is read by one task, so large tables take more."""
+    that arrived last). buckets: at most so many rows of a manifest; a batch rewrites whole buckets, so large tables take more."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], order: list[str], buckets: int = BUCKETS):
         self.spark, self.path, self.keys, self.order, self.buckets = spark, path.rstrip("/"), keys, order, buckets
@@ -60,9 +60,12 @@ class KeyedTable:
         touched = sorted(r.bucket for r in arrived.select("bucket").distinct().collect())  # `buckets` at most
         if touched:
             stored = self._files({b: old[b] for b in touched if b in old}).select("*", bucket, F.lit(0).alias("_new"))
-            both = stored.unionByName(arrived.withColumn("_new", F.lit(1))).repartition(len(touched), "bucket")
+            # Several tasks share a bucket where there are more of them than buckets; equal keys stay together.
+            shares = -(-self.spark.sparkContext.defaultParallelism // len(touched))
+            share = F.pmod(F.xxhash64(*self.keys), F.lit(shares))
+            both = stored.unionByName(arrived.withColumn("_new", F.lit(1))).withColumn("_share", share).repartition(len(touched) * shares, "bucket", "_share")
             others = F.xxhash64(*(c for c in names if c not in self.keys)) if len(names) > len(self.keys) else F.lit(0)
-            place = F.row_number().over(Window.partitionBy("bucket", *self.keys).orderBy(*(F.desc_nulls_last(c) for c in self.order), F.desc("_new"), others))
+            place = F.row_number().over(Window.partitionBy("bucket", "_share", *self.keys).orderBy(*(F.desc_nulls_last(c) for c in self.order), F.desc("_new"), others))
             kept = both.withColumn("_k", place).where("_k = 1").select(*names, "bucket")
             kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={number}")
         discard(arrived)
