@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import sided, written
+
 
 def simple_returns(bars: DataFrame, key: str | None = "ticker", name: str = "ret") -> DataFrame:
     """close / previous close - 1; days whose previous close is missing or not positive are dropped. key None: one series,
@@ -76,15 +78,22 @@ def abnormal(first: int, last: int, alpha: Column, beta: Column) -> Column:
 
 def as_of(events: DataFrame, bars: DataFrame, forward: bool = True, strict: bool = False) -> DataFrame:
     """events (ticker, event_date, ...) with `idx` of the first bar on or after the date (strict: after; not forward: the
-    last bar before). bars: ticker, date, idx. One union and one window per ticker: no range join."""
-    late_bars = not (forward and strict)  # on a tied date a bar behind the event is on or after it, one before is neither
-    b = bars.select("ticker", F.col("date").alias("_d"), F.lit(int(late_bars)).alias("_k"), F.col("idx").alias("_i"))
-    e = events.withColumns({"_d": F.col("event_date"), "_k": F.lit(int(not late_bars)), "_i": F.lit(None).cast("int")})
-    # Running frames in the order of the search: each row costs the same, however long the series.
-    w = Window.partitionBy("ticker").orderBy(*((F.desc("_d"), F.desc("_k")) if forward else ("_d", "_k"))).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_i", True).over(w)
-    both = e.withColumn("_e", F.lit(True)).unionByName(b, allowMissingColumns=True)
-    return both.withColumn("idx", found).where("_e").drop("_d", "_k", "_i", "_e")
+    last bar before); no date, no bar. bars: ticker, date, idx. Each bar is spread over the calendar days that it answers for,
+    up to its neighbour or the end of all bars, so events look their day up and are not gathered by ticker."""
+    b = written(bars.select("ticker", "date", "idx"), "as-of-bars")
+    ends = b.agg(F.date_sub(F.min("date"), 1).alias("_low"), F.date_add(F.max("date"), 1).alias("_high"))
+    by = Window.partitionBy("ticker").orderBy("date")
+    if forward:
+        late = 1 if strict else 0
+        first, last = F.coalesce(F.date_add(F.lag("date").over(by), 1 - late), F.col("_low")), F.date_sub("date", late)
+        day = F.greatest("event_date", "_low")
+    else:
+        first, last = F.date_add("date", 1), F.coalesce(F.lead("date").over(by), F.col("_high"))
+        day = F.least("event_date", "_high")
+    spans = b.crossJoin(F.broadcast(ends)).select("ticker", "idx", first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    days = sided(written(spans.select("ticker", F.explode(F.sequence("_a", "_b")).alias("_day"), "idx"), "as-of-days"))
+    e = events.crossJoin(F.broadcast(ends)).withColumn("_day", F.when(F.col("event_date").isNotNull(), day))
+    return e.join(days, ["ticker", "_day"], "left").select(*events.columns, "idx")
 
 
 def impact_label(value: Column, band: float = 0.02) -> Column:

@@ -9,7 +9,7 @@ from tidemark.functions import scoring
 from tidemark.operators import frames as fr
 from tidemark.operators.cases import SAME_CLUB, closeness
 from tidemark.operators.near_in_time import NEVER, candidates
-from tidemark.storage import written
+from tidemark.storage import sided, written
 
 
 def transfer_history(targets: DataFrame, points: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def transfer_history(targets: DataFrame, points: DataFrame, outcomes: DataFrame,
     rows = targets.where((F.col("prediction_scope") == "direct") & (F.col("event_date") <= as_of))
     if "transfer_type" in rows.columns:
         rows = rows.where(F.coalesce("transfer_type", F.lit("")) != "loan_return")
-    found = fr.as_of(rows, points).join(outcomes.hint("merge"), ["ticker", "idx"], "left")
+    found = fr.as_of(rows, points).join(sided(written(outcomes, "history-outcomes")), ["ticker", "idx"], "left")
     return found.withColumn("label", fr.impact_label(F.col("car")))
 
 
