@@ -1,7 +1,8 @@
 """Free-text questions: the names in them, what they ask for, and the signal they are about.
 
 questions: q, question. names: name, a dimension of clubs, reporters or players. A name is in a question as a phrase, by all
-of its words of three letters or more, or by some of them, in that order; repeated words count once.
+of its words of three letters or more, or by some of them, in that order; repeated words count once. Names are counted and
+broadcast while they are few, so that questions stay where they lie: a word that most of them have would gather in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.storage import sided, written
 
 LEAST_LETTERS = 3
 
@@ -39,7 +41,7 @@ def mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     rarest = pieces.join(spread.hint("merge"), "key").groupBy("name").agg(F.min_by("key", F.struct("n_names", "key")).alias("key"))
     keyed = n.join(rarest.hint("merge"), "name")
     q = _asked(questions)
-    pairs = q.withColumn("key", F.explode("asked_words")).join(keyed.hint("merge"), "key")
+    pairs = q.withColumn("key", F.explode("asked_words")).join(sided(written(keyed, "routing-keys")), "key")
     phrase = F.instr(_padded("asked"), _padded("norm"))
     places = F.array_min(F.transform("long", lambda w: F.instr(_padded("asked"), _padded(w))))
     every = (F.size("long") > 0) & (F.size(F.array_except("long", "asked_words")) == 0)
@@ -53,9 +55,9 @@ def best_name(questions: DataFrame, names: DataFrame) -> DataFrame:
     n = _named(names)
     words = _asked(questions).select("q", F.explode("asked_words").alias("word"))
     first = n.select("name", F.explode("long").alias("word")).groupBy("word").agg(F.min("name").alias("name"))
-    single = words.join(first.hint("merge"), "word").select("q", "name", F.lit(1).cast("bigint").alias("score"))
+    single = words.join(sided(written(first, "routing-first")), "word").select("q", "name", F.lit(1).cast("bigint").alias("score"))
     wide = n.where(F.size("long") > 2).select("name", F.explode("long").alias("word"))
-    several = words.join(wide.hint("merge"), "word").groupBy("q", "name").agg(F.count(F.lit(1)).alias("score")).where("score > 1")
+    several = words.join(sided(written(wide, "routing-wide")), "word").groupBy("q", "name").agg(F.count(F.lit(1)).alias("score")).where("score > 1")
     whole = mentions(questions, names).select("q", "name", F.col("score").cast("bigint").alias("score"))
     found = whole.unionByName(several).unionByName(single)
     return found.groupBy("q").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"))
