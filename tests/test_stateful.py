@@ -161,6 +161,31 @@ def test_index_leaves_blocks_closed(spark, tmp_path, corpus, monkeypatch):
     assert sum(p.count() for p in opened) < blocks / 2
 
 
+def test_index_tasks_and_scores_are_bounded(spark, tmp_path, corpus, monkeypatch):
+    """Blocks of long documents hold fewer of them, postings are made by as many tasks as words fill, a block gives the k best
+    of a query and no pairs, and repeated ids are settled as before."""
+    from tidemark.operators import evidence_index
+
+    long = spark.range(40).select(F.col("id").alias("doc"), F.lit("tt").alias("title"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("x"), i))).alias("text"), F.lit("a").alias("source"), F.lit("article").alias("doc_type"), F.lit(None).cast("timestamp").alias("published_at"))
+    other = long.where("doc < 5").withColumn("title", F.lit("ss"))
+    monkeypatch.setattr(evidence_index, "TASK_WORDS", 2000)
+    index = EvidenceIndex(spark, str(tmp_path / "i"), block=8)
+    assert index.extend(long.unionByName(other)) == 40
+    assert {r.title for r in index.documents().where("doc < 5").collect()} == {"ss"} and index.documents().count() == 40
+    assert index.documents().select("block").distinct().count() > 5  # 40 documents of 600 words at 4,096 words a block
+    names = {f.name for f in (tmp_path / "i/postings/segment=0").rglob("part-*.parquet")}
+    assert len({n.split("-")[1] for n in names}) > 4  # tasks that wrote postings
+
+    index.extend(corpus.withColumn("doc", F.col("doc") + 1000))
+    found, scored = [], EvidenceIndex.scored
+    monkeypatch.setattr(EvidenceIndex, "scored", lambda self, *a: (found.append((a[0], scored(self, *a))), found[-1][1])[1])
+    asked = spark.createDataFrame([(1, "w0 w250 w17 w30 w31")], "q bigint, query string")
+    hits = index.topk(asked, 3).collect()
+    assert len(hits) == 3
+    for pairs, rows in found:
+        assert rows.count() <= 3 * pairs.count() + rows.where("matched >= 3").count()
+
+
 def test_failed_extension_is_written_over(spark, tmp_path, corpus):
     index = EvidenceIndex(spark, str(tmp_path / "i"))
     index.extend(corpus.where("doc < 10"))

@@ -45,9 +45,10 @@ def expanded(query: Column, aliases: dict[str, str]) -> Column:
     return F.concat_ws(" ", query, *more)
 
 
-def indexed(documents: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+def indexed(documents: DataFrame, parts: tuple[str, ...] = PARTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the parts are made of: tokens of the search text (the title counts twice) and of the title, each joined by spaces,
-    the text whose n-grams count, the tokens of each field and the kind. What no part asks for is NULL."""
+    the text whose n-grams count, the tokens of each field and the kind. What no part asks for is NULL. keep: columns of the
+    documents that stay beside it."""
     fields, lexical = [_column(documents, c) for c in FIELDS], "lexical" in parts
     body = F.concat_ws(" ", "title", *fields, "text")
     joined = lambda c: F.array_join(text.tokens(c), " ")
@@ -61,7 +62,7 @@ def indexed(documents: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
         "size": F.octet_length(body),
         "published_at": F.col("published_at"),
     }
-    index = documents.select(*(c.alias(k) for k, c in made.items()))
+    index = documents.select(*(c.alias(k) for k, c in made.items()), *keep)
     return index.withColumn("w", F.btrim(F.concat_ws(" ", "title", "title", "own"), F.lit(" "))).drop("own")
 
 
