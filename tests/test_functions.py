@@ -197,3 +197,13 @@ def test_stream_upsert(spark, tmp_path):
     assert {r.id: r.v for r in table.read().collect()} == {1: "a", 2: "c"}
     quiet, undated = jobs.dated(spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1))], "id int, published_at timestamp"))
     assert quiet.first().id == 2 and undated.first().id == 1
+
+
+def test_named_clubs_normalise_the_text_once(spark):
+    rows = spark.createDataFrame([("Ajax  and Real\tMadrid meet", 1), ("RM win", 2), ("", 3), (None, 4)], "t string, i int")
+    clubs = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, a)).cast("array<string>").alias("aliases")) for n, a in (("Real  Madrid", ["RM", " "]), ("Ajax", []), ("", []))))
+    one_row = rows.join(F.broadcast(spark.range(1).select(text.club_labels(clubs).alias("c"))))
+    want = [["Real  Madrid", "Ajax"], ["Real  Madrid"], [], []]
+    for found in (rows.select("i", text.named_clubs(F.col("t"), clubs).alias("n")), one_row.select("i", text.named_clubs(F.col("t"), F.col("c"), labelled=True).alias("n"))):
+        assert [r.n for r in found.orderBy("i").collect()] == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(t") == 1

@@ -202,12 +202,20 @@ def is_transfer_story(text: Column, words: tuple[str, ...] = STORY_WORDS) -> Col
     return F.arrays_overlap(F.split(norm, " "), F.array(*map(F.lit, words))) & ~norm.rlike("|".join(MATCH_STORIES))
 
 
-def named_clubs(text: Column, clubs: Column) -> Column:
-    """Names of the clubs (an array of name and aliases) that stand in the text with spaces around them, in their order."""
+def club_labels(clubs: Column) -> Column:
+    """Clubs (an array of name and aliases) with their labels as `named_clubs` compares them; computed once where clubs are fixed."""
+    norm = lambda label: F.concat(F.lit(" "), squeeze(F.lower(label)), F.lit(" "))
+    labels = lambda c: F.filter(F.transform(F.concat(F.array(c["name"]), F.coalesce(c["aliases"], F.array().cast("array<string>"))), norm), lambda x: F.trim(x) != "")
+    return F.transform(clubs, lambda c: F.struct(c["name"].alias("name"), labels(c).alias("labels")))
+
+
+def named_clubs(text: Column, clubs: Column, labelled: bool = False) -> Column:
+    """Names of the clubs (an array of name and aliases, or what `club_labels` made of it if `labelled`) that stand in the text with
+    spaces around them, in their order. The text is brought to its normal form once, not once for each club."""
     inside = F.concat(F.lit(" "), squeeze(F.lower(F.coalesce(text, F.lit("")))), F.lit(" "))
-    has = lambda label: F.contains(inside, F.concat(F.lit(" "), squeeze(F.lower(label)), F.lit(" "))) & (squeeze(label) != "")
-    found = F.filter(clubs, lambda c: has(c["name"]) | F.exists(F.coalesce(c["aliases"], F.array().cast("array<string>")), has))
-    return F.array_distinct(F.transform(found, lambda c: c["name"]))
+    known = clubs if labelled else club_labels(clubs)
+    found = lambda x: F.array_distinct(F.transform(F.filter(known, lambda c: F.exists(c["labels"], lambda w: F.contains(x, w))), lambda c: c["name"]))
+    return F.get(F.transform(F.array(inside), found), F.lit(0))
 
 
 def day_of(c: Column) -> Column:

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
+from tidemark.storage import sided
 
 
-def normalised_articles(rows: DataFrame, clubs: Column | None = None) -> DataFrame:
+def normalised_articles(rows: DataFrame, clubs: Column | None = None, labelled: bool = False) -> DataFrame:
     """Articles in their normal form. rows: title, url, published_at (text), source and, where known, snippet, body_text,
-    provider, journalist, player, club, language, extraction_confidence, crawl_method. clubs: array of (name, aliases)."""
+    provider, journalist, player, club, language, extraction_confidence, crawl_method. clubs: array of (name, aliases), or of `text.club_labels` if `labelled`."""
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     clean = lambda c: text.squeeze(F.coalesce(have(c).cast("string"), F.lit("")))
     n = rows.select("*", *(clean(c).alias(f"_{c}") for c in ("title", "url", "snippet", "body_text", "club", "player", "language", "provider", "crawl_method")))
     n = n.withColumns({"_source": text.source_name(have("source"), have("provider"), have("url")), "_seen": dates.parse_timestamp(F.col("published_at").cast("string")), "_normal": F.when(F.col("_url") != "", text.canonical_url(F.col("_url"))).otherwise("")})
     stamp = F.coalesce(F.date_format("_seen", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit(""))
-    named = text.named_clubs(F.concat_ws(" ", "_title", "_snippet", "_body_text", "_club"), clubs) if clubs is not None else F.array().cast("array<string>")
+    named = text.named_clubs(F.concat_ws(" ", "_title", "_snippet", "_body_text", "_club"), clubs, labelled) if clubs is not None else F.array().cast("array<string>")
     blank = lambda c, other: F.when(F.col(c) == "", other).otherwise(F.col(c))
     return n.select(
         text.stable_id(F.col("_normal"), F.lower("_title"), stamp, F.lower("_source")).alias("article_id"),

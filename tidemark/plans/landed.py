@@ -149,8 +149,13 @@ def landed_results(spark, sf_dir):
 def article_records(spark, sf_dir):
     """Headlines as article records: ids, reporters, clubs named in them."""
     h = b.headlines(spark, sf_dir)
+    nations = table(spark, sf_dir, "nation").select(F.replace("n_name", F.lit("_"), F.lit(" ")).alias("name")).orderBy("n_nationkey").collect()  # a dimension
+    clubs = F.array(*(F.struct(F.lit(r.name).alias("name"), F.array().cast("array<string>").alias("aliases")) for r in nations))
+    # One row, so that labels are made once and not for every article.
+    h = h.join(F.broadcast(spark.range(1).select(text.club_labels(clubs).alias("clubs"))))
     i = F.col("article_id")
     rows = h.select(
+        "clubs",
         F.concat(F.lit("  "), "title", F.lit(" ")).alias("title"),
         F.concat(F.lit("https://a.example/"), i, F.lit("?utm_source=x&id="), i % 3).alias("url"),
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
@@ -159,9 +164,7 @@ def article_records(spark, sf_dir):
         F.when(i % 5 != 0, F.lit("0.9")).alias("extraction_confidence"),
         F.lit("").alias("snippet"),
     )
-    nations = table(spark, sf_dir, "nation").select(F.replace("n_name", F.lit("_"), F.lit(" ")).alias("name")).orderBy("n_nationkey").collect()  # a dimension
-    clubs = F.array(*(F.struct(F.lit(r.name).alias("name"), F.array().cast("array<string>").alias("aliases")) for r in nations))
-    a = im.normalised_articles(rows, clubs)
+    a = im.normalised_articles(rows, F.col("clubs"), labelled=True)
     key = F.regexp_extract("url", r"/(\d+)\?", 1).cast("bigint")
     return a.select(key.alias("k"), "article_id", "journalist", "provider", F.size("player_candidates").alias("n_players"), F.array_join("club_candidates", "|").alias("named"), F.col("extraction_confidence").alias("confidence"))
 
