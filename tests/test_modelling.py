@@ -82,3 +82,19 @@ def test_unknown_movement_ends_the_job(spark):
         im.window_transfers(rows, names, "2019-20", "2021-22").collect()
     with pytest.raises(ValueError, match="loan policy"):
         im.by_loan_policy(rows, "some")
+
+
+def test_window_rows_stay_where_they_lie(spark):
+    """Few names are broadcast, not merged by club, and a filter on seasons makes a season once."""
+    from tidemark.functions import dates
+
+    columns = "club_name string, season string, year string, player_name string, age string, position string, club_involved_name string, fee string, fee_cleaned string, transfer_movement string, transfer_period string"
+    rows = spark.createDataFrame([(f" Club {i % 3} ", s, "2020", "Pat", "21", "x", "Other", "1m", "1.5", "in", "Summer") for i, s in enumerate(["2019/20", "19-20", "unknown", None, "2023/24", "2018-19"])], columns)
+    names = spark.createDataFrame([("CLUB 0",), ("club 1",)], "alias string")
+    t = im.window_transfers(rows, names, "2019-20", "2021-22")
+    assert sorted((r.club, r.season) for r in t.collect()) == [("Club 0", "2019-20"), ("Club 0", "2020-21"), ("Club 1", "2019-20")]
+    assert "SortMergeJoin" not in t._jdf.queryExecution().executedPlan().toString()
+    s = spark.range(30).select((F.col("id") * 700).cast("string").alias("y"), F.concat("id", F.lit("/"), F.col("id") + 1).alias("l"))
+    made = s.select(dates.canonical_season(F.col("l"), F.col("y")).alias("s"), dates.season_in_range(dates.canonical_season(F.col("l"), F.col("y")), F.lit("2010-11"), F.lit("2012-13")).alias("in"))
+    assert {r.s for r in made.collect() if r["in"]} == {"2010-11", "2011-12", "2012-13"}
+    assert made.where("in")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 6

@@ -77,10 +77,11 @@ def in_window(ts: Column, first: Column, last: Column) -> Column:
 
 def canonical_season(label: Column, year: Column | None = None) -> Column:
     """`2023-24` from `2023/24`, `23/24`, `2023/2024` or `2023-24`; other labels take the season that starts in `year`, if given."""
-    raw = F.trim(label)
-    left, right = F.regexp_extract(raw, r"^(\d{2}|\d{4})[/-](\d{2}|\d{4})$", 1), F.regexp_extract(raw, r"^(\d{2}|\d{4})[/-](\d{2}|\d{4})$", 2)
-    start = F.when(F.char_length(left) == 2, F.concat(F.lit("20"), left)).otherwise(left)
-    found = F.when(left != "", F.concat(start, F.lit("-"), F.right(right, F.lit(2))))
+    raw, pattern = F.trim(label), r"^(\d{2}|\d{4})[/-](\d{2}|\d{4})$"
+    # A bound variable, so that each pattern is matched once for a row.
+    years = F.struct(F.regexp_extract(raw, pattern, 1).alias("a"), F.regexp_extract(raw, pattern, 2).alias("b"))
+    named = lambda y: F.when(y["a"] != "", F.concat(F.when(F.char_length(y["a"]) == 2, F.concat(F.lit("20"), y["a"])).otherwise(y["a"]), F.lit("-"), F.right(y["b"], F.lit(2))))
+    found = F.get(F.transform(F.array(years), named), F.lit(0))
     if year is None:
         return F.coalesce(found, raw)
     start_of = year.try_cast("int")
@@ -89,7 +90,9 @@ def canonical_season(label: Column, year: Column | None = None) -> Column:
 
 
 def season_in_range(label: Column, first: Column, last: Column) -> Column:
-    return season_start(label).between(season_start(first), season_start(last))
+    low, high = season_start(first).cast("bigint"), season_start(last).cast("bigint")
+    # Between the two; the label stands there once, as a filter that is pushed down repeats what makes it.
+    return F.abs(2 * season_start(label).cast("bigint") - (low + high)) <= high - low
 
 
 def league_code(label: Column) -> Column:

@@ -108,8 +108,9 @@ def window_transfers(rows: DataFrame, names: DataFrame, first: str, last: str) -
     the fee makes a loan. rows: club_name, season, year, player_name, age, position, club_involved_name, fee, fee_cleaned,
     transfer_movement, transfer_period. names: alias (lower case), a dimension of the clubs that are kept."""
     season = dates.canonical_season(F.col("season"), F.col("year"))
-    r = rows.withColumns({"season": season, "_club": F.trim("club_name")}).where(dates.season_in_range(F.col("season"), F.lit(first), F.lit(last)))
-    r = r.join(names.select(F.lower("alias").alias("_a")).distinct().hint("merge"), F.lower("_club") == F.col("_a"), "left_semi")
+    # Rows stay where they lie, if there are few names: clubs are few keys, so a merge gathers all rows in as many tasks.
+    r = rows.withColumn("_club", F.trim("club_name")).join(sided(names.select(F.lower("alias").alias("_a")).distinct()), F.lower("_club") == F.col("_a"), "left_semi")
+    r = r.withColumn("season", season).where(dates.season_in_range(F.col("season"), F.lit(first), F.lit(last)))
     way, other = F.lower(F.trim("transfer_movement")), F.trim("club_involved_name")
     direction = F.when(way.isin("in", "out"), way).otherwise(F.raise_error(F.concat(F.lit("unknown movement: "), F.col("transfer_movement"))).cast("string"))
     year = F.col("year").try_cast("int")
