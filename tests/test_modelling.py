@@ -98,3 +98,27 @@ def test_window_rows_stay_where_they_lie(spark):
     made = s.select(dates.canonical_season(F.col("l"), F.col("y")).alias("s"), dates.season_in_range(dates.canonical_season(F.col("l"), F.col("y")), F.lit("2010-11"), F.lit("2012-13")).alias("in"))
     assert {r.s for r in made.collect() if r["in"]} == {"2010-11", "2011-12", "2012-13"}
     assert made.where("in")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 6
+
+
+def test_candidates_share_the_rows_they_learn_from(spark):
+    """Rows are ordered and read from their source once, however many candidates and presets there are; a model that is made of
+    shared features is the one that is fitted alone."""
+    from pyspark.ml.classification import LogisticRegression
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def number(i):
+        read.add(1)
+        return float(i % 7)
+
+    i = F.col("id")
+    label = F.element_at(F.array(*map(F.lit, ("negative", "neutral", "positive"))), (i % 7 % 3 + 1).cast("int"))
+    rows = spark.range(200).select(i, label.alias("label"), number(i).alias("x"), (i % 5).cast("double").alias("z"), F.concat(F.lit("c"), i % 4).alias("club"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 50).cast("int")).alias("day"), F.lit("direct").alias("prediction_scope"), F.lit(2020).alias("season_start"))
+    make = lambda reg: LogisticRegression(family="multinomial", maxIter=5, regParam=reg, featuresCol="scaled", labelCol="_y", weightCol="_w")
+    best, figures = modelling.chosen(rows, {"full": ["x", "z"], "core": ["x"]}, ["club"], {"a": make(0.01), "b": make(10.0)}, ["day", "id"], 2021)
+    assert set(figures) == {(p, n) for p in ("full", "core") for n in "ab"} and best in figures
+    assert read.value <= 400
+    model = modelling.fitted(rows, ["x"], ["club"], make(0.01))
+    assert modelling.feature_names(model, ["x"], ["club"]) == ["x", "x__missing", "club=c0", "club=c1", "club=c2", "club=c3", "club=__unseen"]
+    assert modelling.predicted(model, rows, ["x"], ["club"], 2021).where("predicted_label is not null and prob_neutral > 0").count() == 200

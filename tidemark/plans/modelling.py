@@ -11,6 +11,7 @@ from tidemark.operators import modelling as md
 from tidemark.operators.boosting import SoftmaxBoosting
 from tidemark.sources import bindings as b
 from tidemark.sources.tables import table
+from tidemark.storage import written
 
 from .cases import _C, _SEASON, listed
 from .registry import query
@@ -165,7 +166,7 @@ def _candidates() -> dict:
 def model_selection(spark, sf_dir):
     """Presets and candidates with their figures on the latest training rows, the one that is chosen, and the baseline and
     chosen model on the later seasons."""
-    rows = md.usable(dataset(spark, sf_dir))
+    rows = written(md.usable(dataset(spark, sf_dir)), "model-dataset")  # read by every fit
     train, test = rows.where(F.col("season_start") <= TRAIN_END), rows.where(F.col("season_start") > TRAIN_END)
     presets = {"full": md.active(rows, NUMERIC), "core": md.active(rows, CORE)}
     best, figures = md.chosen(train, presets, CATEGORICAL, _candidates(), ["signal_date", "case_id"], TRAIN_END)
