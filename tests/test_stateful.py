@@ -169,10 +169,10 @@ def test_index_tasks_and_scores_are_bounded(spark, tmp_path, corpus, monkeypatch
     long = spark.range(40).select(F.col("id").alias("doc"), F.lit("tt").alias("title"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("x"), i))).alias("text"), F.lit("a").alias("source"), F.lit("article").alias("doc_type"), F.lit(None).cast("timestamp").alias("published_at"))
     other = long.where("doc < 5").withColumn("title", F.lit("ss"))
     monkeypatch.setattr(evidence_index, "TASK_WORDS", 2000)
-    index = EvidenceIndex(spark, str(tmp_path / "i"), block=8)
+    index = EvidenceIndex(spark, str(tmp_path / "i"), block=2)
     assert index.extend(long.unionByName(other)) == 40
     assert {r.title for r in index.documents().where("doc < 5").collect()} == {"ss"} and index.documents().count() == 40
-    assert index.documents().select("block").distinct().count() > 5  # 40 documents of 600 words at 4,096 words a block
+    assert index.documents().select("block").distinct().count() > 5  # 40 documents of 600 words at 1,024 words a block
     names = {f.name for f in (tmp_path / "i/postings/segment=0").rglob("part-*.parquet")}
     assert len({n.split("-")[1] for n in names}) > 4  # tasks that wrote postings
 
