@@ -161,7 +161,7 @@ class EvidenceIndex:
             one = new.join(some, "doc", "left_semi").groupBy("doc").agg(F.min_by(F.struct(*new.columns), F.struct("title", "text")).alias("_r")).select("_r.*")
             new = new.join(some, "doc", "left_anti").unionByName(one)
         length = F.when(F.col("w") != "", F.size(F.split("w", " "))).otherwise(0)
-        rows = written(indexed(new, ("lexical",), ("source",)).select("doc", "kind", "source", "title", "w", length.alias("length")), "evidence-rows")
+        rows = written(indexed(new, ("source",)).select("doc", "kind", "source", "title", "w", length.alias("length")), "evidence-rows")
         # Documents of like length share blocks, so that the maxima of a block are close to its documents' own.
         group = F.floor(2 * F.log2(F.col("length") + 1)).cast("int")
         blocks = F.ceil(F.greatest(F.count(F.lit(1)) / self.block, F.sum("length") / (self.block * WORDS)))
