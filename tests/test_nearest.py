@@ -238,3 +238,47 @@ def test_rivals_are_scored_in_cells(spark):
     assert matching._cells(m).count() <= 40
     r = matching.best_matches(told, moves).first()
     assert (r.status, r.move_id, r.score, r.ambiguous, r.candidates) == ("matched", "m7", 0.46, 0, 20_000)
+
+
+@pytest.mark.parametrize("whole, pairs, claimed", [(10_000, 40, 3), (9, 50_000_000, 100_000), (0, 1, 1)])
+def test_pools_as_a_whole_and_in_blocks(spark, told, monkeypatch, whole, pairs, claimed):
+    """Pools in several parts, some in blocks, and all in blocks give the plain answer."""
+    for name, value in (("WHOLE_POOL", whole), ("PART_PAIRS", pairs), ("PART_CLAIMS", claimed)):
+        monkeypatch.setattr(matching, name, value)
+    claims, moves = told
+    moves = moves + [("z1", "Pat Poe", "Red", None, DAY, "in", "loan", True, 1e6), ("z2", "Pat Poe", None, "2023-24", DAY, "in", "loan", True, 1e6), ("z3", None, "Blue", None, DAY, "out", "loan", False, None)]
+    got = {r.claim_id: (r.status, r.move_id, r.ambiguous) for r in matching.best_matches(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(moves, MOVE)).collect()}
+    assert got == matches_by_hand(claims, moves)
+
+
+def test_small_pools_are_read_once(spark, monkeypatch):
+    """Moves of small pools are written once and meet their claims in one step: no blocks, cells or pairs are written for them."""
+    tables = []
+    kept = lambda df, name, **options: tables.append(name) or matching_written(df, name, **options)
+    matching_written = matching.written
+    monkeypatch.setattr(matching, "written", kept)
+    moves = spark.range(300).select(F.concat(F.lit("m"), "id").alias("move_id"), F.concat(F.lit("Pat Surname"), "id").alias("m_player"), F.concat(F.lit("Club "), F.col("id") % 10).alias("club"), F.lit("2023-24").alias("season"), F.lit(DAY).alias("m_date"), F.lit("in").alias("m_direction"), F.lit("loan").alias("m_kind"), F.lit(True).alias("m_loan"), F.lit(1e6).alias("m_fee"))
+    claims = spark.range(300).select(F.col("id").alias("claim_id"), F.concat(F.lit("P Surname"), "id").alias("player"), F.concat(F.lit("Club "), F.col("id") % 10).alias("club"), F.lit("2023-24").alias("season"), F.lit(DAY).alias("published"), F.lit("in").alias("direction"), F.lit("loan").alias("kind"), F.lit(1e6).alias("fee"))
+    assert matching.best_matches(claims, moves).where("status = 'matched' and reasons like 'surname_player|%' and candidates = 30").count() == 300
+    assert tables.count("pool-moves") == 1 and not {"named-pairs", "pool-blocks", "pool-cells", "frequent"} & set(tables)
+
+
+def test_moves_stand_once_where_claims_ask_for_all(spark, monkeypatch):
+    """A claim without a club takes all moves; they are keyed for that once, and far rivals open no block of them."""
+    tables = {}
+    matching_written, keyed = matching.written, matching._wide_moves
+
+    def kept(df, name, **options):
+        tables[name] = matching_written(df, name, **options)
+        return tables[name]
+
+    def wide(*given):
+        tables["wide"] = keyed(*given)
+        return tables["wide"]
+
+    monkeypatch.setattr(matching, "written", kept)
+    monkeypatch.setattr(matching, "_wide_moves", wide)
+    rows = [(f"m{i:03}", f"Pat Surname{i}", f"Club {i % 5}" if i % 9 else None, "2023-24", DAY, "in", "loan", True, 1e6) for i in range(200)]
+    asked = [(i, f"P Surname{i}", None if i % 4 else "Club 1", None, None if i % 3 else "2023-24", True, DAY, "in", "loan", 1e6) for i in range(200)]
+    r = matching.best_matches(spark.createDataFrame(asked, CLAIM), spark.createDataFrame(rows, MOVE)).where("status = 'matched' and candidates = 200")
+    assert r.count() == 150 and tables["wide"].count() == 200 and tables["pool-opened"].count() == 0

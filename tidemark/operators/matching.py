@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
-from tidemark.storage import sided, written
+from tidemark.operators import pool_scan
+from tidemark.shipping import ship
+from tidemark.storage import BROADCAST_ROWS, sided, written
 
 
 #: Stands for any club, or any season, in the key of a pool.
 ANY = "*"
+#: Stands for a missing season in the key of a pool.
+UNDATED = "\x00"
+#: A pool of a club and season with more moves meets its claims in blocks of names and cells; others are read as a whole, in parts
+#: of at most so many pairs and claims.
+WHOLE_POOL, PART_PAIRS, PART_CLAIMS = 10_000, 50_000_000, 100_000
 #: The most that date, direction, kind and fee can add.
 MOST_DATE, MOST_DIRECTION, MOST_KIND, MOST_FEE = 0.10, 0.08, 0.05, 0.08
 #: The names of the signals, in the order of their options in scored_pairs.
@@ -85,15 +92,20 @@ def _named(rows: DataFrame, player: str, n: str, w: str, s: str) -> DataFrame:
     return rows.withColumn(s, F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")))
 
 
-def _numbered(claims: DataFrame, named: bool = True) -> DataFrame:
-    """Claims, written, with a number for each row (claim_ids may repeat), blank clubs and seasons as NULL. Without names, only
-    what pools need."""
+def _rowed(claims: DataFrame) -> DataFrame:
+    """Claims with a number for each row (claim_ids may repeat), blank clubs and seasons as NULL."""
     blank = lambda c: F.when(F.trim(c) != "", F.col(c))
     out = claims.withColumns({"club": blank("club"), "season": blank("season"), "_row": F.monotonically_increasing_id()})
     if "clubs" not in out.columns:
         out = out.withColumn("clubs", F.array().cast("array<string>"))
     if "related" not in out.columns:
         out = out.withColumn("related", F.lit(True))
+    return out
+
+
+def _numbered(claims: DataFrame, named: bool = True) -> DataFrame:
+    """Claims, written, with a number for each row. Without names, only what pools need."""
+    out = _rowed(claims)
     if not named:
         return written(out.select("_row", "claim_id", "club", "season", "clubs", "related"), "pool-claims")
     return written(_named(out.hint("rebalance"), "player", "_n", "_w", "_s"), "pool-claims")
@@ -108,7 +120,10 @@ def _pool_keys(claims: DataFrame) -> Column:
 
 def _counted_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
     """k_club, k_season and how many moves (n). Moves are counted by club and season first."""
-    each = moves.groupBy("club", "season").agg(F.count(F.lit(1)).alias("n"))
+    return _keyed_counts(moves.groupBy("club", "season").agg(F.count(F.lit(1)).alias("n")), claims)
+
+
+def _keyed_counts(each: DataFrame, claims: DataFrame) -> DataFrame:
     keyed = each.select("n", F.inline(_pool_keys(claims))).where("k_club is not null and k_season is not null")
     return keyed.groupBy("k_club", "k_season").agg(F.sum("n").alias("n"))
 
@@ -122,7 +137,8 @@ def _keyed_moves(moves: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def _pools(c: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pools, keys) of numbered claims and keyed or counted moves; see candidate_pools. keys: _row, k_club, k_season."""
+    """(pools, keys) of numbered claims and keyed or counted moves; see candidate_pools. keys: _row, k_club, k_season and how many
+    moves (n, NULL for all)."""
     names = F.array_distinct(F.array_compact(F.concat(F.array("club"), F.transform(F.coalesce("clubs", F.array().cast("array<string>")), lambda x: F.when(F.trim(x) != "", x)))))
     first = c.where("related").select("_row", F.explode(names).alias("k_club"), F.coalesce("season", F.lit(ANY)).alias("k_season"))
     counts = m if "n" in m.columns else m.groupBy("k_club", "k_season").agg(F.count(F.lit(1)).alias("n"))
@@ -136,7 +152,7 @@ def _pools(c: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
     pools = written(pools.withColumn("pool", kind), "pools")
     n = F.when(F.col("pool") == "clubs", F.col("own")).when(F.col("pool") == "all", F.col("every")).otherwise(0).cast("bigint")
     anywhere = pools.where("pool = 'all'").select("_row", F.lit(ANY).alias("k_club"), F.lit(ANY).alias("k_season"))
-    return pools.select("_row", "claim_id", "pool", n.alias("candidates")), met.drop("n").select("_row", "k_club", "k_season").unionByName(anywhere)
+    return pools.select("_row", "claim_id", "pool", n.alias("candidates")), met.select("_row", "k_club", "k_season", "n").unionByName(anywhere, allowMissingColumns=True)
 
 
 def candidate_pools(claims: DataFrame, moves: DataFrame) -> DataFrame:
@@ -202,7 +218,7 @@ def named_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
     right = of(moves.withColumns({"_any": F.col("k_club") == ANY, "_any_season": F.col("k_season") == ANY}), "_mw", 1, _sizes(claims, "_w")).drop(*lean)
     met = left.join(right.hint("merge"), "_block").drop("_block")
     # Surnames and words are made again beside the claim; few rows are left by then.
-    same_pool = F.when(F.col("_any"), F.col("k_club") == ANY).otherwise(F.col("k_club") == F.col("m_club")) & F.when(F.col("_any_season"), F.col("k_season") == ANY).otherwise(F.col("k_season") == F.col("m_season"))
+    same_pool = F.when(F.col("_any"), F.col("k_club") == ANY).otherwise(F.col("k_club") == F.col("m_club")) & F.when(F.col("_any_season"), F.col("k_season") == ANY).otherwise(F.col("k_season") == F.coalesce("m_season", F.lit(UNDATED)))
     met = _named(met.where(same_pool), "m_player", "_mn", "_mw", "_ms").drop("_any", "_any_season")
     by_surname = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
     by_word = ~by_surname & (F.get(F.array_intersect("_o", "_mw"), F.lit(0)) == F.col("word")) & (_shared() * 3 >= F.size("_w") + F.size("_mw"))
@@ -236,11 +252,16 @@ def _in_cells(moves: DataFrame) -> DataFrame:
 
 
 def _cells(moves: DataFrame) -> DataFrame:
-    """How many moves a cell has, its least and largest fee and its first move_id."""
+    """How many moves a cell has, its least and largest fee."""
     paid = F.when(F.col("m_fee") > 0, F.col("m_fee"))
     rows = _in_cells(moves).withColumn("m_club", F.when(F.col("k_club") == ANY, ANY).otherwise(F.col("m_club")))
     by = ("_k", "_cell", "k_club", "k_season", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "m_date")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(paid).alias("f0"), F.max(paid).alias("f1"), F.min("move_id").alias("first_id"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(paid).alias("f0"), F.max(paid).alias("f1"))
+
+
+def _of_few(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is among `keys`, by broadcast, where those are few, which is counted; else all rows."""
+    return rows.join(F.broadcast(keys), on, "left_semi") if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
@@ -250,7 +271,8 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
 
     A block of moves (a month) whose bound is lower stays closed. Of an open block, cells are scored, not moves: the ends of a cell's
     fees are fees of moves, and where both score alike all of the cell do. Only cells where that leaves a doubt are opened."""
-    room = F.lit(0.30 + MOST_DATE) + F.when(F.col("direction").isin("in", "out"), MOST_DIRECTION).otherwise(0.0) + F.when(F.col("kind") != "unclear", MOST_KIND).otherwise(0.0) + F.when(F.col("fee") > 0, MOST_FEE).otherwise(0.0)
+    part = lambda test, points: F.when(test, points).otherwise(0.0)
+    room = F.lit(MOST_DATE) + part(F.col("club").isNotNull(), 0.20) + part(F.col("season").isNotNull(), 0.10) + part(F.col("direction").isin("in", "out"), MOST_DIRECTION) + part(F.col("kind") != "unclear", MOST_KIND) + part(F.col("fee") > 0, MOST_FEE)
     least = F.col("top") - close - 1e-9
     open_claims = best.where(room > least).drop("_n", "_w", "_s")
     blocks = written(_blocks(moves), "pool-blocks")
@@ -260,7 +282,7 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
     fee_part = lambda c: _fee_part(scoring.fee_closeness(F.col("fee"), c))[0]
     bound = _club_part()[0] + _season_part()[0] + MOST_DATE * dates.proximity(away) + _direction_part()[0] + _kind_part()[0] + fee_part(nearest)
     met = met.where(bound > least).withColumn("_k", _digest("k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan", "month"))
-    opened = met.drop("d0", "d1", "f0", "f1", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "month")
+    opened = written(met.drop("d0", "d1", "f0", "f1", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "month"), "pool-opened")
     on = ["_k", "k_club", "k_season"]
     near = dates.proximity(F.abs(F.datediff("m_date", "published")))
     base = F.lit(0.0) + _club_part()[0] + _season_part()[0] + _first_of([(near > 0, MOST_DATE * near)])[0] + _direction_part()[0] + _kind_part()[0]
@@ -269,11 +291,13 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
     cells = cells.withColumns({"_a": F.round(F.col("_base") + fee_part(F.col("f0")), 6), "_b": F.round(F.col("_base") + fee_part(F.col("f1")), 6)}).withColumn("rival", F.greatest("_a", "_b"))
     cells = cells.where((F.col("rival") > least) & (F.col("n") > F.col("_own")))
     even, tied = F.col("_a") == F.col("_b"), F.col("rival") == F.col("top")
-    # A named move adds its player signal, so a cell with one scores below `top` where it is even.
-    doubt = ~even & ((F.col("_own") > 0) | tied)
-    known = cells.where(~doubt).select("claim_id", "rival", ((F.col("rival") > F.col("top")) | (tied & (F.col("first_id") < F.col("top_id")))).alias("before"))
-    unsure = cells.where(doubt).select("claim_id", "player", "published", "club", "season", "direction", "kind", "fee", "top", "top_id", "k_club", "k_season", "_cell")
-    pairs = unsure.join(_in_cells(moves).drop("_k", "_mn", "_mw", "_ms").hint("merge"), ["_cell", "k_club", "k_season"])
+    # A named move adds its player signal, so a cell with one scores below `top` where it is even. Of a tie the move_ids tell.
+    doubt = tied | (~even & (F.col("_own") > 0))
+    known = cells.where(~doubt).select("claim_id", "rival", (F.col("rival") > F.col("top")).alias("before"))
+    unsure = written(cells.where(doubt).select("claim_id", "player", "published", "club", "season", "direction", "kind", "fee", "top", "top_id", "k_club", "k_season", "_cell"), "pool-doubts")
+    inside = ["_cell", "k_club", "k_season"]
+    seen = _of_few(_in_cells(moves).drop("_k", "_mn", "_mw", "_ms"), unsure.select(*inside).distinct(), inside)
+    pairs = unsure.join(seen.hint("merge"), inside)
     pairs = _named(_named(pairs, "player", "_n", "_w", "_s"), "m_player", "_mn", "_mw", "_ms").where(_player_part()[1].isNull())
     exact = F.round(base + fee_part(F.col("m_fee")), 6)
     seen = pairs.withColumn("rival", exact).where(F.col("rival") > least).select("claim_id", "rival", ((F.col("rival") > F.col("top")) | (tied & (F.col("move_id") < F.col("top_id")))).alias("before"))
@@ -282,42 +306,101 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
     return some[0].unionByName(some[1]).groupBy("claim_id").agg(F.max("rival").alias("rival"), F.max("before").alias("before"))
 
 
+def _spots(keys: DataFrame, each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spots, crowded): spots are rows of claims with each club and season of their pool, the number of parts that it is read in (0: in
+    blocks) and their part; crowded are pools of 0 or several parts. Those are few: one in WHOLE_POOL moves, one in some 5,000 claims."""
+    near = keys.where(F.col("k_club") != ANY)
+    dated = near.where(F.col("k_season") != ANY)
+    seasons = each.select(F.col("club").alias("k_club"), F.coalesce("season", F.lit(UNDATED)).alias("k_season"), "n")
+    always = near.where(F.col("k_season") == ANY).select("_row", "k_club").join(seasons.hint("merge"), "k_club")
+    spots = written(dated.unionByName(always), "pool-spots")
+    pools = spots.groupBy("k_club", "k_season").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("asked"))
+    parts = F.when(F.col("n") > WHOLE_POOL, 0).otherwise(F.ceil(F.greatest(F.col("n") * F.col("asked") / PART_PAIRS, F.col("asked") / PART_CLAIMS))).cast("int")
+    crowded = written(pools.select("k_club", "k_season", parts.alias("parts")).where("parts <> 1").coalesce(1), "pool-crowded")
+    rows = spots.join(F.broadcast(crowded), ["k_club", "k_season"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("_row"), F.col("parts"))).otherwise(0).cast("int")), crowded
+
+
+def _scanned_pools(claims: DataFrame, moves: DataFrame, spots: DataFrame, crowded: DataFrame, close: float) -> DataFrame:
+    """What pool_scan.scanned finds for claims in pools that are read as a whole: moves and claims go to their pool once."""
+    ship(claims.sparkSession)
+    ids = dict(claims.dtypes)["claim_id"], dict(moves.dtypes)["move_id"]
+    day = lambda c: F.unix_date(F.col(c).cast("date")).alias("day")
+    m = moves.where("club is not null").withColumns({"k_club": F.col("club"), "k_season": F.coalesce("season", F.lit(UNDATED))})
+    m = m.join(F.broadcast(crowded), ["k_club", "k_season"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).where("parts > 0")
+    m = m.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("k_club", "k_season", "part", F.lit(0).cast("byte").alias("side"), F.lit(None).cast(ids[0]).alias("claim_id"), "move_id", text.alnum_unicode(F.col("m_player")).alias("name"), day("m_date"), F.col("m_direction").alias("direction"), F.col("m_kind").alias("kind"), F.col("m_loan").alias("loan"), F.col("m_fee").cast("double").alias("fee"), F.lit(None).cast("byte").alias("o1"), F.lit(None).cast("byte").alias("o2"))
+    c = claims.join(spots.where("parts > 0").select("_row", "k_club", "k_season", "part").hint("merge"), "_row").withColumns({"m_club": F.col("k_club"), "m_season": F.col("k_season")})
+    c = c.select("k_club", "k_season", "part", F.lit(1).cast("byte").alias("side"), "claim_id", F.lit(None).cast(ids[1]).alias("move_id"), text.alnum_unicode(F.col("player")).alias("name"), day("published"), "direction", "kind", F.lit(None).cast("boolean").alias("loan"), F.col("fee").cast("double").alias("fee"), _club_part()[1].alias("o1"), _season_part()[1].alias("o2"))
+    rows = m.unionByName(c).repartition("k_club", "k_season", "part").withColumn("h", F.xxhash64("k_club", "k_season", "part")).sortWithinPartitions("h")
+    rows = rows.withColumnsRenamed({"k_club": "club", "k_season": "season"})
+    options = ", ".join(f"_o{i} byte" for i in range(7))
+    return rows.mapInArrow(pool_scan.scanned(round(close * 100)), f"claim_id {ids[0]}, move_id {ids[1]}, score double, next double, {options}, other double, other_id {ids[1]}")
+
+
+def _wide_moves(moves: DataFrame, crowded: DataFrame, everywhere: bool) -> DataFrame:
+    """Moves of pools that are met in blocks: those of large pools, and all of them where claims ask for all."""
+    large = crowded.where("parts = 0").select("k_club", "k_season", F.lit(True).alias("large"))
+    season = F.coalesce("season", F.lit(UNDATED))
+    rows = moves.withColumns({"k_club": F.col("club"), "k_season": season}).join(F.broadcast(large), ["k_club", "k_season"], "left")
+    own, all_ = (F.struct(k.alias("k_club"), s.alias("k_season")) for k, s in ((F.col("club"), season), (F.lit(ANY), F.lit(ANY))))
+    keys = F.array_compact(F.array(F.when(F.col("large"), own), *([all_] if everywhere else [])))
+    rows = rows.drop("k_club", "k_season").select("*", F.inline(keys)).drop("large").withColumnsRenamed({"club": "m_club", "season": "m_season"})
+    return _named(rows, "m_player", "_mn", "_mw", "_ms")
+
+
 def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close: float = 0.07) -> DataFrame:
     """One row per claim: move_id (NULL if none), score, reasons, ambiguous, candidates and status. claims: claim_id, player, club,
     season, published, direction, kind, fee and, where known, clubs (other clubs named) and related. moves: move_id, m_player,
     club, season, m_date, m_direction, m_kind, m_loan, m_fee.
 
-    Pairs are made only of names that are alike (named_pairs); other moves are scored in cells (best_rivals), and that a claim's
-    pool has them is known from counts."""
-    c = _numbered(claims)
-    m = _keyed_moves(moves, c)
-    pools, keys = _pools(c, m)
-    c = c.drop("clubs", "related").join(keys.hint("merge"), "_row")
-    named = written(scored_pairs(_in_cells(named_pairs(c, m)), "_row", "_cell"), "named-pairs")
-    by = Window.partitionBy("claim_id").orderBy(F.desc("score"), "move_id")
-    ranked = named.withColumns({"k": F.row_number().over(by), "next": F.lead("score").over(by)})
-    first = written(ranked.where("k = 1").drop("k", "_row", "_cell"), "named-best")
-    own = named.groupBy("_row").agg(F.collect_list("_cell").alias("own"))
-    top = first.select("claim_id", F.col("score").alias("top"), F.col("move_id").alias("top_id"))
-    best = c.join(top.hint("merge"), "claim_id").join(own.hint("merge"), "_row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
-    rivals = best_rivals(best.drop("_row"), m, close)
-    # Rows that share a claim_id are one claim told several times.
-    sizes = pools.groupBy("claim_id").agg(F.sum("candidates").alias("candidates"))
-    out = pools.drop("candidates").join(sizes.hint("merge"), "claim_id").join(first.withColumn("reasons", reasons()).hint("merge"), "claim_id", "left").join(rivals.hint("merge"), "claim_id", "left")
+    Moves and claims of a club and season meet in arrays of a task (pool_scan). In pools that are too large for that, and where a claim's
+    pool are all moves, pairs are made only of names that are alike (named_pairs), and other moves are scored in cells (best_rivals)."""
+    asked = ("claim_id", "player", "club", "season", "published", "direction", "kind", "fee")
+    c = written(_rowed(claims).select("_row", *asked, "clubs", "related"), "pool-claims", compression="zstd")
+    m = written(moves.select("move_id", "m_player", "club", "season", "m_date", "m_direction", "m_kind", "m_loan", "m_fee"), "pool-moves", compression="zstd")
+    each = written(m.groupBy("club", "season").agg(F.count(F.lit(1)).alias("n")), "pool-counts")
+    pools, keys = _pools(c, _keyed_counts(each, c))
+    spots, crowded = _spots(keys, each)
+    c = c.select("_row", *asked)
+    met = _scanned_pools(c, m, spots, crowded, close)
+    anywhere = keys.where(F.col("k_club") == ANY).select("_row", "k_club", "k_season")
+    everywhere = not pools.where("pool = 'all'").isEmpty()
+    if wide := everywhere or not crowded.where("parts = 0").isEmpty():
+        met = written(met, "pool-scan")
+        mw = _wide_moves(m, crowded, everywhere)
+        cw = c.join(spots.where("parts = 0").select("_row", "k_club", "k_season").unionByName(anywhere).hint("merge"), "_row")
+        cw = written(_named(cw, "player", "_n", "_w", "_s"), "wide-claims")
+        named = written(scored_pairs(_in_cells(named_pairs(cw, mw)), "_row", "_cell"), "named-pairs")
+        met = met.unionByName(named.drop("_row", "_cell"), allowMissingColumns=True)
+    # Rows that share a claim_id are one claim told several times, and a claim may have several clubs and seasons.
+    own, whole = Window.partitionBy("claim_id").orderBy(F.desc_nulls_last("score"), "move_id"), Window.partitionBy("claim_id")
+    ranked = met.withColumns({"k": F.row_number().over(own), "after": F.lead("score").over(own), "top": F.first("score").over(own), "top_id": F.first("move_id").over(own)})
+    ahead = (F.col("other") > F.col("top")) | ((F.col("other") == F.col("top")) & (F.col("other_id") < F.col("top_id")))
+    ranked = ranked.withColumns({"before": F.coalesce(F.max(ahead).over(whole), F.lit(False)), "second": F.max(F.greatest("next", "other", "after")).over(whole)})
+    first = ranked.where("k = 1 and score is not null").select("claim_id", "move_id", "score", *(f"_o{i}" for i in range(7)), "before", "second")
+    if wide:
+        first = written(first, "named-best")
+        cells = named.groupBy("_row").agg(F.collect_list("_cell").alias("own"))
+        top = first.select("claim_id", F.col("score").alias("top"), F.col("move_id").alias("top_id"))
+        best = cw.join(top.hint("merge"), "claim_id").join(cells.hint("merge"), "_row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+        rivals = best_rivals(best.drop("_row"), mw, close).withColumnRenamed("before", "goes_before")
+        first = first.join(rivals.hint("merge"), "claim_id", "left").withColumns({"before": F.col("before") | F.coalesce("goes_before", F.lit(False)), "second": F.greatest("second", "rival")})
+    out = pools.withColumn("candidates", F.sum("candidates").over(whole)).join(first.hint("merge"), "claim_id", "left")
     status = (
         F.when(F.col("pool") == "unrelated", "not_transfer_related")
         .when(F.col("candidates") == 0, "no_candidates")
-        .when(F.col("_o0").isNull() | F.coalesce("before", F.lit(False)), "missing_player_signal")
+        .when(F.col("_o0").isNull() | F.col("before"), "missing_player_signal")
         .when(F.col("score") < least, "score_below_threshold")
         .otherwise("matched")
     )
-    unsure = F.coalesce(F.round(F.col("score") - F.greatest("next", "rival"), 6) < close, F.lit(False))
+    unsure = F.coalesce(F.round(F.col("score") - F.col("second"), 6) < close, F.lit(False))
     found = F.col("status") == "matched"
     return out.withColumn("status", status).select(
         "claim_id",
         F.when(found, F.col("move_id")).alias("move_id"),
         F.when(found, F.col("score")).otherwise(0.0).alias("score"),
-        F.when(found, F.array_join("reasons", "|")).alias("reasons"),
+        F.when(found, F.array_join(reasons(), "|")).alias("reasons"),
         (found & unsure).cast("int").alias("ambiguous"),
         "candidates",
         "status",

@@ -17,7 +17,8 @@ from .sql_bindings import CLAIMS, TRANSFERS
 def moves_and_claims(spark, sf_dir):
     """Line items as moves of a supplier's club, and each order's first line item as a claim about one, told with errors."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Merged, so that rows lie in even parts, whatever the files are.
+    rows = l.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.concat(F.lit("Pat Surname"), F.col("o_custkey"))
     kind = F.when(F.col("l_returnflag") == "A", "loan").otherwise("permanent")
     way = F.when(F.col("l_returnflag") == "R", "out").otherwise("in")
