@@ -71,10 +71,12 @@ def _player_part() -> tuple[Column, Column]:
 
 
 def scored_pairs(pairs: DataFrame, *kept: str) -> DataFrame:
-    """Score and signals of claims that stand beside a move, and the columns to keep."""
+    """Score and signals of claims that stand beside a move, and the columns to keep. Pairs may have the points and the number of their
+    player signal (see named_pairs)."""
     near = dates.proximity(F.abs(F.datediff("m_date", "published")))
     fee = scoring.fee_closeness(F.col("fee"), F.col("m_fee"))
-    parts = [_player_part(), _club_part(), _season_part(), _first_of([(near > 0, MOST_DATE * near)]), _direction_part(), _kind_part(), _fee_part(fee)]
+    player = (F.col("_points"), F.col("_signal")) if "_signal" in pairs.columns else _player_part()
+    parts = [player, _club_part(), _season_part(), _first_of([(near > 0, MOST_DATE * near)]), _direction_part(), _kind_part(), _fee_part(fee)]
     score = F.lit(0.0)
     for value, _ in parts:
         score = score + value
@@ -169,9 +171,9 @@ def candidate_pools(claims: DataFrame, moves: DataFrame) -> DataFrame:
 FREQUENT = 1_000
 
 
-def _frequent(moves: DataFrame) -> DataFrame:
+def _frequent(names: DataFrame) -> DataFrame:
     """One row: frequent words of the moves' names with how many names hold them. At most 10,000 by its bound."""
-    words = moves.select("_mn", "_mw").distinct().select(F.explode("_mw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = names.select("_mn", "_mw").distinct().select(F.explode("_mw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     words = written(words, "words")
     most = F.greatest(F.lit(FREQUENT), F.expr("sum(df) / 10000"))
     bound = words.agg(F.coalesce(most, F.lit(FREQUENT)).alias("most"))
@@ -206,23 +208,24 @@ def _rare_first(rows: DataFrame, words: str, frequent: DataFrame) -> DataFrame:
 
 
 def named_pairs(claims: DataFrame, moves: DataFrame) -> DataFrame:
-    """Claims beside the moves of their pool with a player signal. Pairs come from blocks of a surname or of a rare word;
-    each pair has one block that owns it: that of the surname where both have it, else that of their rarest shared word.
-    claims and moves have k_club, k_season and names (see _named). Moves go to their blocks by a digest and without what
-    follows from other columns; the digest only brings pairs together, the rest is compared."""
-    frequent = _frequent(moves)
-    block = F.xxhash64("k_club", "k_season", "word")
-    of = lambda rows, words, side, sizes: _rare_first(rows, words, frequent).withColumn("word", F.explode(_name_keys(F.col("_o"), side, sizes))).withColumn("_block", block)
-    left = of(claims, "_w", 0, _sizes(moves, "_mw"))
-    lean = ("word", "_o", "_mn", "_mw", "_ms", "k_club", "k_season")
-    right = of(moves.withColumns({"_any": F.col("k_club") == ANY, "_any_season": F.col("k_season") == ANY}), "_mw", 1, _sizes(claims, "_w")).drop(*lean)
-    met = left.join(right.hint("merge"), "_block").drop("_block")
-    # Surnames and words are made again beside the claim; few rows are left by then.
-    same_pool = F.when(F.col("_any"), F.col("k_club") == ANY).otherwise(F.col("k_club") == F.col("m_club")) & F.when(F.col("_any_season"), F.col("k_season") == ANY).otherwise(F.col("k_season") == F.coalesce("m_season", F.lit(UNDATED)))
-    met = _named(met.where(same_pool), "m_player", "_mn", "_mw", "_ms").drop("_any", "_any_season")
+    """Claims beside the moves of their pool with a player signal, and its points and number (_points, _signal).
+
+    Names of a pool are compared once, however many claims and moves bear them: pairs of names come from blocks of a surname or of a
+    rare word; each has one block that owns it, that of the surname where both have it, else that of their rarest shared word. Claims
+    and moves meet by these pairs. They have k_club, k_season and names (player, m_player)."""
+    of = ["k_club", "k_season"]
+    told = written(_named(claims.select(*of, "player").distinct(), "player", "_n", "_w", "_s"), "claim-names")
+    known = written(_named(moves.select(*of, "m_player").distinct(), "m_player", "_mn", "_mw", "_ms"), "move-names")
+    frequent = _frequent(known)
+    keyed = lambda rows, words, side, sizes: _rare_first(rows, words, frequent).withColumn("word", F.explode(_name_keys(F.col("_o"), side, sizes)))
+    left, right = keyed(told, "_w", 0, _sizes(known, "_mw")), keyed(known, "_mw", 1, _sizes(told, "_w")).drop("_o")
+    met = left.join(right.hint("merge"), [*of, "word"])
     by_surname = (F.col("_s") == F.col("_ms")) & (F.char_length("_s") >= 4)
     by_word = ~by_surname & (F.get(F.array_intersect("_o", "_mw"), F.lit(0)) == F.col("word")) & (_shared() * 3 >= F.size("_w") + F.size("_mw"))
-    return met.where((by_surname & (F.col("word") == F.col("_s"))) | by_word)
+    points, signal = _player_part()
+    names = met.where((by_surname & (F.col("word") == F.col("_s"))) | by_word).select(*of, "player", "m_player", points.alias("_points"), signal.alias("_signal"))
+    names = written(names, "name-pairs")
+    return claims.join(names.hint("merge"), [*of, "player"]).join(moves.drop("_mn", "_mw", "_ms").hint("merge"), [*of, "m_player"])
 
 
 def _blocks(moves: DataFrame) -> DataFrame:
@@ -240,23 +243,28 @@ FEE_STEP = 1.2
 
 def _digest(*keys: str) -> Column:
     """Keys may be NULL: blocks and cells are matched by a digest of them."""
-    return F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
+    return F.xxhash64(*(x for k in keys for x in (F.col(k), F.col(k).isNull())))
+
+
+#: What moves of a block agree in, besides the month and the club.
+ALIKE = ("k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan")
+
+
+def _in_steps(moves: DataFrame) -> DataFrame:
+    return moves.withColumn("step", F.when(F.col("m_fee") > 0, F.floor(F.log("m_fee") / math.log(FEE_STEP))))
 
 
 def _in_cells(moves: DataFrame) -> DataFrame:
-    """Moves with their block (_k) and cell (_cell): moves of a pool that agree in club, season, direction, kind, day and step of fee."""
-    step = F.when(F.col("m_fee") > 0, F.floor(F.log("m_fee") / math.log(FEE_STEP)))
-    keys = ["k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan"]
-    rows = moves.withColumns({"month": F.trunc("m_date", "month"), "step": step})
-    return rows.withColumns({"_k": _digest(*keys, "month"), "_cell": _digest(*keys, "m_date", "step")}).drop("month", "step")
+    """Moves with their cell (_cell): moves of a pool that agree in club, season, direction, kind, day and step of fee."""
+    return _in_steps(moves).withColumn("_cell", _digest(*ALIKE, "m_date", "step")).drop("step")
 
 
 def _cells(moves: DataFrame) -> DataFrame:
-    """How many moves a cell has, its least and largest fee."""
+    """Cells with their block (_k): how many moves they have, the least and the largest fee."""
     paid = F.when(F.col("m_fee") > 0, F.col("m_fee"))
-    rows = _in_cells(moves).withColumn("m_club", F.when(F.col("k_club") == ANY, ANY).otherwise(F.col("m_club")))
-    by = ("_k", "_cell", "k_club", "k_season", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "m_date")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(paid).alias("f0"), F.max(paid).alias("f1"))
+    rows = _in_steps(moves).withColumn("m_club", F.when(F.col("k_club") == ANY, ANY).otherwise(F.col("m_club")))
+    cells = rows.groupBy(*ALIKE, "m_club", "m_date", "step").agg(F.count(F.lit(1)).alias("n"), F.min(paid).alias("f0"), F.max(paid).alias("f1"))
+    return cells.withColumn("month", F.trunc("m_date", "month")).withColumns({"_k": _digest(*ALIKE, "month"), "_cell": _digest(*ALIKE, "m_date", "step")}).drop("month", "step")
 
 
 def _of_few(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -274,14 +282,14 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
     part = lambda test, points: F.when(test, points).otherwise(0.0)
     room = F.lit(MOST_DATE) + part(F.col("club").isNotNull(), 0.20) + part(F.col("season").isNotNull(), 0.10) + part(F.col("direction").isin("in", "out"), MOST_DIRECTION) + part(F.col("kind") != "unclear", MOST_KIND) + part(F.col("fee") > 0, MOST_FEE)
     least = F.col("top") - close - 1e-9
-    open_claims = best.where(room > least).drop("_n", "_w", "_s")
+    open_claims = best.where(room > least)
     blocks = written(_blocks(moves), "pool-blocks")
     met = open_claims.join(blocks.hint("merge"), ["k_club", "k_season"])
     away = F.greatest(F.datediff("d0", "published"), F.datediff("published", "d1"), F.lit(0))
     nearest = F.least(F.greatest("fee", "f0"), F.col("f1"))
     fee_part = lambda c: _fee_part(scoring.fee_closeness(F.col("fee"), c))[0]
     bound = _club_part()[0] + _season_part()[0] + MOST_DATE * dates.proximity(away) + _direction_part()[0] + _kind_part()[0] + fee_part(nearest)
-    met = met.where(bound > least).withColumn("_k", _digest("k_club", "k_season", "m_season", "m_direction", "m_kind", "m_loan", "month"))
+    met = met.where(bound > least).withColumn("_k", _digest(*ALIKE, "month"))
     opened = written(met.drop("d0", "d1", "f0", "f1", "m_club", "m_season", "m_direction", "m_kind", "m_loan", "month"), "pool-opened")
     on = ["_k", "k_club", "k_season"]
     near = dates.proximity(F.abs(F.datediff("m_date", "published")))
@@ -296,7 +304,7 @@ def best_rivals(best: DataFrame, moves: DataFrame, close: float) -> DataFrame:
     known = cells.where(~doubt).select("claim_id", "rival", (F.col("rival") > F.col("top")).alias("before"))
     unsure = written(cells.where(doubt).select("claim_id", "player", "published", "club", "season", "direction", "kind", "fee", "top", "top_id", "k_club", "k_season", "_cell"), "pool-doubts")
     inside = ["_cell", "k_club", "k_season"]
-    seen = _of_few(_in_cells(moves).drop("_k", "_mn", "_mw", "_ms"), unsure.select(*inside).distinct(), inside)
+    seen = _of_few(_in_cells(moves).drop("_mn", "_mw", "_ms"), unsure.select(*inside).distinct(), inside)
     pairs = unsure.join(seen.hint("merge"), inside)
     pairs = _named(_named(pairs, "player", "_n", "_w", "_s"), "m_player", "_mn", "_mw", "_ms").where(_player_part()[1].isNull())
     exact = F.round(base + fee_part(F.col("m_fee")), 6)
@@ -345,8 +353,7 @@ def _wide_moves(moves: DataFrame, crowded: DataFrame, everywhere: bool) -> DataF
     rows = moves.withColumns({"k_club": F.col("club"), "k_season": season}).join(F.broadcast(large), ["k_club", "k_season"], "left")
     own, all_ = (F.struct(k.alias("k_club"), s.alias("k_season")) for k, s in ((F.col("club"), season), (F.lit(ANY), F.lit(ANY))))
     keys = F.array_compact(F.array(F.when(F.col("large"), own), *([all_] if everywhere else [])))
-    rows = rows.drop("k_club", "k_season").select("*", F.inline(keys)).drop("large").withColumnsRenamed({"club": "m_club", "season": "m_season"})
-    return _named(rows, "m_player", "_mn", "_mw", "_ms")
+    return rows.drop("k_club", "k_season").select("*", F.inline(keys)).drop("large").withColumnsRenamed({"club": "m_club", "season": "m_season"})
 
 
 def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close: float = 0.07) -> DataFrame:
@@ -370,7 +377,7 @@ def best_matches(claims: DataFrame, moves: DataFrame, least: float = 0.45, close
         met = written(met, "pool-scan")
         mw = _wide_moves(m, crowded, everywhere)
         cw = c.join(spots.where("parts = 0").select("_row", "k_club", "k_season").unionByName(anywhere).hint("merge"), "_row")
-        cw = written(_named(cw, "player", "_n", "_w", "_s"), "wide-claims")
+        cw = written(cw, "wide-claims")
         named = written(scored_pairs(_in_cells(named_pairs(cw, mw)), "_row", "_cell"), "named-pairs")
         met = met.unionByName(named.drop("_row", "_cell"), allowMissingColumns=True)
     # Rows that share a claim_id are one claim told several times, and a claim may have several clubs and seasons.

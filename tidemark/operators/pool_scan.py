@@ -40,10 +40,16 @@ def _whole(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _codes(column) -> tuple[np.ndarray, list]:
+def _codes(column) -> tuple[np.ndarray, pa.Array]:
     """Numbers of equal values (-1: null), and the values."""
     coded = _whole(column).dictionary_encode()
-    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _number(values: pa.Array, x: str) -> int:
+    """The number of a value, -2 if it is not there."""
+    at = pc.index(values, x).as_py()
+    return at if at >= 0 else -2
 
 
 class _Names:
@@ -52,7 +58,7 @@ class _Names:
     def __init__(self, column) -> None:
         names = _whole(column).fill_null("")
         self.name, values = _codes(names)
-        self.name[self.name == (values.index("") if "" in values else -1)] = -1
+        self.name[self.name == _number(values, "")] = -1
         lists = pc.split_pattern(names, " ")
         coded = lists.flatten().dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -102,11 +108,11 @@ class _Facts:
         day = number("day", _NEVER).astype(np.int64)
         self.day = np.where((day == _NEVER) & (self.side == 1), -_NEVER, day)
         self.way, ways = _codes(t["direction"])
-        self.told = np.isin(self.way, [i for i, x in enumerate(ways) if x in ("in", "out")])
+        self.told = (self.way == _number(ways, "in")) | (self.way == _number(ways, "out"))
         self.kind, kinds = _codes(t["kind"])
-        self.typed = (self.kind >= 0) & (self.kind != (kinds.index("unclear") if "unclear" in kinds else -2))
+        self.typed = (self.kind >= 0) & (self.kind != _number(kinds, "unclear"))
         self.loan = number("loan", False)
-        self.lent = self.kind == (kinds.index("loan") if "loan" in kinds else -2)
+        self.lent = self.kind == _number(kinds, "loan")
         self.fee = number("fee", 0.0)
         self.paid = ~(self.fee <= 0)
         self.club, self.season = number("o1", -1).astype(np.int8), number("o2", -1).astype(np.int8)
